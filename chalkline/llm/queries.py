@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from chalkline.llm import exact_dedup, html_text, simhash
+from chalkline.llm import exact_dedup, html_text, mixing, simhash
 from chalkline.llm.common import table
 
 
@@ -22,10 +22,15 @@ def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix_documents(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_html_extraction": op1_html_extraction,
     "op2_simhash_near_dedup": op2_simhash_near_dedup,
     "op5_exact_dedup": op5_exact_dedup,
+    "op9_mixing": op9_mixing,
 }
 
 ORACLES: dict[str, str] = {"op5_exact_dedup": exact_dedup.SQL}
