@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from chalkline.llm import exact_dedup, html_text, mixing, simhash
+from chalkline.llm import bpe, exact_dedup, html_text, mixing, simhash
 from chalkline.llm.common import table
 
 
@@ -22,6 +22,17 @@ def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def vocabulary(name: str = "byte_bpe_50k.json") -> str:
+    """Where the public tokenizer files are installed."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op6_bpe_encode_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.encode_decode(table(spark, sf_dir, "documents"), vocabulary())
+
+
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_documents(table(spark, sf_dir, "documents"))
 
@@ -30,6 +41,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_html_extraction": op1_html_extraction,
     "op2_simhash_near_dedup": op2_simhash_near_dedup,
     "op5_exact_dedup": op5_exact_dedup,
+    "op6_bpe_encode_decode": op6_bpe_encode_decode,
     "op9_mixing": op9_mixing,
 }
 
