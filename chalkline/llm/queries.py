@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from chalkline.llm import bpe, exact_dedup, html_text, mixing, simhash
+from chalkline.llm import bpe, exact_dedup, html_text, mixing, simhash, warc
 from chalkline.llm.common import table
 
 
@@ -33,6 +33,10 @@ def op6_bpe_encode_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_decode(table(spark, sf_dir, "documents"), vocabulary())
 
 
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(table(spark, sf_dir, "pages"))
+
+
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_documents(table(spark, sf_dir, "documents"))
 
@@ -42,7 +46,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_simhash_near_dedup": op2_simhash_near_dedup,
     "op5_exact_dedup": op5_exact_dedup,
     "op6_bpe_encode_decode": op6_bpe_encode_decode,
+    "op7_warc": op7_warc,
     "op9_mixing": op9_mixing,
 }
 
-ORACLES: dict[str, str] = {"op5_exact_dedup": exact_dedup.SQL}
+ORACLES: dict[str, str] = {"op5_exact_dedup": exact_dedup.SQL, "op7_warc": warc.SQL}
