@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from chalkline.llm import bpe, exact_dedup, html_text, mixing, simhash, toxicity, warc
+from chalkline.llm import bpe, exact_dedup, html_text, license_scan, mixing, simhash, toxicity, warc
 from chalkline.llm.common import table
 
 
@@ -41,6 +41,10 @@ def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(table(spark, sf_dir, "pages"))
 
 
+def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(table(spark, sf_dir, "documents"))
+
+
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_documents(table(spark, sf_dir, "documents"))
 
@@ -52,6 +56,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_exact_dedup": op5_exact_dedup,
     "op6_bpe_encode_decode": op6_bpe_encode_decode,
     "op7_warc": op7_warc,
+    "op8_license_scan": op8_license_scan,
     "op9_mixing": op9_mixing,
 }
 
