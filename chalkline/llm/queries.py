@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from chalkline.llm import bpe, exact_dedup, html_text, license_scan, mixing, simhash, toxicity, warc
+from chalkline.llm import bpe, exact_dedup, html_text, katz, license_scan, mixing, simhash, toxicity, warc
 from chalkline.llm.common import table
 
 
@@ -22,6 +22,10 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op4_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return katz.score_documents(table(spark, sf_dir, "documents"))
+
+
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
 
@@ -53,6 +57,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_html_extraction": op1_html_extraction,
     "op2_simhash_near_dedup": op2_simhash_near_dedup,
     "op3_toxicity": op3_toxicity,
+    "op4_lm_scoring": op4_lm_scoring,
     "op5_exact_dedup": op5_exact_dedup,
     "op6_bpe_encode_decode": op6_bpe_encode_decode,
     "op7_warc": op7_warc,
