@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from chalkline.llm import bpe, exact_dedup, html_text, katz, license_scan, mixing, simhash, toxicity, warc
+from chalkline.llm import bpe, exact_dedup, html_text, katz, license_scan, mixing, simhash, topk, toxicity, warc
 from chalkline.llm.common import table
 
 
@@ -53,6 +53,11 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_documents(table(spark, sf_dir, "documents"))
 
 
+def op10_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return topk.search(docs, docs.where("doc_id % 50 = 0"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_html_extraction": op1_html_extraction,
     "op2_simhash_near_dedup": op2_simhash_near_dedup,
@@ -63,6 +68,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_warc": op7_warc,
     "op8_license_scan": op8_license_scan,
     "op9_mixing": op9_mixing,
+    "op10_exact_topk": op10_exact_topk,
 }
 
-ORACLES: dict[str, str] = {"op5_exact_dedup": exact_dedup.SQL, "op7_warc": warc.SQL}
+ORACLES: dict[str, str] = {"op5_exact_dedup": exact_dedup.SQL, "op7_warc": warc.SQL, "op10_exact_topk": topk.SQL}
