@@ -81,7 +81,7 @@ def trace(spark: SparkSession, sf: str) -> DataFrame:
 
 def board_intervals(spark: SparkSession, sf: str) -> DataFrame:
     """Events as stretches of a board on screen: value minutes from ts on."""
-    lo = F.unix_micros("ts") / 1e6
+    lo = F.expr("timestampdiff(MICROSECOND, TIMESTAMP_NTZ '1970-01-01 00:00:00', CAST(ts AS TIMESTAMP_NTZ))") / 1e6
     return table(spark, sf, "events").select(
         F.col("user_id").alias("video"), F.col("event_id").alias("board"), lo.alias("lo"), (lo + F.coalesce("value", F.lit(0.0)) * 60).alias("hi")
     )
