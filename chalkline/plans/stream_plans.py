@@ -41,7 +41,7 @@ def tool_activity(spark, sf):
 
 @query("board_sessions", """WITH e AS (SELECT user_id AS video, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) <= INTERVAL 2 HOUR THEN 0 ELSE 1 END AS opens FROM events),
 g AS (SELECT *, sum(opens) OVER (PARTITION BY video ORDER BY ts ROWS UNBOUNDED PRECEDING) AS s FROM e)
-SELECT video, epoch_ms(min(ts)) AS lo, count(*) AS n FROM g GROUP BY video, s""")
+SELECT video, epoch_us(min(ts)) // 1000000 AS lo, count(*) AS n FROM g GROUP BY video, s""")
 def board_sessions(spark, sf):
     path = A.folder(spark, "stream-boards")
     e = A.table(spark, sf, "events").select(F.col("user_id").alias("video"), F.col("ts").cast("timestamp").alias("t"))
@@ -49,7 +49,7 @@ def board_sessions(spark, sf):
     spark.createDataFrame([(-1, "2100-01-01 00:00:00")], "video bigint, t string").withColumn("t", F.col("t").cast("timestamp")).coalesce(1).write.mode("append").json(path)
     stream = S.tail_json(spark, path, "video bigint, t timestamp", 1000)
     out = spark.read.parquet(S.drain(S.board_sessions(stream, "2 hours"), A.folder(spark, "stream-sessions")))
-    return out.where("video >= 0").select("video", F.unix_millis("session_window.start").alias("lo"), "n")
+    return out.where("video >= 0").select("video", F.floor(F.unix_millis("session_window.start") / 1000).alias("lo"), "n")
 
 
 STATES = """WITH q AS (SELECT user_id AS lecture, (props::JSON->>'$.k')::INTEGER AS id, event_id AS seq, CASE WHEN event_type = 'click' THEN '' WHEN event_type = 'purchase' THEN 'guess ' || event_id % 7 END AS answer, event_id % 4 = 0 AS delivered FROM events),
