@@ -4,20 +4,21 @@ Templates are fingerprinted by winnowing (the least hash of every window of ``WI
 word ``GRAM``-grams) into an inverted index from hash to (template, position).  A document
 is winnowed the same way over its whole text; any run of ``GRAM + WINDOW - 1`` words that
 it shares with a template shares a fingerprint.  Hits fall into diagonals (document minus
-template position); each group of near diagonals is a candidate that a banded alignment
-of the template against that stretch of the document decides: matched share of the
-template's words, and the span from the first to the last matched word.
+template position); near diagonals with a tenth of the template's fingerprints are a
+candidate, which a banded alignment of the template against that stretch decides: matched
+share of the template's words, and the span from the first to the last matched word.
 
 The template set is small and given, so its index goes to every task; documents stay
 where they are and nothing is shuffled.
 
-Defined results: null and empty texts match nothing; repeated rows give repeated rows; of
-overlapping matches of one template the best stays; an empty table gives no rows; extra
+Defined results: null and empty texts match nothing; repeated rows give repeated rows; matches of
+one template don't overlap, the earlier stays; an empty table gives no rows; extra
 columns are ignored.
 """
 
 from __future__ import annotations
 
+import bisect
 import re
 from collections.abc import Iterator
 
@@ -89,6 +90,7 @@ class TemplateIndex:
             raise ValueError(f"more than {MOST_TEMPLATES} templates")
         self.names = list(templates)
         self.words = [words(templates[n]) for n in self.names]
+        self.prints = [len(winnow(word_hashes(found))[0]) for found in self.words]
         postings: dict[int, list[tuple[int, int]]] = {}
         for t, found in enumerate(self.words):
             for at, h in zip(*(x.tolist() for x in winnow(word_hashes(found))), strict=True):
@@ -106,57 +108,67 @@ class TemplateIndex:
         hit = self.hashes[np.minimum(i, len(self.hashes) - 1)] == grams
         if not hit.any():
             return []
-        diagonals: dict[int, set[int]] = {}
+        diagonals: dict[int, list[int]] = {}
         for p, h in zip(at[hit].tolist(), grams[hit].tolist(), strict=True):
             for t, q in self.postings[h]:
-                diagonals.setdefault(t, set()).add(p - q)
+                diagonals.setdefault(t, []).append(p - q)
         places = None
         out = []
         for t, ds in sorted(diagonals.items()):
-            best: list[tuple[float, int, int, int]] = []
-            group: list[int] = []
-            for d in [*sorted(ds), None]:
-                if group and (d is None or d - group[-1] > BAND):
-                    coverage, a, b, n = align(self.words[t], found, group[0], group[-1])
-                    if coverage >= COVERAGE:
-                        best.append((coverage, a, b, n))
-                    group = []
-                if d is not None:
-                    group.append(d)
-            taken: list[tuple[int, int]] = []
-            for coverage, a, b, n in sorted(best, key=lambda x: (-x[0], x[1])):
-                if all(b <= x or a >= y for x, y in taken):
-                    taken.append((a, b))
-                    places = places or [m.span() for m in _WORD.finditer(text.lower())]
-                    out.append((self.names[t], coverage, places[a][0], places[b - 1][1], n))
+            for coverage, a, b, n in find(self.words[t], found, sorted(ds), max(1, self.prints[t] // 10)):
+                places = places or [m.span() for m in _WORD.finditer(text.lower())]
+                out.append((self.names[t], coverage, places[a][0], places[b - 1][1], n))
         return sorted(out, key=lambda x: (x[2], x[0]))
 
 
-def align(template: list[str], doc: list[str], low: int, high: int) -> tuple[float, int, int, int]:
-    """Longest common subsequence of the template and the band of diagonals ``low..high`` (widened by BAND).
+def find(template: list[str], doc: list[str], hits: list[int], least: int) -> list[tuple[float, int, int, int]]:
+    """Matches of the template, left to right, from the sorted diagonals of the fingerprint hits.
+
+    Hits at most BAND diagonals apart, ``least`` of them or more, are a candidate; a match
+    ends where the next may begin, and a candidate that fails gives way by half a band.
+    """
+    out: list[tuple[float, int, int, int]] = []
+    i = lo = 0
+    while i < len(hits):
+        j = bisect.bisect_right(hits, hits[i] + BAND)
+        step = hits[i] + BAND // 2
+        if j - i >= least:
+            coverage, a, b, n = align(template, doc, hits[i], hits[j - 1], lo, len(doc))
+            if coverage >= COVERAGE:
+                out.append((coverage, a, b, n))
+                lo = b
+                step = hits[i] + max(0, len(template) // 2)
+        i = bisect.bisect_right(hits, step, i + 1)
+    return out
+
+
+def align(template: list[str], doc: list[str], low: int, high: int, lo: int, hi: int) -> tuple[float, int, int, int]:
+    """Longest common subsequence of the template and the band of diagonals ``low..high`` (widened by BAND) of ``doc[lo:hi]``.
 
     Returns coverage of the template, first and last+1 matched word of the document, and
     the number of matched words; ties prefer the tighter span.
     """
     low, high = low - BAND, high + BAND
-    n = len(doc)
     before: dict[int, tuple[int, int, int]] = {}  # document position: matched, -first, last+1
     for q, word in enumerate(template):
         row: dict[int, tuple[int, int, int]] = {}
         best = (0, 0, 0)
-        for p in range(max(0, q + low), min(n, q + high + 1) + 1):
+        for p in range(max(lo, q + low), min(hi, q + high + 1) + 1):
             up, left = before.get(p), best
-            value = max(up, left, key=lambda x: (x[0], x[1], -x[2])) if up else left
-            if p > 0 and doc[p - 1] == word:
+            value = max(up, left, key=_better) if up else left
+            if p > lo and doc[p - 1] == word:
                 corner = before.get(p - 1, (0, 0, 0))
-                taken = (corner[0] + 1, corner[1] if corner[0] else -(p - 1), p)
-                value = max(value, taken, key=lambda x: (x[0], x[1], -x[2]))
+                value = max(value, (corner[0] + 1, corner[1] if corner[0] else -(p - 1), p), key=_better)
             row[p] = best = value
         before = row
-    matched, first, last = max(before.values(), key=lambda x: (x[0], x[1], -x[2]), default=(0, 0, 0))
+    matched, first, last = max(before.values(), key=_better, default=(0, 0, 0))
     return matched / len(template), -first, last, matched
 
 
+def _better(x: tuple[int, int, int]) -> tuple[int, int, int]:
+    return x[0], x[1], -x[2]
+
+
 SCHEMA = "doc_id bigint, license string, coverage double, start_char bigint, end_char bigint, matched_words bigint"
 
 
