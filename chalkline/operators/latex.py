@@ -222,7 +222,10 @@ def attribute_errors(errors: DataFrame, spans: DataFrame, sections: DataFrame, p
     placed = above.unionByName(by_line)
     rest = plain.join(placed, ["doc", "error"], "left_anti").select("doc", "error", F.posexplode(error_tokens(F.col("message"))).alias("token_pos", "token"))
     sources = sections.select("doc", "pos", "lecture", "body").unionByName(preamble.where(F.trim("additions") != "").select("doc", F.lit(-1).cast("int").alias("pos"), F.lit("preamble").alias("lecture"), F.col("additions").alias("body")))
-    named = rest.join(sources, "doc").where(F.col("body").contains(F.col("token"))).groupBy("doc", "error").agg(F.min_by("lecture", F.struct("token_pos", "pos")).alias("lecture"))
+    # each distinct identifier is looked for once per document, however many errors name it
+    first = rest.select("doc", "token").distinct().join(sources, "doc").where(F.col("body").contains(F.col("token")))
+    first = first.groupBy("doc", "token").agg(F.min_by("lecture", "pos").alias("lecture"))
+    named = rest.join(first, ["doc", "token"]).groupBy("doc", "error").agg(F.min_by("lecture", "token_pos").alias("lecture"))
     found = by_key.unionByName(placed).unionByName(named)
     return found.unionByName(errors.select("doc", "error").join(found, ["doc", "error"], "left_anti").withColumn("lecture", F.lit(None).cast("string")))
 

@@ -127,15 +127,15 @@ def _prices(spark):
     return spark.createDataFrame(PRICES, "ord int, prefix string, price_in double, price_out double")
 
 
-@query("usage_cost", f"SELECT kind || '-' || l_returnflag AS model, count(*) AS n, round(sum({COST}), 4) AS cost FROM {USAGE} GROUP BY ALL")
+@query("usage_cost", f"SELECT kind || '-' || l_returnflag AS model, count(*) AS n, round(sum({COST}), 8) AS cost FROM {USAGE} GROUP BY ALL")
 def usage_cost(spark, sf):
-    return O.usage_cost(A.usage(spark, sf), _prices(spark)).groupBy("model").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("cost"), 4).alias("cost"))
+    return O.usage_cost(A.usage(spark, sf), _prices(spark)).groupBy("model").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("cost"), 8).alias("cost"))
 
 
 @query("usage_rollup", f"""SELECT course, lecture, sum(i)::BIGINT AS input_tokens, sum(o)::BIGINT AS output_tokens, sum(2 * i)::BIGINT AS cache_read_tokens, sum(w)::BIGINT AS cache_write_tokens,
-round(sum({COST}), 4) AS cost, string_agg(DISTINCT 'note ' || l_returnflag, '; ' ORDER BY 'note ' || l_returnflag) AS notes, grouping(course, lecture)::BIGINT AS level FROM {USAGE} GROUP BY ROLLUP (course, lecture)""")
+round(sum({COST}), 8) AS cost, string_agg(DISTINCT 'note ' || l_returnflag, '; ' ORDER BY 'note ' || l_returnflag) AS notes, grouping(course, lecture)::BIGINT AS level FROM {USAGE} GROUP BY ROLLUP (course, lecture)""")
 def usage_rollup(spark, sf):
-    return O.usage_totals(O.usage_cost(A.usage(spark, sf), _prices(spark))).withColumn("cost", F.round("cost", 4))
+    return O.usage_totals(O.usage_cost(A.usage(spark, sf), _prices(spark))).withColumn("cost", F.round("cost", 8))
 
 
 @query("pending_work", """WITH t AS (SELECT o_orderkey % 100 AS lecture, sum(o_orderkey % 3)::BIGINT AS todos FROM orders GROUP BY 1),

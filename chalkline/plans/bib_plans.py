@@ -103,7 +103,7 @@ def page_titles(spark, sf):
 @query("page_text", """WITH b AS (SELECT page_id, regexp_replace(regexp_replace(html, '(?s)<!--.*?-->', '', 'g'), '(?s)<(script|style|footer)[ >].*?</(script|style|footer)>', '', 'g') AS g FROM pages),
 c AS (SELECT page_id, regexp_replace(g, '(?s)<nav>.*?</nav>', chr(10) || chr(10), 'g') AS h FROM b),
 t AS (SELECT page_id, regexp_replace(regexp_replace(h, '</(p|br|div|h1|h2|h3|h4|h5|li|tr)>', chr(10), 'g'), '<[/!a-zA-Z][^>]*>', '', 'g') AS t FROM c),
-u AS (SELECT page_id, replace(replace(replace(replace(replace(t, '&lt;', '<'), '&gt;', '>'), '&middot;', '·'), '&copy;', '©'), '&amp;', '&') AS t FROM t)
+u AS (SELECT page_id, replace(replace(replace(replace(replace(replace(t, '&quot;', '"'), '&lt;', '<'), '&gt;', '>'), '&middot;', '·'), '&copy;', '©'), '&amp;', '&') AS t FROM t)
 SELECT page_id, length(trim(regexp_replace(regexp_replace(t, ' *\\n *', chr(10), 'g'), '\\n\\n+', chr(10) || chr(10), 'g'), ' ' || chr(10)))::INTEGER AS chars, length(replace(regexp_replace(t, '\\s', '', 'g'), ' ', ''))::INTEGER AS solid FROM u""")
 def page_text(spark, sf):
     t = P.page_text(A.table(spark, sf, "pages"))
