@@ -44,7 +44,8 @@ _memo: dict[str, int] = {}
 
 
 def words(text: str) -> list[str]:
-    return _WORD.findall(text.lower())
+    """Words as written; they are compared in lower case, and spans refer to the text as it is."""
+    return _WORD.findall(text)
 
 
 def word_hashes(found: list[str]) -> np.ndarray:
@@ -54,7 +55,7 @@ def word_hashes(found: list[str]) -> np.ndarray:
             _memo.clear()
         for i, h in enumerate(out):
             if h is None:
-                out[i] = _memo[found[i]] = xxhash.xxh64_intdigest(found[i])
+                out[i] = _memo[found[i]] = xxhash.xxh64_intdigest(found[i].lower())
     return np.array(out, np.uint64)
 
 
@@ -89,7 +90,7 @@ class TemplateIndex:
         if len(templates) > MOST_TEMPLATES:
             raise ValueError(f"more than {MOST_TEMPLATES} templates")
         self.names = list(templates)
-        self.words = [words(templates[n]) for n in self.names]
+        self.words = [[w.lower() for w in words(templates[n])] for n in self.names]
         self.prints = [len(winnow(word_hashes(found))[0]) for found in self.words]
         postings: dict[int, list[tuple[int, int]]] = {}
         for t, found in enumerate(self.words):
@@ -112,11 +113,12 @@ class TemplateIndex:
         for p, h in zip(at[hit].tolist(), grams[hit].tolist(), strict=True):
             for t, q in self.postings[h]:
                 diagonals.setdefault(t, []).append(p - q)
+        found = [w.lower() for w in found]
         places = None
         out = []
         for t, ds in sorted(diagonals.items()):
             for coverage, a, b, n in find(self.words[t], found, sorted(ds), max(1, self.prints[t] // 10)):
-                places = places or [m.span() for m in _WORD.finditer(text.lower())]
+                places = places or [m.span() for m in _WORD.finditer(text)]
                 out.append((self.names[t], coverage, places[a][0], places[b - 1][1], n))
         return sorted(out, key=lambda x: (x[2], x[0]))
 
