@@ -160,22 +160,22 @@ def _errors(spark, sf):
     k, p = F.col("l_linenumber") % 3, F.col("l_partkey")
     rows = A.table(spark, sf, "lineitem").join(A.table(spark, sf, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
     return rows.groupBy((F.col("o_custkey") % 10).alias("doc"), (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("error")).agg(F.min("l_partkey").alias("l_partkey"), F.min("l_linenumber").alias("l_linenumber")).select(
-        "doc", "error", F.when(k == 1, p.cast("int")).alias("line"), F.concat(F.lit("Undefined \\macro"), F.lit(" `id-"), p % 50, F.lit("-x'")).alias("message"),
-        F.when(k == 0, F.array(F.concat(F.lit("key"), p % 40))).alias("citations"),
+        "doc", "error", F.when(k == 1, p.cast("int")).alias("line"), F.concat(F.lit("Undefined \\macro"), F.lit(" `id-"), p % 5000, F.lit("-x'")).alias("message"),
+        F.when(k == 0, F.array(F.concat(F.lit("key"), p % 4000))).alias("citations"),
     )
 
 
 def _sources(spark, sf):
     n = F.col("o_orderkey")
-    body = F.concat(F.lit("\\cite{key"), n % 60, F.lit("} id-"), n % 45, F.lit("-x\n\n"))
+    body = F.concat(F.lit("\\cite{key"), n % 6000, F.lit("} id-"), n % 4500, F.lit("-x\n\n"))
     return A.table(spark, sf, "orders").select((F.col("o_custkey") % 10).alias("doc"), n.cast("int").alias("pos"), n.cast("string").alias("lecture"), body.alias("body"))
 
 
 @query("attribute_errors", """WITH s AS (SELECT o_custkey % 10 AS doc, o_orderkey AS pos, o_orderkey::VARCHAR AS lecture, 4 * (row_number() OVER (PARTITION BY o_custkey % 10 ORDER BY o_orderkey) - 1) + 11 AS lo FROM orders),
 e AS (SELECT o_custkey % 10 AS doc, l_orderkey * 8 + l_linenumber AS error, min(l_partkey) AS p, l_linenumber % 3 AS k FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY ALL),
-c AS (SELECT e.doc, error, lecture FROM e JOIN s ON e.doc = s.doc AND k = 0 AND pos % 60 = p % 40),
+c AS (SELECT e.doc, error, lecture FROM e JOIN s ON e.doc = s.doc AND k = 0 AND pos % 6000 = p % 4000),
 l AS (SELECT e.doc, error, 'preamble' AS lecture FROM e WHERE k = 1 AND p < 11 UNION ALL SELECT e.doc, error, lecture FROM e JOIN s ON e.doc = s.doc AND k = 1 AND p BETWEEN lo AND lo + 2),
-i AS (SELECT e.doc, error, arg_min(lecture, pos) AS lecture FROM e JOIN s ON e.doc = s.doc AND pos % 45 = p % 50 WHERE k <> 0 AND NOT EXISTS (SELECT 1 FROM l WHERE l.error = e.error AND l.doc = e.doc) GROUP BY ALL),
+i AS (SELECT e.doc, error, arg_min(lecture, pos) AS lecture FROM e JOIN s ON e.doc = s.doc AND pos % 4500 = p % 5000 WHERE k <> 0 AND NOT EXISTS (SELECT 1 FROM l WHERE l.error = e.error AND l.doc = e.doc) GROUP BY ALL),
 f AS (SELECT * FROM c UNION ALL SELECT * FROM l UNION ALL SELECT * FROM i)
 SELECT * FROM f UNION ALL SELECT doc, error, NULL FROM e WHERE NOT EXISTS (SELECT 1 FROM f WHERE f.error = e.error AND f.doc = e.doc)""")
 def attribute_errors(spark, sf):
