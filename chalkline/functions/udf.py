@@ -136,3 +136,46 @@ def entry_fields(entry: pd.Series) -> pd.Series:
         return {n: s[2] for n, s in found.items() if s}
 
     return entry.map(fields)
+
+
+# -- macros -----------------------------------------------------------------------------
+
+ROUNDS = 4
+
+
+def expanded(text: str, macros: dict[str, tuple[int, str]], rounds: int = ROUNDS) -> str:
+    """``text`` with its macros replaced, as often as bodies hold further macros, ``rounds`` times at most.
+
+    A macro with arguments takes one: a group or the next character.  Unknown ones stay.
+    """
+    names = re.compile(r"\\(" + "|".join(map(re.escape, sorted(macros, key=len, reverse=True))) + r")(?![a-zA-Z])") if macros else None
+    for _ in range(rounds if names else 0):
+        out, at = [], 0
+        while m := names.search(text, at):
+            arity, body = macros[m[1]]
+            out.append(text[at : m.start()])
+            at = m.end()
+            if arity:
+                begin = at + len(text[at:]) - len(text[at:].lstrip())
+                if text[begin : begin + 1] == "{":
+                    stop = balanced(text, begin, True)
+                    stop = len(text) + 1 if stop < 0 else stop
+                    body, at = body.replace("#1", text[begin + 1 : stop - 1]), min(stop, len(text))
+                elif begin < len(text):
+                    body, at = body.replace("#1", text[begin]), begin + 1
+                else:
+                    body = m[0]
+            out.append(body)
+        new = "".join(out) + text[at:]
+        if new == text:
+            break
+        text = new
+    return text
+
+
+@F.pandas_udf(T.StringType())
+def expand_macros(text: pd.Series, names: pd.Series, arities: pd.Series, bodies: pd.Series) -> pd.Series:
+    def one(t, n, a, b):
+        return None if t is None else expanded(t, {} if n is None else {x: (int(y), z) for x, y, z in zip(n, a, b, strict=True)})
+
+    return pd.Series([one(*x) for x in zip(text, names, arities, bodies, strict=True)], dtype=object)

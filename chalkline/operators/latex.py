@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from chalkline.functions import text as T
-from chalkline.functions.udf import BraceGroups
+from chalkline.functions.udf import BraceGroups, expand_macros
 
 # Environments, commands and log forms that the jobs recognise.
 MULTILINE = r"(?s)\\begin\{(align|gather|multline|flalign|eqnarray)\*\}(.*?)\\end\{\1\*\}"
@@ -310,3 +310,13 @@ def macro_table(preambles: DataFrame) -> DataFrame:
     opener = F.expr("substring(text, start + 1, stop - start)")
     news = found.select("course", F.struct(F.lit(1), "pos").alias("at"), F.regexp_extract(opener, NEWCOMMAND, 1).alias("name"), F.coalesce(F.nullif(F.regexp_extract(opener, NEWCOMMAND, 2), F.lit("")).cast("int"), F.lit(0)).alias("arity"), "body")
     return ops.unionByName(news).groupBy("course", "name").agg(F.max_by(F.struct("arity", "body"), "at").alias("m")).select("course", "name", "m.arity", "m.body")
+
+
+def expand_cells(cells: DataFrame, macros: DataFrame) -> DataFrame:
+    """Cells ``(course, ..., text)`` with the macros of their course (:func:`macro_table`) expanded.
+
+    A course's macros are one row, joined by course.
+    """
+    table = macros.groupBy("course").agg(F.sort_array(F.collect_list(F.struct("name", "arity", "body"))).alias("_m"))
+    rows = cells.join(table, "course", "left")
+    return rows.withColumn("text", expand_macros("text", F.col("_m.name"), F.col("_m.arity"), F.col("_m.body"))).drop("_m")

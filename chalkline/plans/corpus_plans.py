@@ -254,3 +254,13 @@ def macro_table(spark, sf):
     line = F.when(k == 9, F.lit("\\DeclareMathOperator{\\fj}{Op}")).otherwise(F.concat(F.lit("\\newcommand{\\f"), name, F.lit("}[2]{a{#1}"), "o_orderkey", F.lit("}")))
     text = A.table(spark, sf, "orders").groupBy((F.col("o_custkey") % 10).alias("course")).agg(F.sort_array(F.collect_list(F.struct("o_orderkey", line.alias("line")))).alias("x"))
     return L.macro_table(text.select("course", F.concat(F.array_join(F.transform("x", lambda r: r["line"]), "\n"), F.lit("\\begin{document}\\newcommand{\\z}{no}")).alias("text")))
+
+
+@query("expand_cells", """SELECT o_orderkey AS cell, CASE o_orderkey % 3 WHEN 0 THEN '\\mathbb{N}\\cup x' WHEN 1 THEN '[' || o_custkey || ']\\mathbb{N} \\unknown' ELSE '[z]\\Nbx' END AS text FROM orders""")
+def expand_cells(spark, sf):
+    macros = spark.range(10).select(F.col("id").alias("course"), F.explode(F.array(*(F.struct(F.lit(n).alias("name"), F.lit(a).alias("arity"), F.lit(b).alias("body")) for n, a, b in
+             (("Nb", 0, "\\mathbb{N}"), ("br", 1, "[#1]"), ("both", 1, "\\br{#1}\\Nb"))))).alias("m")).select("course", "m.*")
+    k = F.col("o_orderkey") % 3
+    text = F.when(k == 0, "\\Nb\\cup x").when(k == 1, F.concat(F.lit("\\both{"), "o_custkey", F.lit("} \\unknown"))).otherwise("\\br z\\Nbx")
+    cells = A.table(spark, sf, "orders").select((F.col("o_custkey") % 10).alias("course"), F.col("o_orderkey").alias("cell"), text.alias("text"))
+    return L.expand_cells(cells, macros).select("cell", "text")
