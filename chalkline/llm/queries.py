@@ -71,4 +71,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_exact_topk": op10_exact_topk,
 }
 
-ORACLES: dict[str, str] = {"op5_exact_dedup": exact_dedup.SQL, "op7_warc": warc.SQL, "op10_exact_topk": topk.SQL}
+ORACLES: dict[str, str] = {"op1_html_extraction": html_text.SQL, "op5_exact_dedup": exact_dedup.SQL, "op7_warc": warc.SQL, "op10_exact_topk": topk.SQL}
