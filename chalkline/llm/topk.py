@@ -5,15 +5,15 @@ written as a table.  Document frequencies, document count and mean length are su
 all shards, so every shard scores with the same statistics and the merge is exact.
 
 Queries are written in blocks.  A task loads its shards and streams the query blocks past
-them from the shared folder; nothing is paired by a join.  Per query and shard:
+them from the shared folder; nothing is paired by a join.  Per block of queries and shard:
 
-1. terms are ordered by their greatest possible contribution; the longest prefix whose
-   sum stays below the current k-th score is non-essential (a document with only those
-   can't enter);
-2. postings of the essential terms give partial scores; a document stays a candidate if
-   its partial score and the bound of the rest reach the k-th score, first by the list
-   bounds, then by the bounds of its block of ``BLOCK`` documents;
-3. candidates are scored exactly over all terms, in one fixed term order.
+1. block-max bounds: for every query and block of ``BLOCK`` documents the greatest possible
+   score, from the blocks' greatest impacts in long lists and the greatest impact of short
+   ones; blocks whose bound stays below the query's k-th score so far are skipped;
+2. the remaining blocks are scored at once, long lists as one product of the query block
+   with the impact columns in single precision, short lists by their postings;
+3. documents that reach the k-th score within the rounding slack are scored exactly over
+   all terms, in one fixed term order.
 
 The k-th score carries over the task's shards.  Scores are rounded to six decimals and
 ties go to the smaller doc_id; bounds are compared with a margin, so pruning never changes
@@ -44,8 +44,16 @@ K = 10
 K1 = 1.2
 B = 0.75
 BLOCK = 128
+#: Lists that reach a 64th of a shard's documents are kept as dense columns.
+LONG = 64
+#: Relative error that single-precision sums stay well within.
+SLACK = 1e-4
 SHARD_TOKENS = 4_000_000
 QUERIES_IN_BLOCK = 128
+#: Lists that reach a 64th of a shard's documents are kept as dense columns.
+LONG = 64
+#: Relative error that single-precision sums stay well within.
+SLACK = 1e-4
 #: Scores are rounded to 1e-6; bounds get this margin.
 MARGIN = 2e-6
 
@@ -99,93 +107,91 @@ def _terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 class Shard:
-    """One shard in memory: inverted and forward lists of BM25 impacts, and block bounds."""
+    """One shard in memory.
+
+    Long lists (a ``1 / LONG`` of the documents or more) are kept as dense columns of BM25
+    impacts with their block bounds, short ones as inverted lists; forward lists serve
+    exact scoring.
+    """
 
     def __init__(self, row: dict, mean_length: float):
         self.ids = unpack(row["ids"], np.int64)
         n = self.n = len(self.ids)
         lengths = unpack(row["lengths"], np.int64)
         self.vocab = np.frombuffer(row["vocab"], np.uint64)
-        sizes = unpack(row["starts"], np.uint32).astype(np.int64)
-        self.sizes = sizes
+        sizes = self.sizes = unpack(row["starts"], np.uint32).astype(np.int64)
         self.start = np.concatenate(([0], np.cumsum(sizes)))
-        self.owner = unpack(row["owners"], np.uint32).astype(np.int64)
+        self.owner = unpack(row["owners"], np.uint32).astype(np.int32)
         tf = unpack(row["tfs"], np.uint32).astype(np.float64)
         norm = K1 * (1 - B + B * lengths / max(mean_length, 1e-9))
         self.impact = tf * (K1 + 1) / (tf + norm[self.owner])
-        terms = len(self.vocab)
-        term = np.repeat(np.arange(terms), sizes)
-        self.top = np.maximum.reduceat(self.impact, self.start[:-1]) if terms else np.zeros(0)
+        term = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)
         order = np.argsort(self.owner, kind="stable")  # forward lists, terms ascending
         self.f_term, self.f_impact = term[order], self.impact[order]
         self.f_start = np.concatenate(([0], np.cumsum(np.bincount(self.owner, minlength=n))))
-        # block bounds of the terms with long lists
-        self.long = np.flatnonzero(sizes * 16 >= max(n, 16))
-        self.row_of = np.full(terms, -1)
-        self.row_of[self.long] = np.arange(len(self.long))
+        self.top = np.maximum.reduceat(self.impact, self.start[:-1]) if len(sizes) else np.zeros(0)
+        long = np.flatnonzero(sizes * LONG >= max(n, LONG))
+        self.column = np.full(len(sizes), -1)
+        self.column[long] = np.arange(len(long))
+        self.dense = np.zeros((n, len(long)), np.float32)
+        at = self.column[term] >= 0
+        self.dense[self.owner[at], self.column[term[at]]] = self.impact[at]
         self.blocks = -(-n // BLOCK)
-        self.block_top = np.zeros((len(self.long), self.blocks))
-        for r, t in enumerate(self.long.tolist()):
-            a, b = self.start[t], self.start[t + 1]
-            np.maximum.at(self.block_top[r], self.owner[a:b] // BLOCK, self.impact[a:b])
-
-    def partial(self, terms: np.ndarray, weights: np.ndarray) -> np.ndarray:
-        """Scores over the postings of ``terms`` only."""
-        sizes = self.sizes[terms]
-        total = int(sizes.sum())
-        if not total:
-            return np.zeros(self.n)
-        at = np.arange(total) + np.repeat(self.start[terms] - np.concatenate(([0], np.cumsum(sizes)[:-1])), sizes)
-        return np.bincount(self.owner[at], self.impact[at] * np.repeat(weights, sizes), self.n)
-
-    def exact(self, docs: np.ndarray, dense: np.ndarray) -> np.ndarray:
+        cuts = np.arange(0, n, BLOCK)
+        self.block_top = np.maximum.reduceat(self.dense, cuts, axis=0) if n else np.zeros((0, len(long)), np.float32)
+        self.weights = np.zeros(len(sizes))  # of the query at hand
+
+    def _spread(self, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """The positions ``start .. start + size`` of every list, one after another."""
+        return np.arange(int(sizes.sum())) + np.repeat(starts - np.concatenate(([0], np.cumsum(sizes)[:-1])), sizes)
+
+    def exact(self, docs: np.ndarray) -> np.ndarray:
         """Full scores of ``docs``; every document adds its terms in the same order."""
         sizes = self.f_start[docs + 1] - self.f_start[docs]
-        at = np.arange(int(sizes.sum())) + np.repeat(self.f_start[docs] - np.concatenate(([0], np.cumsum(sizes)[:-1])), sizes)
-        return np.round(np.bincount(np.repeat(np.arange(len(docs)), sizes), self.f_impact[at] * dense[self.f_term[at]], len(docs)), 6)
+        at = self._spread(self.f_start[docs], sizes)
+        return np.round(np.bincount(np.repeat(np.arange(len(docs)), sizes), self.f_impact[at] * self.weights[self.f_term[at]], len(docs)), 6)
 
-    def search(self, hashes: np.ndarray, weights: np.ndarray, best: list[tuple[float, int]], k: int) -> list[tuple[float, int]]:
-        """``best``, the top (-score, id) pairs so far, joined by this shard's."""
+    def search(self, queries: list[tuple[np.ndarray, np.ndarray]], best: list[list[tuple[float, int]]], k: int) -> None:
+        """Joins this shard's hits to the top (-score, id) pairs so far of each (term hashes, weights) query."""
         if not len(self.vocab):
-            return best
-        at = np.minimum(np.searchsorted(self.vocab, hashes), len(self.vocab) - 1)
-        here = self.vocab[at] == hashes
-        terms, w = at[here], weights[here]
-        if not len(terms):
-            return best
-        dense = np.zeros(len(self.vocab))
-        dense[terms] = w
-        bound = w * self.top[terms]
-        order = np.argsort(bound, kind="stable")
-        terms, w, bound = terms[order], w[order], np.cumsum(bound[order])
-        known: dict[int, float] = {}
-
-        def score(docs: np.ndarray) -> None:
-            nonlocal best
-            docs = docs[[d not in known for d in docs.tolist()]] if known else docs
-            if len(docs):
-                values = self.exact(docs, dense)
-                known.update(zip(docs.tolist(), values.tolist(), strict=True))
-                best = sorted([*best, *((-v, i) for v, i in zip(values.tolist(), self.ids[docs].tolist(), strict=True) if v > 0)])[:k]
-
-        floor = lambda: -best[-1][0] if len(best) == k else 0.0
-        rare = self.sizes[terms] * 20 <= self.n
-        first = self.partial(terms[rare], w[rare]) if rare.any() else self.partial(terms, w)
-        seeds = np.argpartition(-first, min(k, self.n) - 1)[:k] if self.n > k else np.arange(self.n)
-        score(seeds[first[seeds] > 0])
-        low = floor()
-        spare = int(np.searchsorted(bound, 0.6 * low)) if low else 0
-        part = self.partial(terms[spare:], w[spare:])
-        rest = float(bound[spare - 1]) if spare else 0.0
-        docs = np.flatnonzero((part + rest >= low - MARGIN) & ((part > 0) if not spare else True))
-        if spare and len(docs):
-            rows = self.row_of[terms[:spare]]
-            listed = rows >= 0
-            short = float((w[:spare] * self.top[terms[:spare]])[~listed].sum())
-            by_block = w[:spare][listed] @ self.block_top[rows[listed]] + short if listed.any() else np.full(self.blocks, short)
-            docs = docs[part[docs] + by_block[docs // BLOCK] >= low - MARGIN]
-        score(docs)
-        return best
+            return
+        found = []
+        wide = np.zeros((len(queries), self.dense.shape[1]), np.float32)
+        for q, (hashes, weights) in enumerate(queries):
+            at = np.minimum(np.searchsorted(self.vocab, hashes), len(self.vocab) - 1)
+            here = self.vocab[at] == hashes
+            terms, w = at[here], weights[here]
+            column = self.column[terms]
+            wide[q, column[column >= 0]] = w[column >= 0]
+            found.append((terms, w, terms[column < 0], w[column < 0]))
+        # block bounds: long lists by block, short lists by their greatest impact
+        low = np.array([-b[-1][0] if len(b) == k else 0.0 for b in best])
+        short = np.array([float((w * self.top[t]).sum()) for _, _, t, w in found])
+        bound = (wide @ self.block_top.T) * (1 + SLACK) + short[:, None]
+        need = bound >= low[:, None] - MARGIN
+        blocks = np.flatnonzero(need.any(axis=0))
+        rows = np.flatnonzero(need.any(axis=1))
+        if not len(rows):
+            return
+        docs = np.arange(self.n) if len(blocks) == self.blocks else np.flatnonzero(np.isin(np.arange(self.n) // BLOCK, blocks))
+        scores = wide[rows] @ (self.dense if len(docs) == self.n else self.dense[docs]).T
+        for i, q in enumerate(rows.tolist()):
+            terms, w, rare, rare_w = found[q]
+            score = scores[i].astype(np.float64)
+            sizes = self.sizes[rare]
+            if len(rare):
+                at = self._spread(self.start[rare], sizes)
+                score += np.bincount(self.owner[at], self.impact[at] * np.repeat(rare_w, sizes), self.n)[docs]
+            low_q = low[q]
+            if len(score) > k:
+                low_q = max(low_q, float(np.partition(score, len(score) - k)[len(score) - k]))
+            keep = np.flatnonzero((score > 0) & (score >= low_q * (1 - 2 * SLACK) - MARGIN))
+            self.weights[terms] = w
+            hits = docs[keep]
+            if len(hits):
+                values = self.exact(hits)
+                best[q] = sorted([*best[q], *((-v, d) for v, d in zip(values.tolist(), self.ids[hits].tolist(), strict=True) if v > 0)])[:k]
+            self.weights[terms] = 0.0
 
 
 HITS = "query_id bigint, doc_id bigint, score double"
@@ -198,14 +204,15 @@ def _search(queries: str, docs: int, mean_length: float, k: int):
             return
         store, base = fs.FileSystem.from_uri(queries)
         for block in pads.dataset(base, filesystem=store, format="parquet").to_batches(batch_size=QUERIES_IN_BLOCK):
-            rows: list[tuple[int, int, float]] = []
+            queries_, names = [], []
             for query_id, terms, n, df in zip(*(block.column(c).to_pylist() for c in ("query_id", "terms", "n", "df")), strict=True):
                 hashes, n, df = np.array(terms, np.int64).view(np.uint64), np.array(n, float), np.array(df, float)
-                weights = n * np.log(1 + (docs - df + 0.5) / (df + 0.5))
-                best: list[tuple[float, int]] = []
-                for s in shards:
-                    best = s.search(hashes, weights, best, k)
-                rows += [(query_id, i, -v) for v, i in best]
+                names.append(query_id)
+                queries_.append((hashes, n * np.log(1 + (docs - df + 0.5) / (df + 0.5))))
+            best: list[list[tuple[float, int]]] = [[] for _ in names]
+            for s in shards:
+                s.search(queries_, best, k)
+            rows = [(q, i, -v) for q, found in zip(names, best, strict=True) for v, i in found]
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows, strict=True)], names=["query_id", "doc_id", "score"])
 
