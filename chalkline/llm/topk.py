@@ -44,14 +44,14 @@ K = 10
 K1 = 1.2
 B = 0.75
 BLOCK = 128
-#: Lists that reach a 64th of a shard's documents are kept as dense columns.
-LONG = 64
+#: Lists that reach this share of a shard's documents (one in so many) are kept as dense columns.
+LONG = 24
 #: Relative error that single-precision sums stay well within.
 SLACK = 1e-4
-SHARD_TOKENS = 4_000_000
+SHARD_TOKENS = 3_500_000
 QUERIES_IN_BLOCK = 128
-#: Lists that reach a 64th of a shard's documents are kept as dense columns.
-LONG = 64
+#: Lists that reach this share of a shard's documents (one in so many) are kept as dense columns.
+LONG = 24
 #: Relative error that single-precision sums stay well within.
 SLACK = 1e-4
 #: Scores are rounded to 1e-6; bounds get this margin.
@@ -67,13 +67,20 @@ def _build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     def shard() -> pa.RecordBatch:
         lengths = np.array([len(p) for p in parts], np.int64)
-        vocab, at = np.unique(np.concatenate(parts), return_inverse=True)
-        owner = np.repeat(np.arange(len(parts)), lengths)
-        keys, tf = np.unique(at.reshape(-1).astype(np.int64) * len(parts) + owner, return_counts=True)
-        term = keys // len(parts)
+        count = len(parts)
+        words = np.concatenate(parts)
+        parts.clear()
+        vocab, at = np.unique(words, return_inverse=True)
+        del words
+        keys = at.reshape(-1).astype(np.int64)
+        del at
+        keys *= count
+        keys += np.repeat(np.arange(count), lengths)
+        keys, tf = np.unique(keys, return_counts=True)
+        term = keys // count
         row = [
             [len(ids)], [tokens], [pack(np.array(ids, np.int64))], [pack(lengths)], [vocab.tobytes()],
-            [pack(np.bincount(term, minlength=len(vocab)).astype(np.uint32))], [pack((keys % len(parts)).astype(np.uint32))], [pack(tf.astype(np.uint32))],
+            [pack(np.bincount(term, minlength=len(vocab)).astype(np.uint32))], [pack((keys % count).astype(np.uint32))], [pack(tf.astype(np.uint32))],
         ]
         kinds = [pa.int64(), pa.int64(), *[pa.binary()] * 6]
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(row, kinds, strict=True)], names=[x.split()[0] for x in SHARDS.split(", ")])
@@ -126,16 +133,17 @@ class Shard:
         norm = K1 * (1 - B + B * lengths / max(mean_length, 1e-9))
         self.impact = tf * (K1 + 1) / (tf + norm[self.owner])
         term = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)
+        impact, self.impact = self.impact, self.impact.astype(np.float32)  # bounds and candidates; exact scores use the forward lists
         order = np.argsort(self.owner, kind="stable")  # forward lists, terms ascending
-        self.f_term, self.f_impact = term[order], self.impact[order]
+        self.f_term, self.f_impact = term[order], impact[order]
         self.f_start = np.concatenate(([0], np.cumsum(np.bincount(self.owner, minlength=n))))
-        self.top = np.maximum.reduceat(self.impact, self.start[:-1]) if len(sizes) else np.zeros(0)
+        self.top = np.maximum.reduceat(impact, self.start[:-1]) if len(sizes) else np.zeros(0)
         long = np.flatnonzero(sizes * LONG >= max(n, LONG))
         self.column = np.full(len(sizes), -1)
         self.column[long] = np.arange(len(long))
         self.dense = np.zeros((n, len(long)), np.float32)
         at = self.column[term] >= 0
-        self.dense[self.owner[at], self.column[term[at]]] = self.impact[at]
+        self.dense[self.owner[at], self.column[term[at]]] = impact[at]
         self.blocks = -(-n // BLOCK)
         cuts = np.arange(0, n, BLOCK)
         self.block_top = np.maximum.reduceat(self.dense, cuts, axis=0) if n else np.zeros((0, len(long)), np.float32)
@@ -237,7 +245,9 @@ def search(docs: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
         .select("query_id", F.col("t.term").alias("terms"), F.col("t.n").alias("n"), F.col("t.df").alias("df"))
         .write.parquet(path)
     )
-    hits = shards.mapInArrow(_search(path, count or 0, (tokens or 0) / max(1, count or 0), k), HITS)
+    # few tasks with many shards each: the k-th score carries over more of them, and fewer hits are merged
+    tasks = 2 * spark.sparkContext.defaultParallelism
+    hits = shards.coalesce(tasks).mapInArrow(_search(path, count or 0, (tokens or 0) / max(1, count or 0), k), HITS)
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id"))
     return hits.withColumn("rank", rank).where(F.col("rank") <= k).select(
         "query_id", "rank", F.when(F.col("doc_id") != NO_ID, F.col("doc_id")).alias("doc_id"), "score"
