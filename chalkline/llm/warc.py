@@ -29,7 +29,7 @@ import hashlib
 import uuid
 import zlib
 from collections.abc import Iterator
-from urllib.parse import quote
+from urllib.parse import quote, unquote
 
 import pyarrow as pa
 import pyarrow.dataset as pads
@@ -55,7 +55,7 @@ def url_key(url: Column) -> Column:
     return F.regexp_replace(key, r"[\x00-\x20]", "%20")
 
 
-def _record(kind: str, page: int, url: str, payload: bytes, sha1: bytes, refers: int | None, refers_url: str, date: str) -> bytes:
+def _record(kind: str, page: int, url: str, payload: bytes, sha1: bytes, refers: int | None, refers_url: str, refers_key: str, date: str) -> bytes:
     safe = lambda x: quote(x, safe="/:?#[]@!$&'()*+,;=%~")
     head = [
         "WARC/1.1",
@@ -74,6 +74,7 @@ def _record(kind: str, page: int, url: str, payload: bytes, sha1: bytes, refers:
             f"WARC-Refers-To: <urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{refers} {refers_url}')}>",
             f"WARC-Refers-To-Target-URI: {safe(refers_url)}",
             f"Refers-To-Page-ID: {refers}",
+            f"Refers-To-Key: {quote(refers_key)}",  # the target's own key: quoted URIs don't give back the url it was made of
         ]
         block = http + b"\r\n"
     else:
@@ -110,10 +111,10 @@ def write_archives(pages: DataFrame, root: str, least: int = LEAST_REVISIT, date
         .groupBy("sha1")
         .agg(F.max(F.struct("page_id", "url")).alias("first"), F.count(F.lit(1)).alias("n"))
         .where("n > 1")
-        .select("sha1", F.col("first.page_id").alias("refers"), F.col("first.url").alias("refers_url")),
+        .select("sha1", F.col("first.page_id").alias("refers"), F.col("first.url").alias("refers_url"), url_key(F.col("first.url")).alias("refers_key")),
         "payloads",
     )
-    rows = own.join(again, "sha1", "left").select("page_id", "url", url_key(F.col("url")).alias("key"), "payload", "sha1", "refers", "refers_url")
+    rows = own.join(again, "sha1", "left").select("page_id", "url", url_key(F.col("url")).alias("key"), "payload", "sha1", "refers", "refers_url", "refers_key")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, base = fs.FileSystem.from_uri(root)
@@ -127,10 +128,10 @@ def write_archives(pages: DataFrame, root: str, least: int = LEAST_REVISIT, date
                 name = f"warc/{uuid.uuid4().hex}.warc.gz"
                 out = store.open_output_stream(f"{base}/{name}", compression=None)
             places, sizes = [], []
-            columns = [batch.column(i).to_pylist() for i in (0, 1, 3, 4, 5, 6)]
-            for page, url, payload, sha1, refers, refers_url in zip(*columns, strict=True):
+            columns = [batch.column(i).to_pylist() for i in (0, 1, 3, 4, 5, 6, 7)]
+            for page, url, payload, sha1, refers, refers_url, refers_key in zip(*columns, strict=True):
                 kind = "response" if refers is None or refers == page else "revisit"
-                member = gzip.compress(_record(kind, page, url, payload, sha1, refers, refers_url or "", date), 6, mtime=0)
+                member = gzip.compress(_record(kind, page, url, payload, sha1, refers, refers_url or "", refers_key or "", date), 6, mtime=0)
                 out.write(member)
                 places.append(at)
                 sizes.append(len(member))
@@ -228,7 +229,7 @@ class _Reader:
         return out
 
 
-RECORDS = "page_id bigint, record_type string, payload_digest string, payload_bytes bigint, refers_to bigint, refers_url string"
+RECORDS = "page_id bigint, record_type string, payload_digest string, payload_bytes bigint, refers_to bigint, refers_url string, refers_key string"
 
 
 def fetch(lookups: DataFrame, root: str, directory: str) -> DataFrame:
@@ -245,10 +246,10 @@ def fetch(lookups: DataFrame, root: str, directory: str) -> DataFrame:
                 if headers["WARC-Type"] == "response":
                     if hashlib.sha1(payload).hexdigest() != digest:
                         raise ValueError(f"the payload of page {page} in {file} at {at} doesn't have its digest")
-                    rows.append((page, "response", digest, len(payload), None, None))
+                    rows.append((page, "response", digest, len(payload), None, None, None))
                 else:
-                    rows.append((page, "revisit", digest, None, int(headers["Refers-To-Page-ID"]), headers["WARC-Refers-To-Target-URI"]))
-            kinds = (pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.string())
+                    rows.append((page, "revisit", digest, None, int(headers["Refers-To-Page-ID"]), headers["WARC-Refers-To-Target-URI"], unquote(headers["Refers-To-Key"])))
+            kinds = (pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string())
             columns = zip(*rows, strict=True) if rows else [[]] * len(kinds)
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=[x.split()[0] for x in RECORDS.split(", ")])
 
@@ -282,9 +283,20 @@ def round_trip(pages: DataFrame, root: str | None = None) -> DataFrame:
     lookups = pages.select(url_key(F.col("url")).alias("key"), F.coalesce(F.col("page_id").cast("long"), F.lit(NO_ID)).alias("page_id"))
     records = written(fetch(lookups, root, directory), "records")
     revisits = records.where("record_type = 'revisit'")
-    sources = revisits.select(url_key(F.col("refers_url")).alias("key"), F.col("refers_to").alias("page_id")).distinct()
-    lengths = fetch(sources, root, directory).where("record_type = 'response'").groupBy("page_id").agg(F.max("payload_bytes").alias("length"))
-    full = revisits.join(lengths.withColumnRenamed("page_id", "refers_to"), "refers_to").drop("payload_bytes").withColumnRenamed("length", "payload_bytes")
+    sources = revisits.select(F.col("refers_key").alias("key"), F.col("refers_to").alias("page_id")).distinct()
+    # one page_id may stand for several payloads
+    lengths = (
+        fetch(sources, root, directory)
+        .where("record_type = 'response'")
+        .groupBy(F.col("page_id").alias("refers_to"), "payload_digest")
+        .agg(F.max("payload_bytes").alias("length"))
+    )
+    missing = F.raise_error(F.concat(F.lit("no response for the revisit of page "), F.col("refers_to").cast("string"))).cast("long")
+    full = (
+        revisits.join(lengths, ["refers_to", "payload_digest"], "left")
+        .withColumn("payload_bytes", F.coalesce("length", missing))
+        .select(*records.columns)
+    )
     page = F.when(F.col("page_id") != NO_ID, F.col("page_id")).alias("page_id")
     return records.where("record_type = 'response'").unionByName(full).select(page, "payload_bytes", "payload_digest", "record_type", "refers_to")
 

@@ -264,6 +264,17 @@ def test_warc_round_trip_odd_pages(spark):
     assert warc.round_trip(pages.limit(0)).count() == 0
 
 
+def test_warc_revisits_of_odd_urls(spark):
+    """Urls that quoting rewrites, and one page_id with two payloads."""
+    urls = ["http://a.org/ä", "http://a.org/?x=a|b", "http://ä.org/{x}", 'http://a.org/<">^`\\', "http://a.org/%7C%C3%A4|", "http://a.org/a\x7fb\r\nc", None]
+    rows = [(10 * i + k, u if k == 9 else f"http://b.org/{k}", f"{i}" * (1000 + i)) for i, u in enumerate(urls) for k in (1, 2, 9)]
+    rows += [(500, "http://c.org/1", "y" * 2000), (500, "http://c.org/2", "z" * 3000), (401, "u", "y" * 2000), (402, "v", "z" * 3000)]
+    pages = spark.createDataFrame(rows, "page_id bigint, url string, html string")
+    got = as_rows(warc.round_trip(pages), "page_id", "payload_bytes", "record_type", "refers_to")
+    want = [(i, len(h), "response", None) if i % 10 == 9 or i == 500 else (i, len(h), "revisit", 500 if i > 400 else i // 10 * 10 + 9) for i, _, h in rows]
+    assert got == sorted(want, key=repr)
+
+
 def test_warc_lookup_of_single_urls(spark, tmp_path):
     root = f"file://{tmp_path}/warc"
     pages = spark.createDataFrame([(i, f"http://h{i % 7}.org/{i}", f"body {i} " * 200) for i in range(3000)], "page_id bigint, url string, html string")
