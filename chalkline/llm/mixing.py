@@ -121,6 +121,19 @@ def mix_documents(
     one in ``source``).  Weights go round over the sources in code-point order, null last.
     ``source_size`` and ``target`` belong to the document's first source.
     """
+    return _mixed(docs, F.monotonically_increasing_id(), weights, share, repeat_cap, sources, seed).drop("row")
+
+
+def _mixed(
+    docs: DataFrame,
+    row: Column,
+    weights: Sequence[float] = (3.0, 1.0, 2.0),
+    share: float = 1.5,
+    repeat_cap: int = 2,
+    sources: Column | None = None,
+    seed: int = 0,
+) -> DataFrame:
+    """``mix_documents`` with the number of each row."""
     spark = docs.sparkSession
     members = F.array(F.col("source").cast("string")) if sources is None else sources
     rows = written(
@@ -128,9 +141,9 @@ def mix_documents(
             F.col("doc_id").cast("long").alias("doc_id"),
             members.alias("sources"),
             word_count(F.col("text")).alias("size"),
+            row.alias("row"),
         ).withColumn("place", F.xxhash64(F.col("doc_id"), F.lit(seed)))
-        .withColumn("bucket", F.pmod("place", F.lit(BUCKETS)).cast("int"))
-        .withColumn("row", F.monotonically_increasing_id()),
+        .withColumn("bucket", F.pmod("place", F.lit(BUCKETS)).cast("int")),
         "sizes",
     )
     # one row per pattern and bucket; partial sums before the shuffle
@@ -139,7 +152,7 @@ def mix_documents(
     patterns.sort(key=lambda p: [(x is None, x or "") for x in p[0]])
     names = sorted({s for p, _ in patterns for s in p}, key=lambda x: (x is None, x or ""))
     if not names:
-        return rows.selectExpr("doc_id", "size", "0L source_size", "0D target", "0L taken", "0 copies")
+        return rows.selectExpr("row", "doc_id", "size", "0L source_size", "0D target", "0L taken", "0 copies")
     place = {s: i for i, s in enumerate(names)}
     size = [0.0] * len(names)
     for p, n in patterns:
@@ -175,13 +188,17 @@ def mix_documents(
     cut = cut.withColumn("more", F.col("run") + F.col("size") / 2 <= F.col("room")).drop("run")
     copies = (F.col("whole") + F.col("more").cast("int")).alias("copies")
     return clear.unionByName(cut).select("row", "doc_id", "size", "source_size", "target", copies).select(
-        "doc_id", "size", "source_size", "target", (F.col("size") * F.least("copies", F.lit(repeat_cap))).alias("taken"),
+        "row", "doc_id", "size", "source_size", "target", (F.col("size") * F.least("copies", F.lit(repeat_cap))).alias("taken"),
         F.least("copies", F.lit(repeat_cap)).alias("copies"),
     )
 
 
 def repeat_documents(docs: DataFrame) -> DataFrame:
-    """The mix itself: every document as often as it is taken, with all its columns."""
-    taken = mix_documents(docs).where("copies > 0").select(F.col("doc_id").alias("_mix_id"), "copies").groupBy("_mix_id").agg(F.max("copies").alias("_copies"))
-    joined = docs.join(taken, F.col("doc_id").eqNullSafe(F.col("_mix_id")))
+    """The mix itself: every document as often as it is taken, with all its columns.
+
+    Rows are numbered in a written table, so rows without an id or with a repeated one have copies of their own.
+    """
+    numbered = written(docs.withColumn("_mix_row", F.monotonically_increasing_id()), "numbered")
+    taken = _mixed(numbered, F.col("_mix_row")).where("copies > 0").select(F.col("row").alias("_mix_row"), F.col("copies").alias("_copies"))
+    joined = numbered.join(taken, "_mix_row")
     return joined.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*docs.columns)

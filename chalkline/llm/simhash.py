@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from chalkline.llm.common import LOWER, UPPER, small_arrow_batches, written
+from chalkline.llm.common import LOWER, UPPER, ascii_lower, small_arrow_batches, written
 from chalkline.llm.components import components
 
 _TO_LOWER = bytes.maketrans(UPPER.encode(), LOWER.encode())
@@ -156,8 +156,31 @@ def near_duplicates(docs: DataFrame, distance: int = 4) -> DataFrame:
     )
 
 
+def _prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        fps = np.array([fingerprint(x) for x in batch.column(2).to_pylist()], np.uint64).view(np.int64)
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(fps)], names=["doc_id", "sha", "fp"])
+
+
 def keep_documents(docs: DataFrame) -> DataFrame:
-    """One document of each group of near copies (the one with the least id), with all its columns."""
-    firsts = near_duplicates(docs).where("doc_id <=> component_id").select(F.col("doc_id").alias("_kept_id")).distinct()
-    kept = docs.join(firsts, F.col("doc_id").eqNullSafe(F.col("_kept_id")), "left_semi")
-    return kept.dropDuplicates(["doc_id"])
+    """One document of each group of near copies (the one with the least id), with all its columns.
+
+    Texts are told apart by their digest (A-Z lower-cased), so rows without an id or with a
+    repeated one are compared like any other; ids only choose among near copies, nulls last.
+    """
+    small_arrow_batches(docs.sparkSession)
+    sha = F.unhex(F.sha2(ascii_lower(F.col("text")).cast("binary"), 256))
+    prints = docs.select(F.col("doc_id").cast("long").alias("doc_id"), sha.alias("sha"), "text").mapInArrow(_prints, "doc_id bigint, sha binary, fp bigint")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "sha")).alias("first")
+    reps = written(prints.groupBy("fp").agg(first).withColumn("node", F.monotonically_increasing_id()), "reps")
+    group = components(links(reps.select("fp", "node")))
+    firsts = (
+        reps.join(group, "node", "left")
+        .groupBy(F.coalesce("component", "node").alias("component"))
+        .agg(F.min("first").alias("first"))
+        .select(F.col("first.doc_id").alias("_kept_id"), F.col("first.sha").alias("_kept_sha"))
+    )
+    kept = docs.withColumn("_sha", sha).join(
+        firsts, (F.col("_sha") == F.col("_kept_sha")) & F.col("doc_id").eqNullSafe(F.col("_kept_id")), "left_semi"
+    )
+    return kept.dropDuplicates(["_sha"]).drop("_sha")

@@ -124,6 +124,22 @@ def test_simhash_grid_misses_no_pair(spark):
     assert {n: got.get(n, n) for n in want} == want
 
 
+def distinct_texts(n, seed, words=60):
+    rnd = random.Random(seed)
+    return [" ".join(f"w{rnd.randrange(9000)}" for _ in range(words)) for _ in range(n)]
+
+
+def test_simhash_keeps_texts_without_their_own_id(spark, odd, empty):
+    """Different texts under null or repeated ids stay; a near copy goes, whatever its id."""
+    texts = distinct_texts(9, 21, 300)
+    rows = [(None, t) for t in texts[:4]] + [(7, t) for t in texts[4:7]] + [(1, texts[7]), (2, texts[8]), (None, texts[0]), (None, texts[1] + " more"), (3, texts[2] + " more"), (7, texts[8] + " more")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = as_rows(simhash.keep_documents(docs), "doc_id", "text")
+    assert len(got) == 9 and {t.removesuffix(" more") for _, t in got} == set(texts)
+    assert (3, texts[2] + " more") in got and (2, texts[8]) in got and {(7, t) for t in texts[4:7]} <= set(got)
+    assert simhash.keep_documents(odd).columns == odd.columns and simhash.keep_documents(empty).count() == 0
+
+
 def test_simhash_odd_input(odd, empty):
     got = {(r.doc_id, r.fingerprint, r.component_id) for r in simhash.near_duplicates(odd).collect()}
     assert {(3, "0" * 16, 3), (4, "0" * 16, 3)} <= got
@@ -334,6 +350,15 @@ def test_mixing_odd_input(odd, empty):
     assert mixing.repeat_documents(odd).columns == odd.columns
 
 
+def test_mixing_copies_of_rows_without_their_own_id(spark):
+    """Every row has its own copies, as the mix has them, under null and repeated ids too."""
+    rnd = random.Random(11)
+    rows = [(rnd.choice([None, 5, 6, i]), f"t{i} " + "w " * rnd.randint(1, 40), rnd.choice(["a", "a", "a", "a", "b", "c"])) for i in range(1500)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
+    taken = mixing.mix_documents(docs).agg(F.sum("taken").alias("n")).first().n
+    assert mixing.repeat_documents(docs).agg(F.sum(mixing.word_count(F.col("text"))).alias("n")).first().n == taken
+
+
 # -- op10 ---------------------------------------------------------------------------------
 
 
