@@ -38,26 +38,35 @@ _SLICE = 200_000
 _NO_ID = 1 << 62
 
 
-def fingerprint(text: str | None, width: int = 4) -> int:
-    """The SimHash of the word ``width``-shingles of ``text`` as an unsigned 64-bit integer."""
+def shingle_hashes(text: str | None, width: int = 4) -> np.ndarray:
+    """Hashes of the word ``width``-shingles of ``text`` in order; one of the whole text where it is shorter."""
     words = (text or "").encode().translate(_TO_LOWER).split()
     if not words:
-        return 0
+        return np.zeros(0, np.uint64)
     joined = b" ".join(words)
     n = len(words)
     digest = xxhash.xxh64_intdigest
     if n <= width:
-        return digest(joined, 42)
+        return np.array([digest(joined, 42)], np.uint64)
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, n) + 1) - 1
     starts = np.concatenate(([0], ends[:-1] + 1))[: n - width + 1].tolist()
     stops = ends[width - 1 :].tolist()
+    return np.fromiter((digest(joined[a:b], 42) for a, b in zip(starts, stops, strict=True)), np.uint64, len(starts))
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The bits set in more than half of ``hashes``."""
     ones = np.zeros(64, np.int64)
-    total = len(starts)
-    for i in range(0, total, _SLICE):
-        hashes = [digest(joined[a:b], 42) for a, b in zip(starts[i : i + _SLICE], stops[i : i + _SLICE], strict=True)]
-        bits = np.unpackbits(np.array(hashes, "<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+    for i in range(0, len(hashes), _SLICE):
+        bits = np.unpackbits(hashes[i : i + _SLICE].astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
         ones += bits.sum(axis=0, dtype=np.int64)
-    return int(sum(1 << i for i in np.flatnonzero(2 * ones > total).tolist()))
+    return int(sum(1 << i for i in np.flatnonzero(2 * ones > len(hashes)).tolist()))
+
+
+def fingerprint(text: str | None, width: int = 4) -> int:
+    """The SimHash of the word ``width``-shingles of ``text`` as an unsigned 64-bit integer."""
+    hashes = shingle_hashes(text, width)
+    return int(hashes[0]) if len(hashes) == 1 else majority(hashes)
 
 
 def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -156,26 +165,106 @@ def near_duplicates(docs: DataFrame, distance: int = 4) -> DataFrame:
     )
 
 
-def _prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+#: The pipeline's stage: word shingles, least Jaccard similarity, and bands x rows of MinHash values.
+WIDTH, SIMILARITY, BANDS, ROWS = 5, 0.8, 16, 5
+_MINHASH = np.random.default_rng(42).integers(0, 1 << 63, BANDS * ROWS, np.uint64) * np.uint64(2) + np.uint64(1)
+
+
+def shingle_set(fours: np.ndarray) -> np.ndarray:
+    """The distinct hashes of five-word shingles, each made of the hashes of its two four-word shingles."""
+    if len(fours) < 2:
+        return fours
+    both = fours[:-1] * np.uint64(0x9E3779B97F4A7C15) + fours[1:] * np.uint64(0xC2B2AE3D27D4EB4F)
+    return np.unique(both ^ (both >> np.uint64(31)))
+
+
+def bands(shingles: np.ndarray) -> list[int]:
+    """One hash per band of MinHash values; texts of similarity 0.8 share one with probability 0.998."""
+    least = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, np.uint64)
+    for i in range(0, len(shingles), 1024):
+        least = np.minimum(least, (_MINHASH[:, None] * shingles[None, i : i + 1024]).min(axis=1))
+    return [xxhash.xxh64_intdigest(x.tobytes(), b) - (1 << 63) for b, x in enumerate(least.reshape(BANDS, ROWS))]
+
+
+SKETCH = "doc_id bigint, sha binary, fp bigint, n int, bands array<bigint>"
+
+
+def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        fps = np.array([fingerprint(x) for x in batch.column(2).to_pylist()], np.uint64).view(np.int64)
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(fps)], names=["doc_id", "sha", "fp"])
+        fps, sizes, found = [], [], []
+        for text in batch.column(2).to_pylist():
+            fours = shingle_hashes(text)
+            fps.append(int(fours[0]) if len(fours) == 1 else majority(fours))
+            own = shingle_set(fours)
+            sizes.append(len(own))
+            found.append(bands(own))
+        yield pa.RecordBatch.from_arrays(
+            [batch.column(0), batch.column(1), pa.array(np.array(fps, np.uint64).view(np.int64)), pa.array(sizes, pa.int32()), pa.array(found, pa.list_(pa.int64()))],
+            names=["doc_id", "sha", "fp", "n", "bands"],
+        )
+
+
+def _shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        sets = [shingle_set(shingle_hashes(x)).view(np.int64) for x in batch.column(1).to_pylist()]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["sha", "shingles"])
+
+
+def _similar(pairs: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
+    """Those of ``pairs (a, b)`` whose shingle sets have Jaccard similarity SIMILARITY or more."""
+    size = lambda x: nodes.select(F.col("node").alias(x), F.col("n").alias(f"n_{x}"))
+    # sets of too different sizes can't be similar
+    pairs = pairs.join(size("a"), "a").join(size("b"), "b").where(F.least("n_a", "n_b") / F.greatest("n_a", "n_b") >= SIMILARITY)
+    pairs = written(pairs.select("a", "b"), "pairs")
+    asked = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct().join(nodes.select("node", "sha"), "node").select("node", "sha")
+    texts = docs.join(asked.select("sha"), "sha", "left_semi").select("sha", "text").mapInArrow(_shingles, "sha binary, shingles array<bigint>")
+    sets = written(texts.dropDuplicates(["sha"]).join(asked, "sha").select("node", "shingles"), "shingles")
+    both = (
+        pairs.join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("of_b")), "b")
+        .join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("of_a")), "a")
+        .withColumn("common", F.size(F.array_intersect("of_a", "of_b")))
+    )
+    return written(both.where(F.col("common") / (F.size("of_a") + F.size("of_b") - F.col("common")) >= SIMILARITY).select("a", "b"), "similar")
 
 
 def keep_documents(docs: DataFrame) -> DataFrame:
     """One document of each group of near copies (the one with the least id), with all its columns.
 
+    Near copies are texts within op2's distance, and texts whose sets of five-word shingles
+    have a Jaccard similarity of 0.8 or more: MinHash bands give candidates, the sets decide.
+    In each bucket all are compared with the least one first; what this leaves in different
+    components is then compared pair by pair, so a large family of copies doesn't pair up.
+
     Texts are told apart by their digest (A-Z lower-cased), so rows without an id or with a
     repeated one are compared like any other; ids only choose among near copies, nulls last.
     """
     small_arrow_batches(docs.sparkSession)
     sha = F.unhex(F.sha2(ascii_lower(F.col("text")).cast("binary"), 256))
-    prints = docs.select(F.col("doc_id").cast("long").alias("doc_id"), sha.alias("sha"), "text").mapInArrow(_prints, "doc_id bigint, sha binary, fp bigint")
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), sha.alias("sha"), "text")
+    sketches = own.mapInArrow(_sketches, SKETCH)
     first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "sha")).alias("first")
-    reps = written(prints.groupBy("fp").agg(first).withColumn("node", F.monotonically_increasing_id()), "reps")
-    group = components(links(reps.select("fp", "node")))
+    of_text = [first, *(F.first(c).alias(c) for c in ("fp", "n", "bands"))]
+    nodes = written(sketches.groupBy("sha").agg(*of_text).withColumn("node", F.monotonically_increasing_id()), "nodes")
+    reps = written(nodes.groupBy("fp").agg(F.min("node").alias("node")), "reps")
+    same = nodes.select("fp", F.col("node").alias("b")).join(reps.withColumnRenamed("node", "a"), "fp").where("a <> b").select("a", "b")
+    edges = written(links(reps).unionByName(same), "links")
+
+    placed = written(nodes.where("n > 0").select("node", F.posexplode("bands").alias("band", "value")), "placed")
+    least = placed.groupBy("band", "value").agg(F.min("node").alias("a"), F.count(F.lit(1)).alias("held")).where("held > 1")
+    stars = placed.join(least, ["band", "value"]).where("node <> a").select("a", F.col("node").alias("b")).distinct()
+    edges = written(edges.unionByName(_similar(stars, nodes, own)), "links")
+
+    clusters = components(edges).select("node", F.col("component").alias("cluster"))
+    mixed = placed.join(clusters, "node", "left").select("band", "value", "node", F.coalesce("cluster", "node").alias("cluster"))
+    several = mixed.groupBy("band", "value").agg(F.min("cluster").alias("low"), F.max("cluster").alias("high")).where("low < high").select("band", "value")
+    mixed = written(mixed.join(several, ["band", "value"]), "mixed")
+    left = mixed.select("band", "value", F.col("node").alias("a"), F.col("cluster").alias("of_a"))
+    right = mixed.select("band", "value", F.col("node").alias("b"), F.col("cluster").alias("of_b"))
+    pairs = left.join(right, ["band", "value"]).where("of_a < of_b").select("a", "b").distinct()
+    edges = edges.unionByName(_similar(pairs, nodes, own))
+
     firsts = (
-        reps.join(group, "node", "left")
+        nodes.join(components(edges), "node", "left")
         .groupBy(F.coalesce("component", "node").alias("component"))
         .agg(F.min("first").alias("first"))
         .select(F.col("first.doc_id").alias("_kept_id"), F.col("first.sha").alias("_kept_sha"))

@@ -140,6 +140,26 @@ def test_simhash_keeps_texts_without_their_own_id(spark, odd, empty):
     assert simhash.keep_documents(odd).columns == odd.columns and simhash.keep_documents(empty).count() == 0
 
 
+def test_simhash_stage_finds_copies_of_similarity_four_fifths(spark):
+    """Against all pairs: five-word shingles, Jaccard 0.8 or more, or op2's four bits."""
+    rnd = random.Random(22)
+    rows = []
+    for t in distinct_texts(40, 23, 120) + distinct_texts(10, 24, 600):
+        rows.append(t)
+        for k in (1, 2, 3, 6):
+            words = t.split()
+            for at in rnd.sample(range(len(words)), k * len(words) // 120):
+                words[at] = f"x{rnd.randrange(9000)}"
+            rows.append(" ".join(words))
+    rows = dict(enumerate(rows, 100))
+    sets = {i: {tuple(t.split()[k : k + 5]) for k in range(len(t.split()) - 4)} for i, t in rows.items()}
+    fps = {i: plain_fingerprint(t) for i, t in rows.items()}
+    near = lambda a, b: len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]) or (fps[a] ^ fps[b]).bit_count() <= 4
+    want = set(plain_components(rows, [p for p in itertools.combinations(rows, 2) if near(*p)]).values())
+    got = {r.doc_id for r in simhash.keep_documents(spark.createDataFrame(list(rows.items()), "doc_id bigint, text string")).collect()}
+    assert got == want and len(want) < 0.6 * len(rows)
+
+
 def test_simhash_odd_input(odd, empty):
     got = {(r.doc_id, r.fingerprint, r.component_id) for r in simhash.near_duplicates(odd).collect()}
     assert {(3, "0" * 16, 3), (4, "0" * 16, 3)} <= got
