@@ -1,23 +1,30 @@
 """Exact top-k BM25 search with block-max pruning, per shard, merged by global statistics.
 
 Documents become shards: packed inverted indexes built in the tasks that read them and
-written as a table.  Document frequencies, document count and mean length are summed over
-all shards, so every shard scores with the same statistics and the merge is exact.
-
-Queries are written in blocks.  A task loads its shards and streams the query blocks past
-them from the shared folder; nothing is paired by a join.  Per block of queries and shard:
-
-1. block-max bounds: for every query and block of ``BLOCK`` documents the greatest possible
-   score, from the blocks' greatest impacts in long lists and the greatest impact of short
-   ones; blocks whose bound stays below the query's k-th score so far are skipped;
-2. the remaining blocks are scored at once, long lists as one product of the query block
-   with the impact columns in single precision, short lists by their postings;
-3. documents that reach the k-th score within the rounding slack are scored exactly over
-   all terms, in one fixed term order.
-
-The k-th score carries over the task's shards.  Scores are rounded to six decimals and
-ties go to the smaller doc_id; bounds are compared with a margin, so pruning never changes
-a result.
+written as a table.  Inside a shard documents with the same common words stand together,
+ordered by length, so that blocks of ``BLOCK`` documents are alike and their maxima tight.
+Document frequencies, document count and mean length are summed over all shards, so every
+shard scores with the same statistics and the merge is exact.
+
+A task holds one shard at a time and streams the queries past it from the shared folder.
+For every query on its own:
+
+1. the short lists are added up, which gives each document a partial score;
+2. block maxima of the long lists, times the query's weights, bound what these can add to
+   any document of a block: the pivot test skips every block whose bound and greatest
+   partial score together stay below the query's k-th score so far;
+3. the long lists are scored in the blocks that are left, best first where no k-th score
+   is known yet, in single precision;
+4. documents that reach the k-th score within the rounding slack are scored exactly over
+   all their terms, in one fixed term order.
+
+First every query meets one shard only (its seed); the k-th score found there is a lower
+bound that it takes to all shards.  So what a shard returns is close to what belongs to the
+result, whatever the number of shards.  Tasks are (shard, group of at most ``GROUP``
+queries); memory is one shard and one block of queries, whatever the input.
+
+Scores are rounded to six decimals and ties go to the smaller doc_id; bounds are compared
+with a margin, so pruning never changes a result.
 
 Defined results: null and empty texts match nothing, and as queries return no rows; only
 documents that share a term are returned, so a query may have fewer than k rows; null ids
@@ -29,6 +36,7 @@ table gives no rows; extra columns are ignored.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -37,30 +45,56 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from chalkline.llm.common import scratch, small_arrow_batches, written
+from chalkline.llm.common import arrow_rows, scratch, written
 from chalkline.llm.katz import NO_ID, pack, unpack, word_hashes
 
 K = 10
 K1 = 1.2
 B = 0.75
-BLOCK = 128
-#: Lists that reach this share of a shard's documents (one in so many) are kept as dense columns.
-LONG = 24
-#: Relative error that single-precision sums stay well within.
-SLACK = 1e-4
-SHARD_TOKENS = 3_500_000
-QUERIES_IN_BLOCK = 128
-#: Lists that reach this share of a shard's documents (one in so many) are kept as dense columns.
+BLOCK = 16
+#: Lists that reach this share of a shard's documents (one in so many) are long.
 LONG = 24
 #: Relative error that single-precision sums stay well within.
 SLACK = 1e-4
 #: Scores are rounded to 1e-6; bounds get this margin.
 MARGIN = 2e-6
-
-SHARDS = "docs bigint, tokens bigint, ids binary, lengths binary, vocab binary, starts binary, owners binary, tfs binary"
+SHARD_TOKENS = 3_500_000
+QUERIES_AT_ONCE = 128
+#: Queries that take one shard as their seed, and queries that one task streams past a shard.
+SEED_QUERIES = 2000
+GROUP = 1_000_000
+#: Groups of documents in a shard, and common words that they are told apart by; both only order the documents.
+CLUSTERS, CLUSTER_WORDS = 8, 1024
+
+SHARDS = "shard string, docs bigint, tokens bigint, ids binary, lengths binary, vocab binary, starts binary, owners binary, tfs binary"
+
+
+def _alike(words: np.ndarray, owner: np.ndarray, tf: np.ndarray, sizes: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """The documents of a shard with like ones side by side: clusters over their common words, then length."""
+    n = len(lengths)
+    long = np.argsort(-sizes, kind="stable")[:CLUSTER_WORDS]
+    long = long[sizes[long] * LONG >= max(n, LONG)]
+    if n <= BLOCK or not len(long):
+        return np.argsort(lengths, kind="stable")
+    column = np.full(len(sizes), -1)
+    column[long] = np.arange(len(long))
+    at = column[words] >= 0
+    x = np.zeros((n, len(long)), np.float32)
+    x[owner[at], column[words[at]]] = 1 + np.log(tf[at])
+    x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-9)
+    centres = x[np.random.default_rng(0).choice(n, CLUSTERS, replace=n < CLUSTERS)]
+    for _ in range(8):
+        near = (x @ centres.T).argmax(axis=1)
+        centres = np.stack([x[near == j].mean(axis=0) if (near == j).any() else centres[j] for j in range(CLUSTERS)])
+        centres /= np.maximum(np.linalg.norm(centres, axis=1, keepdims=True), 1e-9)
+    return np.lexsort((lengths, near))
 
 
 def _build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    from pyspark import TaskContext
+
+    context = TaskContext.get()
+    task, made = context.partitionId() if context else 0, 0
     ids: list[int] = []
     parts: list[np.ndarray] = []
     tokens = 0
@@ -77,12 +111,19 @@ def _build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys *= count
         keys += np.repeat(np.arange(count), lengths)
         keys, tf = np.unique(keys, return_counts=True)
-        term = keys // count
+        term, owner = keys // count, keys % count
+        del keys
+        sizes = np.bincount(term, minlength=len(vocab))
+        order = _alike(term, owner, tf, sizes, lengths)
+        place = np.empty(count, np.int64)
+        place[order] = np.arange(count)
+        owner = place[owner]
+        by = np.argsort(term * count + owner, kind="stable")
         row = [
-            [len(ids)], [tokens], [pack(np.array(ids, np.int64))], [pack(lengths)], [vocab.tobytes()],
-            [pack(np.bincount(term, minlength=len(vocab)).astype(np.uint32))], [pack((keys % count).astype(np.uint32))], [pack(tf.astype(np.uint32))],
+            [f"{task}-{made}"], [count], [tokens], [pack(np.array(ids, np.int64)[order])], [pack(lengths[order])], [vocab.tobytes()],
+            [pack(sizes.astype(np.uint32))], [pack(owner[by].astype(np.uint32))], [pack(tf[by].astype(np.uint32))],
         ]
-        kinds = [pa.int64(), pa.int64(), *[pa.binary()] * 6]
+        kinds = [pa.string(), pa.int64(), pa.int64(), *[pa.binary()] * 6]
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(row, kinds, strict=True)], names=[x.split()[0] for x in SHARDS.split(", ")])
 
     for batch in batches:
@@ -92,6 +133,7 @@ def _build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             tokens += len(parts[-1])
             if tokens >= SHARD_TOKENS:
                 yield shard()
+                made += 1
                 ids, parts, tokens = [], [], 0
     if ids:
         yield shard()
@@ -113,13 +155,13 @@ def _terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
-class Shard:
-    """One shard in memory.
+def _spread(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The positions ``start .. start + size`` of every list, one after another."""
+    return np.arange(int(sizes.sum())) + np.repeat(starts - np.concatenate(([0], np.cumsum(sizes)[:-1])), sizes)
+
 
-    Long lists (a ``1 / LONG`` of the documents or more) are kept as dense columns of BM25
-    impacts with their block bounds, short ones as inverted lists; forward lists serve
-    exact scoring.
-    """
+class Shard:
+    """One shard in memory: short lists, long lists as columns of impacts with block maxima, forward lists."""
 
     def __init__(self, row: dict, mean_length: float):
         self.ids = unpack(row["ids"], np.int64)
@@ -131,98 +173,141 @@ class Shard:
         self.owner = unpack(row["owners"], np.uint32).astype(np.int32)
         tf = unpack(row["tfs"], np.uint32).astype(np.float64)
         norm = K1 * (1 - B + B * lengths / max(mean_length, 1e-9))
-        self.impact = tf * (K1 + 1) / (tf + norm[self.owner])
+        impact = tf * (K1 + 1) / (tf + norm[self.owner])
+        self.impact = impact.astype(np.float32)  # bounds and candidates; exact scores use the forward lists
         term = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)
-        impact, self.impact = self.impact, self.impact.astype(np.float32)  # bounds and candidates; exact scores use the forward lists
         order = np.argsort(self.owner, kind="stable")  # forward lists, terms ascending
         self.f_term, self.f_impact = term[order], impact[order]
         self.f_start = np.concatenate(([0], np.cumsum(np.bincount(self.owner, minlength=n))))
-        self.top = np.maximum.reduceat(impact, self.start[:-1]) if len(sizes) else np.zeros(0)
         long = np.flatnonzero(sizes * LONG >= max(n, LONG))
         self.column = np.full(len(sizes), -1)
         self.column[long] = np.arange(len(long))
-        self.dense = np.zeros((n, len(long)), np.float32)
+        self.blocks = -(-n // BLOCK)
+        self.dense = np.zeros((self.blocks * BLOCK, len(long)), np.float32)
         at = self.column[term] >= 0
         self.dense[self.owner[at], self.column[term[at]]] = impact[at]
-        self.blocks = -(-n // BLOCK)
-        cuts = np.arange(0, n, BLOCK)
-        self.block_top = np.maximum.reduceat(self.dense, cuts, axis=0) if n else np.zeros((0, len(long)), np.float32)
+        self.block_top = self.dense.reshape(self.blocks, BLOCK, -1).max(axis=1)
         self.weights = np.zeros(len(sizes))  # of the query at hand
-
-    def _spread(self, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-        """The positions ``start .. start + size`` of every list, one after another."""
-        return np.arange(int(sizes.sum())) + np.repeat(starts - np.concatenate(([0], np.cumsum(sizes)[:-1])), sizes)
+        #: (query, block) pairs that were tested and that were scored
+        self.tested = self.scored = 0
 
     def exact(self, docs: np.ndarray) -> np.ndarray:
         """Full scores of ``docs``; every document adds its terms in the same order."""
         sizes = self.f_start[docs + 1] - self.f_start[docs]
-        at = self._spread(self.f_start[docs], sizes)
+        at = _spread(self.f_start[docs], sizes)
         return np.round(np.bincount(np.repeat(np.arange(len(docs)), sizes), self.f_impact[at] * self.weights[self.f_term[at]], len(docs)), 6)
 
-    def search(self, queries: list[tuple[np.ndarray, np.ndarray]], best: list[list[tuple[float, int]]], k: int) -> None:
-        """Joins this shard's hits to the top (-score, id) pairs so far of each (term hashes, weights) query."""
-        if not len(self.vocab):
-            return
-        found = []
-        wide = np.zeros((len(queries), self.dense.shape[1]), np.float32)
-        for q, (hashes, weights) in enumerate(queries):
-            at = np.minimum(np.searchsorted(self.vocab, hashes), len(self.vocab) - 1)
-            here = self.vocab[at] == hashes
-            terms, w = at[here], weights[here]
-            column = self.column[terms]
-            wide[q, column[column >= 0]] = w[column >= 0]
-            found.append((terms, w, terms[column < 0], w[column < 0]))
-        # block bounds: long lists by block, short lists by their greatest impact
-        low = np.array([-b[-1][0] if len(b) == k else 0.0 for b in best])
-        short = np.array([float((w * self.top[t]).sum()) for _, _, t, w in found])
-        bound = (wide @ self.block_top.T) * (1 + SLACK) + short[:, None]
-        need = bound >= low[:, None] - MARGIN
-        blocks = np.flatnonzero(need.any(axis=0))
-        rows = np.flatnonzero(need.any(axis=1))
-        if not len(rows):
+    def search(self, starts: np.ndarray, hashes: np.ndarray, weights: np.ndarray, low: np.ndarray, k: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """(query, scores, document places) of what may be among the ``k`` best of each query.
+
+        Query q has the terms ``starts[q] .. starts[q + 1]``; ``low`` is a lower bound of its k-th score.
+        """
+        queries = len(starts) - 1
+        if not len(self.vocab) or not queries:
             return
-        docs = np.arange(self.n) if len(blocks) == self.blocks else np.flatnonzero(np.isin(np.arange(self.n) // BLOCK, blocks))
-        scores = wide[rows] @ (self.dense if len(docs) == self.n else self.dense[docs]).T
-        for i, q in enumerate(rows.tolist()):
-            terms, w, rare, rare_w = found[q]
-            score = scores[i].astype(np.float64)
-            sizes = self.sizes[rare]
-            if len(rare):
-                at = self._spread(self.start[rare], sizes)
-                score += np.bincount(self.owner[at], self.impact[at] * np.repeat(rare_w, sizes), self.n)[docs]
-            low_q = low[q]
-            if len(score) > k:
-                low_q = max(low_q, float(np.partition(score, len(score) - k)[len(score) - k]))
-            keep = np.flatnonzero((score > 0) & (score >= low_q * (1 - 2 * SLACK) - MARGIN))
-            self.weights[terms] = w
-            hits = docs[keep]
-            if len(hits):
-                values = self.exact(hits)
-                best[q] = sorted([*best[q], *((-v, d) for v, d in zip(values.tolist(), self.ids[hits].tolist(), strict=True) if v > 0)])[:k]
+        of = np.repeat(np.arange(queries), np.diff(starts))
+        at = np.minimum(np.searchsorted(self.vocab, hashes), len(self.vocab) - 1)
+        here = self.vocab[at] == hashes
+        of, at, weights = of[here], at[here], weights[here]
+        cuts = np.searchsorted(of, np.arange(queries + 1))
+        column = self.column[at]
+        long = column >= 0
+        wide = np.zeros((queries, self.dense.shape[1]), np.float32)
+        wide[of[long], column[long]] = weights[long]
+        short, whose, weight = at[~long], of[~long], weights[~long]
+        width = self.blocks * BLOCK
+        sizes = self.sizes[short]
+        postings = _spread(self.start[short], sizes)
+        score = np.bincount(
+            np.repeat(whose * width, sizes) + self.owner[postings], self.impact[postings] * np.repeat(weight, sizes), queries * width
+        ).astype(np.float64, copy=False).reshape(queries, width)
+        bound = (wide @ self.block_top.T) * (1 + SLACK) + score.reshape(queries, self.blocks, BLOCK).max(axis=2)
+        done = np.zeros((queries, self.blocks), bool)
+        low = low.copy()
+
+        def add_up(need: np.ndarray) -> None:
+            for b in np.flatnonzero(need.any(axis=0)).tolist():
+                rows, docs = np.flatnonzero(need[:, b]), slice(b * BLOCK, (b + 1) * BLOCK)
+                score[rows, docs] += wide[rows] @ self.dense[docs].T
+            done[need] = True
+
+        blank = np.flatnonzero(low <= 0)
+        if len(blank) and self.blocks * BLOCK > k:  # no k-th score yet: the blocks of the greatest bounds give one
+            few = min(self.blocks, -(-2 * k // BLOCK) + 6)
+            best = np.zeros_like(done)
+            best[blank[:, None], np.argpartition(-bound[blank], few - 1, axis=1)[:, :few]] = True
+            add_up(best & (bound > 0))
+            for q in blank.tolist():
+                own = score[q].reshape(self.blocks, BLOCK)[done[q]].ravel()
+                if len(own) > k:
+                    low[q] = max(0.0, float(np.partition(own, len(own) - k)[len(own) - k]) * (1 - 2 * SLACK))
+        need = (bound >= low[:, None] - MARGIN) & (bound > 0)
+        self.tested += need.size
+        self.scored += int((need | done).sum())
+        add_up(need & ~done)
+        need |= done
+        docs = np.repeat(need, BLOCK, axis=1)
+        score[~docs] = 0
+        docs &= (score > 0) & (score >= (low * (1 - 2 * SLACK) - MARGIN)[:, None])
+        for q in np.flatnonzero(docs.any(axis=1)).tolist():
+            hits = np.flatnonzero(docs[q])
+            if len(hits) > k:
+                own = score[q, hits]
+                hits = hits[own >= np.partition(own, len(own) - k)[len(own) - k] * (1 - 2 * SLACK) - MARGIN]
+            terms = at[cuts[q] : cuts[q + 1]]
+            self.weights[terms] = weights[cuts[q] : cuts[q + 1]]
+            values = self.exact(hits)
             self.weights[terms] = 0.0
+            best = np.lexsort((self.ids[hits], -values))[:k]
+            best = best[(values[best] > 0) & (values[best] >= low[q] * (1 - 2 * SLACK) - MARGIN)]
+            if len(best):
+                yield q, values[best], hits[best]
+
+
+def _query_blocks(path: str, store: fs.FileSystem) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """(ids, starts, term hashes, weights, least scores) of ``QUERIES_AT_ONCE`` queries at a time."""
+    held: list[pa.RecordBatch] = []
+
+    def block() -> tuple:
+        t = pa.Table.from_batches(held).combine_chunks()
+        held.clear()
+        terms, weights = t.column("terms").combine_chunks(), t.column("weights").combine_chunks()
+        starts = np.concatenate(([0], np.cumsum(terms.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64))))
+        return t.column("query_id").to_numpy(), starts, terms.flatten().to_numpy().view(np.uint64), weights.flatten().to_numpy(), t.column("low").to_numpy()
+
+    for batch in pads.dataset(path, filesystem=store, format="parquet").to_batches(batch_size=QUERIES_AT_ONCE, columns=["query_id", "terms", "weights", "low"]):
+        if batch.num_rows:
+            held.append(batch)
+        if sum(x.num_rows for x in held) >= QUERIES_AT_ONCE:
+            yield block()
+    if held:
+        yield block()
 
 
 HITS = "query_id bigint, doc_id bigint, score double"
 
 
-def _search(queries: str, docs: int, mean_length: float, k: int):
+def _search(path: str, mean_length: float, k: int, folder: str):
+    """Searches every shard that comes for the queries in the folder ``<folder>=<value of that column>`` of ``path``."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shards = [Shard(row, mean_length) for batch in batches for row in batch.to_pylist()]
-        if not shards:
-            return
-        store, base = fs.FileSystem.from_uri(queries)
-        for block in pads.dataset(base, filesystem=store, format="parquet").to_batches(batch_size=QUERIES_IN_BLOCK):
-            queries_, names = [], []
-            for query_id, terms, n, df in zip(*(block.column(c).to_pylist() for c in ("query_id", "terms", "n", "df")), strict=True):
-                hashes, n, df = np.array(terms, np.int64).view(np.uint64), np.array(n, float), np.array(df, float)
-                names.append(query_id)
-                queries_.append((hashes, n * np.log(1 + (docs - df + 0.5) / (df + 0.5))))
-            best: list[list[tuple[float, int]]] = [[] for _ in names]
-            for s in shards:
-                s.search(queries_, best, k)
-            rows = [(q, i, -v) for q, found in zip(names, best, strict=True) for v, i in found]
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows, strict=True)], names=["query_id", "doc_id", "score"])
+        store, base = fs.FileSystem.from_uri(path)
+        for batch in batches:
+            for i in range(batch.num_rows):
+                row = batch.slice(i, 1).to_pylist()[0]
+                at = f"{base}/{folder}={row[folder]}"
+                if store.get_file_info(at).type != fs.FileType.Directory:
+                    continue  # no query has this seed
+                shard = Shard(row, mean_length)
+                row.clear()
+                for names, starts, hashes, weights, low in _query_blocks(at, store):
+                    found = list(shard.search(starts, hashes, weights, low, k))
+                    if found:
+                        queries = np.repeat(names[[q for q, _, _ in found]], [len(v) for _, v, _ in found])
+                        docs = shard.ids[np.concatenate([d for _, _, d in found])]
+                        yield pa.RecordBatch.from_arrays(
+                            [pa.array(queries), pa.array(docs), pa.array(np.concatenate([v for _, v, _ in found]))], names=["query_id", "doc_id", "score"]
+                        )
 
     return run
 
@@ -230,24 +315,46 @@ def _search(queries: str, docs: int, mean_length: float, k: int):
 def search(docs: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
     """query_id, rank, doc_id, score: the ``k`` best rows of ``docs (doc_id, text)`` for each row of ``queries (doc_id, text)``."""
     spark = docs.sparkSession
-    small_arrow_batches(spark)
-    shards = written(docs.selectExpr("cast(doc_id as bigint) doc_id", "text").mapInArrow(_build, SHARDS), "shards")
-    count, tokens = shards.agg(F.sum("docs"), F.sum("tokens")).first()
-    asked = queries.selectExpr("cast(doc_id as bigint) doc_id", "text").where("doc_id is not null")
-    asked = asked.groupBy("doc_id").agg(F.min("text").alias("text"))
-    terms = asked.mapInArrow(_terms, "query_id bigint, term bigint, n bigint")
-    df = shards.select("vocab", "starts").mapInArrow(_frequencies, "term bigint, df bigint").groupBy("term").agg(F.sum("df").alias("df"))
-    path = scratch(spark, "queries")
-    (
-        terms.join(df, "term")
-        .groupBy("query_id")
-        .agg(F.sort_array(F.collect_list(F.struct("term", "n", "df"))).alias("t"))
-        .select("query_id", F.col("t.term").alias("terms"), F.col("t.n").alias("n"), F.col("t.df").alias("df"))
-        .write.parquet(path)
-    )
-    # few tasks with many shards each: the k-th score carries over more of them, and fewer hits are merged
-    tasks = 2 * spark.sparkContext.defaultParallelism
-    hits = shards.coalesce(tasks).mapInArrow(_search(path, count or 0, (tokens or 0) / max(1, count or 0), k), HITS)
+    result = "query_id bigint, rank int, doc_id bigint, score double"
+    with arrow_rows(spark, 256):
+        shards = written(docs.selectExpr("cast(doc_id as bigint) doc_id", "text").mapInArrow(_build, SHARDS), "shards")
+        count, tokens = shards.agg(F.sum("docs"), F.sum("tokens")).first()
+        if not tokens:
+            return spark.createDataFrame([], result)
+        mean = tokens / count
+        asked = queries.selectExpr("cast(doc_id as bigint) doc_id", "text").where("doc_id is not null")
+        seeds = max(1, -(-asked.count() // SEED_QUERIES))
+        asked = asked.groupBy("doc_id").agg(F.min("text").alias("text"))
+        terms = asked.mapInArrow(_terms, "query_id bigint, term bigint, n bigint")
+        with arrow_rows(spark, 1):  # a row is a whole shard
+            df = shards.select("vocab", "starts").mapInArrow(_frequencies, "term bigint, df bigint").groupBy("term").agg(F.sum("df").alias("df"))
+            df = written(df, "frequencies")
+        weight = F.col("n") * F.log(1 + (F.lit(count) - F.col("df") + 0.5) / (F.col("df") + 0.5))
+        asked = (
+            terms.join(df, "term")
+            .groupBy("query_id")
+            .agg(F.sort_array(F.collect_list(F.struct("term", weight.alias("weight")))).alias("t"))
+            .select("query_id", F.col("t.term").alias("terms"), F.col("t.weight").alias("weights"), F.pmod(F.xxhash64("query_id"), F.lit(seeds)).alias("seed"))
+        )
+        first = scratch(spark, "queries")
+        asked.withColumn("low", F.lit(0.0)).write.partitionBy("seed").parquet(first)
+        asked = spark.read.schema("query_id bigint, terms array<bigint>, weights array<double>, low double, seed bigint").option("basePath", first).parquet(first)
+    with arrow_rows(spark, 1):
+        # thin: one shard name a seed
+        chosen = written(
+            shards.select("shard", F.pmod(F.xxhash64("shard"), F.lit(seeds)).alias("seed")).groupBy("seed").agg(F.min("shard").alias("shard")), "seeds"
+        )
+        seeded = shards.join(chosen, "shard").mapInArrow(_search(first, mean, k, "seed"), HITS)
+        low = seeded.groupBy("query_id").agg(F.min("score").alias("least"), F.count(F.lit(1)).alias("n")).where(F.col("n") == k)
+        second = scratch(spark, "queries")
+        groups = max(1, -(-seeds * SEED_QUERIES // GROUP))
+        (
+            asked.drop("low").join(low, "query_id", "left")
+            .select("query_id", "terms", "weights", F.coalesce("least", F.lit(0.0)).alias("low"), F.pmod("seed", F.lit(groups)).alias("part"))
+            .write.partitionBy("part").parquet(second)
+        )
+        each = [shards.withColumn("part", F.lit(g)).mapInArrow(_search(second, mean, k, "part"), HITS) for g in range(groups)]
+        hits = written(reduce(DataFrame.unionByName, each), "hits")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id"))
     return hits.withColumn("rank", rank).where(F.col("rank") <= k).select(
         "query_id", "rank", F.when(F.col("doc_id") != NO_ID, F.col("doc_id")).alias("doc_id"), "score"

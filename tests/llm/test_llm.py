@@ -9,6 +9,7 @@ import zlib
 import brute_katz
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -415,6 +416,38 @@ def test_topk_against_brute_force(spark):
     assert got == {q: d for q, d in plain_search(rows, topk.K).items() if d}
 
 
+def test_topk_prunes_most_blocks_of_skewed_text():
+    """Five topics with words of their own: the block bounds leave a query its topic, and nothing of the result is lost."""
+    rnd = random.Random(5)
+    rows = [(i, " ".join(f"{'abcde'[i % 5]}{int(rnd.paretovariate(0.8))}" for _ in range(rnd.randint(10, 120)))) for i in range(2000)]
+    batch = pa.RecordBatch.from_arrays([pa.array([i for i, _ in rows]), pa.array([t for _, t in rows])], names=["doc_id", "text"])
+    (built,) = topk._build(iter([batch]))
+    mean = sum(len(t.split()) for _, t in rows) / len(rows)
+    shard = topk.Shard(built.to_pylist()[0], mean)
+    df = dict(zip(shard.vocab.tolist(), shard.sizes.tolist(), strict=True))
+    terms, weights, starts = [], [], [0]
+    for _, text in rows[::50]:
+        h, n = np.unique(np.array(topk.word_hashes(text)[:-1], np.uint64), return_counts=True)
+        terms.append(h)
+        weights.append([c * np.log(1 + (len(rows) - df[x] + 0.5) / (df[x] + 0.5)) for x, c in zip(h.tolist(), n.tolist(), strict=True)])
+        starts.append(starts[-1] + len(h))
+    got = {q: shard.ids[d].tolist() for q, _, d in shard.search(np.array(starts), np.concatenate(terms), np.concatenate(weights), np.zeros(len(terms)), 10)}
+    assert [got[q] for q in range(len(terms))] == [x for x in plain_search(rows, 10).values()]
+    assert shard.scored < 0.4 * shard.tested
+
+
+def test_topk_searches_several_shards_and_groups(spark, monkeypatch):
+    rnd = random.Random(12)
+    rows = [(i, " ".join(f"w{int(rnd.paretovariate(0.5))}" for _ in range(rnd.randint(0, 60)))) for i in range(500)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(5)
+    monkeypatch.setattr(topk, "SEED_QUERIES", 3)
+    monkeypatch.setattr(topk, "GROUP", 6)
+    got = {}
+    for r in topk.search(docs, docs.where("doc_id % 50 = 0")).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append(r.doc_id)
+    assert got == {q: d for q, d in plain_search(rows, topk.K).items() if d}
+
+
 def test_topk_odd_input(odd, empty):
     got = topk.search(odd, odd.where("doc_id % 50 = 0")).collect()
     assert {r.query_id for r in got} == {100} and got
