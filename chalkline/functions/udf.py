@@ -5,6 +5,7 @@ from __future__ import annotations
 import difflib
 import html
 import re
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -79,23 +80,38 @@ def best_shift(a: pd.Series, b: pd.Series, h: pd.Series, w: pd.Series) -> pd.Dat
 # -- bibliography entries ---------------------------------------------------------------
 
 
-def field_span(entry: str, name: str) -> tuple[int, int, str] | None:
-    """Where a field of an entry begins and ends, and its value; braces, quotes or a bare token."""
-    m = re.search(rf"\b{name}\s*=\s*", entry, re.I)
-    if m is None:
-        return None
-    i = m.end()
+def field_value(entry: str, i: int) -> tuple[int, str]:
+    """Where the value that begins at ``i`` ends, and the value; braces, quotes or a bare token."""
     opening = entry[i : i + 1]
     if opening == "{":
         stop = balanced(entry, i, False)
         stop = len(entry) + 1 if stop < 0 else stop
-        return m.start(), min(stop, len(entry)), entry[i + 1 : stop - 1]
+        return min(stop, len(entry)), entry[i + 1 : stop - 1]
     if opening == '"':
         stop = entry.find('"', i + 1)
         stop = len(entry) if stop < 0 else stop
-        return m.start(), min(stop + 1, len(entry)), entry[i + 1 : stop]
+        return min(stop + 1, len(entry)), entry[i + 1 : stop]
     bare = re.match(r"[^,}\s]*", entry[i:])
-    return m.start(), i + bare.end(), bare[0]
+    return i + bare.end(), bare[0]
+
+
+def field_span(entry: str, name: str) -> tuple[int, int, str] | None:
+    """Where a field of an entry begins and ends, and its value."""
+    m = re.search(rf"\b{name}\s*=\s*", entry, re.I)
+    return None if m is None else (m.start(), *field_value(entry, m.end()))
+
+
+FIELD = re.compile(r"(?:^\s*@\w+\s*\{[^,=]*|,|\n)\s*([A-Za-z][\w:.+-]*)\s*=\s*")
+
+
+def every_field(entry: str) -> dict[str, str]:
+    """All fields by lower-case name, the first of a name; what stands inside a value is no field."""
+    out: dict[str, str] = {}
+    at = 0
+    while m := FIELD.search(entry, at):
+        at, value = field_value(entry, m.end())
+        out.setdefault(m[1].lower(), value)
+    return out
 
 
 def without_field(entry: str, name: str) -> str:
@@ -129,13 +145,7 @@ def rebuild_entry(entry: pd.Series, drop_url: pd.Series, doi: pd.Series) -> pd.S
 @F.pandas_udf(T.MapType(T.StringType(), T.StringType()))
 def entry_fields(entry: pd.Series) -> pd.Series:
     """Fields of an entry by lower-case name."""
-    names = ("author", "title", "year", "url", "urldate", "doi", "eprint", "archiveprefix", "eprinttype")
-
-    def fields(text: str | None) -> dict[str, str]:
-        found = {n: field_span(text or "", n) for n in names}
-        return {n: s[2] for n, s in found.items() if s}
-
-    return entry.map(fields)
+    return entry.map(lambda text: every_field(text or ""))
 
 
 # -- macros -----------------------------------------------------------------------------
@@ -143,33 +153,40 @@ def entry_fields(entry: pd.Series) -> pd.Series:
 ROUNDS = 4
 
 
+ARGUMENT = re.compile(r"\s*(\S)")
+
+
+def argument(text: str, at: int) -> tuple[str | None, int]:
+    """The argument that a macro finds at ``at`` (a group or the next character) and where it ends; None at the end of the text."""
+    m = ARGUMENT.match(text, at)
+    if m is None or m[1] != "{":
+        return (None, at) if m is None else (m[1], m.end())
+    stop = balanced(text, m.start(1), True)
+    return (text[m.end() :], len(text)) if stop < 0 else (text[m.end() : stop - 1], stop)
+
+
 def expanded(text: str, macros: dict[str, tuple[int, str]], rounds: int = ROUNDS) -> str:
     """``text`` with its macros replaced, as often as bodies hold further macros, ``rounds`` times at most.
 
-    A macro with arguments takes one: a group or the next character.  Unknown ones stay.
+    A macro with arguments takes one.  Unknown macros and those without their argument stay.
     """
-    names = re.compile(r"\\(" + "|".join(map(re.escape, sorted(macros, key=len, reverse=True))) + r")(?![a-zA-Z])") if macros else None
-    for _ in range(rounds if names else 0):
-        out, at = [], 0
-        while m := names.search(text, at):
+    if not macros:
+        return text
+    names = re.compile(r"\\(" + "|".join(map(re.escape, sorted(macros, key=len, reverse=True))) + r")(?![a-zA-Z])")
+
+    def once(text: str) -> Iterator[str]:
+        at = 0
+        for m in iter(lambda: names.search(text, at), None):
+            yield text[at : m.start()]
             arity, body = macros[m[1]]
-            out.append(text[at : m.start()])
-            at = m.end()
-            if arity:
-                begin = at + len(text[at:]) - len(text[at:].lstrip())
-                if text[begin : begin + 1] == "{":
-                    stop = balanced(text, begin, True)
-                    stop = len(text) + 1 if stop < 0 else stop
-                    body, at = body.replace("#1", text[begin + 1 : stop - 1]), min(stop, len(text))
-                elif begin < len(text):
-                    body, at = body.replace("#1", text[begin]), begin + 1
-                else:
-                    body = m[0]
-            out.append(body)
-        new = "".join(out) + text[at:]
-        if new == text:
+            value, at = argument(text, m.end()) if arity else ("", m.end())
+            yield m[0] if value is None else body.replace("#1", value) if arity else body
+        yield text[at:]
+
+    for _ in range(rounds):
+        before, text = text, "".join(once(text))
+        if text == before:
             break
-        text = new
     return text
 
 

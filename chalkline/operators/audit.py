@@ -143,10 +143,20 @@ def usage_cost(usage: DataFrame, prices: DataFrame) -> DataFrame:
 
 
 def usage_totals(usage: DataFrame) -> DataFrame:
-    """Totals per lecture, course and overall; cost is null only if all are; distinct notes joined."""
-    sums = [F.sum(c).alias(c) for c in ("input_tokens", "output_tokens", "cache_read_tokens", "cache_write_tokens", "cost")]
-    notes = F.array_join(F.array_sort(F.collect_set("note")), "; ").alias("notes")
-    return usage.rollup("course", "lecture").agg(*sums, notes, F.grouping_id().alias("level"))
+    """Totals per lecture, course and overall; cost is null only if all are; distinct notes joined.
+
+    Lectures are added up first, so the roll-up expands one row per lecture, not every usage row.
+    """
+    columns = ("input_tokens", "output_tokens", "cache_read_tokens", "cache_write_tokens", "cost")
+    each = usage.groupBy("course", "lecture").agg(*(F.sum(c).alias(c) for c in columns), F.collect_set("note").alias("notes"))
+    notes = F.array_join(F.array_sort(F.array_distinct(F.flatten(F.collect_set("notes")))), "; ").alias("notes")
+    return each.rollup("course", "lecture").agg(*(F.sum(c).alias(c) for c in columns), notes, F.grouping_id().alias("level"))
+
+
+def cost_lines(totals: DataFrame) -> DataFrame:
+    """Adds ``line``: the tokens in short form and the cost of a row of totals, ``?`` where no price is known."""
+    tokens = F.concat(T.short_tokens(F.col("input_tokens")), F.lit(" in, "), T.short_tokens(F.col("output_tokens")), F.lit(" out"))
+    return totals.withColumn("line", F.concat(tokens, F.lit(", "), F.coalesce(F.concat(F.lit("$"), F.format_string("%.2f", F.col("cost").cast("double"))), F.lit("?"))))
 
 
 def pending_work(sections: DataFrame, questions: DataFrame) -> DataFrame:
@@ -193,11 +203,20 @@ def course_audit(sections: DataFrame, segments: DataFrame, boards: DataFrame, op
 
 
 def audit_totals(audit: DataFrame) -> DataFrame:
-    """Grand totals of the audit and how many lectures each flag has, per course and overall."""
+    """Grand totals of the audit and how many lectures each flag has, per course and overall; :func:`flagged_lectures` names them."""
     sums = [F.sum(c).alias(c) for c in ("diagrams", "provenance", "equations", "todos", "cues", "open_questions")]
     return audit.rollup("course").agg(F.count(F.lit(1)).alias("lectures"), *sums, F.count_if("lost_diagrams").alias("lost"), F.count_if("short_read").alias("short"))
 
 
+def flagged_lectures(audit: DataFrame) -> DataFrame:
+    """The lectures behind the totals: one row ``(course, flag, pos, lecture, detail)`` per flag, in lecture order within its course and flag."""
+    lost = F.when(F.col("lost_diagrams"), F.struct(F.lit("lost diagrams").alias("flag"), F.concat("cues", F.lit(" cues")).alias("detail")))
+    short = F.when(F.col("short_read"), F.struct(F.lit("short read").alias("flag"), F.concat_ws("/", "written", "boards").alias("detail")))
+    rows = audit.select("course", "lecture_num", "lecture", F.explode(F.array_compact(F.array(lost, short))).alias("x"))
+    w = Window.partitionBy("course", "x.flag").orderBy("lecture_num", "lecture")
+    return rows.select("course", "x.flag", F.row_number().over(w).alias("pos"), "lecture", "x.detail")
+
+
 def clip_lists(rows: DataFrame, column: str, most: int = 20) -> DataFrame:
     """Arrays of strings cut to ``most`` items and a ``+N more`` marker."""
     c = F.col(column)

@@ -104,21 +104,31 @@ def unread_boards(boards: DataFrame, trace: DataFrame, role: str = "write") -> D
 
 
 def propagation_plan(revisions: DataFrame, sections: DataFrame) -> DataFrame:
-    """Every lecture after the first revised one, with the ordered changes of all earlier revised lectures, per course."""
-    r = revisions.select("course", F.col("lecture_num").alias("r"), "change")
-    rows = sections.select("course", "lecture_num").join(r, "course").where("r < lecture_num")
-    changes = F.array_sort(F.collect_list(F.struct("r", "change")))
-    return rows.groupBy("course", "lecture_num").agg(F.transform(changes, lambda x: x["change"]).alias("changes"))
+    """Every lecture after the first revised one, with the ordered changes of all earlier revised lectures, per course.
+
+    A running list along the lectures of a course; nothing is paired.
+    """
+    r = revisions.groupBy("course", "lecture_num").agg(F.array_sort(F.collect_list("change")).alias("own"))
+    rows = sections.select("course", "lecture_num", F.lit(True).alias("is_section")).distinct().join(r, ["course", "lecture_num"], "full_outer")
+    w = Window.partitionBy("course").orderBy("lecture_num").rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumn("changes", F.flatten(F.collect_list("own").over(w)))
+    return rows.where(F.col("is_section") & (F.size("changes") > 0)).select("course", "lecture_num", "changes")
 
 
 def prior_context(sections: DataFrame, full: int = FULL_CONTEXT) -> DataFrame:
-    """For each lecture its earlier ones: the last ``full`` in full, older by summary, in full without one."""
-    cur = sections.select("course", F.col("lecture_num").alias("k"))
-    rows = cur.join(sections.select("course", "lecture_num", "body", "summary"), "course").where("lecture_num < k")
-    back = F.row_number().over(Window.partitionBy("course", "k").orderBy(F.desc("lecture_num")))
-    use_body = (F.col("back") <= full) | (F.coalesce("summary", F.lit("")) == "")
-    rows = rows.withColumn("back", back)
-    return rows.select("course", "k", "lecture_num", F.when(use_body, "full").otherwise("summary").alias("form"), F.when(use_body, F.col("body")).otherwise(F.col("summary")).alias("text"))
+    """For each lecture its earlier ones: the last ``full`` in full, older by summary, in full without one.
+
+    The last ones come by ``lag``, so a body moves only with its own row; the join over a
+    course's older lectures carries summaries (and the bodies of those without one).
+    """
+    w = Window.partitionBy("course").orderBy("lecture_num")
+    rows = sections.select("course", "lecture_num", "body", "summary", F.row_number().over(w).alias("n"))
+    near = F.array(*(F.struct(F.lag("lecture_num", d).over(w).alias("lecture_num"), F.lag("body", d).over(w).alias("text")) for d in range(1, full + 1)))
+    last = rows.select("course", F.col("lecture_num").alias("k"), near.alias("near")).select("course", "k", F.explode("near").alias("x")).where("x.lecture_num IS NOT NULL").select("course", "k", "x.lecture_num", F.lit("full").alias("form"), "x.text")
+    brief = F.coalesce("summary", F.lit("")) != ""
+    old = rows.select("course", "lecture_num", F.col("n").alias("old_n"), F.when(brief, "summary").otherwise("full").alias("form"), F.when(brief, F.col("summary")).otherwise(F.col("body")).alias("text"))
+    older = rows.select("course", F.col("lecture_num").alias("k"), "n").where(F.col("n") > full + 1).join(old, "course").where(F.col("old_n") < F.col("n") - full)
+    return last.unionByName(older.select("course", "k", "lecture_num", "form", "text"))
 
 
 def order_mismatch(inputs: DataFrame, sections: DataFrame) -> DataFrame:
@@ -162,16 +172,24 @@ def unique_names(rows: DataFrame, rule: str = "dash") -> DataFrame:
     """
     w = Window.partitionBy("grp", "name").orderBy("pos")
     ranked = rows.withColumn("r", F.row_number().over(w) - 1)
-    taken = rows.groupBy("grp").agg(F.collect_set("name").alias("names")) if rule != "letters" else None
-    if taken is None:
-        return ranked.withColumn("unique", F.concat("name", F.expr("repeat('-b', r)"))).drop("r")
-    sep = "" if rule == "digits" else "-"
+    taken = rows.groupBy("grp").agg(F.collect_set("name").alias("names"))
+    suffix = {"letters": lambda n: F.repeat(F.lit("-b"), n - 1), "digits": lambda n: n.cast("string"), "dash": lambda n: F.concat(F.lit("-"), n)}[rule]
     most = ranked.groupBy("grp", "name").agg(F.max("r").alias("top"))
-    free = F.filter(F.transform(F.sequence(F.lit(2), F.col("top") + 2 + F.size("names")), lambda n: F.concat("name", F.lit(sep), n)), lambda x: ~F.array_contains("names", x))
+    free = F.filter(F.transform(F.sequence(F.lit(2), F.col("top") + 2 + F.size("names")), lambda n: F.concat("name", suffix(n))), lambda x: ~F.array_contains("names", x))
     options = most.where("top > 0").join(taken, "grp").select("grp", "name", free.alias("free"))
     return ranked.join(options, ["grp", "name"], "left").withColumn("unique", F.when(F.col("r") == 0, F.col("name")).otherwise(F.element_at("free", F.col("r")))).drop("r", "free")
 
 
+def unique_folders(lectures: DataFrame) -> DataFrame:
+    """Folder of each ``(grp, pos, slug, source)``: the slug for its first source, ``<slug>-<hash of the source>`` for other sources.
+
+    The same source comes back to its own folder.
+    """
+    w = Window.partitionBy("grp", "slug").orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    other = F.col("source") != F.first("source").over(w)
+    return lectures.withColumn("folder", F.when(other, F.concat_ws("-", "slug", F.left(F.sha1("source"), F.lit(8)))).otherwise(F.col("slug")))
+
+
 def available_prefix(inputs: DataFrame) -> DataFrame:
     """Per course: the leading run of ready inputs ``(course, pos, ready)``, and how many ready ones are held behind it."""
     missing = F.min(F.when(~F.col("ready"), F.col("pos"))).over(Window.partitionBy("course"))

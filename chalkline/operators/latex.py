@@ -65,33 +65,37 @@ def dangling_references(sections: DataFrame) -> DataFrame:
     return reference_edges(sections).join(label_defs(sections).select("course", "label").distinct(), ["course", "label"], "left_anti")
 
 
-def display_pieces(sections: DataFrame) -> DataFrame:
-    """Sections cut at equation displays: ``(course, lecture, pos, piece)``, a display being one piece."""
-    cut = F.split("body", r"(?=\\begin\{equation\*?\})|(?<=\\end\{equation\})|(?<=\\end\{equation\*\})")
-    return sections.select("course", "lecture", F.posexplode(cut).alias("pos", "piece"))
+DISPLAY = r"(?s)^\\begin\{equation(\*?)\}(.*)\\end\{equation\1\}$"
+
+
+def display_pieces(body: Column) -> Column:
+    """A body cut at equation displays, a display being one piece: ``(text, display, star)`` each; tagged displays count as text."""
+    cut = F.split(body, r"(?=\\begin\{equation\*?\})|(?<=\\end\{equation\})|(?<=\\end\{equation\*\})")
+    return F.transform(cut, lambda x: F.struct(x.alias("text"), (x.rlike(DISPLAY) & ~x.rlike(T.TAG)).alias("display"), F.regexp_extract(x, DISPLAY, 1).alias("star")))
 
 
 def normalize_numbering(sections: DataFrame) -> DataFrame:
     """Adds ``unnumbered`` and ``numbered`` and rewrites ``body``: cited displays become ``equation``, uncited ``equation*``.
 
     Tagged displays stay as they are; labels are kept; a second run changes nothing.
-    References are gathered from the whole course before anything is rewritten; only
-    labels are joined, the bodies are not.
+    References are gathered from the whole course before anything is rewritten.  Only
+    labels are shuffled for that; a body moves once, to meet the cited labels of its own
+    displays, and is rewritten inside its row.
     """
-    cited = cited_labels(sections)
-    pieces = display_pieces(sections).withColumn("star", F.regexp_extract("piece", r"(?s)^\\begin\{equation(\*?)\}.*\\end\{equation\1\}$", 1))
-    whole = F.col("piece").rlike(r"(?s)^\\begin\{equation(\*?)\}.*\\end\{equation\1\}$") & ~F.col("piece").rlike(T.TAG)
-    labelled = pieces.where(whole).select("course", "lecture", "pos", F.explode(T.labels(F.col("piece"))).alias("label"))
-    hit = labelled.join(cited, ["course", "label"], "left_semi").select("course", "lecture", "pos").distinct().withColumn("hit", F.lit(True))
-    rows = pieces.join(hit, ["course", "lecture", "pos"], "left").withColumn("want", F.when(F.col("hit"), "").otherwise("*"))
-    change = whole & (F.col("want") != F.col("star"))
-    inner = F.regexp_extract("piece", r"(?s)^\\begin\{equation\*?\}(.*)\\end\{equation\*?\}$", 1)
-    new = F.concat(F.lit("\\begin{equation"), "want", F.lit("}"), inner, F.lit("\\end{equation"), "want", F.lit("}"))
-    rows = rows.withColumn("new", F.when(change, new).otherwise(F.col("piece")))
-    ordered = F.array_sort(F.collect_list(F.struct("pos", "new")))
-    return rows.groupBy("course", "lecture").agg(
-        F.array_join(F.transform(ordered, lambda x: x["new"]), "").alias("body"),
-        F.count_if(change & (F.col("want") == "*")).alias("unnumbered"), F.count_if(change & (F.col("want") == "")).alias("numbered"),
+    refs = reference_edges(sections).select("course", "label").distinct()
+    pieces = display_pieces(F.col("body"))
+    own = F.array_distinct(F.flatten(F.transform(F.filter(pieces, lambda x: x["display"]), lambda x: T.labels(x["text"]))))
+    cited = sections.select("course", "lecture", F.explode(own).alias("label")).join(refs, ["course", "label"], "left_semi")
+    rows = sections.select("course", "lecture", pieces.alias("pieces")).join(cited.groupBy("course", "lecture").agg(F.collect_set("label").alias("cited")), ["course", "lecture"], "left")
+    wanted = lambda x: F.when(F.exists(T.labels(x["text"]), lambda n: F.array_contains(F.coalesce("cited", F.array().cast("array<string>")), n)), "").otherwise("*")
+    judged = F.transform("pieces", lambda x: F.struct(x["text"].alias("text"), F.when(x["display"], wanted(x)).alias("want"), x["star"].alias("star")))
+    rows = rows.select("course", "lecture", judged.alias("pieces"))
+    changed = lambda x: F.coalesce(x["want"] != x["star"], F.lit(False))
+    new = lambda x: F.concat(F.lit("\\begin{equation"), x["want"], F.lit("}"), F.regexp_extract(x["text"], DISPLAY, 2), F.lit("\\end{equation"), x["want"], F.lit("}"))
+    count = lambda want: F.size(F.filter("pieces", lambda x: changed(x) & (x["want"] == want))).cast("bigint")
+    return rows.select(
+        "course", "lecture", F.array_join(F.transform("pieces", lambda x: F.when(changed(x), new(x)).otherwise(x["text"])), "").alias("body"),
+        count("*").alias("unnumbered"), count("").alias("numbered"),
     )
 
 
@@ -196,6 +200,44 @@ def undefined_citations(sections: DataFrame, bib: DataFrame, most: int = 8) -> D
     return missing.groupBy("course").agg(F.slice(every, 1, most).alias("keys"), F.greatest(F.size(every) - most, F.lit(0)).alias("more"))
 
 
+SPAN_BUCKET = 64
+
+
+def at_line(rows: DataFrame, spans: DataFrame) -> DataFrame:
+    """``rows (doc, line, ...)`` with the ``lecture`` and ``lo`` of the span that holds the line, null where none does.
+
+    Spans ``(doc, lecture, lo, hi)`` are laid over buckets of lines, so this is an
+    equi-join on document and bucket; a document with a third of all errors spreads over its buckets.
+    """
+    over = F.explode(F.sequence(F.floor(F.col("lo") / SPAN_BUCKET), F.floor(F.col("hi") / SPAN_BUCKET)))
+    s = spans.select("doc", over.alias("_bucket"), "lecture", "lo", "hi").alias("s")
+    r = rows.withColumn("_bucket", F.floor(F.col("line") / SPAN_BUCKET)).alias("r")
+    key = (F.col("r.doc") == F.col("s.doc")) & (F.col("r._bucket") == F.col("s._bucket")) & F.col("r.line").between(F.col("s.lo"), F.col("s.hi"))
+    return r.join(s, key, "left").select(*(f"r.{c}" for c in rows.columns), "s.lecture", "s.lo")
+
+
+def grams(c: Column) -> Column:
+    """The distinct three-character pieces of a string of at least three characters."""
+    return F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(c) - 2), lambda i: F.substring(c, i, F.lit(3))))
+
+
+def first_holder(tokens: DataFrame, sources: DataFrame) -> DataFrame:
+    """``(doc, token, lecture)``: the first of a document's ``sources (doc, pos, lecture, body)`` whose text holds the token.
+
+    Tokens have three characters or more and no white space, so each lies inside one
+    blank-delimited word.  Words are kept once per document, with the first place they
+    occur; a token meets only those words that share its rarest three characters.
+    """
+    words = sources.select("doc", "pos", "lecture", F.explode(F.array_distinct(F.split("body", r"\s+"))).alias("word")).where(F.length("word") > 2)
+    words = words.groupBy("doc", "word").agg(F.min(F.struct("pos", "lecture")).alias("at"))
+    index = words.select("doc", "word", "at", F.explode(grams(F.col("word"))).alias("gram"))
+    asked = tokens.select("doc", "token", F.explode(grams(F.col("token"))).alias("gram"))
+    known = index.join(asked.select("doc", "gram").distinct(), ["doc", "gram"], "left_semi").groupBy("doc", "gram").agg(F.count(F.lit(1)).alias("n"))
+    rarest = asked.join(known, ["doc", "gram"], "left").groupBy("doc", "token").agg(F.min_by("gram", F.struct("n", "gram")).alias("gram"), F.bool_and(F.col("n").isNotNull()).alias("all_known"))
+    met = rarest.where("all_known").join(index, ["doc", "gram"]).where(F.col("word").contains(F.col("token")))
+    return met.groupBy("doc", "token").agg(F.min("at").alias("at")).select("doc", "token", "at.lecture")
+
+
 def attribute_errors(errors: DataFrame, spans: DataFrame, sections: DataFrame, preamble: DataFrame) -> DataFrame:
     """``(doc, error, lecture)``: which section caused each error; ``preamble`` for additions, null for none.
 
@@ -205,38 +247,27 @@ def attribute_errors(errors: DataFrame, spans: DataFrame, sections: DataFrame, p
     above the first section to the additions; the rest to the first source, additions
     first, that holds the first identifier found in any.
     """
-    cited = errors.where("citations IS NOT NULL").select("doc", "error", F.explode("citations").alias("key"))
     keys = F.flatten(F.transform(F.regexp_extract_all("body", F.lit(CITE), 1), lambda x: F.split(x, ",")))
     uses = sections.select("doc", "lecture", F.explode(F.array_distinct(F.transform(keys, lambda k: F.trim(k)))).alias("key"))
-    by_key = cited.join(uses, ["doc", "key"]).select("doc", "error", "lecture").distinct()
-
-    plain = errors.where("citations IS NULL").join(spans.groupBy("doc").agg(F.min("lo").alias("top")), "doc", "left").join(preamble, "doc", "left")
-    added = F.trim(F.coalesce("additions", F.lit(""))) != ""
-    above = plain.where((F.col("line") < F.col("top")) & added).select("doc", "error", F.lit("preamble").alias("lecture"))
-    # spans of a document don't overlap: the last one that begins at or above the line is the only candidate
-    marks = spans.select("doc", F.col("lo").alias("at"), F.lit(0).alias("kind"), F.struct("lecture", "hi").alias("span"), F.lit(None).cast("bigint").alias("error"))
-    asks = plain.where("line >= top").select("doc", F.col("line").cast("bigint").alias("at"), F.lit(1).alias("kind"), F.lit(None).cast(marks.schema["span"].dataType).alias("span"), "error")
-    w = Window.partitionBy("doc").orderBy("at", "kind").rowsBetween(Window.unboundedPreceding, 0)
-    by_line = marks.unionByName(asks).withColumn("span", F.last("span", True).over(w)).where("kind = 1 AND at <= span.hi").select("doc", "error", "span.lecture")
-
-    placed = above.unionByName(by_line)
-    rest = plain.join(placed, ["doc", "error"], "left_anti").select("doc", "error", F.posexplode(error_tokens(F.col("message"))).alias("token_pos", "token"))
+    cited = errors.where("citations IS NOT NULL").select("doc", "error", F.explode_outer("citations").alias("key"))
+    by_key = cited.join(uses, ["doc", "key"], "left").groupBy("doc", "error").agg(F.collect_set("lecture").alias("lectures"))
+    by_key = by_key.select("doc", "error", F.explode_outer("lectures").alias("lecture"))
+
+    heads = spans.groupBy("doc").agg(F.min("lo").alias("top")).join(preamble.where(F.trim("additions") != "").select("doc", F.lit(True).alias("added")), "doc", "left")
+    plain = at_line(errors.where("citations IS NULL").select("doc", "error", F.col("line").cast("bigint").alias("line"), "message"), spans).join(heads, "doc", "left")
+    plain = plain.withColumn("lecture", F.when((F.col("line") < F.col("top")) & F.col("added"), "preamble").otherwise(F.col("lecture")))
     sources = sections.select("doc", "pos", "lecture", "body").unionByName(preamble.where(F.trim("additions") != "").select("doc", F.lit(-1).cast("int").alias("pos"), F.lit("preamble").alias("lecture"), F.col("additions").alias("body")))
+    tokens = plain.where("lecture IS NULL").select("doc", "error", F.posexplode(error_tokens(F.col("message"))).alias("token_pos", "token"))
     # each distinct identifier is looked for once per document, however many errors name it
-    first = rest.select("doc", "token").distinct().join(sources, "doc").where(F.col("body").contains(F.col("token")))
-    first = first.groupBy("doc", "token").agg(F.min_by("lecture", "pos").alias("lecture"))
-    named = rest.join(first, ["doc", "token"]).groupBy("doc", "error").agg(F.min_by("lecture", "token_pos").alias("lecture"))
-    found = by_key.unionByName(placed).unionByName(named)
-    return found.unionByName(errors.select("doc", "error").join(found, ["doc", "error"], "left_anti").withColumn("lecture", F.lit(None).cast("string")))
+    named = tokens.join(first_holder(tokens.select("doc", "token").distinct(), sources), ["doc", "token"])
+    named = named.groupBy("doc", "error").agg(F.min_by("lecture", "token_pos").alias("named"))
+    return plain.join(named, ["doc", "error"], "left").select("doc", "error", F.coalesce("lecture", "named").alias("lecture")).unionByName(by_key)
 
 
 def localize_errors(errors: DataFrame, spans: DataFrame, lines: DataFrame) -> DataFrame:
     """Document line to section line, with the source text there; ``errors (doc, error, line)``, ``lines (doc, line_no, line)``."""
     located = errors.join(lines.select("doc", F.col("line_no").alias("line"), F.col("line").alias("source")), ["doc", "line"], "left")
-    # spans are thin and equi-joined by document
-    s = spans.select("doc", "lecture", "lo", "hi")
-    hit = located.join(s, (located.doc == s.doc) & (located.line >= s.lo) & (located.line <= s.hi), "left").drop(s.doc)
-    return hit.select("doc", "error", "lecture", (F.col("line") - F.col("lo") + 1).alias("section_line"), "source")
+    return at_line(located, spans).select("doc", "error", "lecture", (F.col("line") - F.col("lo") + 1).alias("section_line"), "source")
 
 
 def outline(docs: DataFrame) -> DataFrame:
@@ -272,6 +303,13 @@ def declared_names(line: Column) -> Column:
     return F.array_distinct(F.transform(names, lambda x: F.regexp_replace(x, r"\*+$", "")))
 
 
+def anchors(declarations: DataFrame) -> DataFrame:
+    """Per course the environments declared with ``\\declaretheorem``, in order, once each; ``(course, pos, line)``."""
+    first = declarations.select("course", "pos", F.posexplode(F.regexp_extract_all("line", F.lit(DECLARE), 3)).alias("n", "name"))
+    first = first.groupBy("course", F.regexp_replace("name", r"\*+$", "").alias("name")).agg(F.min(F.struct("pos", "n")).alias("at"))
+    return first.groupBy("course").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "name"))), lambda x: x["name"]).alias("names"))
+
+
 def duplicate_declarations(decls: DataFrame, built_in: tuple[str, ...] = ()) -> DataFrame:
     """Lines ``(course, pos, line)`` without those whose every name was declared before; lines without names pass."""
     names = decls.select("course", "pos", F.explode(declared_names(F.col("line"))).alias("name"))

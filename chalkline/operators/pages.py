@@ -12,6 +12,9 @@ from chalkline.functions.udf import match_ratio, unescape_entities
 SKIPPED = ("script", "style", "nav", "footer", "header", "aside")
 BREAKING = ("p", "br", "div", "h1", "h2", "h3", "h4", "h5", "li", "tr")
 AGREEMENT = 0.97
+ORIGINAL = r"(?s)%%%\s*ORIGINAL-START\s*\n(.*?)\n%%%\s*ORIGINAL-END"
+REWRITTEN = r"(?s)%%%\s*REWRITTEN-START\s*\n(.*?)\n%%%\s*REWRITTEN-END"
+PACKAGES = r"%%%\s*PACKAGES:\s*([^\n]*)"
 
 
 def page_text(pages: DataFrame) -> DataFrame:
@@ -43,13 +46,19 @@ def page_text(pages: DataFrame) -> DataFrame:
 
 def passage_blocks(files: DataFrame) -> DataFrame:
     """Paired ORIGINAL/REWRITTEN blocks ``(file, pos, original, rewritten)`` of ``(file, text)``, to the shorter list."""
-    block = lambda name: F.regexp_extract_all("text", F.lit(rf"(?s)=== {name} ===\n(.*?)\n=== END ==="), 1)
-    pairs = files.select("file", block("ORIGINAL").alias("o"), block("REWRITTEN").alias("r"))
+    blocks = lambda pattern: F.transform(F.regexp_extract_all("text", F.lit(pattern), 1), T.strip)
+    pairs = files.select("file", blocks(ORIGINAL).alias("o"), blocks(REWRITTEN).alias("r"))
     n = F.least(F.size("o"), F.size("r"))
     rows = pairs.where(n > 0).select("file", F.posexplode(F.arrays_zip(F.slice("o", F.lit(1), n).alias("o"), F.slice("r", F.lit(1), n).alias("r"))).alias("pos", "x"))
     return rows.select("file", "pos", F.col("x.o").alias("original"), F.col("x.r").alias("rewritten"))
 
 
+def requested_packages(files: DataFrame) -> DataFrame:
+    """``(file, pos, package)`` of the comma list in a file's packages line, blanks left out."""
+    listed = F.filter(F.transform(F.split(F.regexp_extract("text", PACKAGES, 1), ","), T.strip), lambda x: x != "")
+    return files.select("file", F.posexplode(listed).alias("pos", "package"))
+
+
 def passage_agreement(passages: DataFrame, least: float = AGREEMENT) -> DataFrame:
     """Adds ``agreement`` of the normalised texts, ``verified`` and a note.
 

@@ -138,6 +138,14 @@ def usage_rollup(spark, sf):
     return O.usage_totals(O.usage_cost(A.usage(spark, sf), _prices(spark))).withColumn("cost", F.round("cost", 8))
 
 
+@query("cost_lines", f"""WITH u AS (SELECT course, sum(i)::BIGINT AS i, sum(o)::BIGINT AS o, sum({COST}) AS cost FROM {USAGE} GROUP BY course),
+t AS (SELECT *, CASE WHEN i >= 1000000 THEN printf('%.2fM', i / 1e6) WHEN i >= 1000 THEN printf('%.1fk', i / 1e3) ELSE i::VARCHAR END AS si, CASE WHEN o >= 1000000 THEN printf('%.2fM', o / 1e6) WHEN o >= 1000 THEN printf('%.1fk', o / 1e3) ELSE o::VARCHAR END AS so FROM u)
+SELECT course, si || ' in, ' || so || ' out, ' || CASE WHEN cost IS NULL THEN '?' ELSE printf('$%.2f', cost) END AS line FROM t""")
+def cost_lines(spark, sf):
+    totals = O.usage_totals(O.usage_cost(A.usage(spark, sf), _prices(spark)))
+    return O.cost_lines(totals.where("level = 1")).select("course", "line")
+
+
 @query("pending_work", """WITH t AS (SELECT o_orderkey % 100 AS lecture, sum(o_orderkey % 3)::BIGINT AS todos FROM orders GROUP BY 1),
 q AS (SELECT user_id AS lecture, count(*) AS open FROM events WHERE event_type NOT IN ('click', 'purchase') GROUP BY 1)
 SELECT lecture, coalesce(todos, 0) AS todos, coalesce(open, 0) AS open FROM t FULL JOIN q USING (lecture) WHERE coalesce(todos, 0) > 0 OR coalesce(open, 0) > 0""")
@@ -185,6 +193,13 @@ def audit_totals(spark, sf):
     return O.audit_totals(_audit(spark, sf))
 
 
+@query("flagged_lectures", AUDIT + """, f AS (SELECT course, 'lost diagrams' AS flag, lecture_num, lecture, cues || ' cues' AS detail FROM a WHERE lost_diagrams
+UNION ALL SELECT course, 'short read', lecture_num, lecture, written || '/' || boards FROM a WHERE short_read)
+SELECT course, flag, (row_number() OVER (PARTITION BY course, flag ORDER BY lecture_num))::INTEGER AS pos, lecture, detail FROM f""")
+def flagged_lectures(spark, sf):
+    return O.flagged_lectures(_audit(spark, sf))
+
+
 @query("clip_lists", """SELECT l_orderkey, CASE WHEN count(*) > 3 THEN list_slice(list(l_linenumber::VARCHAR ORDER BY l_linenumber), 1, 3) || ['… [+' || (count(*) - 3) || ' more]'] ELSE list(l_linenumber::VARCHAR ORDER BY l_linenumber) END AS items
 FROM lineitem GROUP BY l_orderkey""")
 def clip_lists(spark, sf):

@@ -40,12 +40,14 @@ def bibliography_index(spark, sf):
     return B.bibliography_index(_written(spark, sf)).select("cite_key", "author", "title", "year")
 
 
-@query("tidy_bibliography", """SELECT p_partkey AS pos, p_size % 4 <> 1 AS changed, p_size % 4 = 1 AS has_url, CASE WHEN p_size % 4 IN (0, 2) THEN '10.5555/' || p_partkey END AS doi, false AS changed_again FROM part""")
+@query("tidy_bibliography", """SELECT p_partkey AS pos, p_size % 4 <> 1 AS changed, false AS changed_again,
+'@article{key' || p_partkey || ',' || chr(10) || '  title = {The {' || p_name || '} of  ' || p_brand || '},' || chr(10) || '  author = {Last' || p_size % 4 || ', First and Other, One},' || chr(10) || CASE p_size % 4
+WHEN 0 THEN '  doi = {10.5555/' || p_partkey || '},' WHEN 1 THEN '  url = {https://www.example.org/' || p_partkey || '/},' WHEN 2 THEN '  DOI = {10.5555/' || p_partkey || '},'
+ELSE '  eprint = {2101.' || lpad(p_partkey::VARCHAR, 5, '0') || 'v2},' || chr(10) || '  archivePrefix={arXiv},' END || chr(10) || '  year = ' || (p_size % 4 + 2000) || chr(10) || '}' AS entry FROM part""")
 def tidy_bibliography(spark, sf):
     once = B.tidy_bibliography(entries(spark, sf))
     twice = B.tidy_bibliography(once.withColumnRenamed("changed", "first"))
-    doi = F.nullif(F.regexp_extract("entry", r"(?i)\bdoi\s*=\s*\{([^}]*)\}", 1), F.lit(""))
-    return twice.select("pos", F.col("first").alias("changed"), F.col("entry").contains("url").alias("has_url"), doi.alias("doi"), F.col("changed").alias("changed_again"))
+    return twice.select("pos", F.col("first").alias("changed"), F.col("changed").alias("changed_again"), "entry")
 
 
 def _urls(spark, sf):
@@ -72,7 +74,10 @@ def existing_citation(spark, sf):
 
 
 @query("new_entries", """WITH r AS (SELECT p_partkey AS request, CASE WHEN p_size % 2 = 0 THEN 'last' || p_size % 4 || (2000 + p_size % 5) || split_part(p_name, ' ', 1) ELSE replace(p_name, ' ', '-') END AS base, p_size, p_name FROM part)
-SELECT request, base || CASE WHEN row_number() OVER w > 1 THEN (row_number() OVER w)::VARCHAR ELSE '' END AS cite_key, p_size % 3 = 0 AS corrupt FROM r WINDOW w AS (PARTITION BY base ORDER BY request)""")
+SELECT request, base || CASE WHEN row_number() OVER w > 1 THEN (row_number() OVER w)::VARCHAR ELSE '' END AS cite_key, p_size % 3 = 0 AS corrupt,
+'title = {' || CASE WHEN p_size % 2 = 0 THEN 'The ' ELSE '' END || p_name || '},' AS title, 'url = {http://y.org/' || request || CASE WHEN p_size % 3 = 0 THEN '?' ELSE '' END || '},' AS url, 'urldate = {2024-01-01},' AS urldate,
+CASE WHEN p_size % 2 = 0 THEN 'author = {First Last' || p_size % 4 || ' and Other},' ELSE 'label' END AS second
+FROM r WINDOW w AS (PARTITION BY base ORDER BY request)""")
 def new_entries(spark, sf):
     size = F.col("p_size")
     author = F.when(size % 2 == 0, F.concat(F.lit("First Last"), size % 4, F.lit(" and Other")))
@@ -80,7 +85,12 @@ def new_entries(spark, sf):
     r = r.withColumn("title", F.when(F.col("author").isNotNull(), F.col("title")).otherwise(F.expr("substring(title, 5)")))
     r = r.withColumn("url", F.when(F.col("s") % 3 == 0, F.concat("url", F.lit("\ufffd"))).otherwise(F.col("url")))
     empty = spark.createDataFrame([], "source_key string, pos bigint, cite_key string")
-    return B.new_entries(r, empty, "2024-01-01").select("request", "cite_key", "corrupt")
+    line = lambda n: F.trim(F.split("entry", "\n")[n])
+    second = F.when(line(2).startswith("label"), "label").otherwise(line(2))
+    at = F.when(line(3).startswith("year"), 4).otherwise(3)
+    return B.new_entries(r, empty, "2024-01-01").select(
+        "request", "cite_key", "corrupt", line(1).alias("title"), line(at).alias("url"), line(at + 1).alias("urldate"), second.alias("second")
+    )
 
 
 @query("normalized_urls", "SELECT regexp_replace(regexp_replace(regexp_replace(replace(trim(url), chr(92), ''), '^https?://', '', 'i'), '^www\\.', '', 'i'), '/+$', '') AS url, count(*) AS n, min(page_id) AS first FROM pages GROUP BY 1")
@@ -104,10 +114,9 @@ def page_titles(spark, sf):
 c AS (SELECT page_id, regexp_replace(g, '(?s)<nav>.*?</nav>', chr(10) || chr(10), 'g') AS h FROM b),
 t AS (SELECT page_id, regexp_replace(regexp_replace(h, '</(p|br|div|h1|h2|h3|h4|h5|li|tr)>', chr(10), 'g'), '<[/!a-zA-Z][^>]*>', '', 'g') AS t FROM c),
 u AS (SELECT page_id, replace(replace(replace(replace(replace(replace(t, '&quot;', '"'), '&lt;', '<'), '&gt;', '>'), '&middot;', '·'), '&copy;', '©'), '&amp;', '&') AS t FROM t)
-SELECT page_id, length(trim(regexp_replace(regexp_replace(t, ' *\\n *', chr(10), 'g'), '\\n\\n+', chr(10) || chr(10), 'g'), ' ' || chr(10)))::INTEGER AS chars, length(replace(regexp_replace(t, '\\s', '', 'g'), ' ', ''))::INTEGER AS solid FROM u""")
+SELECT page_id, md5(trim(regexp_replace(regexp_replace(t, ' *\\n *', chr(10), 'g'), '\\n\\n+', chr(10) || chr(10), 'g'), ' ' || chr(10))) AS text FROM u""")
 def page_text(spark, sf):
-    t = P.page_text(A.table(spark, sf, "pages"))
-    return t.select("page_id", F.length("text").alias("chars"), F.length(F.regexp_replace("text", r"\s", "")).alias("solid"))
+    return P.page_text(A.table(spark, sf, "pages")).select("page_id", F.md5("text").alias("text"))
 
 
 def _passages(spark, sf):
@@ -118,12 +127,22 @@ def _passages(spark, sf):
     return A.table(spark, sf, "documents").select(k.alias("source"), t.alias("original"), new.alias("rewritten"))
 
 
-@query("passage_blocks", "SELECT doc_id AS file, 0::INTEGER AS pos, length(coalesce(text, ''))::INTEGER AS chars, CASE WHEN doc_id % 5 = 0 THEN 'cut' WHEN doc_id % 3 = 0 THEN 'x' ELSE 'same' END AS kind FROM documents WHERE doc_id % 7 <> 0 AND coalesce(text, '') <> ''")
+@query("passage_blocks", """SELECT doc_id AS file, 0::INTEGER AS pos, md5(regexp_replace(text, '^[\\s]+|[\\s]+$', '', 'g')) AS original, CASE WHEN doc_id % 5 = 0 THEN 'cut' WHEN doc_id % 3 = 0 THEN 'x' ELSE 'same' END AS rewritten
+FROM documents WHERE doc_id % 7 <> 0 AND coalesce(text, '') <> ''""")
 def passage_blocks(spark, sf):
+    """One pair a file, a second rewrite without an original; files without any rewrite give nothing."""
     p = _passages(spark, sf)
-    second = F.when(F.col("source") % 7 == 0, "").otherwise(F.concat(F.lit("=== REWRITTEN ===\n"), F.when(F.col("source") % 5 == 0, "cut").when(F.col("source") % 3 == 0, "x").otherwise("same"), F.lit("\n=== END ===\n=== REWRITTEN ===\nodd\n=== END ===")))
-    f = p.select(F.col("source").alias("file"), F.concat(F.lit("=== ORIGINAL ===\n"), "original", F.lit("\n=== END ===\n"), second).alias("text")).where("original <> ''")
-    return P.passage_blocks(f).select("file", "pos", F.length("original").alias("chars"), F.col("rewritten").alias("kind"))
+    word = F.when(F.col("source") % 5 == 0, "cut").when(F.col("source") % 3 == 0, "x").otherwise("same")
+    rewrites = F.when(F.col("source") % 7 == 0, "").otherwise(F.concat(F.lit("%%% REWRITTEN-START\n"), word, F.lit("\n%%% REWRITTEN-END\n%%% REWRITTEN-START\nodd\n%%% REWRITTEN-END")))
+    f = p.select(F.col("source").alias("file"), F.concat(F.lit("%%% ORIGINAL-START\n"), "original", F.lit("\n%%% ORIGINAL-END\n"), rewrites).alias("text")).where("original <> ''")
+    return P.passage_blocks(f).select("file", "pos", F.md5("original").alias("original"), "rewritten")
+
+
+@query("requested_packages", "SELECT doc_id AS file, k::INTEGER AS pos, CASE k WHEN 0 THEN 'amsmath' ELSE 'pkg' || doc_id END AS package FROM documents, (VALUES (0), (1)) v(k) WHERE doc_id % 3 = 0 OR k = 0 AND doc_id % 3 = 1")
+def requested_packages(spark, sf):
+    d = A.table(spark, sf, "documents").select(F.col("doc_id").alias("file"), F.coalesce("text", F.lit("")).alias("text"))
+    listed = F.when(F.col("file") % 3 == 0, F.concat(F.lit("\n%%% PACKAGES: amsmath,  pkg"), "file", F.lit(" ,\n"))).when(F.col("file") % 3 == 1, "\n%%% PACKAGES:amsmath").otherwise("")
+    return P.requested_packages(d.select("file", F.concat("text", listed).alias("text")))
 
 
 @query("passage_agreement")

@@ -55,13 +55,15 @@ def labels_intersect_refs(spark, sf):
 
 
 # every display of the adapter is unstarred: an uncited one is starred once per line item
-CHANGED = f"""SELECT o_custkey % 10 AS course, l_orderkey AS lecture, count(*) FILTER (WHERE c.label IS NULL) AS unnumbered, 0::BIGINT AS numbered
-FROM lineitem JOIN orders ON l_orderkey = o_orderkey LEFT JOIN (SELECT DISTINCT course, label FROM ({EDGES})) c ON c.course = o_custkey % 10 AND c.label = 'eq:' || l_orderkey || ':' || l_linenumber GROUP BY ALL"""
+CITED = f"SELECT o_custkey % 10 AS course, l_orderkey AS lecture, l_linenumber, l_partkey, c.label IS NOT NULL AS cited FROM lineitem JOIN orders ON l_orderkey = o_orderkey LEFT JOIN (SELECT DISTINCT course, label FROM ({EDGES})) c ON c.course = o_custkey % 10 AND c.label = 'eq:' || l_orderkey || ':' || l_linenumber"
+CHANGED = f"SELECT course, lecture, count(*) FILTER (WHERE NOT cited) AS unnumbered, 0::BIGINT AS numbered FROM ({CITED}) GROUP BY ALL"
+PART = """'\\begin{equation' || star || '}' || chr(10) || '  x \\label{eq:' || lecture || ':' || l_linenumber || '}' || chr(10) || '\\end{equation' || star || '}' || chr(10) || 'See \\cref{eq:' || l_partkey || ':' || l_linenumber || '}.'"""
 
 
-@query("normalize_numbering", CHANGED)
+@query("normalize_numbering", f"""SELECT course, lecture, count(*) FILTER (WHERE NOT cited) AS unnumbered, 0::BIGINT AS numbered, md5(string_agg({PART}, chr(10) ORDER BY l_linenumber, l_partkey)) AS body
+FROM (SELECT *, CASE WHEN cited THEN '' ELSE '*' END AS star FROM ({CITED})) GROUP BY ALL""")
 def normalize_numbering(spark, sf):
-    return L.normalize_numbering(A.sections(spark, sf)).select("course", "lecture", "unnumbered", "numbered")
+    return L.normalize_numbering(A.sections(spark, sf)).select("course", "lecture", "unnumbered", "numbered", F.md5("body").alias("body"))
 
 
 @query("numbering_changes", f"SELECT course, lecture, sum(unnumbered)::BIGINT AS unnumbered, sum(numbered)::BIGINT AS numbered FROM ({CHANGED}) GROUP BY ROLLUP (course, lecture)")
@@ -83,10 +85,11 @@ def numbering_review(spark, sf):
     return L.numbering_review(_aligned(spark, sf)).select("course", "lecture", "label", "context", "kind").distinct()
 
 
-@query("review_report", "SELECT o_orderkey AS lecture_num, 'eq:' || o_custkey AS label FROM orders WHERE o_orderkey % 3 = 0")
+@query("review_report", "SELECT CASE WHEN o_orderkey % 3 = 0 THEN o_orderkey END AS lecture_num, 'eq:' || o_custkey AS label FROM orders")
 def review_report(spark, sf):
-    o = A.table(spark, sf, "orders").where("o_orderkey % 3 = 0")
-    return L.review_report(o.select(F.col("o_orderkey").alias("lecture_num"), F.concat(F.lit("eq:"), "o_custkey").alias("label")))
+    """Every third order is an item of its lecture, the others are course-wide."""
+    o = A.table(spark, sf, "orders")
+    return L.review_report(o.select(F.when(F.col("o_orderkey") % 3 == 0, F.col("o_orderkey")).alias("lecture_num"), F.concat(F.lit("eq:"), "o_custkey").alias("label")))
 
 
 @query("todo_items", """SELECT o_orderkey AS lecture, (row_number() OVER (PARTITION BY o_orderkey ORDER BY k) - 1)::INTEGER AS pos, CASE k WHEN 0 THEN 'check {\\mathbb Z} ' || o_custkey ELSE 'two lines \\} here' END AS todo
@@ -215,6 +218,12 @@ def theorem_declarations(spark, sf):
     return L.theorem_declarations(_declarations(spark, sf))
 
 
+@query("anchors", """WITH d AS (SELECT o_custkey % 10 AS course, CASE o_orderkey % 4 WHEN 0 THEN 'e' || o_orderkey % 7 ELSE 'remark' END AS name, min(o_orderkey) AS pos FROM orders WHERE o_orderkey % 4 IN (0, 3) GROUP BY 1, 2)
+SELECT course, list(name ORDER BY pos) AS names FROM d GROUP BY course""")
+def anchors(spark, sf):
+    return L.anchors(_declarations(spark, sf))
+
+
 @query("duplicate_declarations", """WITH x AS (SELECT o_custkey % 10 AS course, o_orderkey AS pos, CASE o_orderkey % 4 WHEN 0 THEN 'e' || o_orderkey % 7 WHEN 1 THEN 'n' || o_orderkey % 7 WHEN 3 THEN 'remark' END AS name FROM orders)
 SELECT course, pos FROM x QUALIFY name IS NULL OR row_number() OVER (PARTITION BY course, name ORDER BY pos) = 1""")
 def duplicate_declarations(spark, sf):

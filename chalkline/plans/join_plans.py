@@ -71,7 +71,9 @@ def correct_timestamps(spark, sf):
 @query("verify_originals", "SELECT doc_id AS source, doc_id % 3 <> 0 AS verified, CASE WHEN doc_id % 3 = 0 THEN 'not in the source' END AS note FROM documents")
 def verify_originals(spark, sf):
     d = A.table(spark, sf, "documents").select(F.col("doc_id").alias("source"), F.coalesce("text", F.lit("")).alias("text"))
-    cut = F.regexp_replace(F.trim(F.substring("text", 10, 200)), " ", "\n  ")
+    # a passage from anywhere in the text, by a hash of its id
+    at = F.pmod(F.xxhash64("source"), F.greatest(F.length("text") - 200, F.lit(1))).cast("int") + 1
+    cut = F.regexp_replace(F.trim(F.substring("text", at, F.lit(200))), " ", "\n  ")
     return J.verify_originals(d.select("source", F.when(F.col("source") % 3 == 0, F.concat(cut, F.lit("☃"))).otherwise(cut).alias("original")), d).select("source", "verified", "note")
 
 
@@ -146,6 +148,14 @@ def unique_names(spark, sf):
     return J.unique_names(A.table(spark, sf, "orders").select(F.col("o_custkey").alias("grp"), F.col("o_orderkey").alias("pos"), F.col("o_orderpriority").alias("name"))).select("grp", "pos", "unique")
 
 
+@query("unique_folders", """WITH x AS (SELECT o_custkey AS grp, o_orderkey AS pos, lower(o_orderstatus) AS slug, 'https://x/' || o_orderkey % 3 AS source FROM orders)
+SELECT grp, pos, CASE WHEN source <> first_value(source) OVER (PARTITION BY grp, slug ORDER BY pos) THEN slug || '-' || left(sha1(source), 8) ELSE slug END AS folder FROM x""")
+def unique_folders(spark, sf):
+    k = F.col("o_orderkey")
+    o = A.table(spark, sf, "orders").select(F.col("o_custkey").alias("grp"), k.alias("pos"), F.lower("o_orderstatus").alias("slug"), F.concat(F.lit("https://x/"), k % 3).alias("source"))
+    return J.unique_folders(o).select("grp", "pos", "folder")
+
+
 @query("available_prefix", f"""WITH s AS (SELECT o_custkey AS course, {NUM} AS pos, o_orderkey % 4 > 0 AS ready FROM orders), t AS (SELECT *, min(CASE WHEN NOT ready THEN pos END) OVER (PARTITION BY course) AS stop FROM s)
 SELECT course, count(*) FILTER (WHERE stop IS NULL OR pos < stop) AS prefix, count(*) FILTER (WHERE ready AND pos > stop) AS held FROM t GROUP BY course""")
 def available_prefix(spark, sf):

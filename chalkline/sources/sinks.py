@@ -21,6 +21,12 @@ def write_boards(boards: DataFrame, path: str) -> None:
     boards.write.partitionBy("video").json(path)
 
 
+def write_board_documents(boards: DataFrame, summary: DataFrame, path: str) -> None:
+    """One document per video: the segmentation's figures of ``summary (video, ...)`` and its ordered ``boards``."""
+    items = boards.groupBy("video").agg(F.sort_array(F.collect_list(F.struct(*(c for c in boards.columns if c != "video")))).alias("boards"))
+    summary.join(items, "video", "left").withColumn("boards", F.coalesce("boards", F.array())).write.partitionBy("video").json(path)
+
+
 def append_runs(runs: DataFrame, path: str) -> None:
     runs.write.mode("append").json(path)
 
@@ -48,8 +54,9 @@ def export_course(sections: DataFrame, path: str) -> DataFrame:
 
 
 def write_bib(entries: DataFrame, path: str) -> None:
-    """Entries after their ``% source:`` marker, in order, one folder per course."""
-    text = F.concat(F.lit("% source: "), F.col("source_key"), F.lit("\n"), F.col("entry"), F.lit("\n"))
+    """Entries in order, one folder per course, each after its ``% source:`` marker; one without a source has none."""
+    marker = F.when(F.col("source_key").isNotNull(), F.concat(F.lit("% source: "), "source_key", F.lit("\n"))).otherwise("")
+    text = F.concat(marker, F.col("entry"), F.lit("\n"))
     entries.select("course", "pos", text.alias("value")).repartition("course").sortWithinPartitions("course", "pos").drop("pos").write.partitionBy("course").text(path)
 
 

@@ -11,17 +11,29 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+from chalkline.functions.text import BOARD_FILE
+
 
 def tail_json(spark: SparkSession, path: str, schema: str, files_per_trigger: int = 8) -> DataFrame:
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).json(path)
 
 
 def run_summary(trace: DataFrame, late: str = "1 hour", idle: str = "12 hours") -> DataFrame:
-    """Events, seconds and boards per run: a run closes when it has been idle for ``idle`` of trace time."""
-    keyed = trace.withWatermark("t", late).groupBy("run", F.session_window("t", idle))
-    return keyed.agg(F.count(F.lit(1)).alias("events"), F.sum("seconds").alias("seconds"), F.count_if("error").alias("errors"))
+    """Events, seconds, errors, boards opened and calls per tool of each run; a run closes when it has been idle for ``idle`` of trace time.
+
+    The state of a run is its sums, the distinct board numbers and the names of its calls.
+    """
+    board = F.nullif(F.regexp_extract(F.get_json_object("input", "$.file_path"), BOARD_FILE, 1), F.lit("")).cast("int")
+    keyed = trace.withColumn("board", board).withWatermark("t", late).groupBy("run", F.session_window("t", idle))
+    out = keyed.agg(
+        F.count(F.lit(1)).alias("events"), F.sum("seconds").alias("seconds"), F.count_if("error").alias("errors"),
+        F.size(F.collect_set("board")).alias("boards"), F.collect_list("name").alias("names"),
+    )
+    calls = F.transform(F.array_sort(F.array_distinct("names")), lambda n: F.struct(n, F.size(F.filter("names", lambda x: x == n))))
+    return out.withColumn("tools", F.map_from_entries(calls)).drop("names")
 
 
 def board_sessions(intervals: DataFrame, gap: str, late: str = "1 hour") -> DataFrame:
@@ -35,33 +47,34 @@ def tool_activity(trace: DataFrame, size: str = "1 hour", slide: str = "30 minut
     return trace.withWatermark("t", late).groupBy("role", w).agg(F.count(F.lit(1)).alias("calls"), F.count_if("error").alias("errors"))
 
 
-QUESTION = "lecture long, id int, answer string, delivered boolean, redelivered boolean, updates long"
+QUESTION = "lecture long, id int, answer string, delivered boolean, redelivered boolean, applied boolean, updates long"
 
 
 class QuestionState(StatefulProcessor):
-    """Life of a question: the first non-null answer stays, ``delivered`` only turns true, and an
-    answer that comes after delivery is delivered again exactly once."""
+    """Life of a question: the first non-null answer stays, ``delivered`` only turns true, an answer
+    that comes after delivery is delivered again exactly once, and an answer counts as applied from
+    the first update on that says so and finds an answer."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("question", "answer string, seq long, delivered boolean, redelivered boolean, updates long")
+        self.state = handle.getValueState("question", "answer string, delivered boolean, redelivered boolean, applied boolean, updates long")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        answer, seq, delivered, again, n = self.state.get() if self.state.exists() else (None, None, False, False, 0)
+        answer, delivered, again, applied, n = self.state.get() if self.state.exists() else (None, False, False, False, 0)
         for row in sorted((r for batch in rows for r in batch.itertuples(index=False)), key=lambda r: r.seq):
             n += 1
             if answer is None and isinstance(row.answer, str):
-                answer, seq = row.answer, int(row.seq)
-                again = again or delivered
+                answer, again = row.answer, delivered
             delivered = delivered or bool(row.delivered)
-        self.state.update((answer, seq, delivered, again, n))
-        yield pd.DataFrame({"lecture": [key[0]], "id": [key[1]], "answer": [answer], "delivered": [delivered], "redelivered": [again], "updates": [n]})
+            applied = applied or (answer is not None and bool(row.applied))
+        self.state.update((answer, delivered, again, applied, n))
+        yield pd.DataFrame({"lecture": [key[0]], "id": [key[1]], "answer": [answer], "delivered": [delivered], "redelivered": [again], "applied": [applied], "updates": [n]})
 
     def close(self) -> None:
         pass
 
 
 def question_states(questions: DataFrame) -> DataFrame:
-    """The changing state of each question ``(lecture, id, seq, answer, delivered)``; the last update of a key counts."""
+    """The changing state of each question ``(lecture, id, seq, answer, delivered, applied)``; the last update of a key counts."""
     return questions.groupBy("lecture", "id").transformWithStateInPandas(QuestionState(), QUESTION, "Append", "None")
 
 
@@ -69,9 +82,14 @@ def question_states_batch(questions: DataFrame) -> DataFrame:
     """The batch twin of :func:`question_states`."""
     w = Window.partitionBy("lecture", "id").orderBy("seq")
     rows = questions.withColumn("told", F.coalesce(F.max(F.col("delivered").cast("int")).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    first = F.min_by(F.struct("answer", "told"), F.when(F.col("answer").isNotNull(), F.col("seq")))
-    out = rows.groupBy("lecture", "id").agg(first.alias("f"), F.bool_or("delivered").alias("delivered"), F.count(F.lit(1)).alias("updates"))
-    return out.select("lecture", "id", F.col("f.answer").alias("answer"), "delivered", F.coalesce(F.col("f.told") == 1, F.lit(False)).alias("redelivered"), "updates")
+    first = F.min_by(F.struct("answer", "told", "seq"), F.when(F.col("answer").isNotNull(), F.col("seq")))
+    out = rows.groupBy("lecture", "id").agg(
+        first.alias("f"), F.bool_or("delivered").alias("delivered"), F.max(F.when(F.col("applied"), F.col("seq"))).alias("done"), F.count(F.lit(1)).alias("updates")
+    )
+    yes = lambda c: F.coalesce(c, F.lit(False))
+    return out.select(
+        "lecture", "id", F.col("f.answer").alias("answer"), "delivered", yes(F.col("f.told") == 1).alias("redelivered"), yes(F.col("done") >= F.col("f.seq")).alias("applied"), "updates"
+    )
 
 
 def drain(df: DataFrame, path: str, mode: str = "append") -> str:
@@ -81,11 +99,24 @@ def drain(df: DataFrame, path: str, mode: str = "append") -> str:
     return f"{path}/data"
 
 
-def ingest(source: DataFrame, path: str) -> None:
-    """Process files not seen before, in order and resumable: each micro-batch appends the lectures that ``path`` lacks."""
+def late_rows(progress: list) -> int:
+    """Rows that came behind the watermark and were dropped, over the ``recentProgress`` of a query."""
+    return sum(op["numRowsDroppedByWatermark"] for p in progress for op in p["stateOperators"])
+
+
+def ingest(source: DataFrame, path: str, key: str = "lecture") -> None:
+    """Process files not seen before, resumable: each micro-batch adds the rows whose ``key`` no earlier batch brought.
+
+    A batch has a folder of its own under ``path`` and replaces it, so one that is run
+    again after a failure leaves nothing twice.  Of rows with one key in a batch one stays.
+    """
+    spark = source.sparkSession
+    spark.createDataFrame([], source.schema).write.mode("overwrite").parquet(f"{path}/data/batch=-1")  # so that there is a table to read
+    kept = T.StructType([*source.schema.fields, T.StructField("batch", T.LongType())])
 
-    def upsert(batch: DataFrame, number: int) -> None:
-        batch.dropDuplicates(["lecture"]).withColumn("batch", F.lit(number)).write.mode("append").parquet(f"{path}/data")
+    def add(batch: DataFrame, number: int) -> None:
+        before = batch.sparkSession.read.schema(kept).parquet(f"{path}/data").where(F.col("batch") < number).select(key)
+        batch.dropDuplicates([key]).join(before, key, "left_anti").select(*source.columns).write.mode("overwrite").parquet(f"{path}/data/batch={number}")
 
-    q = source.writeStream.foreachBatch(upsert).option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start()
+    q = source.writeStream.foreachBatch(add).option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start()
     q.awaitTermination()

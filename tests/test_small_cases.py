@@ -101,12 +101,59 @@ def test_quote_runs_over_segments(spark):
     assert rows(joins.locate_quotes(q, seg), "quote", "n", "pos", "start") == [(1, 5, 2, 0.0)]
 
 
-def test_segmentation_finds_a_revisit():
+def boards_seen(spark, series, fine=None):
+    def table(masks):
+        flat = [("v", i, [bool(x) for x in m.ravel()]) for i, m in enumerate(masks)]
+        return spark.createDataFrame(flat, "video string, i int, mask array<boolean>").repartition(3)
+
+    size = fine[0].shape if fine is not None else None
+    found = frames.segment_boards(table(series), *series[0].shape, fine=None if fine is None else table(fine), fine_size=size)
+    return rows(found, "board", "lo", "hi")
+
+
+def test_segmentation_finds_a_revisit(spark):
     rng = np.random.default_rng(1)
     a, b = (rng.random((20, 30)) < 0.1 for _ in range(2))
-    series = np.stack([a] * 30 + [b] * 30 + [a] * 30)
-    found = frames.boards_of(series, 1.0, frames.KEEP, frames.REVISIT, frames.DEBOUNCE)
-    assert [len(x.spans) for x in found] == [2, 1]
+    assert boards_seen(spark, [a] * 30 + [b] * 30 + [a] * 30) == [(1, 0.0, 30.0), (1, 63.0, 90.0), (2, 33.0, 60.0)]
+
+
+def test_segmentation_rules(spark):
+    """A fuller view takes over, short disturbances don't count, a blank frame ends a stretch."""
+    rng = np.random.default_rng(3)
+    a, noise = rng.random((20, 30)) < 0.1, rng.random((20, 30)) < 0.1
+    more = a | (rng.random((20, 30)) < 0.05)
+    blank = np.zeros((20, 30), bool)
+    assert boards_seen(spark, [a] * 10 + [more] * 10 + [noise] * 3 + [more] * 7 + [blank] * 5 + [more] * 5) == [(1, 0.0, 30.0), (1, 35.0, 40.0)]
+
+
+def test_segmentation_finer_masks_decide_a_revisit(spark):
+    """Two boards that look alike in the small masks and not in the wide ones stay apart."""
+    rng = np.random.default_rng(4)
+    a, b = (rng.random((20, 30)) < 0.1 for _ in range(2))
+    small = [a] * 20 + [b] * 20 + [a] * 20
+    first, second, third = (rng.random((40, 60)) < 0.1 for _ in range(3))
+    assert [x[0] for x in boards_seen(spark, small)] == [1, 1, 2]
+    assert [x[0] for x in boards_seen(spark, small, [first] * 20 + [second] * 20 + [third] * 20)] == [1, 2, 3]
+    assert [x[0] for x in boards_seen(spark, small, [first] * 20 + [second] * 20 + [first] * 20)] == [1, 1, 2]
+
+
+def test_camera_motion_and_zoomed_boards(spark):
+    """A panning video moves and a still one doesn't; a board seen again at another zoom is merged in the moving video only."""
+    rng = np.random.default_rng(6)
+    wide = rng.random((24, 32)) < 0.15
+    flat = lambda m: [bool(x) for x in m.ravel()]
+    pan = [("pan", i, flat(np.roll(wide, (i // 5) * 5, axis=1))) for i in range(40)] + [("still", i, flat(wide)) for i in range(40)]
+    motion = frames.camera_motion(spark.createDataFrame(pan, "video string, i int, mask array<boolean>"), 24, 32)
+    assert rows(motion, "video", "motion") == [("pan", 1.0), ("still", 0.0)]
+    zoomed = np.zeros((24, 32), bool)
+    part = frames.rescaled(wide, 2.0)
+    zoomed |= part[12:36, 16:48]
+    other = rng.random((24, 32)) < 0.15
+    boards = [(v, n, 30.0 * n, 30.0 * n + 20, 30.0 * n, float(m.mean()), m.astype(np.uint8).tobytes()) for v in ("pan", "still") for n, m in ((1, wide), (2, zoomed), (3, other))]
+    merged = frames.merge_zoomed(spark.createDataFrame(boards, frames.BOARDS), motion, 24, 32)
+    got = rows(merged, "video", "board", "lo")
+    assert [x[:2] for x in got if x[0] == "still"] == [("still", 1), ("still", 2), ("still", 3)]
+    assert ("pan", 1, 60.0) in got
 
 
 def test_shift_brings_a_pan_back():
