@@ -18,10 +18,11 @@ For every query on its own:
 4. documents that reach the k-th score within the rounding slack are scored exactly over
    all their terms, in one fixed term order.
 
-First every query meets one shard only (its seed); the k-th score found there is a lower
-bound that it takes to all shards.  So what a shard returns is close to what belongs to the
-result, whatever the number of shards.  Tasks are (shard, group of at most ``GROUP``
-queries); memory is one shard and one block of queries, whatever the input.
+Shards are met in rounds.  A query starts at a shard of its own (by its hash), then meets
+``SPREAD`` times as many shards in every further round, each shard once; between rounds
+its k-th score so far becomes the bound that it takes on.  So what all shards return for a
+query grows with the logarithm of their number and not with their number.  Tasks are
+(shard, group of queries); memory is one shard and one block of queries, whatever the input.
 
 Scores are rounded to six decimals and ties go to the smaller doc_id; bounds are compared
 with a margin, so pruning never changes a result.
@@ -58,11 +59,13 @@ LONG = 24
 SLACK = 1e-4
 #: Scores are rounded to 1e-6; bounds get this margin.
 MARGIN = 2e-6
-SHARD_TOKENS = 3_500_000
+SHARD_TOKENS = 3_000_000
 QUERIES_AT_ONCE = 128
-#: Queries that take one shard as their seed, and queries that one task streams past a shard.
-SEED_QUERIES = 2000
-GROUP = 1_000_000
+#: Queries in a folder of their own, which start at one shard; folders that one task streams past a shard at most.
+SEED_QUERIES = 512
+FOLDERS = 2000
+#: How many times as many shards have been met after a round.
+SPREAD = 8
 #: Groups of documents in a shard, and common words that they are told apart by; both only order the documents.
 CLUSTERS, CLUSTER_WORDS = 8, 1024
 
@@ -287,27 +290,32 @@ def _query_blocks(path: str, store: fs.FileSystem) -> Iterator[tuple[np.ndarray,
 HITS = "query_id bigint, doc_id bigint, score double"
 
 
-def _search(path: str, mean_length: float, k: int, folder: str):
-    """Searches every shard that comes for the queries in the folder ``<folder>=<value of that column>`` of ``path``."""
+def _search(path: str, mean_length: float, k: int, slots: int, folders: int, low: int, high: int, groups: int):
+    """Searches every shard that comes for the queries of the folders that start ``low`` to ``high - 1`` slots before it.
+
+    Folder f starts at slot ``f * slots // folders`` and goes round; of several ``groups`` of folders the shard's is taken.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, base = fs.FileSystem.from_uri(path)
         for batch in batches:
             for i in range(batch.num_rows):
                 row = batch.slice(i, 1).to_pylist()[0]
-                at = f"{base}/{folder}={row[folder]}"
-                if store.get_file_info(at).type != fs.FileType.Directory:
-                    continue  # no query has this seed
+                due = [f for f in range(row["part"], folders, groups) if low <= (row["slot"] - f * slots // folders) % slots < high]
+                due = [at for at in (f"{base}/seed={f}" for f in due) if store.get_file_info(at).type == fs.FileType.Directory]
+                if not due:
+                    continue
                 shard = Shard(row, mean_length)
                 row.clear()
-                for names, starts, hashes, weights, low in _query_blocks(at, store):
-                    found = list(shard.search(starts, hashes, weights, low, k))
-                    if found:
-                        queries = np.repeat(names[[q for q, _, _ in found]], [len(v) for _, v, _ in found])
-                        docs = shard.ids[np.concatenate([d for _, _, d in found])]
-                        yield pa.RecordBatch.from_arrays(
-                            [pa.array(queries), pa.array(docs), pa.array(np.concatenate([v for _, v, _ in found]))], names=["query_id", "doc_id", "score"]
-                        )
+                for at in due:
+                    for names, starts, hashes, weights, least in _query_blocks(at, store):
+                        found = list(shard.search(starts, hashes, weights, least, k))
+                        if found:
+                            queries = np.repeat(names[[q for q, _, _ in found]], [len(v) for _, v, _ in found])
+                            docs = shard.ids[np.concatenate([d for _, _, d in found])]
+                            yield pa.RecordBatch.from_arrays(
+                                [pa.array(queries), pa.array(docs), pa.array(np.concatenate([v for _, v, _ in found]))], names=["query_id", "doc_id", "score"]
+                            )
 
     return run
 
@@ -315,15 +323,14 @@ def _search(path: str, mean_length: float, k: int, folder: str):
 def search(docs: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
     """query_id, rank, doc_id, score: the ``k`` best rows of ``docs (doc_id, text)`` for each row of ``queries (doc_id, text)``."""
     spark = docs.sparkSession
-    result = "query_id bigint, rank int, doc_id bigint, score double"
     with arrow_rows(spark, 256):
         shards = written(docs.selectExpr("cast(doc_id as bigint) doc_id", "text").mapInArrow(_build, SHARDS), "shards")
-        count, tokens = shards.agg(F.sum("docs"), F.sum("tokens")).first()
+        slots, count, tokens = shards.agg(F.count(F.lit(1)), F.sum("docs"), F.sum("tokens")).first()
         if not tokens:
-            return spark.createDataFrame([], result)
+            return spark.createDataFrame([], "query_id bigint, rank int, doc_id bigint, score double")
         mean = tokens / count
         asked = queries.selectExpr("cast(doc_id as bigint) doc_id", "text").where("doc_id is not null")
-        seeds = max(1, -(-asked.count() // SEED_QUERIES))
+        folders = max(1, -(-asked.count() // SEED_QUERIES))
         asked = asked.groupBy("doc_id").agg(F.min("text").alias("text"))
         terms = asked.mapInArrow(_terms, "query_id bigint, term bigint, n bigint")
         with arrow_rows(spark, 1):  # a row is a whole shard
@@ -334,29 +341,31 @@ def search(docs: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
             terms.join(df, "term")
             .groupBy("query_id")
             .agg(F.sort_array(F.collect_list(F.struct("term", weight.alias("weight")))).alias("t"))
-            .select("query_id", F.col("t.term").alias("terms"), F.col("t.weight").alias("weights"), F.pmod(F.xxhash64("query_id"), F.lit(seeds)).alias("seed"))
-        )
-        first = scratch(spark, "queries")
-        asked.withColumn("low", F.lit(0.0)).write.partitionBy("seed").parquet(first)
-        asked = spark.read.schema("query_id bigint, terms array<bigint>, weights array<double>, low double, seed bigint").option("basePath", first).parquet(first)
-    with arrow_rows(spark, 1):
-        # thin: one shard name a seed
-        chosen = written(
-            shards.select("shard", F.pmod(F.xxhash64("shard"), F.lit(seeds)).alias("seed")).groupBy("seed").agg(F.min("shard").alias("shard")), "seeds"
+            .select("query_id", F.col("t.term").alias("terms"), F.col("t.weight").alias("weights"), F.pmod(F.xxhash64("query_id"), F.lit(folders)).alias("seed"))
         )
-        seeded = shards.join(chosen, "shard").mapInArrow(_search(first, mean, k, "seed"), HITS)
-        low = seeded.groupBy("query_id").agg(F.min("score").alias("least"), F.count(F.lit(1)).alias("n")).where(F.col("n") == k)
-        second = scratch(spark, "queries")
-        groups = max(1, -(-seeds * SEED_QUERIES // GROUP))
-        (
-            asked.drop("low").join(low, "query_id", "left")
-            .select("query_id", "terms", "weights", F.coalesce("least", F.lit(0.0)).alias("low"), F.pmod("seed", F.lit(groups)).alias("part"))
-            .write.partitionBy("part").parquet(second)
-        )
-        each = [shards.withColumn("part", F.lit(g)).mapInArrow(_search(second, mean, k, "part"), HITS) for g in range(groups)]
-        hits = written(reduce(DataFrame.unionByName, each), "hits")
+        asked = written(asked, "queries")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id"))
-    return hits.withColumn("rank", rank).where(F.col("rank") <= k).select(
+    groups = -(-folders // FOLDERS)
+    found: list[DataFrame] = []
+    met = 0
+    while met < slots:
+        low = F.lit(0.0)
+        waiting = asked
+        if found:
+            last = reduce(DataFrame.unionByName, found).withColumn("rank", rank).where(F.col("rank") == k).select("query_id", "score")
+            waiting, low = asked.join(last, "query_id", "left"), F.coalesce("score", F.lit(0.0))
+        path = scratch(spark, "queries")
+        waiting.select("query_id", "terms", "weights", low.alias("low"), "seed").write.partitionBy("seed").parquet(path)
+        until = min(slots, max(1, met * SPREAD))
+        with arrow_rows(spark, 1):
+            each = [
+                shards.withColumn("slot", F.pmod(F.xxhash64("shard"), F.lit(slots))).withColumn("part", F.lit(g))
+                .mapInArrow(_search(path, mean, k, slots, folders, met, until, groups), HITS)
+                for g in range(groups)
+            ]
+            found.append(written(reduce(DataFrame.unionByName, each), "hits"))
+        met = until
+    return reduce(DataFrame.unionByName, found).withColumn("rank", rank).where(F.col("rank") <= k).select(
         "query_id", "rank", F.when(F.col("doc_id") != NO_ID, F.col("doc_id")).alias("doc_id"), "score"
     )
 
