@@ -3,16 +3,19 @@
 A page becomes a sequence of text blocks, each with its root-to-leaf tag path.  Per path
 the operator adds up text length and punctuation over the blocks that share it, forms the
 two ratios (length per block, punctuation-weighted length per block and its spread),
-smooths them over the page with a Gaussian kernel, fuses them, and keeps the paths above
-a threshold drawn from their standard deviation.  The container of the kept paths is the
-article; short blocks inside it (headings, list items) come along, boilerplate and
-link-heavy blocks don't.
+smooths them over the page with a Gaussian kernel and fuses them.  What an element says
+about itself only scales the score: menus, forms and controls count nothing, footers,
+sidebars, page headers and elements with a class or id such as ``ad`` or ``comments`` a
+tenth - unless an element so named holds most of the page's text, as a layout
+wrapper or a page-wide form does.  Paths above a threshold drawn from the scores' standard
+deviation are content; short blocks (headings, list items, table cells) beside them in the
+same element come along unless they are mostly links.
 
 One page is one row and stays in its task; nothing is shuffled.
 
-Defined results: null or empty html and pages without any text give the empty string;
-rows with null ids or urls pass through; repeated pages give repeated rows; extra columns
-are ignored.
+Defined results: null or empty html and pages without any text give the empty string, as
+do pages with nothing but menus, notices and the like; rows with null ids or urls pass
+through; repeated pages give repeated rows; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -27,9 +30,11 @@ from pyspark.sql import DataFrame
 
 from chalkline.llm.common import small_arrow_batches
 
+RAW = "script|style|noscript|template|textarea|select|iframe|svg|object|title"
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
-    r"|<(script|style|noscript|template|textarea|select|iframe|svg|object|title|head\s*/)\b[^>]*>.*?(?:</\1\s*>|\Z)"
+    rf"|<(?:{RAW})\b[^>]*/>"
+    rf"|<({RAW}|head\s*/)\b[^>]*>.*?(?:</\1\s*>|\Z)"
     r"|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*)>"
     r"|<[!?/][^>]*>",
     re.S | re.I,
@@ -39,15 +44,25 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 INLINE = frozenset(
     "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q ruby rp rt s samp small span strike strong sub sup time tt u var wbr img".split()
 )
-NOISE_TAGS = frozenset("nav header footer aside form menu dialog button fieldset head".split())
+#: Elements that are never content, and those that seldom are.
+NEVER_TAGS = frozenset("nav menu dialog button fieldset head".split())
+SELDOM_TAGS = frozenset("header footer aside".split())
 NOISE_WORDS = frozenset(
     "ad ads adv advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments cookie cookies "
     "consent copyright disqus footer header login masthead menu modal nav navbar navigation newsletter notice pager "
     "pagination popup promo promoted related replies respond share sharing sidebar signup social sponsor sponsored "
     "subscribe toolbar widget".split()
 )
+#: Words that turn a compound around: ``entry-header``, ``with-sidebar``.
+CONTENT_WORDS = frozenset("article body content entry has main no page post section story title with without".split())
 NOISE_ROLES = frozenset("navigation banner contentinfo complementary search dialog alert".split())
 ROOT_TAGS = frozenset(("article", "main", "body", "html"))
+HEADINGS = frozenset(("h1", "h2", "h3", "h4", "h5", "h6"))
+#: What may lie between a content element and a short block that comes along.
+FLOW = HEADINGS | frozenset("p ul ol li dl dt dd table caption thead tbody tfoot tr td th blockquote pre figure figcaption header hgroup address".split())
+SELDOM, NOISY = 0.1, 0.1
+#: An element that says it is noise but holds this share of the page's text, in several blocks, is a wrapper.
+WRAPPER = 0.5
 CLOSES = {
     "p": ("p",), "li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"),
     "td": ("td", "th"), "th": ("td", "th"), "option": ("option",),
@@ -58,33 +73,86 @@ P_ENDERS = frozenset(
 PUNCT = re.compile(r"[.,;:!?…。，！？、；：]")
 
 
+class Element:
+    """An open element: its number, its tag, its label in paths, and what it says about its text."""
+
+    __slots__ = ("number", "tag", "label", "factor", "marks")
+
+    def __init__(self, number: int, tag: str, label: str, factor: float, marks: tuple):
+        self.number, self.tag, self.label, self.factor, self.marks = number, tag, label, factor, marks
+
+
 class Block:
-    __slots__ = ("path", "text", "link", "noise")
+    """A run of text: its elements by label, tag and number, length inside links, scale, and the wrappers-to-be around it."""
+
+    __slots__ = ("path", "tags", "inside", "text", "link", "factor", "marks")
+
+    def __init__(self, stack: list[Element], text: str, link: int):
+        self.path, self.tags, self.inside = tuple(x.label for x in stack), tuple(x.tag for x in stack), tuple(x.number for x in stack)
+        self.text, self.link = text, min(link, len(text))
+        self.factor = stack[-1].factor if stack else 1.0
+        self.marks = stack[-1].marks if stack else ()
+
 
-    def __init__(self, path: tuple, text: str, link: int, noise: bool):
-        self.path, self.text, self.link, self.noise = path, text, link, noise
+def says_noise(value: str) -> bool:
+    """Whether a class or id calls its element boilerplate: a noise word in a compound without a content word."""
+    for name in value.lower().split():
+        words = set(re.split(r"[^a-z]+", name))
+        if words & NOISE_WORDS and not words & CONTENT_WORDS:
+            return True
+    return False
+
+
+def opened(tag: str, attributes: str, stack: list[Element], number: int) -> Element:
+    """The element that a start tag opens inside ``stack``; ``number`` tells it apart where it may be a wrapper."""
+    factor, marks = (stack[-1].factor, stack[-1].marks) if stack else (1.0, ())
+    label, noisy = tag, False
+    if attributes:
+        for a in ATTR.finditer(attributes):
+            value = (a[2] or a[3] or a[4] or "").lower()
+            kind = a[1].lower()
+            if kind == "role":
+                factor *= SELDOM if value.strip() in NOISE_ROLES else 1
+                continue
+            if kind == "class":
+                label += "." + value
+            noisy = noisy or says_noise(value)
+    if tag in NEVER_TAGS:
+        factor = 0.0
+    elif tag in SELDOM_TAGS and not (tag == "header" and any(x.tag in ("article", "main") for x in stack)):
+        factor *= SELDOM
+    elif tag == "form":
+        marks = (*marks, (number, 0.0))
+    elif noisy and tag not in ROOT_TAGS and tag not in HEADINGS:
+        marks = (*marks, (number, NOISY))
+    return Element(number, tag, label, factor, marks)
 
 
 def blocks_of(page: str) -> list[Block]:
     """The page's text blocks in order, with tag paths; inline tags don't break a block."""
     out: list[Block] = []
-    stack: list[tuple[str, str, bool]] = []  # tag, label in paths, noise here or above
+    stack: list[Element] = []
     parts: list[str] = []
     link, in_link, pos = 0, 0, 0
 
     def flush() -> None:
         nonlocal link
         if parts:
-            text = " ".join(html_lib.unescape("".join(parts)).split())
+            text = " ".join("".join(parts).split())
             if text:
-                out.append(Block(tuple(x[1] for x in stack), text, link, bool(stack and stack[-1][2])))
+                out.append(Block(stack, text, link))
             parts.clear()
         link = 0
 
+    def add(text: str) -> None:
+        nonlocal link
+        text = html_lib.unescape(text) if "&" in text else text  # before runs are joined: a reference doesn't reach over a tag
+        parts.append(text)
+        link += in_link and len(text)
+
     for m in TOKEN.finditer(page):
         if m.start() > pos:
-            parts.append(page[pos : m.start()])
-            link += in_link and m.start() - pos
+            add(page[pos : m.start()])
         pos = m.end()
         tag = m[3]
         if not tag:
@@ -100,44 +168,61 @@ def blocks_of(page: str) -> list[Block]:
         flush()
         if m[2]:
             for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == tag:
+                if stack[i].tag == tag:
                     del stack[i:]
                     in_link = 0
                     break
             continue
-        if tag in P_ENDERS and stack and stack[-1][0] == "p":
+        if tag in P_ENDERS and stack and stack[-1].tag == "p":
             stack.pop()
         ends = CLOSES.get(tag)
         if ends:
-            while stack and stack[-1][0] in ends:
+            while stack and stack[-1].tag in ends:
                 stack.pop()
         if tag in VOID or m[4].rstrip().endswith("/"):
             continue
-        noise = bool(stack and stack[-1][2]) or tag in NOISE_TAGS and not (tag == "header" and any(s[0] == "article" for s in stack))
-        label = tag
-        if m[4]:
-            words = []
-            for a in ATTR.finditer(m[4]):
-                value = (a[2] or a[3] or a[4] or "").lower()
-                if a[1].lower() == "role":
-                    noise = noise or value.strip() in NOISE_ROLES
-                else:
-                    words += re.split(r"[^a-z]+", value)
-                    label += "." + value
-            if tag not in ROOT_TAGS and not NOISE_WORDS.isdisjoint(words):
-                noise = True
-        stack.append((tag, label, noise))
+        stack.append(opened(tag, m[4], stack, m.start()))
     if pos < len(page):
-        parts.append(page[pos:])
+        add(page[pos:])
     flush()
     return out
 
 
-def path_scores(blocks: list[Block], sigma: float = 1.0) -> list[float]:
-    """The fused, smoothed tag-path ratio of each block."""
+def own_length(b: Block) -> int:
+    return len(b.text) - b.link if b.factor else 0
+
+
+def scales(blocks: list[Block]) -> list[float]:
+    """What each block's elements leave of its score; elements that hold most of the text take nothing."""
+    whole = sum(map(own_length, blocks))
+    held: dict[int, list[int]] = {}
+    for b in blocks:
+        if n := own_length(b):
+            for number, _ in b.marks:
+                h = held.setdefault(number, [0, 0])
+                h[0] += n
+                h[1] += 1
+    wrappers = {number for number, (n, count) in held.items() if count > 1 and n >= WRAPPER * whole}
+    out = []
+    for b in blocks:
+        scale = b.factor
+        for number, factor in b.marks:
+            if number not in wrappers:
+                scale *= factor
+        out.append(scale)
+    return out
+
+
+def path_scores(blocks: list[Block], scale_of: list[float], sigma: float = 1.0) -> list[float]:
+    """The fused tag-path ratio of each block.
+
+    The two ratios are smoothed over the page and averaged, in terms of the greatest ones
+    that count in full; the geometric mean with the path's own ratios keeps short text
+    beside an article from sharing its score.
+    """
     total: dict[tuple, list[float]] = {}
     for b in blocks:
-        own = 0 if b.noise else len(b.text) - min(b.link, len(b.text))
+        own = own_length(b)
         marks = len(PUNCT.findall(b.text)) if own else 0
         t = total.setdefault(b.path, [0, 0, 0, 0])
         t[0] += own
@@ -160,48 +245,47 @@ def path_scores(blocks: list[Block], sigma: float = 1.0) -> list[float]:
             for i in range(n)
         ]
 
-    a = smooth([ratio[b.path] for b in blocks])
-    b = smooth([rich[b.path] for b in blocks])
-    top_a, top_b = max(a, default=0) or 1, max(b, default=0) or 1
-    return [(x / top_a + y / top_b) / 2 for x, y in zip(a, b, strict=True)]
+    def fused(lengths: list[float], marks: list[float]) -> list[float]:
+        top_a, top_b = (max((x for x, f in zip(values, scale_of, strict=True) if f == 1), default=0) or 1 for values in (lengths, marks))
+        return [(min(1.0, x / top_a) + min(1.0, y / top_b)) / 2 for x, y in zip(lengths, marks, strict=True)]
 
+    a, b = [ratio[x.path] for x in blocks], [rich[x.path] for x in blocks]
+    return [math.sqrt(x * y) for x, y in zip(fused(a, b), fused(smooth(a), smooth(b)), strict=True)]
 
-def main_text(page: str | None, weight: float = 0.8) -> str:
-    """The article's text, blocks joined by one space."""
-    if not page:
-        return ""
-    blocks = blocks_of(page)
-    clean = [b for b in blocks if not b.noise and b.link * 2 <= len(b.text)]
-    if not clean:
-        return ""
-    scores = path_scores(blocks)
+
+def content(blocks: list[Block], weight: float = 0.8, share: float = 0.1) -> list[Block]:
+    """The blocks that are content: those on paths above the threshold, and short ones beside them.
+
+    An element whose kept paths hold at least ``share`` of the kept text brings along the
+    blocks that lie in it through headings, lists, tables and the like only.
+    """
+    scale = scales(blocks)
+    if 1.0 not in scale:
+        return []
+    scores = [x * f for x, f in zip(path_scores(blocks, scale), scale, strict=True)]
     mean = sum(scores) / len(scores)
     threshold = weight * math.sqrt(sum((x - mean) ** 2 for x in scores) / len(scores))
-    by_path: dict[tuple, float] = {}
-    for b, s in zip(blocks, scores, strict=True):
-        by_path[b.path] = max(s, by_path.get(b.path, 0.0))
-    chosen = [b for b in clean if by_path[b.path] >= threshold] or clean
-    best = container([b.path for b in chosen], [len(b.text) for b in chosen])
-    return " ".join(b.text for b in clean if b.path[: len(best)] == best)
-
-
-def container(paths: list[tuple], sizes: list[int], share: float = 0.9) -> tuple:
-    """The deepest element that holds ``share`` of the chosen text."""
-    best: tuple = ()
-    whole = sum(sizes)
-    while True:
-        weight: dict[tuple, int] = {}
-        for p, n in zip(paths, sizes, strict=True):
-            if len(p) > len(best) + 1 and p[: len(best)] == best:
-                weight[p[: len(best) + 1]] = weight.get(p[: len(best) + 1], 0) + n
-        if not weight:
-            return best
-        down, n = max(weight.items(), key=lambda x: x[1])
-        if n < share * whole:
-            return best
-        best = down
-        if best[-1].split(".")[0] == "article":
-            return best
+    best: dict[tuple, float] = {}
+    for b, x in zip(blocks, scores, strict=True):
+        best[b.path] = max(x, best.get(b.path, 0.0))
+    readable = [f > 0 and b.link * 2 <= len(b.text) for b, f in zip(blocks, scale, strict=True)]
+    chosen = [ok and best[b.path] >= threshold for b, ok in zip(blocks, readable, strict=True)]
+    weight_of: dict[tuple, int] = {}
+    for b, is_chosen in zip(blocks, chosen, strict=True):
+        if is_chosen:
+            weight_of[b.inside[:-1]] = weight_of.get(b.inside[:-1], 0) + len(b.text)
+    least = share * sum(weight_of.values())
+    homes = [p for p, n in weight_of.items() if n >= least]
+
+    def beside(b: Block) -> bool:
+        return any(b.inside[: len(p)] == p and all(t in FLOW for t in b.tags[len(p) :]) for p in homes)
+
+    return [b for b, is_chosen, ok, f in zip(blocks, chosen, readable, scale, strict=True) if is_chosen or ok and f == 1 and beside(b)]
+
+
+def main_text(page: str | None) -> str:
+    """The article's text, blocks joined by one space."""
+    return " ".join(b.text for b in content(blocks_of(page))) if page else ""
 
 
 SCHEMA = "page_id bigint, url string, text string, n_chars bigint"
