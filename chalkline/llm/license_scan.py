@@ -3,22 +3,27 @@
 Templates are fingerprinted by winnowing (the least hash of every window of ``WINDOW``
 word ``GRAM``-grams) into an inverted index from hash to (template, position).  A document
 is winnowed the same way over its whole text; any run of ``GRAM + WINDOW - 1`` words that
-it shares with a template shares a fingerprint.  Hits fall into diagonals (document minus
-template position); near diagonals with a tenth of the template's fingerprints are a
-candidate, which a banded alignment of the template against that stretch decides: matched
-share of the template's words, and the span from the first to the last matched word.
+it shares with a template shares a fingerprint.  Shared fingerprints are anchors; anchors
+that follow one another in both texts, with at most ``SHIFT`` words put in or left out
+between them, form a chain, and every chain is a candidate.  A local alignment, banded
+around the chain's diagonals, decides: matched share of the template's words, and the span
+from the first to the last matched word.  So insertions, deletions and fragments of a
+template are found and reported with the coverage they have.
+
+A match is reported from ``COVERAGE`` of the template on, or as a fragment from
+``FRAGMENT_WORDS`` matched words and ``FRAGMENT`` of the template on.  Where matches
+overlap by more than half of one, the one with more matched words stays (then the better
+covered template, then the first name).
 
 The template set is small and given, so its index goes to every task; documents stay
 where they are and nothing is shuffled.
 
-Defined results: null and empty texts match nothing; repeated rows give repeated rows; matches of
-one template don't overlap, the earlier stays; an empty table gives no rows; extra
-columns are ignored.
+Defined results: null and empty texts match nothing; repeated rows give repeated rows; an
+empty table gives no rows; null ids pass through; extra columns are ignored.
 """
 
 from __future__ import annotations
 
-import bisect
 import re
 from collections.abc import Iterator
 
@@ -33,8 +38,13 @@ from chalkline.llm.license_texts import TEMPLATES
 GRAM = 3
 WINDOW = 3
 BAND = 12
-#: Matched share of a template's words from which a match is reported.
+#: Words that may be put in or left out between two anchors.
+SHIFT = 100
+#: Anchors before one that may precede it in a chain.
+LOOK_BACK = 24
+#: Matched share of a template's words from which a match is reported, and what makes a fragment.
 COVERAGE = 0.8
+FRAGMENT, FRAGMENT_WORDS = 0.2, 30
 #: The index goes to every task, so the template set is bounded.
 MOST_TEMPLATES = 10_000
 MEMO_WORDS = 300_000
@@ -91,7 +101,6 @@ class TemplateIndex:
             raise ValueError(f"more than {MOST_TEMPLATES} templates")
         self.names = list(templates)
         self.words = [[w.lower() for w in words(templates[n])] for n in self.names]
-        self.prints = [len(winnow(word_hashes(found))[0]) for found in self.words]
         postings: dict[int, list[tuple[int, int]]] = {}
         for t, found in enumerate(self.words):
             for at, h in zip(*(x.tolist() for x in winnow(word_hashes(found))), strict=True):
@@ -109,66 +118,95 @@ class TemplateIndex:
         hit = self.hashes[np.minimum(i, len(self.hashes) - 1)] == grams
         if not hit.any():
             return []
-        diagonals: dict[int, list[int]] = {}
+        anchors: dict[int, list[tuple[int, int]]] = {}
         for p, h in zip(at[hit].tolist(), grams[hit].tolist(), strict=True):
             for t, q in self.postings[h]:
-                diagonals.setdefault(t, []).append(p - q)
+                anchors.setdefault(t, []).append((p, q))
         found = [w.lower() for w in found]
-        places = None
+        candidates = []
+        for t, hits in anchors.items():
+            template = self.words[t]
+            for chain in chains(hits):
+                matched, a, b = align(template, found, chain)
+                coverage = matched / len(template)
+                if coverage >= COVERAGE or matched >= FRAGMENT_WORDS and coverage >= FRAGMENT:
+                    candidates.append((-matched, -coverage, self.names[t], a, b))
+        if not candidates:
+            return []
+        kept: list[tuple[int, int]] = []
         out = []
-        for t, ds in sorted(diagonals.items()):
-            for coverage, a, b, n in find(self.words[t], found, sorted(ds), max(1, self.prints[t] // 10)):
-                places = places or [m.span() for m in _WORD.finditer(text)]
-                out.append((self.names[t], coverage, places[a][0], places[b - 1][1], n))
+        places = [m.span() for m in _WORD.finditer(text)]
+        for matched, coverage, name, a, b in sorted(candidates):
+            if all(2 * (min(b, y) - max(a, x)) <= min(b - a, y - x) for x, y in kept):
+                kept.append((a, b))
+                out.append((name, -coverage, places[a][0], places[b - 1][1], -matched))
         return sorted(out, key=lambda x: (x[2], x[0]))
 
 
-def find(template: list[str], doc: list[str], hits: list[int], least: int) -> list[tuple[float, int, int, int]]:
-    """Matches of the template, left to right, from the sorted diagonals of the fingerprint hits.
+def chains(hits: list[tuple[int, int]]) -> list[list[tuple[int, int]]]:
+    """Chains of anchors (document, template position), best first, that share no stretch of the document.
 
-    Hits at most BAND diagonals apart, ``least`` of them or more, are a candidate; a match
-    ends where the next may begin, and a candidate that fails gives way by half a band.
+    Consecutive anchors go forward in both texts and their diagonals differ by SHIFT at
+    most; among chains the longest counts, less a little for every word of shift.
     """
-    out: list[tuple[float, int, int, int]] = []
-    i = lo = 0
-    while i < len(hits):
-        j = bisect.bisect_right(hits, hits[i] + BAND)
-        step = hits[i] + BAND // 2
-        if j - i >= least:
-            coverage, a, b, n = align(template, doc, hits[i], hits[j - 1], lo, len(doc))
-            if coverage >= COVERAGE:
-                out.append((coverage, a, b, n))
-                lo = b
-                step = hits[i] + max(0, len(template) // 2)
-        i = bisect.bisect_right(hits, step, i + 1)
+    out = []
+    pending = [sorted(hits)]
+    while pending:
+        run = pending.pop()
+        best: list[float] = []
+        back: list[int] = []
+        for i, (p, q) in enumerate(run):
+            value, before = 1.0, -1
+            for j in range(i - 1, max(-1, i - 1 - LOOK_BACK), -1):
+                x, y = run[j]
+                shift = abs((p - q) - (x - y))
+                if x < p and y < q and shift <= SHIFT and p - x <= 2 * SHIFT and best[j] + 1 - shift / (2 * SHIFT) > value:
+                    value, before = best[j] + 1 - shift / (2 * SHIFT), j
+            best.append(value)
+            back.append(before)
+        i = max(range(len(run)), key=lambda k: (best[k], -abs(2 * k - len(run))))  # of equal ones that in the middle, so that the rest halves
+        chain = []
+        while i >= 0:
+            chain.append(run[i])
+            i = back[i]
+        chain.reverse()
+        out.append(chain)
+        first, last = chain[0][0], chain[-1][0]
+        pending += [x for x in ([h for h in run if h[0] < first], [h for h in run if h[0] > last]) if x]
     return out
 
 
-def align(template: list[str], doc: list[str], low: int, high: int, lo: int, hi: int) -> tuple[float, int, int, int]:
-    """Longest common subsequence of the template and the band of diagonals ``low..high`` (widened by BAND) of ``doc[lo:hi]``.
+def align(template: list[str], doc: list[str], chain: list[tuple[int, int]]) -> tuple[int, int, int]:
+    """Local alignment of the template and the document in a band around the chain's diagonals.
 
-    Returns coverage of the template, first and last+1 matched word of the document, and
-    the number of matched words; ties prefer the tighter span.
+    A match scores 2, a word left out of either text costs 1.  Returns the number of
+    matched words, and the first and last+1 matched word of the document.
     """
-    low, high = low - BAND, high + BAND
-    before: dict[int, tuple[int, int, int]] = {}  # document position: matched, -first, last+1
+    diagonals = [p - q for p, q in chain]
+    at = [q for _, q in chain]
+    reach = chain[0][0], chain[-1][0]  # a neighbouring copy inside the band is another chain's
+    k = 0
+    before: dict[int, tuple[int, int, int]] = {}  # document position: score, matched, first word
+    top = (0, 0, 0, 0)
     for q, word in enumerate(template):
+        while k < len(at) and at[k] < q:
+            k += 1
+        near = diagonals[max(0, k - 1)], diagonals[min(k, len(at) - 1)]
         row: dict[int, tuple[int, int, int]] = {}
-        best = (0, 0, 0)
-        for p in range(max(lo, q + low), min(hi, q + high + 1) + 1):
-            up, left = before.get(p), best
-            value = max(up, left, key=_better) if up else left
-            if p > lo and doc[p - 1] == word:
-                corner = before.get(p - 1, (0, 0, 0))
-                value = max(value, (corner[0] + 1, corner[1] if corner[0] else -(p - 1), p), key=_better)
-            row[p] = best = value
+        left = (0, 0, 0)
+        for p in range(max(0, q + min(near) - BAND), min(len(doc) - 1, q + max(near) + BAND) + 1):
+            if doc[p] == word:
+                score, matched, first = before.get(p, (0, 0, p))  # where both texts stood before these words
+                value = (score + 2, matched + 1, first if score else p)
+                if (value[0], value[1]) > top[:2] and p >= reach[0] and value[2] <= reach[1]:
+                    top = (value[0], value[1], value[2], p + 1)
+            else:
+                up = before.get(p + 1, (0, 0, 0))
+                value = up if up[:2] >= left[:2] else left
+                value = (value[0] - 1, value[1], value[2]) if value[0] > 1 else (0, 0, 0)
+            left = row[p + 1] = value
         before = row
-    matched, first, last = max(before.values(), key=_better, default=(0, 0, 0))
-    return matched / len(template), -first, last, matched
-
-
-def _better(x: tuple[int, int, int]) -> tuple[int, int, int]:
-    return x[0], x[1], -x[2]
+    return top[1], top[2], top[3]
 
 
 SCHEMA = "doc_id bigint, license string, coverage double, start_char bigint, end_char bigint, matched_words bigint"
