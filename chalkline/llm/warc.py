@@ -42,6 +42,7 @@ from chalkline.llm.common import scratch, small_arrow_batches, written
 LEAST_REVISIT = 1000
 BLOCK_LINES = 1024
 LOOKUPS_AT_ONCE = 16_384
+READS_IN_TASK = 4096
 NO_ID = -(1 << 63)
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
@@ -232,8 +233,12 @@ class _Reader:
 RECORDS = "page_id bigint, record_type string, payload_digest string, payload_bytes bigint, refers_to bigint, refers_url string, refers_key string"
 
 
-def fetch(lookups: DataFrame, root: str, directory: str) -> DataFrame:
-    """Read the records of ``lookups (key, page_id)`` through the index; repeated lookups count once."""
+def fetch(lookups: DataFrame, root: str, directory: str, tasks: int | None = None) -> DataFrame:
+    """Read the records of ``lookups (key, page_id)`` through the index; repeated lookups count once.
+
+    Lookups are thin and records are not, so the number of ``tasks`` is set here (the
+    session's parallelism at least) and not by the size of the lookups.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reader = _Reader(root, directory)
@@ -266,7 +271,8 @@ def fetch(lookups: DataFrame, root: str, directory: str) -> DataFrame:
         if held:
             yield resolve(held)
 
-    ordered = lookups.select("key", "page_id").repartitionByRange("key", "page_id").sortWithinPartitions("key", "page_id")
+    tasks = max(tasks or 1, lookups.sparkSession.sparkContext.defaultParallelism)
+    ordered = lookups.select("key", "page_id").repartitionByRange(tasks, "key", "page_id").sortWithinPartitions("key", "page_id")
     return ordered.mapInArrow(run, RECORDS)
 
 
@@ -280,13 +286,14 @@ def round_trip(pages: DataFrame, root: str | None = None) -> DataFrame:
     root = root or scratch(spark, "warc")
     captures = write_archives(pages, root)
     directory = build_index(captures, root)
+    tasks = -(-captures.count() // READS_IN_TASK)
     lookups = pages.select(url_key(F.col("url")).alias("key"), F.coalesce(F.col("page_id").cast("long"), F.lit(NO_ID)).alias("page_id"))
-    records = written(fetch(lookups, root, directory), "records")
+    records = written(fetch(lookups, root, directory, tasks), "records")
     revisits = records.where("record_type = 'revisit'")
     sources = revisits.select(F.col("refers_key").alias("key"), F.col("refers_to").alias("page_id")).distinct()
     # one page_id may stand for several payloads
     lengths = (
-        fetch(sources, root, directory)
+        fetch(sources, root, directory, tasks)
         .where("record_type = 'response'")
         .groupBy(F.col("page_id").alias("refers_to"), "payload_digest")
         .agg(F.max("payload_bytes").alias("length"))
