@@ -56,6 +56,20 @@ def arrow_rows(spark: SparkSession, rows: int) -> Iterator[None]:
         spark.conf.set(name, before)
 
 
+def unused(columns: list[str], name: str) -> str:
+    """``name``, with underscores appended until none of ``columns`` has it (Spark's names ignore case)."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def numbered(docs: DataFrame) -> tuple[DataFrame, str]:
+    """``docs`` with a number for every row, written, so that it is the same whenever it is read; and that column's name."""
+    row = unused(docs.columns, "_row")
+    return written(docs.withColumn(row, F.monotonically_increasing_id()), "numbered"), row
+
+
 def ascii_lower(text: Column) -> Column:
     """Lower-case A-Z only; null counts as empty."""
     return F.translate(F.coalesce(text, F.lit("")), UPPER, LOWER)

@@ -15,82 +15,103 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chalkline.llm.common import ascii_lower, scratch, written
+from chalkline.llm.common import ascii_lower, numbered, scratch, written
+
+
+#: Digests per bucket that a new index is laid out for, and the least number of buckets.
+BUCKET_DIGESTS, LEAST_BUCKETS = 4_000_000, 32
 
 
 class DigestIndex:
     """A bucketed, sorted Parquet table ``(digest, keep_id, keep_row, batch)`` at ``path``.
 
     Opening a path that already holds an index continues it: bucket numbers are in the
-    file names, so no catalogue has to survive between sessions.
+    file names and their count lies beside the table, so no catalogue has to survive
+    between sessions.  A new index is laid out for ``expected`` digests; when a corpus has
+    outgrown that, :meth:`copied` lays it out anew.
     """
 
-    def __init__(self, spark: SparkSession, path: str | None = None, buckets: int = 32):
-        self.spark, self.buckets = spark, buckets
+    def __init__(self, spark: SparkSession, path: str | None = None, expected: int = 0):
+        self.spark = spark
         self.path = path or scratch(spark, "digest-index")
+        self.buckets = self._layout() if path else None
+        if self.buckets is None:
+            self.buckets = max(LEAST_BUCKETS, -(-expected // BUCKET_DIGESTS))
+            spark.createDataFrame([(self.buckets,)], "buckets int").coalesce(1).write.json(f"{self.path}-layout")
         self.name = f"digest_index_{uuid.uuid4().hex}"
         spark.sql(
             f"CREATE TABLE {self.name} (digest BINARY, keep_id BIGINT, keep_row BIGINT, batch STRING) USING parquet "
-            f"CLUSTERED BY (digest) SORTED BY (digest) INTO {buckets} BUCKETS LOCATION '{self.path}'"
+            f"CLUSTERED BY (digest) SORTED BY (digest) INTO {self.buckets} BUCKETS LOCATION '{self.path}'"
         )
 
+    def _layout(self) -> int | None:
+        try:
+            return self.spark.read.schema("buckets int").json(f"{self.path}-layout").first().buckets
+        except AnalysisException:  # nothing there yet
+            return None
+
     def rows(self) -> DataFrame:
         return self.spark.table(self.name)
 
     def add(self, groups: DataFrame, batch: str) -> None:
         """Append the digests of ``groups (digest, keep_id, keep_row)`` that the index doesn't hold."""
         known = self.rows().select("digest")
-        fresh = groups.join(known.hint("merge"), "digest", "left_anti")
-        (
-            fresh.select("digest", "keep_id", "keep_row", F.lit(batch).alias("batch"))
-            .repartition(self.buckets, "digest")
-            .sortWithinPartitions("digest")
-            .write.insertInto(self.name)
-        )
-        self.spark.catalog.refreshTable(self.name)
+        self._append(groups.join(known.hint("merge"), "digest", "left_anti").select("digest", "keep_id", "keep_row", F.lit(batch).alias("batch")))
 
+    def copied(self, path: str, expected: int) -> DigestIndex:
+        """The same index at another path, laid out for ``expected`` digests."""
+        other = DigestIndex(self.spark, path, expected)
+        other._append(self.rows())
+        return other
 
-def exact_dedup(docs: DataFrame, index: DigestIndex | None = None) -> DataFrame:
-    """One row per row of ``docs``: doc_id, keep_id, group_size, kept, text_sha256.
+    def _append(self, rows: DataFrame) -> None:
+        rows.repartition(self.buckets, "digest").sortWithinPartitions("digest").write.insertInto(self.name)
+        self.spark.catalog.refreshTable(self.name)
 
-    ``group_size`` counts the rows of this batch with the same text.  A text that an
-    earlier batch brought keeps that batch's ``keep_id`` and no row of this one.
-    """
-    index = index or DigestIndex(docs.sparkSession)
-    batch = uuid.uuid4().hex
+
+def _decided(docs: DataFrame, row: Column, index: DigestIndex | None) -> DataFrame:
+    """``(row, doc_id, digest, keep_id, group_size, kept)`` for every row of ``docs``."""
     digests = written(
         docs.select(
-            F.col("doc_id").cast("long").alias("doc_id"),
-            F.monotonically_increasing_id().alias("row"),
+            F.col("doc_id").cast("long").alias("doc_id"), row.alias("row"),
             F.unhex(F.sha2(ascii_lower(F.col("text")).cast("binary"), 256)).alias("digest"),
         ),
         "digests",
-    )
+    )
+    index = index or DigestIndex(docs.sparkSession, expected=digests.count())
+    batch = uuid.uuid4().hex
     groups = digests.groupBy("digest").agg(
         F.max(F.struct("doc_id", "row")).alias("top"), F.count(F.lit(1)).alias("group_size")
     )
     index.add(groups.select("digest", F.col("top.doc_id").alias("keep_id"), F.col("top.row").alias("keep_row")), batch)
     sizes = groups.select("digest", "group_size").join(index.rows(), "digest")
-    return digests.join(sizes, "digest").select(
-        "doc_id",
-        "keep_id",
-        "group_size",
-        ((F.col("batch") == batch) & (F.col("row") == F.col("keep_row"))).alias("kept"),
-        F.lower(F.hex("digest")).alias("text_sha256"),
-    )
+    kept = (F.col("batch") == batch) & (F.col("row") == F.col("keep_row"))
+    return digests.join(sizes, "digest").select("row", "doc_id", "digest", "keep_id", "group_size", kept.alias("kept"))
 
 
-def keep_documents(docs: DataFrame) -> DataFrame:
-    """The documents that stay, with all their columns."""
-    kept = exact_dedup(docs).where("kept").select(F.col("doc_id").alias("_kept_id"), F.col("text_sha256").alias("_sha"))
-    sha = F.sha2(ascii_lower(F.col("text")).cast("binary"), 256)
-    joined = docs.withColumn("_text_sha", sha).join(
-        kept, F.col("_text_sha").eqNullSafe(F.col("_sha")) & F.col("doc_id").eqNullSafe(F.col("_kept_id")), "left_semi"
-    )
-    return joined.dropDuplicates(["_text_sha", "doc_id"]).drop("_text_sha")
+def exact_dedup(docs: DataFrame, index: DigestIndex | None = None) -> DataFrame:
+    """One row per row of ``docs``: doc_id, keep_id, group_size, kept, text_sha256.
+
+    ``group_size`` counts the rows of this batch with the same text.  A text that an
+    earlier batch brought keeps that batch's ``keep_id`` and no row of this one.
+    """
+    decided = _decided(docs, F.monotonically_increasing_id(), index)
+    return decided.select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
+
+
+def keep_documents(docs: DataFrame, index: DigestIndex | None = None) -> DataFrame:
+    """The documents that stay, with all their columns whatever their names.
+
+    Rows are told apart by a number from a written table, so of rows repeated with one id
+    and text exactly one stays.  Only numbers of dropped rows meet the texts.
+    """
+    rows, row = numbered(docs)
+    dropped = _decided(rows, F.col(row), index).where("NOT kept").select(F.col("row").alias(row))
+    return rows.join(dropped, row, "left_anti").select(*(rows[c] for c in docs.columns))
 
 
 SQL = """
@@ -101,3 +122,14 @@ SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
        doc_id = max(doc_id) OVER w AS kept, text_sha256
 FROM d WINDOW w AS (PARTITION BY text_sha256)
 """
+
+#: English documents as a first batch, then all documents against the index that it left.
+SECOND_BATCH_SQL = """
+WITH d AS (
+  SELECT doc_id, lang, sha256(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')) AS h
+  FROM documents),
+f AS (SELECT h, max(doc_id) AS first_id FROM d WHERE lang = 'en' GROUP BY h)
+SELECT doc_id, coalesce(first_id, max(doc_id) OVER (PARTITION BY h)) AS keep_id, count(*) OVER (PARTITION BY h) AS group_size,
+       first_id IS NULL AND doc_id = max(doc_id) OVER (PARTITION BY h) AS kept, h AS text_sha256
+FROM d LEFT JOIN f USING (h)
+"""

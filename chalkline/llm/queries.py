@@ -30,6 +30,14 @@ def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def dedup_second_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents against an index that the English ones have filled before."""
+    docs = table(spark, sf_dir, "documents")
+    index = exact_dedup.DigestIndex(spark, expected=docs.count())
+    exact_dedup.exact_dedup(docs.where("lang = 'en'"), index)
+    return exact_dedup.exact_dedup(docs, index)
+
+
 def vocabulary(name: str = "byte_bpe_50k.json") -> str:
     """Where the public tokenizer files are installed."""
     import public_tokenizers
@@ -69,6 +77,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_license_scan": op8_license_scan,
     "op9_mixing": op9_mixing,
     "op10_exact_topk": op10_exact_topk,
+    "dedup_second_batch": dedup_second_batch,
 }
 
-ORACLES: dict[str, str] = {"op1_html_extraction": html_text.SQL, "op5_exact_dedup": exact_dedup.SQL, "op7_warc": warc.SQL, "op10_exact_topk": topk.SQL}
+ORACLES: dict[str, str] = {
+    "op1_html_extraction": html_text.SQL,
+    "op5_exact_dedup": exact_dedup.SQL,
+    "op7_warc": warc.SQL,
+    "op10_exact_topk": topk.SQL,
+    "dedup_second_batch": exact_dedup.SECOND_BATCH_SQL,
+}
