@@ -22,7 +22,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from chalkline.llm.common import written
+from chalkline.llm.common import numbered, unused, written
 
 WORD = "[^\\x20\\x09-\\x0D]+"
 BUCKETS = 1 << 12
@@ -198,7 +198,8 @@ def repeat_documents(docs: DataFrame) -> DataFrame:
 
     Rows are numbered in a written table, so rows without an id or with a repeated one have copies of their own.
     """
-    numbered = written(docs.withColumn("_mix_row", F.monotonically_increasing_id()), "numbered")
-    taken = _mixed(numbered, F.col("_mix_row")).where("copies > 0").select(F.col("row").alias("_mix_row"), F.col("copies").alias("_copies"))
-    joined = numbered.join(taken, "_mix_row")
-    return joined.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*docs.columns)
+    rows, row = numbered(docs)
+    copies = unused([*docs.columns, row], "_copies")
+    taken = _mixed(rows, F.col(row)).where("copies > 0").select(F.col("row").alias(row), F.col("copies").alias(copies))
+    joined = rows.join(taken, row)
+    return joined.withColumn(copies, F.explode(F.sequence(F.lit(1), F.col(copies)))).select(*docs.columns)

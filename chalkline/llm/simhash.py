@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from chalkline.llm.common import LOWER, UPPER, ascii_lower, small_arrow_batches, written
+from chalkline.llm.common import LOWER, UPPER, ascii_lower, numbered, small_arrow_batches, written
 from chalkline.llm.components import components
 
 _TO_LOWER = bytes.maketrans(UPPER.encode(), LOWER.encode())
@@ -134,7 +134,9 @@ def links(reps: DataFrame, distance: int = 4) -> DataFrame:
             reps.join(components(close).withColumnRenamed("component", "cluster"), "node", "left")
             .select("fp", "node", F.coalesce("cluster", "node").alias("cluster"))
         )
-    points = written(points, "points")
+    # few small files hold all points: deal them out before each becomes its cells
+    spark = reps.sparkSession
+    points = written(points, "points").repartition(max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))))
     spread = F.concat(cells(F.col("fp"), 0), cells(F.col("fp"), 1))
     placed = points.select(F.explode(spread).alias("cell"), "fp", "cluster").where("cell is not null")
     left = placed.select("cell", F.col("fp").alias("fp_a"), F.col("cluster").alias("a"))
@@ -186,7 +188,7 @@ def bands(shingles: np.ndarray) -> list[int]:
     return [xxhash.xxh64_intdigest(x.tobytes(), b) - (1 << 63) for b, x in enumerate(least.reshape(BANDS, ROWS))]
 
 
-SKETCH = "doc_id bigint, sha binary, fp bigint, n int, bands array<bigint>"
+SKETCH = "doc_id bigint, sha binary, fp bigint, n int, bands array<bigint>, row bigint"
 
 
 def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -199,8 +201,8 @@ def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             sizes.append(len(own))
             found.append(bands(own))
         yield pa.RecordBatch.from_arrays(
-            [batch.column(0), batch.column(1), pa.array(np.array(fps, np.uint64).view(np.int64)), pa.array(sizes, pa.int32()), pa.array(found, pa.list_(pa.int64()))],
-            names=["doc_id", "sha", "fp", "n", "bands"],
+            [batch.column(0), batch.column(1), pa.array(np.array(fps, np.uint64).view(np.int64)), pa.array(sizes, pa.int32()), pa.array(found, pa.list_(pa.int64())), batch.column(3)],
+            names=["doc_id", "sha", "fp", "n", "bands", "row"],
         )
 
 
@@ -239,10 +241,11 @@ def keep_documents(docs: DataFrame) -> DataFrame:
     repeated one are compared like any other; ids only choose among near copies, nulls last.
     """
     small_arrow_batches(docs.sparkSession)
+    rows, row = numbered(docs)
     sha = F.unhex(F.sha2(ascii_lower(F.col("text")).cast("binary"), 256))
-    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), sha.alias("sha"), "text")
+    own = rows.select(F.col("doc_id").cast("long").alias("doc_id"), sha.alias("sha"), "text", F.col(row).alias("row"))
     sketches = own.mapInArrow(_sketches, SKETCH)
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "sha")).alias("first")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "sha", "row")).alias("first")
     of_text = [first, *(F.first(c).alias(c) for c in ("fp", "n", "bands"))]
     nodes = written(sketches.groupBy("sha").agg(*of_text).withColumn("node", F.monotonically_increasing_id()), "nodes")
     reps = written(nodes.groupBy("fp").agg(F.min("node").alias("node")), "reps")
@@ -263,13 +266,11 @@ def keep_documents(docs: DataFrame) -> DataFrame:
     pairs = left.join(right, ["band", "value"]).where("of_a < of_b").select("a", "b").distinct()
     edges = edges.unionByName(_similar(pairs, nodes, own))
 
-    firsts = (
+    kept = (
         nodes.join(components(edges), "node", "left")
         .groupBy(F.coalesce("component", "node").alias("component"))
         .agg(F.min("first").alias("first"))
-        .select(F.col("first.doc_id").alias("_kept_id"), F.col("first.sha").alias("_kept_sha"))
+        .select(F.col("first.row").alias(row))
     )
-    kept = docs.withColumn("_sha", sha).join(
-        firsts, (F.col("_sha") == F.col("_kept_sha")) & F.col("doc_id").eqNullSafe(F.col("_kept_id")), "left_semi"
-    )
-    return kept.dropDuplicates(["_sha"]).drop("_sha")
+    dropped = rows.select(row).join(kept, row, "left_anti")  # numbers only; these alone meet the texts
+    return rows.join(dropped, row, "left_anti").select(*(rows[c] for c in docs.columns))

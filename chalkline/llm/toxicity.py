@@ -131,64 +131,73 @@ class Chain:
         return out
 
 
-def _fit_group(name: str, i: int, earlier: dict[int, tuple], folds: int):
-    """The function that fits one group: on all of the sample (key -1) or without one fold, which it predicts."""
+def _fits(name: str, earlier: dict[int, tuple], folds: int):
+    """Fits each ``fit`` that comes: on all of the sample (-1) or without one fold, which it predicts.
 
-    def fit(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
+    A fit is the whole sample in one task: at most ``sample`` rows of slots.
+    """
+    width = len(next(iter(earlier.values()))) if earlier else 0
+
+    def one(fit: int, part: pd.DataFrame) -> pd.DataFrame:
         part = part.sort_values("id")
         ids = part["id"].to_numpy()
         found = [np.asarray(x, np.int64) for x in part["slots"]]
-        extra = np.array([earlier[x] for x in ids.tolist()]).reshape(len(ids), i) if i else np.zeros((len(ids), 0))
+        extra = np.array([earlier[x] for x in ids.tolist()]).reshape(len(ids), width) if width else np.zeros((len(ids), 0))
         y = part[name].to_numpy(float)
         fold = np.array([xxhash.xxh64_intdigest(str(x)) % folds for x in ids.tolist()])
-        out = fold == key[0]
+        out = fold == fit
         model = fit_linear([r for r, o in zip(found, out, strict=True) if not o], extra[~out], y[~out])
         p = predict_linear(model, [r for r, o in zip(found, out, strict=True) if o], extra[out])
         at = np.flatnonzero(model)
-        return pd.DataFrame(
-            {"fit": [key[0]], "at": [at.astype(np.int32).tolist()], "weights": [model[at].tolist()], "ids": [ids[out].tolist()], "p": [p.tolist()]}
-        )
+        return pd.DataFrame({"fit": [fit], "at": [at.astype(np.int32).tolist()], "weights": [model[at].tolist()], "ids": [ids[out].tolist()], "p": [p.tolist()]})
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held = [x for x in batches if len(x)]
+        if held:
+            for fit, part in pd.concat(held).groupby("fit"):
+                yield one(int(fit), part)
 
-    return fit
+    return run
 
 
 def fit_chain(docs: DataFrame, labels: DataFrame, categories: dict[str, Column], sample: int = SAMPLE, folds: int = FOLDS) -> Chain:
     """Fit the chain on labelled documents.
 
     ``categories`` maps each category, in chain order, to a 0/1 column of ``labels``.
+    Where labels of one id differ, the greater one counts; where an id has several texts,
+    the one with the least hash is used.  So reruns agree, whatever the order of rows.
     """
     spark = docs.sparkSession
     small_arrow_batches(spark)
     names = list(categories)
+    own = [f"y{i}" for i in range(len(names))]
     chosen = (
-        labels.select(F.col("doc_id").alias("_id"), *(c.cast("double").alias(n) for n, c in categories.items()))
+        labels.select(F.col("doc_id").alias("id"), *(c.cast("double").alias(n) for n, c in zip(own, categories.values(), strict=True)))
         .dropna()
-        .dropDuplicates(["_id"])
-        .withColumn("_order", F.xxhash64("_id", F.lit("sample")))
-        .orderBy("_order", "_id")
+        .groupBy("id")
+        .agg(*(F.max(n).alias(n) for n in own))
+        .orderBy(F.xxhash64("id", F.lit("sample")), "id")
         .limit(sample)
     )
     chosen = written(chosen, "labelled")
-    texts = docs.select(F.col("doc_id").alias("_doc"), "text").join(F.broadcast(chosen), F.col("_doc") == F.col("_id"))  # at most ``sample`` rows
+    texts = docs.select(F.col("doc_id").alias("id"), F.col("text").alias("body")).join(F.broadcast(chosen), "id")  # at most ``sample`` rows
+    texts = texts.select("id", F.xxhash64(F.coalesce("body", F.lit(""))).alias("hash"), "body", *own)
 
     def featurize(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [slots(t) for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.int32())), *batch.columns[2:]], names=["id", "slots", *names])
+            found = [slots(t) for t in batch.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(found, pa.list_(pa.int32())), *batch.columns[3:]], names=["id", "hash", "slots", *own])
 
-    schema = "id bigint, slots array<int>, " + ", ".join(f"{n} double" for n in names)
-    rows = written(texts.select("_id", "text", *names).mapInArrow(featurize, schema).dropDuplicates(["id"]), "features")
+    schema = "id bigint, hash bigint, slots array<int>, " + ", ".join(f"{n} double" for n in own)
+    rows = texts.mapInArrow(featurize, schema).groupBy("id").agg(F.min(F.struct("hash", "slots", *own)).alias("x"))
+    rows = written(rows.select("id", "x.slots", *(f"x.{n}" for n in own)), "features")
     chain, known = Chain(names), {}
-    for i, name in enumerate(names):
-        last = i + 1 == len(names)
+    for i, name in enumerate(own):
+        keys = [-1] if i + 1 == len(own) else [-1, *range(folds)]
         earlier = dict(known)
-        fits = F.explode(F.array(*(F.lit(f) for f in ([-1] if last else [-1, *range(folds)]))))
-        done = (
-            rows.select("id", "slots", name, fits.alias("fit"))
-            .groupBy("fit")
-            .applyInPandas(_fit_group(name, i, dict(known), folds), "fit int, at array<int>, weights array<double>, ids array<bigint>, p array<double>")
-            .collect()  # one row a fit, bounded by the sample
-        )
+        # every fit is a range of its own, so each has a task to itself
+        dealt = rows.select("id", "slots", name, F.explode(F.array(*(F.lit(f) for f in keys))).alias("fit")).repartitionByRange(len(keys), "fit")
+        done = dealt.mapInPandas(_fits(name, earlier, folds), "fit int, at array<int>, weights array<double>, ids array<bigint>, p array<double>").collect()  # one row a fit, bounded by the sample
         model = np.zeros(SLOTS + i + 1)
         model[-1] = -35.0
         for r in done:
