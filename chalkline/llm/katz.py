@@ -1,15 +1,17 @@
-"""A Katz backoff bigram model over a corpus, and the score of every document under it.
+"""A Katz backoff n-gram model over a corpus, and the score of every document under it.
 
 Counts up to ``CUTOFF`` get Good-Turing discounts; larger ones a small absolute discount,
 so that every context keeps mass to back off with.  The mass that a context's seen words
-leave is spread over its unseen words in proportion to the unigram model by an exactly
-normalised backoff weight; the unigram model leaves its own discounted mass to one
-unknown word.
+leave is spread over its unseen words in proportion to the next shorter context by an
+exactly normalised backoff weight, down to single words; these leave their own discounted
+mass to one unknown word.  A token's probability is evaluated recursively from the longest
+context (``order - 1`` words, with start symbols before the text) to the first that has
+seen it, every step taking the weight of the context it leaves.
 
 The corpus is cut into chunks of documents inside the tasks that read it.  A chunk adds
 up its own n-grams first and sends each distinct key once, packed and sorted, to the
 table partition that owns the key's range; the partition adds the chunks up, stores its
-slice of the count table, and answers each chunk with the totals in the order it asked.
+slice of the order's count table, and answers each chunk with the totals in the order it asked.
 So a word or word pair that makes up a third of the corpus is one entry per chunk, and
 what is shuffled is distinct keys, not tokens.  The same exchange adds up the mass of
 each context for the backoff weights.
@@ -37,6 +39,8 @@ from pyspark.sql import functions as F
 
 from chalkline.llm.common import LOWER, UPPER, scratch, small_arrow_batches, written
 
+#: Words of a context and the word after it.
+ORDER = 2
 CUTOFF = 5
 #: Taken from counts above the cutoff.
 TAIL = 0.1
@@ -151,38 +155,61 @@ def _tokenize(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 class Chunk:
-    """One chunk, unpacked: documents, words by local place, and its distinct word pairs."""
+    """One chunk, unpacked: documents, words by local place, and its distinct n-grams of each order.
 
-    def __init__(self, row: dict):
+    Lists start with order 1 at index 1.  ``keys[k]`` are the distinct k-grams, ``of[k]`` the
+    place of every token's k-gram in them, ``context[k]`` the key of what stands before it.
+    """
+
+    def __init__(self, row: dict, order: int):
         self.name = row["chunk"]
         self.ids, self.lengths = unpack(row["ids"], np.int64), unpack(row["lengths"], np.uint32).astype(np.int64)
         self.held = unpack(row["held"], np.uint8).astype(bool)
         self.vocab = np.frombuffer(row["vocab"], np.uint64)
-        self.place = unpack(row["places"], np.uint32).astype(np.int64)
+        place = unpack(row["places"], np.uint32).astype(np.int64)
         self.doc = np.repeat(np.arange(len(self.ids)), self.lengths)
         self.train = ~self.held[self.doc]
-        # the place of the word before; the extra last place stands for the start
-        self.before = np.empty(len(self.place), np.int64)
-        self.before[1:] = self.place[:-1]
-        self.before[np.cumsum(self.lengths) - self.lengths] = len(self.vocab)
-        words = np.append(self.vocab, START)
-        self.pairs, self.pair = np.unique(pair_keys(words[self.before], self.vocab[self.place]), return_inverse=True)
-        self.by_hash = np.argsort(self.vocab)
-
-
-REQUESTS = "kind int, part int, chunk string, keys binary, counts binary"
-
-
-def _requests(parts1: int, parts2: int):
+        self.first = np.cumsum(self.lengths) - self.lengths  # of each document; every one has its end token at least
+        by_hash = np.argsort(self.vocab)
+        rank = np.empty(len(by_hash), np.int64)
+        rank[by_hash] = np.arange(len(by_hash))
+        self.keys: list[np.ndarray] = [np.zeros(0, np.uint64), self.vocab[by_hash]]
+        self.of: list[np.ndarray] = [place, rank[place]]
+        self.context: list[np.ndarray] = [np.zeros(0, np.uint64)] * 2
+        words = gram = self.vocab[place]
+        start = np.array([START])
+        for _ in range(2, order + 1):
+            before = np.empty_like(gram)
+            before[1:] = gram[:-1]
+            before[self.first] = start[0]
+            gram = pair_keys(before, words)
+            start = pair_keys(start, np.array([START]))
+            keys, of = np.unique(gram, return_inverse=True)
+            self.keys.append(keys)
+            self.of.append(of.reshape(-1))
+            self.context.append(before)
+
+
+REQUESTS = "slot bigint, kind int, part int, chunk string, keys binary, counts binary"
+
+
+def even_keys(spark, n: int) -> list[int]:
+    """Numbers that Spark's hash deals to ``n`` partitions one each, so that no two slices meet in a task by chance."""
+    found = spark.range(n * 16 + 64).select("id", F.pmod(F.hash("id"), F.lit(n)).alias("p")).groupBy("p").agg(F.min("id").alias("id")).collect()
+    by = {r["p"]: r["id"] for r in found}
+    return [by.get(p, n * 16 + 64 + p) for p in range(n)]
+
+
+def _requests(order: int, parts: list[int], slots: list[list[int]]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
-                c = Chunk(row)
+                c = Chunk(row, order)
                 out = []
-                one = np.bincount(c.place[c.train], minlength=len(c.vocab)).astype(np.uint32)[c.by_hash]
-                two = np.bincount(c.pair[c.train], minlength=len(c.pairs)).astype(np.uint32)
-                for kind, keys, counts, parts in ((1, c.vocab[c.by_hash], one, parts1), (2, c.pairs, two, parts2)):
-                    out += [(kind, p, c.name, pack_keys(keys[a:b]), pack(counts[a:b])) for p, a, b in slices(keys, parts)]
+                for k in range(1, order + 1):
+                    keys = c.keys[k]
+                    counts = np.bincount(c.of[k][c.train], minlength=len(keys)).astype(np.uint32)
+                    out += [(slots[k][p], k, p, c.name, pack_keys(keys[a:b]), pack(counts[a:b])) for p, a, b in slices(keys, parts[k])]
                 yield _batch(out, REQUESTS)
 
     return run
@@ -240,85 +267,83 @@ def discounts(of_counts: list[int]) -> np.ndarray:
 
 
 class Model:
-    """The numbers that hold for the whole corpus."""
+    """The numbers that hold for the whole corpus; ``of_counts[k]``: how many k-grams were seen 1, 2, ... times."""
 
-    def __init__(self, tokens: int, types: int, of_one: list[int], of_two: list[int]):
-        self.tokens, self.types = tokens, types
-        self.one, self.two = discounts(of_one), discounts(of_two)
-        self.unknown = self._left_over(of_one)
+    def __init__(self, tokens: int, types: int, of_counts: dict[int, list[int]]):
+        self.tokens, self.types, self.order = tokens, types, max(of_counts)
+        self.factors = {k: discounts(n) for k, n in of_counts.items()}
+        self.unknown = self._left_over(of_counts[1])
 
     def _left_over(self, of_one: list[int]) -> float:
         if not self.tokens:
             return 1.0
-        low = sum(r * n * (1 - self.one[r]) for r, n in enumerate(of_one[:CUTOFF], 1))
+        low = sum(r * n * (1 - self.factors[1][r]) for r, n in enumerate(of_one[:CUTOFF], 1))
         return (low + TAIL * (self.types - sum(of_one[:CUTOFF]))) / self.tokens
 
-    @staticmethod
-    def discounted(counts: np.ndarray, factors: np.ndarray) -> np.ndarray:
-        return np.where(counts > CUTOFF, counts - TAIL, counts * factors[np.minimum(counts, CUTOFF)])
+    def discounted(self, counts: np.ndarray, k: int) -> np.ndarray:
+        return np.where(counts > CUTOFF, counts - TAIL, counts * self.factors[k][np.minimum(counts, CUTOFF)])
 
     def unigram(self, counts: np.ndarray) -> np.ndarray:
-        return np.where(counts > 0, self.discounted(counts, self.one) / max(1, self.tokens), self.unknown)
+        return np.where(counts > 0, self.discounted(counts, 1) / max(1, self.tokens), self.unknown)
 
 
-PARTIAL = "role string, part int, chunk string, keys binary, seen binary, lower binary, needed binary, ids binary, held binary, lengths binary, known binary, base binary, score binary, waiting_doc binary, waiting_key binary"
+PARTIAL = "role string, kind int, part int, chunk string, keys binary, seen binary, lower binary, needed binary, ids binary, held binary, lengths binary, known binary, base binary, score binary, waiting_doc binary, waiting_key binary"
 
 
-def _evaluate(model: Model, parts1: int):
+def _evaluate(model: Model, parts: list[int]):
     """Scores of a chunk's documents up to the backoff weights, and the chunk's share of each context's mass."""
 
     def run(group: pa.Table) -> pa.Table:
         rows = group.to_pylist()
-        c = Chunk(next(r for r in rows if r["role"] == "chunk"))
-        answers = {k: np.concatenate([unpack(r["counts"], np.uint64) for r in sorted((r for r in rows if r["kind"] == k), key=lambda r: r["part"])]) for k in (1, 2)}
-        count = np.empty(len(c.vocab), np.int64)
-        count[c.by_hash] = (answers[1] >> np.uint64(1)).astype(np.int64)
-        both = (answers[2] >> np.uint64(1)).astype(np.int64)
-        own = (answers[2] & np.uint64(1)).astype(bool)
-        end = count[np.flatnonzero(c.vocab == np.uint64(END))[0]]
-        context = np.append(np.where(c.vocab == np.uint64(END), 0, count), end)  # how often a word is followed by another
-        lower = model.unigram(count)
-        # one pair of places for each distinct pair
-        at = np.empty(len(c.pairs), np.int64)
-        at[c.pair] = np.arange(len(c.pair))
-        first, second = c.before[at], c.place[at]
-        mass = model.discounted(both, model.two)
-        n = len(context)
-        mine = own & (both > 0)
-        seen = np.bincount(first[mine], mass[mine], n)
-        below = np.bincount(first[mine], lower[second[mine]], n)
-        log_pair = np.where(both > 0, np.log10(np.maximum(mass, 1e-300) / np.maximum(context[first], 1)), np.log10(lower[second]))
-        waits = (both == 0) & (context[first] > 0)
+        c = Chunk(next(r for r in rows if r["role"] == "chunk"), model.order)
         docs = len(c.ids)
-        score = np.bincount(c.doc, log_pair[c.pair], docs)
-        base = np.bincount(c.doc, np.log10((count[c.place] + 1) / (model.tokens + model.types + 1)), docs)
-        known = np.bincount(c.doc, count[c.place] > 0, docs).astype(np.int64)
-        words = np.append(c.vocab, START)
-        waiting = np.flatnonzero(waits[c.pair])
-        need = np.unique(words[c.before[waiting]])
-        keys, place = np.unique(np.concatenate([words[np.bincount(first[mine], minlength=n) > 0], need]), return_inverse=True)
-        sums = np.zeros((2, len(keys)))
-        given = np.flatnonzero(np.bincount(first[mine], minlength=n) > 0)
-        at = np.searchsorted(keys, words[given])
-        sums[0, at], sums[1, at] = seen[given], below[given]
-        wanted = np.isin(keys, need)
-        total = np.zeros(len(keys))
-        by_word = np.argsort(words)
-        total[:] = context[by_word[np.searchsorted(words[by_word], keys)]]
-        out = [
-            ("context", p, c.name, pack_keys(keys[a:b]), pack(sums[0, a:b] / total[a:b]), pack(sums[1, a:b]), pack(wanted[a:b].astype(np.uint8)), *[None] * 8)
-            for p, a, b in slices(keys, parts1)
-        ]
-        out.append(
-            ("scores", 0, c.name, None, None, None, None, pack(c.ids), pack(c.held.astype(np.uint8)), pack(c.lengths), pack(known), pack(base), pack(score),
-             pack(c.doc[waiting].astype(np.uint32)), pack(np.searchsorted(need, words[c.before[waiting]]).astype(np.uint32)))
-        )
+        out = []
+
+        def totals(k: int) -> tuple[np.ndarray, np.ndarray]:
+            """How often each of the chunk's k-grams was seen in all, and whether the chunk is the first that has it."""
+            mine = sorted((r for r in rows if r["kind"] == k), key=lambda r: r["part"])
+            answer = np.concatenate([unpack(r["counts"], np.uint64) for r in mine])
+            return (answer >> np.uint64(1)).astype(np.int64), (answer & np.uint64(1)).astype(bool)
+
+        count, _ = totals(1)
+        texts = count[np.searchsorted(c.keys[1], np.uint64(END))]  # training documents: each has one end
+        lower = model.unigram(count)[c.of[1]]  # per token, the probability one order down; right where that order has seen it
+        log_found = np.log10(lower)
+        tokens = count[c.of[1]]
+        base = np.bincount(c.doc, np.log10((tokens + 1) / (model.tokens + model.types + 1)), docs)
+        known = np.bincount(c.doc, tokens > 0, docs).astype(np.int64)
+        for k in range(2, model.order + 1):
+            context = np.empty(len(c.doc), np.int64)  # how often what stands before the token is followed by anything
+            context[1:] = tokens[:-1]
+            context[c.first] = texts
+            count, own = totals(k)
+            tokens = count[c.of[k]]
+            share = model.discounted(tokens, k) / np.maximum(context, 1)
+            at = np.empty(len(count), np.int64)  # one token of each distinct k-gram
+            at[c.of[k]] = np.arange(len(tokens))
+            mine = at[own & (count > 0)]
+            waiting = np.flatnonzero((tokens == 0) & (context > 0))
+            need = np.unique(c.context[k][waiting])
+            keys, place = np.unique(np.concatenate([c.context[k][mine], need]), return_inverse=True)
+            place = place.reshape(-1)[: len(mine)]
+            seen, below = np.bincount(place, share[mine], len(keys)), np.bincount(place, lower[mine], len(keys))
+            wanted = np.isin(keys, need).astype(np.uint8)
+            out += [
+                ("context", k, p, c.name, pack_keys(keys[a:b]), pack(seen[a:b]), pack(below[a:b]), pack(wanted[a:b]), *[None] * 8) for p, a, b in slices(keys, parts[k - 1])
+            ] if len(keys) else []
+            places = np.searchsorted(need, c.context[k][waiting]).astype(np.uint32)
+            out.append(("waiting", k, 0, c.name, *[None] * 10, pack(c.doc[waiting].astype(np.uint32)), pack(places)))
+            hit = tokens > 0
+            log_found[hit] = np.log10(share[hit])
+            lower = share
+        score = np.bincount(c.doc, log_found, docs)
+        out.append(("scores", 0, 0, c.name, *[None] * 4, pack(c.ids), pack(c.held.astype(np.uint8)), pack(c.lengths), pack(known), pack(base), pack(score), None, None))
         return pa.Table.from_batches([_batch(out, PARTIAL)])
 
     return run
 
 
-WEIGHTS = "chunk string, part int, keys binary, alpha binary"
+WEIGHTS = "chunk string, kind int, part int, keys binary, alpha binary"
 
 
 def _weigh(group: pa.Table) -> pa.Table:
@@ -334,7 +359,7 @@ def _weigh(group: pa.Table) -> pa.Table:
         mine = place[at : at + len(a)][unpack(r["needed"], np.uint8).astype(bool)]
         at += len(a)
         if len(mine):
-            out.append((r["chunk"], r["part"], pack_keys(keys[mine]), pack(alpha[mine])))
+            out.append((r["chunk"], r["kind"], r["part"], pack_keys(keys[mine]), pack(alpha[mine])))
     return pa.Table.from_batches([_batch(out, WEIGHTS)])
 
 
@@ -344,13 +369,15 @@ SCORES = "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, trai
 def _finish(train_tokens: int):
     def run(group: pa.Table) -> pa.Table:
         rows = group.to_pylist()
-        s = next(r for r in rows if r["ids"] is not None)
+        s = next(r for r in rows if r["role"] == "scores")
         ids, held, lengths, known = unpack(s["ids"], np.int64), unpack(s["held"], np.uint8), unpack(s["lengths"], np.int64), unpack(s["known"], np.int64)
         base, score = unpack(s["base"], np.float64), unpack(s["score"], np.float64)
-        answers = sorted((r for r in rows if r["alpha"] is not None), key=lambda r: r["part"])
-        if answers:
-            alpha = np.concatenate([unpack(r["alpha"], np.float64) for r in answers])
-            score = score + np.bincount(unpack(s["waiting_doc"], np.uint32).astype(np.int64), alpha[unpack(s["waiting_key"], np.uint32)], len(ids))
+        for w in (r for r in rows if r["role"] == "waiting"):
+            docs = unpack(w["waiting_doc"], np.uint32).astype(np.int64)
+            if len(docs):
+                answers = sorted((r for r in rows if r["alpha"] is not None and r["kind"] == w["kind"]), key=lambda r: r["part"])
+                alpha = np.concatenate([unpack(r["alpha"], np.float64) for r in answers])
+                score = score + np.bincount(docs, alpha[unpack(w["waiting_key"], np.uint32)], len(ids))
         return pa.table([
             pa.array(ids, pa.int64(), mask=ids == NO_ID), pa.array(held.astype(bool)), pa.array(lengths), pa.array(known),
             pa.array(np.full(len(ids), train_tokens, np.int64)), pa.array(base), pa.array(score),
@@ -359,28 +386,33 @@ def _finish(train_tokens: int):
     return run
 
 
-def score_documents(docs: DataFrame) -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for every row of ``docs``."""
+def score_documents(docs: DataFrame, order: int = ORDER) -> DataFrame:
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for every row of ``docs``; contexts of ``order - 1`` words."""
+    if order < 2:
+        raise ValueError("a backoff model has order 2 at least")
     spark = docs.sparkSession
     small_arrow_batches(spark)
     chunks = written(docs.selectExpr("cast(doc_id as bigint) doc_id", "text").mapInArrow(_tokenize, CHUNKS), "chunks")
     tokens = chunks.agg(F.sum("tokens")).first()[0]
     if not tokens:
         return spark.createDataFrame([], SCORES)
-    parts2 = max(1, -(-tokens // PARTITION_TOKENS))
-    parts1 = max(1, parts2 // 4)
+    many = max(1, -(-tokens // PARTITION_TOKENS))
+    parts = [0, max(1, many // 4), *[many] * (order - 1)]
+    keys = even_keys(spark, sum(parts))
+    slots = [keys[sum(parts[:k]) : sum(parts[: k + 1])] for k in range(order + 1)]
     path = scratch(spark, "ngrams")
-    counted = chunks.mapInArrow(_requests(parts1, parts2), REQUESTS).groupBy("kind", "part").applyInArrow(_add_up, COUNTED)
-    counted.write.partitionBy("role", "kind").parquet(path)
+    requests = chunks.mapInArrow(_requests(order, parts, slots), REQUESTS).repartition(sum(parts), "slot")
+    requests.groupBy("slot").applyInArrow(_add_up, COUNTED).write.partitionBy("role", "kind").parquet(path)
     counted = spark.read.schema(COUNTED).option("basePath", path).parquet(path)
     stats = {
         r["kind"]: r["s"]
         for r in counted.where("role = 'table'").groupBy("kind").agg(F.array(*(F.sum(F.col("stats")[i]) for i in range(CUTOFF + 3))).alias("s")).collect()
     }
-    model = Model(stats[1][0], stats[1][1], stats[1][2:], stats[2][2:])
+    model = Model(stats[1][0], stats[1][1], {k: s[2:] for k, s in stats.items()})
     answers = counted.where("role = 'answer'").select("role", "kind", "part", "chunk", "counts")
     asked = chunks.select(F.lit("chunk").alias("role"), "*").unionByName(answers, allowMissingColumns=True)
-    partial = written(asked.groupBy("chunk").applyInArrow(_evaluate(model, parts1), PARTIAL), "partial")
-    weights = written(partial.where("role = 'context'").select("part", "chunk", "keys", "seen", "lower", "needed").groupBy("part").applyInArrow(_weigh, WEIGHTS), "backoff")
-    scores = partial.where("role = 'scores'").select("chunk", "ids", "held", "lengths", "known", "base", "score", "waiting_doc", "waiting_key")
-    return scores.unionByName(weights.select("chunk", "part", "alpha"), allowMissingColumns=True).groupBy("chunk").applyInArrow(_finish(model.tokens), SCORES)
+    partial = written(asked.groupBy("chunk").applyInArrow(_evaluate(model, parts), PARTIAL), "partial")
+    contexts = partial.where("role = 'context'").select("kind", "part", "chunk", "keys", "seen", "lower", "needed")
+    weights = written(contexts.groupBy("kind", "part").applyInArrow(_weigh, WEIGHTS), "backoff")
+    scores = partial.where("role <> 'context'").select("role", "kind", "chunk", "ids", "held", "lengths", "known", "base", "score", "waiting_doc", "waiting_key")
+    return scores.unionByName(weights.select("chunk", "kind", "part", "alpha"), allowMissingColumns=True).groupBy("chunk").applyInArrow(_finish(model.tokens), SCORES)

@@ -246,30 +246,43 @@ def test_toxicity_odd_input(spark, odd, empty):
 # -- op4 ----------------------------------------------------------------------------------
 
 
-def test_katz_against_brute_force(spark):
+@pytest.mark.parametrize("order", [2, 3, 4])
+def test_katz_against_brute_force(spark, order):
     rnd = random.Random(8)
     vocab = [f"w{int(rnd.paretovariate(0.7))}" for _ in range(300)]
     rows = [(i, " ".join(rnd.choices(vocab, k=rnd.randint(0, 60)))) for i in range(200)] + [(300, None), (301, ""), (302, "Unheard OF")]
-    want = brute_katz.scores(rows)
-    got = {r.doc_id: r for r in katz.score_documents(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(5)).collect()}
+    rows += [(400 + i, rows[7][1]) for i in range(12)]
+    want = brute_katz.scores(rows, order)
+    got = {r.doc_id: r for r in katz.score_documents(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(5), order).collect()}
     for i, w in want.items():
         r = got[i]
         assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == w[:4]
         assert r.base_score == pytest.approx(w[4], abs=1e-8) and r.score == pytest.approx(w[5], abs=1e-8)
 
 
-def test_katz_backoff_is_normalised():
-    rows = [(i, " ".join(random.Random(i).choices("abcdefgh", k=12))) for i in range(30)]
-    words = {w for i, t in rows if zlib.crc32(str(i).encode()) % 7 != 2 for w in brute_katz.tokens(t)}
-    total = 0.0
-    one = brute_katz.scores([*rows, (10**6, "a")])
-    assert one[10**6][1] == 2
-    for w in [*sorted(words - {"</s>"}), "zzz-unknown"]:
-        probe = next(i for i in range(10**6, 10**6 + 100) if zlib.crc32(str(i).encode()) % 7 == 2)
-        whole, end = (brute_katz.scores([*rows, (probe, x)])[probe][5] for x in (f"a {w}", "a"))
-        del end
-        total += 10**whole > 0
-    assert total == len(words)
+@pytest.mark.parametrize("order", [2, 3])
+def test_katz_probabilities_sum_to_one(spark, order):
+    """The operator's own P(w | context) over all words and the unknown one, from scores of probe texts that differ in w only."""
+    rows = [(i, " ".join(random.Random(i).choices("abcdefgh", weights=(9, 7, 5, 3, 2, 1, 1, 1), k=12))) for i in range(40)]
+    held = [i for i in range(10_000, 30_000) if zlib.crc32(str(i).encode()) % 7 == 2]
+    words = sorted({w for i, t in rows if zlib.crc32(str(i).encode()) % 7 != 2 for w in t.split()})
+    probes, asked = [], {}
+    for head in ("", "a", "h", "b a", "g f", "zzz", "a zzz"):
+        for w in [*words, "unseen"]:
+            # P(head w </s>): all but the factor of w and of the end after it cancels against the same text cut before w
+            asked[head, w] = len(probes)
+            probes.append((held[len(probes)], f"{head} {w} zz1 zz2 zz3"))
+    got = {r.doc_id: r.score for r in katz.score_documents(spark.createDataFrame(rows + probes, "doc_id bigint, text string"), order).collect()}
+    plain = brute_katz.Model([t for i, t in rows if zlib.crc32(str(i).encode()) % 7 != 2], order)
+    for head in ("", "a", "h", "b a", "g f", "zzz", "a zzz"):
+        total = 0.0
+        for w in [*words, "unseen"]:
+            text = [*["<s>"] * (order - 1), *head.split(), w, "zz1", "zz2", "zz3", "</s>"]
+            at = len(head.split())
+            rest = sum(np.log10(plain.p(x, tuple(text[j : j + order - 1]))) for j, x in enumerate(text[order - 1 :]) if j != at)
+            total += 10 ** (got[probes[asked[head, w]][0]] - rest)
+        end = plain.p("</s>", tuple([*["<s>"] * (order - 1), *head.split()][-(order - 1) :]))
+        assert total + end == pytest.approx(1, abs=1e-9)
 
 
 def test_katz_odd_input(odd, empty):
