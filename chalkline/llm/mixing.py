@@ -196,7 +196,9 @@ def _mixed(
 def repeat_documents(docs: DataFrame) -> DataFrame:
     """The mix itself: every document as often as it is taken, with all its columns.
 
-    Rows are numbered in a written table, so rows without an id or with a repeated one have copies of their own.
+    Rows are numbered in a written table, so rows without an id or with a repeated one have
+    copies of their own.  A null or empty text has size 0 and is taken as often as its
+    source is; columns of any name are carried along.
     """
     rows, row = numbered(docs)
     copies = unused([*docs.columns, row], "_copies")

@@ -11,7 +11,8 @@ out) run as separate Spark groups.  Scoring covers every document and its whole
 one pass without a shuffle.
 
 Defined results: null and empty texts have no words and get the models' intercepts; null
-labels leave the row out of training; repeated rows give repeated rows; with no usable
+labels leave the row out of training, of differing labels of one id the greater counts, and
+of several texts with one id the one with the least hash; repeated rows give repeated rows; with no usable
 labels, or only one class of a category, that category's probability is the class's
 share; an empty table gives no rows; extra columns are ignored.
 """
@@ -233,7 +234,10 @@ def score(docs: DataFrame, labels: DataFrame, categories: dict[str, Column] | No
 
 
 def keep_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The documents that are not rejected, with all their columns."""
+    """The documents that are not rejected, with all their columns whatever their names.
+
+    Every row is decided by its own text: null counts as empty, ids don't matter here.
+    """
     chain = fit_chain(docs, labels, label_categories())
     model = docs.sparkSession.sparkContext.broadcast(chain)
     at = docs.columns.index("text")

@@ -235,6 +235,44 @@ def test_toxicity_held_out(spark):
     assert sum(got[i] == bool(t) for i, _, t in labels[800:]) >= 390
 
 
+def test_toxicity_chain_feeds_earlier_probabilities(spark):
+    """Toxic texts are junk ones of one kind: the second model leans on the first one's probability, from out-of-fold predictions."""
+    rnd = random.Random(17)
+    docs, labels = [], []
+    for i in range(900):
+        junk = i % 3 == 0
+        text = " ".join(rnd.choices([f"w{j}" for j in range(40)], k=15) + (rnd.choices([f"spam{j}" for j in range(60)], k=6) if junk else []))
+        docs.append((i, text))
+        labels.append((i, int(not junk), int(junk and rnd.random() < 0.8)))
+    d, lab = spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(labels, "doc_id bigint, quality int, toxic int")
+    chain = toxicity.fit_chain(d, lab, toxicity.label_categories())
+    weight = chain.models[1][toxicity.SLOTS]
+    assert chain.categories == ["junk", "toxic"] and weight > 0.3
+    text = [np.array([], np.int32)]
+    low, high = (toxicity.predict_linear(chain.models[1], text, np.array([[x]]))[0] for x in (0.0, 1.0))
+    assert high > low
+    again = toxicity.fit_chain(d.repartition(7), lab.union(lab.selectExpr("doc_id", "quality", "0 toxic")).repartition(3), toxicity.label_categories())
+    assert all(np.array_equal(a, b) for a, b in zip(chain.models, again.models, strict=True))  # of differing labels the greater counts
+
+
+def test_toxicity_fit_against_plain_newton():
+    """The refit on chosen words against Newton steps on the same loss: the same probabilities."""
+    rng = np.random.default_rng(5)
+    rows = [np.unique(rng.integers(0, 12, 6)).astype(np.int64) for _ in range(400)]
+    extra = rng.random((400, 1))
+    z = np.array([(r < 4).sum() - 1.5 + 2 * e[0] for r, e in zip(rows, extra, strict=True)])
+    y = (rng.random(400) < 1 / (1 + np.exp(-z))).astype(float)
+    model = toxicity.fit_linear(rows, extra, y, l1=1e-6, l2=1e-3, steps=3000)
+    chosen = np.flatnonzero(model[: toxicity.SLOTS])
+    x = np.array([[float(c in set(r.tolist())) for c in chosen] + [e[0], 1.0] for r, e in zip(rows, extra, strict=True)])
+    ridge = np.diag([1e-3] * len(chosen) + [1e-9, 1e-9])
+    w = np.zeros(x.shape[1])
+    for _ in range(50):
+        p = 1 / (1 + np.exp(-x @ w))
+        w -= np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x / len(y) + ridge, x.T @ (p - y) / len(y) + ridge @ w)
+    assert np.abs(toxicity.predict_linear(model, rows, extra) - 1 / (1 + np.exp(-x @ w))).max() < 0.01
+
+
 def test_toxicity_odd_input(spark, odd, empty):
     labels = spark.createDataFrame([(1, 1, 0), (2, None, 1), (5, 0, 0), (None, 1, 1)], "doc_id bigint, quality int, toxic int")
     assert toxicity.score(odd, labels).count() == len(ODD)
@@ -475,6 +513,58 @@ def test_mixing_flow_over_overlapping_sources():
     assert mixing.route([[0]], [10], [15], 2) == [[15.0]]
 
 
+def plain_flow(patterns, sizes, quota, cap):
+    """(words routed, cost) by shortest paths over a graph with an edge per repetition, found by relaxing all edges."""
+    n_p, n_s = len(patterns), len(quota)
+    ends = n_p + n_s
+    edges = []  # from, to, room, cost; the reverse edge follows
+
+    def edge(a, b, room, cost):
+        edges.extend(([a, b, room, cost], [b, a, 0, -cost]))
+
+    for p, members in enumerate(patterns):
+        for r in range(1, cap + 1):
+            edge(ends, p, sizes[p], r)
+        for s_ in members:
+            edge(p, n_p + s_, 10**9, 0)
+    for s_, q in enumerate(quota):
+        edge(n_p + s_, ends + 1, q, 0)
+    routed = cost = 0
+    while True:
+        dist, via = {ends: 0}, {}
+        for _ in range(ends + 2):
+            for k, (a, b, room, c) in enumerate(edges):
+                if room > 0 and a in dist and dist[a] + c < dist.get(b, 10**9):
+                    dist[b], via[b] = dist[a] + c, k
+        if ends + 1 not in dist:
+            return routed, cost
+        path, at = [], ends + 1
+        while at != ends:
+            path.append(via[at])
+            at = edges[via[at]][0]
+        x = min(edges[k][2] for k in path)
+        for k in path:
+            edges[k][2] -= x
+            edges[k ^ 1][2] += x
+        routed, cost = routed + x, cost + x * dist[ends + 1]
+
+
+def test_mixing_flow_against_plain_shortest_paths():
+    rnd = random.Random(14)
+    for _ in range(120):
+        n_s = rnd.randint(1, 5)
+        patterns = [sorted(rnd.sample(range(n_s), rnd.randint(1, n_s))) for _ in range(rnd.randint(1, 7))]
+        sizes = [rnd.randint(1, 30) for _ in patterns]
+        quota = [rnd.randint(0, 60) for _ in range(n_s)]
+        flow = mixing.route(patterns, [float(x) for x in sizes], [float(x) for x in quota], 2)
+        used = [sum(f) for f in flow]
+        assert all(u <= 2 * n + 1e-6 for u, n in zip(used, sizes, strict=True))
+        given = [sum(f[m.index(k)] for f, m in zip(flow, patterns, strict=True) if k in m) for k in range(n_s)]
+        assert all(g <= q + 1e-6 for g, q in zip(given, quota, strict=True))
+        cost = sum(min(u, n) + 2 * max(0, u - n) for u, n in zip(used, sizes, strict=True))
+        assert (sum(used), cost) == pytest.approx(plain_flow(patterns, sizes, quota, 2))
+
+
 def test_mixing_odd_input(odd, empty):
     got = mixing.mix_documents(odd).collect()
     assert len(got) == len(ODD) and all(r.taken <= 2 * r.size for r in got)
@@ -569,6 +659,37 @@ def test_topk_odd_input(odd, empty):
 # -- the pipeline -------------------------------------------------------------------------
 
 
+def plain_shingles(text):
+    """Five-word shingles; of fewer words the whole."""
+    w = text.translate(brute_katz.LOWER).encode().split()
+    return {tuple(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) > 4 else {tuple(w)} if w else set()
+
+
+def test_stages_keep_columns_of_any_name_and_rows_without_ids(spark):
+    """Names that the stages use themselves, null and repeated ids, repeated rows: every stage decides by row."""
+    texts = distinct_texts(6, 21)
+    rows = [(1, texts[0]), (None, texts[1]), (None, texts[2]), (7, texts[3]), (7, texts[4]), (None, texts[1]), (2, texts[0].upper()), (None, None), (9, "")]
+    names = ("_row", "_ROW_", "_kept_id", "_copies", "_copies_", "_mix_id", "_mix_row", "_text_sha", "_sha", "row", "digest", "node", "component", "id", "_id", "hash", "y0", "batch", "kept", "first", "n", "fp")
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").withColumn("source", F.lit("a")).withColumns({n: F.concat(F.lit(f"{n}:"), F.coalesce("text", F.lit("-"))) for n in names})
+    labels = spark.createDataFrame([(1, 1, 0), (2, 1, 0)], "doc_id bigint, quality int, toxic int")
+
+    def check(out, kept):
+        assert out.columns == docs.columns
+        got = out.collect()
+        assert sorted(((r.doc_id, r.text) for r in got), key=repr) == sorted(kept, key=repr)
+        assert all(r[n] == f"{n}:{'-' if r.text is None else r.text}" for r in got for n in names)
+
+    check(toxicity.keep_documents(docs, labels), rows)
+    exact = [(2, texts[0].upper()), (None, texts[1]), (None, texts[2]), (7, texts[3]), (7, texts[4]), (9, "")]
+    check(exact_dedup.keep_documents(docs), exact)
+    near = [(1, texts[0]), (None, texts[1]), (None, texts[2]), (7, texts[3]), (7, texts[4]), (9, "")]
+    check(simhash.keep_documents(docs), near)
+    out = mixing.repeat_documents(docs)
+    assert out.columns == docs.columns and {(r.doc_id, r.text) for r in out.collect()} <= set(rows)
+    for stage in (lambda d: toxicity.keep_documents(d, labels), exact_dedup.keep_documents, simhash.keep_documents, mixing.repeat_documents):
+        assert stage(docs.limit(0)).count() == 0
+
+
 def test_pipeline_against_brute_force(spark):
     corpus_pipeline = pytest.importorskip("corpus_pipeline")
     sf = "/root/testdata/sf0.001"
@@ -582,12 +703,16 @@ def test_pipeline_against_brute_force(spark):
         best[key] = max(i, best.get(key, i))
     left = {i: left[i] for i in best.values()}
     fps = {i: plain_fingerprint(t) for i, t in left.items()}
-    groups = plain_components(fps, [(a, b) for a, b in itertools.combinations(fps, 2) if (fps[a] ^ fps[b]).bit_count() <= 4])
+    sets = {i: plain_shingles(t) for i, t in left.items()}
+    alike = lambda a, b: len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]) > 0
+    groups = plain_components(fps, [(a, b) for a, b in itertools.combinations(fps, 2) if (fps[a] ^ fps[b]).bit_count() <= 4 or alike(a, b)])
     left = {i: left[i] for i in set(groups.values())}
+    near = docs.where(F.col("doc_id").isin(list(fps)))
+    assert sorted(r.doc_id for r in corpus_pipeline.drop_near_copies(spark, near, sf).collect()) == sorted(left)
     got = corpus_pipeline.run(spark, sf).collect()
     theirs = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
     words = {i: len(t.split()) for i, t in left.items()}
     assert {r.doc_id for r in got} <= set(left) and max(np.bincount([r.doc_id for r in got])) <= 2
     assert abs(sum(words[r.doc_id] for r in got) - 1.5 * sum(words.values())) <= 20 * max(words.values())
-    for r in got[:50]:
+    for r in got:
         assert r.n_tokens == len(theirs.encode(left[r.doc_id], add_special_tokens=False).ids)
