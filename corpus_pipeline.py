@@ -3,6 +3,12 @@
 Every stage takes ``(spark, docs, sf_dir)`` and returns a DataFrame that is written as
 Parquet and read again as the next stage's ``docs``.  All but the last return the columns
 of ``documents``.
+
+Defined results in every stage: a null text counts as empty; rows are told apart by a row
+number, so rows without an id or with a repeated one are decided each by its own text; an
+empty table gives an empty table; further columns are carried along whatever their names.
+Ids only choose among copies: the largest stays of equal texts (nulls lose), the least of
+near copies (nulls last).
 """
 
 from __future__ import annotations
