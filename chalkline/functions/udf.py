@@ -5,6 +5,7 @@ from __future__ import annotations
 import difflib
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -56,10 +57,21 @@ def unescape_entities(text: pd.Series) -> pd.Series:
     return text.map(lambda x: None if x is None else html.unescape(x))
 
 
+#: Gaps between anchors that are compared letter by letter; longer ones are compared by the words they share.
+LETTERS_COMPARED = 2000
+
+
+def matching(a: str, b: str) -> float:
+    """How many characters of two short texts are in matching blocks, longest first; of long ones, how many are in words that both have."""
+    if max(len(a), len(b)) <= LETTERS_COMPARED:
+        return float(sum(m.size for m in difflib.SequenceMatcher(None, a, b, autojunk=False).get_matching_blocks()))
+    shared = Counter(a.split()) & Counter(b.split())
+    return float(sum((len(w) + 1) * n for w, n in shared.items()))
+
+
 @F.pandas_udf(T.DoubleType())
-def match_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
-    """Share of both texts in matching blocks, longest first; popular characters are ignored in long second texts."""
-    return pd.Series([None if x is None or y is None else difflib.SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b, strict=True)])
+def matching_characters(a: pd.Series, b: pd.Series) -> pd.Series:
+    return pd.Series([None if x is None or y is None else matching(x, y) for x, y in zip(a, b, strict=True)], dtype="float64")
 
 
 def shift(a: np.ndarray, b: np.ndarray) -> tuple[int, int]:

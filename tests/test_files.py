@@ -1,7 +1,9 @@
 """Files in the shapes that other tools write: indented documents, broken lines, bytes that are no text."""
 
+import difflib
 import json
 import os
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -147,3 +149,28 @@ def test_context_of_earlier_lectures(spark, count):
 def test_flagged_lectures_are_named(spark):
     a = spark.createDataFrame([(1, "x", 1, 4, 5, 2, True, True), (1, "y", 2, 0, 5, 5, False, False)], "course int, lecture string, lecture_num int, cues int, boards int, written int, lost_diagrams boolean, short_read boolean")
     assert rows(audit.flagged_lectures(a), "flag", "pos", "lecture", "detail") == [("lost diagrams", 1, "x", "4 cues"), ("short read", 1, "x", "2/5")]
+
+
+def test_agreement_of_passages(spark):
+    """Small changes in long texts, moved and missing parts; equal texts and those of too different length need no comparison."""
+    rnd = random.Random(3)
+    text = " ".join("".join(rnd.choices("abcdefgh", k=rnd.randint(2, 8))) for _ in range(400))
+    words = text.split()
+    cases = {
+        "same": (text, text.replace(" ", "\n  ")),
+        "one more": (text, text + " x"),
+        "one changed": (text, " ".join([*words[:200], "zzzz", *words[201:]])),
+        "a stretch changed": (text, " ".join([*words[:100], *("q" * len(w) for w in words[100:140]), *words[140:]])),
+        "moved": (text, " ".join([*words[200:], *words[:200]])),
+        "half": (text, " ".join(words[:200])),
+        "short": ("a cat sat", "a cat sit"),
+        "empty": ("", ""),
+    }
+    df = spark.createDataFrame([(k, *v) for k, v in cases.items()], "source string, original string, rewritten string")
+    got = {r.source: r for r in pages.passage_agreement(df).collect()}
+    assert got["same"].agreement == 1.0 and got["empty"].agreement == 1.0 and got["half"].verified is False
+    for k in ("one more", "one changed", "a stretch changed", "short"):
+        a, b = (" ".join(x.split()) for x in cases[k])
+        assert got[k].agreement == pytest.approx(difflib.SequenceMatcher(None, a, b, autojunk=False).ratio(), abs=0.005), k
+    assert [got[k].verified for k in ("one more", "one changed", "a stretch changed", "short")] == [True, True, False, False]
+    assert got["moved"].agreement < 0.7
