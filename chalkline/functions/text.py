@@ -104,6 +104,12 @@ def short_tokens(n: Column) -> Column:
     )
 
 
+def requested_language(value: Column) -> Column:
+    """The language to transcribe in: English where none is asked for, null (detect it) for ``auto``, ``detect`` and blanks."""
+    asked = strip(value)
+    return F.when(value.isNull(), "en").when(~F.lower(asked).isin("auto", "detect", ""), asked)
+
+
 def references(body: Column) -> Column:
     """All cited labels of a text, comma lists split, in order."""
     keys = F.flatten(F.transform(F.regexp_extract_all(body, F.lit(REFERENCE), 1), lambda x: F.split(x, ",")))

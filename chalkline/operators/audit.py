@@ -21,10 +21,11 @@ MIN_ENVIRONMENTS = 3
 HEDGES = ("unknown", "unclear", "not stated", "none", "n/a", "anonymous")
 
 
-def language_mismatch(lectures: DataFrame, requested: str) -> DataFrame:
+def language_mismatch(lectures: DataFrame, requested: str | None) -> DataFrame:
     """Lectures whose detected language isn't the requested one; unknown languages aren't reported, ``auto`` reports none."""
     known = F.coalesce(F.trim("detected_language"), F.lit(""))
-    return lectures.where((F.lit(requested) != "auto") & (known != "") & (F.lower(known) != requested.lower()))
+    wanted = T.requested_language(F.lit(requested).cast("string"))
+    return lectures.where(wanted.isNotNull() & (known != "") & (F.lower(known) != F.lower(wanted)))
 
 
 def section_guard(sections: DataFrame, min_chars: int = MIN_SECTION_CHARS, min_environments: int = MIN_ENVIRONMENTS) -> DataFrame:

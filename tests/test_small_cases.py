@@ -137,6 +137,21 @@ def test_segmentation_finer_masks_decide_a_revisit(spark):
     assert [x[0] for x in boards_seen(spark, small, [first] * 20 + [second] * 20 + [first] * 20)] == [1, 1, 2]
 
 
+def test_aligned_containment_follows_a_pan(spark):
+    rng = np.random.default_rng(9)
+    a = rng.random((20, 30)) < 0.1
+    masks = [a, np.roll(a, (2, -3), axis=(0, 1)), rng.random((20, 30)) < 0.1]
+    df = spark.createDataFrame([("v", i, [bool(x) for x in m.ravel()]) for i, m in enumerate(masks)], "video string, i int, mask array<boolean>")
+    plain, aligned = (dict((i, s) for i, s in rows(frames.neighbour_containment(df, size), "i", "score")) for size in (None, (20, 30)))
+    assert plain[0] < 0.4 and aligned[0] == 1.0 and aligned[1] < 0.6
+
+
+def test_requested_language(spark):
+    assert [one(spark, T.requested_language(F.col("v").cast("string")), v=x) for x in ("auto", " Detect ", "", " de ", "en")] == [None, None, None, "de", "en"]
+    df = spark.createDataFrame([("l", "la")], "lecture string, detected_language string")
+    assert [audit.language_mismatch(df, x).count() for x in (None, "la", "auto", "EN")] == [1, 0, 0, 1]
+
+
 def test_camera_motion_and_zoomed_boards(spark):
     """A panning video moves and a still one doesn't; a board seen again at another zoom is merged in the moving video only."""
     rng = np.random.default_rng(6)
