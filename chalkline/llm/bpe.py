@@ -23,6 +23,7 @@ import hashlib
 import json
 from collections.abc import Iterator
 
+import ahocorasick
 import numpy as np
 import pyarrow as pa
 import regex
@@ -31,8 +32,8 @@ from pyspark.sql import DataFrame
 from chalkline.llm.common import small_arrow_batches
 
 DEAD = -1
-#: Words whose encodings a worker keeps; a bound on its memory, not on what is encoded.
-MEMO_WORDS = 200_000
+#: Words whose encodings a worker keeps, twice (recent ones, and those before); a bound on its memory, not on what is encoded.
+MEMO_WORDS = 400_000
 MEMO_BYTES = 64
 
 
@@ -68,15 +69,19 @@ class MergeAutomaton:
             self._gadget(k, vocab[x], vocab[y], vocab[x + y])
         made = {self.labels[t]: t for t in self.target}
         self.size = {t: len(label) for label, t in made.items()}
-        # every prefix of a label, with the longest label that it begins with; each label's next shorter one
-        self.prefixes: dict[bytes, int] = {}
-        for label in made:
+        # every prefix of a label (a character a byte), with the longest label that it begins with; each label's next shorter one
+        self.prefixes: dict[str, int] = {}
+        self.trie = ahocorasick.Automaton()
+        for label, t in made.items():
+            text = label.decode("latin-1")
+            self.trie.add_word(text, t)
             best = DEAD
             for n in range(1, len(label) + 1):
                 best = made.get(label[:n], best)
-                self.prefixes[label[:n]] = best
-        self.shorter = {t: self.prefixes.get(label[:-1], DEAD) for label, t in made.items()}
+                self.prefixes[text[:n]] = best
+        self.shorter = {t: self.prefixes.get(label[:-1].decode("latin-1"), DEAD) for label, t in made.items()}
         self.memo: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     def _gadget(self, k: int, a: int, b: int, c: int) -> None:
         if a not in self.target or b not in self.target or not self._present(self.target[a], b):
@@ -116,12 +121,14 @@ class MergeAutomaton:
         Depth first, longest label first; a position from which no path goes on is never
         entered again, as all accepted paths to it are one.
         """
-        n, pos = len(word), 0
-        target, table, shorter, size = self.target, self.table, self.shorter, self.size
+        text = word.decode("latin-1")
+        n, pos = len(text), 0
+        target, table, shorter, size, prefixes = self.target, self.table, self.shorter, self.size, self.prefixes
+        known = self.trie.longest_prefix  # how far the text goes on as the beginning of any label
         tokens: list[int] = []
         states = [0]
         shut: set[int] = set()
-        t = self._longest(word, 0)
+        t = prefixes[text[: known(text)]]
         while True:
             here = states[-1]
             while t != DEAD:
@@ -144,17 +151,8 @@ class MergeAutomaton:
             if pos == n:
                 return tokens
             states.append(target[t])
-            t = self._longest(word, pos)
-
-    def _longest(self, word: bytes, at: int) -> int:
-        """The longest label that ``word`` has at ``at``."""
-        prefixes, best = self.prefixes, DEAD
-        for j in range(at + 1, len(word) + 1):
-            t = prefixes.get(word[at:j])
-            if t is None:
-                break
-            best = t
-        return best
+            rest = text[pos:]
+            t = prefixes[rest[: known(rest)]]
 
     def encode(self, text: str) -> bytes:
         """Token ids as little-endian unsigned 32-bit integers."""
@@ -163,25 +161,26 @@ class MergeAutomaton:
         return self._plain(text)
 
     def _plain(self, text: str) -> bytes:
-        memo = self.memo
         words = self.split.findall(text)
-        out = list(map(memo.get, words))
+        out = list(map(self.memo.get, words))
         if None in out:
             for i, x in enumerate(out):
                 if x is None:
-                    word = words[i]
-                    x = memo.get(word)
-                    if x is None:
-                        x = np.array(self.encode_word(word.encode()), "<u4").tobytes()
-                        if len(word) <= MEMO_BYTES:
-                            if len(memo) >= MEMO_WORDS:
-                                memo.clear()
-                            memo[word] = x
-                    out[i] = x
+                    out[i] = self._word(words[i])
         if len(self.table) > 4_000_000:
             self.table.clear()
         return b"".join(out)
 
+    def _word(self, word: str) -> bytes:
+        x = self.memo.get(word) or self.older.get(word)
+        if x is None:
+            x = np.array(self.encode_word(word.encode()), "<u4").tobytes()
+        if len(word) <= MEMO_BYTES:
+            if len(self.memo) >= MEMO_WORDS:
+                self.older, self.memo = self.memo, {}
+            self.memo[word] = x
+        return x
+
     def decode(self, ids: bytes) -> str:
         labels = self.labels
         return b"".join([labels[i] for i in np.frombuffer(ids, "<u4").tolist()]).decode("utf-8", "replace")
