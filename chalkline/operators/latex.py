@@ -232,7 +232,7 @@ def first_holder(tokens: DataFrame, sources: DataFrame) -> DataFrame:
     words = words.groupBy("doc", "word").agg(F.min(F.struct("pos", "lecture")).alias("at"))
     index = words.select("doc", "word", "at", F.explode(grams(F.col("word"))).alias("gram"))
     asked = tokens.select("doc", "token", F.explode(grams(F.col("token"))).alias("gram"))
-    known = index.join(asked.select("doc", "gram").distinct(), ["doc", "gram"], "left_semi").groupBy("doc", "gram").agg(F.count(F.lit(1)).alias("n"))
+    known = index.groupBy("doc", "gram").agg(F.count(F.lit(1)).alias("n"))
     rarest = asked.join(known, ["doc", "gram"], "left").groupBy("doc", "token").agg(F.min_by("gram", F.struct("n", "gram")).alias("gram"), F.bool_and(F.col("n").isNotNull()).alias("all_known"))
     met = rarest.where("all_known").join(index, ["doc", "gram"]).where(F.col("word").contains(F.col("token")))
     return met.groupBy("doc", "token").agg(F.min("at").alias("at")).select("doc", "token", "at.lecture")
