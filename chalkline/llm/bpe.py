@@ -191,11 +191,22 @@ PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?
 _automata: dict[str, MergeAutomaton] = {}
 
 
+def _check(spec: dict) -> None:
+    """Refuses files that ask for more than byte-level BPE with the usual word pattern."""
+    model, before = spec["model"], spec.get("pre_tokenizer") or {}
+    plain = not spec.get("normalizer") and model.get("type", "BPE") == "BPE" and not any(model.get(k) for k in ("dropout", "byte_fallback", "ignore_merges", "continuing_subword_prefix", "end_of_word_suffix"))
+    split = before.get("type") == "ByteLevel" and not before.get("add_prefix_space") and before.get("use_regex", True)
+    tokens = not any(t.get(k) for t in spec["added_tokens"] for k in ("single_word", "lstrip", "rstrip"))
+    if not (plain and split and tokens):
+        raise ValueError("only byte-level BPE without normalizer, prefix space and stripping tokens is supported")
+
+
 def automaton(path: str) -> MergeAutomaton:
     """The automaton of a byte-level BPE file in the tokenizers library's JSON form, once per worker."""
     if path not in _automata:
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
+        _check(spec)
         merges = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in spec["model"]["merges"]]
         added = {t["content"]: t["id"] for t in spec["added_tokens"]}
         vocab = {t: i for t, i in spec["model"]["vocab"].items() if t not in added}

@@ -384,6 +384,8 @@ def test_bpe_automaton_lacks_exactly_the_wrong_arcs(tmp_path):
     for n in range(1, 8):
         for word in map("".join, itertools.product("abc", repeat=n)):
             assert machine.encode_word(word.encode()) == library.encode(word).ids
+    with pytest.raises(ValueError, match="byte-level"):
+        bpe.automaton(str(tmp_path / "t.json"))  # no byte-level splitting in this file
 
 
 # -- op7 ----------------------------------------------------------------------------------
