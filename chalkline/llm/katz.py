@@ -37,7 +37,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chalkline.llm.common import LOWER, UPPER, scratch, small_arrow_batches, written
+from chalkline.llm.common import LOWER, UPPER, arrow_rows, scratch, small_arrow_batches, written
 
 #: Words of a context and the word after it.
 ORDER = 2
@@ -152,42 +152,46 @@ def _tokenize(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 ids, held, parts, tokens = [], [], [], 0
     if ids:
         yield chunk()
+    _memo.clear()  # the worker goes on to other stages
 
 
 class Chunk:
-    """One chunk, unpacked: documents, words by local place, and its distinct n-grams of each order.
+    """One chunk, unpacked: its documents and the places of its words."""
 
-    Lists start with order 1 at index 1.  ``keys[k]`` are the distinct k-grams, ``of[k]`` the
-    place of every token's k-gram in them, ``context[k]`` the key of what stands before it.
-    """
-
-    def __init__(self, row: dict, order: int):
+    def __init__(self, row: dict):
         self.name = row["chunk"]
         self.ids, self.lengths = unpack(row["ids"], np.int64), unpack(row["lengths"], np.uint32).astype(np.int64)
         self.held = unpack(row["held"], np.uint8).astype(bool)
         self.vocab = np.frombuffer(row["vocab"], np.uint64)
-        place = unpack(row["places"], np.uint32).astype(np.int64)
-        self.doc = np.repeat(np.arange(len(self.ids)), self.lengths)
+        self.place = unpack(row["places"], np.uint32)
+        self.doc = np.repeat(np.arange(len(self.ids), dtype=np.int32), self.lengths)
         self.train = ~self.held[self.doc]
         self.first = np.cumsum(self.lengths) - self.lengths  # of each document; every one has its end token at least
+
+    def levels(self, order: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray | None]]:
+        """(k, distinct k-grams, the place of every token's k-gram in them, the key of what stands before it) for k = 1 to ``order``.
+
+        One order at a time, as each takes a few arrays of the chunk's length.
+        """
         by_hash = np.argsort(self.vocab)
-        rank = np.empty(len(by_hash), np.int64)
-        rank[by_hash] = np.arange(len(by_hash))
-        self.keys: list[np.ndarray] = [np.zeros(0, np.uint64), self.vocab[by_hash]]
-        self.of: list[np.ndarray] = [place, rank[place]]
-        self.context: list[np.ndarray] = [np.zeros(0, np.uint64)] * 2
-        words = gram = self.vocab[place]
+        rank = np.empty(len(by_hash), np.int32)
+        rank[by_hash] = np.arange(len(by_hash), dtype=np.int32)
+        yield 1, self.vocab[by_hash], rank[self.place], None
+        gram = self.vocab[self.place]
         start = np.array([START])
-        for _ in range(2, order + 1):
+        for k in range(2, order + 1):
             before = np.empty_like(gram)
             before[1:] = gram[:-1]
             before[self.first] = start[0]
-            gram = pair_keys(before, words)
+            gram = pair_keys(before, self.vocab[self.place])
             start = pair_keys(start, np.array([START]))
-            keys, of = np.unique(gram, return_inverse=True)
-            self.keys.append(keys)
-            self.of.append(of.reshape(-1))
-            self.context.append(before)
+            at = np.argsort(gram)
+            keys = gram[at]
+            new = np.append(True, keys[1:] != keys[:-1])
+            of = np.empty(len(at), np.int32)
+            of[at] = np.cumsum(new, dtype=np.int32) - 1
+            del at
+            yield k, keys[new], of, before
 
 
 REQUESTS = "slot bigint, kind int, part int, chunk string, keys binary, counts binary"
@@ -204,13 +208,10 @@ def _requests(order: int, parts: list[int], slots: list[list[int]]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
-                c = Chunk(row, order)
-                out = []
-                for k in range(1, order + 1):
-                    keys = c.keys[k]
-                    counts = np.bincount(c.of[k][c.train], minlength=len(keys)).astype(np.uint32)
-                    out += [(slots[k][p], k, p, c.name, pack_keys(keys[a:b]), pack(counts[a:b])) for p, a, b in slices(keys, parts[k])]
-                yield _batch(out, REQUESTS)
+                c = Chunk(row)
+                for k, keys, of, _ in c.levels(order):
+                    counts = np.bincount(of[c.train], minlength=len(keys)).astype(np.uint32)
+                    yield _batch([(slots[k][p], k, p, c.name, pack_keys(keys[a:b]), pack(counts[a:b])) for p, a, b in slices(keys, parts[k])], REQUESTS)
 
     return run
 
@@ -232,19 +233,23 @@ def _add_up(group: pa.Table) -> pa.Table:
     rows = sorted(group.to_pylist(), key=lambda r: r["chunk"])
     kind, part = rows[0]["kind"], rows[0]["part"]
     asked = [unpack_keys(r["keys"]) for r in rows]
-    counts = np.concatenate([unpack(r["counts"], np.uint32) for r in rows]).astype(np.int64)
+    sizes = [len(a) for a in asked]
+    counts = np.concatenate([unpack(r["counts"], np.uint32) for r in rows])
     keys = np.concatenate(asked)
+    del asked
     order = np.argsort(keys, kind="stable")
     ordered = keys[order]
     first = np.flatnonzero(np.append(True, ordered[1:] != ordered[:-1]))
-    totals = np.add.reduceat(counts[order], first)
+    totals = np.add.reduceat(counts[order], first, dtype=np.int64)
+    del counts
     answer = np.empty(len(keys), np.uint64)
-    answer[order] = np.repeat(totals * 2, np.diff(np.append(first, len(keys)))).astype(np.uint64)
+    del keys
+    answer[order] = np.repeat((totals * 2).astype(np.uint64), np.diff(np.append(first, len(ordered))))
     answer[order[first]] += np.uint64(1)
     out, at = [], 0
-    for r, a in zip(rows, asked, strict=True):
-        out.append(("answer", kind, part, r["chunk"], None, pack(answer[at : at + len(a)]), None))
-        at += len(a)
+    for r, n in zip(rows, sizes, strict=True):
+        out.append(("answer", kind, part, r["chunk"], None, pack(answer[at : at + n]), None))
+        at += n
     seen = totals > 0
     held = totals[seen]
     stats = [int(held.sum()), int(len(held)), *np.bincount(np.minimum(held, CUTOFF + 2), minlength=CUTOFF + 3)[1 : CUTOFF + 2].tolist()]
@@ -295,7 +300,7 @@ def _evaluate(model: Model, parts: list[int]):
 
     def run(group: pa.Table) -> pa.Table:
         rows = group.to_pylist()
-        c = Chunk(next(r for r in rows if r["role"] == "chunk"), model.order)
+        c = Chunk(next(r for r in rows if r["role"] == "chunk"))
         docs = len(c.ids)
         out = []
 
@@ -305,33 +310,35 @@ def _evaluate(model: Model, parts: list[int]):
             answer = np.concatenate([unpack(r["counts"], np.uint64) for r in mine])
             return (answer >> np.uint64(1)).astype(np.int64), (answer & np.uint64(1)).astype(bool)
 
-        count, _ = totals(1)
-        texts = count[np.searchsorted(c.keys[1], np.uint64(END))]  # training documents: each has one end
-        lower = model.unigram(count)[c.of[1]]  # per token, the probability one order down; right where that order has seen it
-        log_found = np.log10(lower)
-        tokens = count[c.of[1]]
-        base = np.bincount(c.doc, np.log10((tokens + 1) / (model.tokens + model.types + 1)), docs)
-        known = np.bincount(c.doc, tokens > 0, docs).astype(np.int64)
-        for k in range(2, model.order + 1):
+        for k, keys, of, before in c.levels(model.order):
+            count, own = totals(k)
+            if k == 1:
+                tokens = count[of]
+                texts = count[np.searchsorted(keys, np.uint64(END))]  # training documents: each has one end
+                lower = model.unigram(count)[of]  # per token, the probability one order down; right where that order has seen it
+                log_found = np.log10(lower)
+                base = np.bincount(c.doc, np.log10((tokens + 1) / (model.tokens + model.types + 1)), docs)
+                known = np.bincount(c.doc, tokens > 0, docs).astype(np.int64)
+                continue
             context = np.empty(len(c.doc), np.int64)  # how often what stands before the token is followed by anything
             context[1:] = tokens[:-1]
             context[c.first] = texts
-            count, own = totals(k)
-            tokens = count[c.of[k]]
+            tokens = count[of]
             share = model.discounted(tokens, k) / np.maximum(context, 1)
-            at = np.empty(len(count), np.int64)  # one token of each distinct k-gram
-            at[c.of[k]] = np.arange(len(tokens))
+            at = np.empty(len(count), np.int32)  # one token of each distinct k-gram
+            at[of] = np.arange(len(tokens), dtype=np.int32)
             mine = at[own & (count > 0)]
             waiting = np.flatnonzero((tokens == 0) & (context > 0))
-            need = np.unique(c.context[k][waiting])
-            keys, place = np.unique(np.concatenate([c.context[k][mine], need]), return_inverse=True)
+            del at, context
+            need = np.unique(before[waiting])
+            keys, place = np.unique(np.concatenate([before[mine], need]), return_inverse=True)
             place = place.reshape(-1)[: len(mine)]
             seen, below = np.bincount(place, share[mine], len(keys)), np.bincount(place, lower[mine], len(keys))
+            del place, mine
             wanted = np.isin(keys, need).astype(np.uint8)
-            out += [
-                ("context", k, p, c.name, pack_keys(keys[a:b]), pack(seen[a:b]), pack(below[a:b]), pack(wanted[a:b]), *[None] * 8) for p, a, b in slices(keys, parts[k - 1])
-            ] if len(keys) else []
-            places = np.searchsorted(need, c.context[k][waiting]).astype(np.uint32)
+            if len(keys):
+                out += [("context", k, p, c.name, pack_keys(keys[a:b]), pack(seen[a:b]), pack(below[a:b]), pack(wanted[a:b]), *[None] * 8) for p, a, b in slices(keys, parts[k - 1])]
+            places = np.searchsorted(need, before[waiting]).astype(np.uint32)
             out.append(("waiting", k, 0, c.name, *[None] * 10, pack(c.doc[waiting].astype(np.uint32)), pack(places)))
             hit = tokens > 0
             log_found[hit] = np.log10(share[hit])
@@ -402,7 +409,8 @@ def score_documents(docs: DataFrame, order: int = ORDER) -> DataFrame:
     slots = [keys[sum(parts[:k]) : sum(parts[: k + 1])] for k in range(order + 1)]
     path = scratch(spark, "ngrams")
     requests = chunks.mapInArrow(_requests(order, parts, slots), REQUESTS).repartition(sum(parts), "slot")
-    requests.groupBy("slot").applyInArrow(_add_up, COUNTED).write.partitionBy("role", "kind").parquet(path)
+    with arrow_rows(spark, 1):  # a row is a whole chunk
+        requests.groupBy("slot").applyInArrow(_add_up, COUNTED).write.partitionBy("role", "kind").parquet(path)
     counted = spark.read.schema(COUNTED).option("basePath", path).parquet(path)
     stats = {
         r["kind"]: r["s"]
