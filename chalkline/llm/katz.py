@@ -421,6 +421,10 @@ def score_documents(docs: DataFrame, order: int = ORDER) -> DataFrame:
     asked = chunks.select(F.lit("chunk").alias("role"), "*").unionByName(answers, allowMissingColumns=True)
     partial = written(asked.groupBy("chunk").applyInArrow(_evaluate(model, parts), PARTIAL), "partial")
     contexts = partial.where("role = 'context'").select("kind", "part", "chunk", "keys", "seen", "lower", "needed")
-    weights = written(contexts.groupBy("kind", "part").applyInArrow(_weigh, WEIGHTS), "backoff")
+    # contexts of order k are dealt like the (k - 1)-grams they are, one range a task
+    places = even_keys(spark, sum(parts[1:order]))
+    before = F.lit([sum(parts[1 : k - 1]) for k in range(2, order + 1)])
+    contexts = contexts.withColumn("slot", F.get(F.lit(places), F.get(before, F.col("kind") - 2) + F.col("part")))
+    weights = written(contexts.repartition(len(places), "slot").groupBy("slot").applyInArrow(_weigh, WEIGHTS), "backoff")
     scores = partial.where("role <> 'context'").select("role", "kind", "chunk", "ids", "held", "lengths", "known", "base", "score", "waiting_doc", "waiting_key")
     return scores.unionByName(weights.select("chunk", "kind", "part", "alpha"), allowMissingColumns=True).groupBy("chunk").applyInArrow(_finish(model.tokens), SCORES)
