@@ -33,7 +33,7 @@ from chalkline.llm.common import small_arrow_batches
 
 DEAD = -1
 #: Words whose encodings a worker keeps, twice (recent ones, and those before); a bound on its memory, not on what is encoded.
-MEMO_WORDS = 400_000
+MEMO_WORDS = 150_000
 MEMO_BYTES = 64
 
 

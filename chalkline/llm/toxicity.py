@@ -59,6 +59,11 @@ def slots(text: str | None) -> np.ndarray:
     return np.unique(np.array(found, np.int32))
 
 
+def forget() -> None:
+    """Empties the memo at the end of a task: the worker goes on to other stages."""
+    _memo.clear()
+
+
 def _sigmoid(z: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z, -35, 35)))
 
@@ -188,6 +193,7 @@ def fit_chain(docs: DataFrame, labels: DataFrame, categories: dict[str, Column],
         for batch in batches:
             found = [slots(t) for t in batch.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(found, pa.list_(pa.int32())), *batch.columns[3:]], names=["id", "hash", "slots", *own])
+        forget()
 
     schema = "id bigint, hash bigint, slots array<int>, " + ", ".join(f"{n} double" for n in own)
     rows = texts.mapInArrow(featurize, schema).groupBy("id").agg(F.min(F.struct("hash", "slots", *own)).alias("x"))
@@ -228,6 +234,7 @@ def score(docs: DataFrame, labels: DataFrame, categories: dict[str, Column] | No
                 [batch.column(0), *(pa.array(p[:, i]) for i in range(p.shape[1])), pa.array(p[:, -1] >= threshold)],
                 names=["doc_id", *(f"p_{c}" for c in model.value.categories), "rejected"],
             )
+        forget()
 
     schema = "doc_id bigint, " + ", ".join(f"p_{c} double" for c in chain.categories) + ", rejected boolean"
     return docs.selectExpr("cast(doc_id as bigint) doc_id", "text").mapInArrow(run, schema)
@@ -246,5 +253,6 @@ def keep_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
         for batch in batches:
             p = model.value.predict(batch.column(at).to_pylist())
             yield batch.filter(pa.array(p[:, -1] < THRESHOLD))
+        forget()
 
     return docs.mapInArrow(run, docs.schema)
