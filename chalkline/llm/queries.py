@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from chalkline.llm import bpe, exact_dedup, html_text, katz, license_scan, mixing, simhash, topk, toxicity, warc
+from chalkline.llm import bpe, chunk_bpe, exact_dedup, html_text, katz, license_scan, mixing, prefix_trie, simhash, term_scan, topk, toxicity, warc
 from chalkline.llm.common import table
 
 
@@ -66,6 +66,20 @@ def op10_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.search(docs, docs.where("doc_id % 50 = 0"))
 
 
+def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return term_scan.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op12_chunk_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return chunk_bpe.encode_decode(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.prefix_trie(table(spark, sf_dir, "conversations"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_html_extraction": op1_html_extraction,
     "op2_simhash_near_dedup": op2_simhash_near_dedup,
@@ -77,6 +91,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_license_scan": op8_license_scan,
     "op9_mixing": op9_mixing,
     "op10_exact_topk": op10_exact_topk,
+    "op11_lexical_search": op11_lexical_search,
+    "op12_chunk_bpe": op12_chunk_bpe,
+    "op13_prefix_trie": op13_prefix_trie,
     "dedup_second_batch": dedup_second_batch,
 }
 
@@ -85,5 +102,7 @@ ORACLES: dict[str, str] = {
     "op5_exact_dedup": exact_dedup.SQL,
     "op7_warc": warc.SQL,
     "op10_exact_topk": topk.SQL,
+    "op11_lexical_search": term_scan.SQL,
+    "op13_prefix_trie": prefix_trie.SQL,
     "dedup_second_batch": exact_dedup.SECOND_BATCH_SQL,
 }
