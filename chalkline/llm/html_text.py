@@ -6,12 +6,14 @@ two ratios (length per block, punctuation-weighted length per block and its spre
 smooths them over the page with a Gaussian kernel and fuses them.  What an element says
 about itself only scales the score: menus, forms and controls count nothing, footers,
 sidebars, page headers and elements with a class or id such as ``ad`` or ``comments`` a
-tenth - unless an element so named holds most of the page's text, as a layout
-wrapper or a page-wide form does.  Paths above a threshold drawn from the scores' standard
-deviation are content; short blocks (headings, list items, table cells) beside them in the
-same element come along unless they are mostly links.
+tenth - unless an element named after the layout (never one of comments or adverts) holds
+nearly all of the page's text, as a wrapper or a page-wide form does.  Paths above a
+threshold drawn from the scores' standard deviation are content; short blocks (headings,
+list items, table cells) beside them in the same element come along unless they are mostly
+links; paragraphs, and what stands in an ``article`` or ``main``, come along with their links.
 
-One page is one row and stays in its task; nothing is shuffled.
+One page is one row and stays in its task; nothing is shuffled.  Markup is read by a scanner
+that goes forward only, so malformed pages cost no more than their length.
 
 Defined results: null or empty html and pages without any text give the empty string, as
 do pages with nothing but menus, notices and the like; rows with null ids or urls pass
@@ -30,15 +32,11 @@ from pyspark.sql import DataFrame
 
 from chalkline.llm.common import small_arrow_batches
 
-RAW = "script|style|noscript|template|textarea|select|iframe|svg|object|title"
-TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)"
-    rf"|<(?:{RAW})\b[^>]*/>"
-    rf"|<({RAW}|head\s*/)\b[^>]*>.*?(?:</\1\s*>|\Z)"
-    r"|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*)>"
-    r"|<[!?/][^>]*>",
-    re.S | re.I,
-)
+RAW = frozenset("script style noscript template textarea select iframe svg object title".split())
+NAME = re.compile(r"[a-zA-Z][a-zA-Z0-9:-]*")
+#: What ends a stretch of attributes: the tag, or a value.
+ATTRIBUTE_END = re.compile(r"[>=]")
+BLANKS = re.compile(r"\s*")
 ATTR = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset(
@@ -47,11 +45,13 @@ INLINE = frozenset(
 #: Elements that are never content, and those that seldom are.
 NEVER_TAGS = frozenset("nav menu dialog button fieldset head".split())
 SELDOM_TAGS = frozenset("header footer aside".split())
-NOISE_WORDS = frozenset(
-    "ad ads adv advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments cookie cookies "
-    "consent copyright disqus footer header login masthead menu modal nav navbar navigation newsletter notice pager "
-    "pagination popup promo promoted related replies respond share sharing sidebar signup social sponsor sponsored "
-    "subscribe toolbar widget".split()
+#: Names of what others than the author wrote, and of layout; only the latter may be those of a wrapper.
+FOREIGN_WORDS = frozenset(
+    "ad ads adv advert adverts advertisement advertising comment comments disqus promo promoted replies reply respond sponsor sponsored".split()
+)
+NOISE_WORDS = FOREIGN_WORDS | frozenset(
+    "banner breadcrumb breadcrumbs cookie cookies consent copyright footer header login masthead menu modal nav navbar "
+    "navigation newsletter notice pager pagination popup related share sharing sidebar signup social subscribe toolbar widget".split()
 )
 #: Words that turn a compound around: ``entry-header``, ``with-sidebar``.
 CONTENT_WORDS = frozenset("article body content entry has main no page post section story title with without".split())
@@ -61,8 +61,10 @@ HEADINGS = frozenset(("h1", "h2", "h3", "h4", "h5", "h6"))
 #: What may lie between a content element and a short block that comes along.
 FLOW = HEADINGS | frozenset("p ul ol li dl dt dd table caption thead tbody tfoot tr td th blockquote pre figure figcaption header hgroup address".split())
 SELDOM, NOISY = 0.1, 0.1
-#: An element that says it is noise but holds this share of the page's text, in several blocks, is a wrapper.
-WRAPPER = 0.5
+#: Elements nested deeper count as part of the one at this depth, so paths are of bounded length.
+DEEPEST = 100
+#: An element named after the layout that holds all but this share of the page's text, in several blocks, is a wrapper.
+OUTSIDE = 0.2
 CLOSES = {
     "p": ("p",), "li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"),
     "td": ("td", "th"), "th": ("td", "th"), "option": ("option",),
@@ -94,19 +96,20 @@ class Block:
         self.marks = stack[-1].marks if stack else ()
 
 
-def says_noise(value: str) -> bool:
-    """Whether a class or id calls its element boilerplate: a noise word in a compound without a content word."""
+def noise_words(value: str) -> set[str]:
+    """The words by which a class or id calls its element boilerplate: noise words in a compound without a content word."""
+    out: set[str] = set()
     for name in value.lower().split():
         words = set(re.split(r"[^a-z]+", name))
         if words & NOISE_WORDS and not words & CONTENT_WORDS:
-            return True
-    return False
+            out |= words & NOISE_WORDS
+    return out
 
 
 def opened(tag: str, attributes: str, stack: list[Element], number: int) -> Element:
     """The element that a start tag opens inside ``stack``; ``number`` tells it apart where it may be a wrapper."""
     factor, marks = (stack[-1].factor, stack[-1].marks) if stack else (1.0, ())
-    label, noisy = tag, False
+    label, noisy = tag, set()
     if attributes:
         for a in ATTR.finditer(attributes):
             value = (a[2] or a[3] or a[4] or "").lower()
@@ -116,24 +119,103 @@ def opened(tag: str, attributes: str, stack: list[Element], number: int) -> Elem
                 continue
             if kind == "class":
                 label += "." + value
-            noisy = noisy or says_noise(value)
+            noisy |= noise_words(value)
     if tag in NEVER_TAGS:
         factor = 0.0
     elif tag in SELDOM_TAGS and not (tag == "header" and any(x.tag in ("article", "main") for x in stack)):
         factor *= SELDOM
     elif tag == "form":
         marks = (*marks, (number, 0.0))
+    elif noisy & FOREIGN_WORDS and tag not in ROOT_TAGS and tag not in HEADINGS:
+        factor *= NOISY
     elif noisy and tag not in ROOT_TAGS and tag not in HEADINGS:
         marks = (*marks, (number, NOISY))
     return Element(number, tag, label, factor, marks)
 
 
+class Markup:
+    """Reads a page forward: text between tags, and tags with their attributes."""
+
+    def __init__(self, page: str):
+        self.page = page
+        self.gone: dict[str, bool] = {}  # what doesn't occur any more from here on
+
+    def find(self, what: str, at: int) -> int:
+        """Where ``what`` comes next, or -1; once it doesn't, it isn't looked for again."""
+        if self.gone.get(what):
+            return -1
+        i = self.page.find(what, at)
+        if i < 0:
+            self.gone[what] = True
+        return i
+
+    def tag_end(self, at: int) -> int:
+        """The place of the ``>`` that ends a tag whose attributes begin at ``at``; quoted values may hold others.  -1: none."""
+        page = self.page
+        while m := ATTRIBUTE_END.search(page, at):
+            if m[0] == ">":
+                return m.start()
+            at = BLANKS.match(page, m.end()).end()
+            quote = page[at : at + 1]
+            if quote and quote in "\"'":
+                close = self.find(quote, at + 1)
+                at = close + 1 if close >= 0 else at + 1
+        return -1
+
+    def raw_end(self, name: str, at: int) -> int:
+        """Where the content of an element that holds no markup is over, behind its end tag."""
+        key = "</" + name
+        if self.gone.get(key):
+            return len(self.page)
+        m = re.compile(rf"</{name}\s*>", re.I).search(self.page, at)
+        if m is None:
+            self.gone[key] = True
+            return len(self.page)
+        return m.end()
+
+    def tags(self) -> Iterator[tuple[int, int, str, bool, str]]:
+        """(start, end, name, whether it ends an element, attributes); name is empty for what is no element: comments and the like."""
+        page, at = self.page, 0
+        while (i := page.find("<", at)) >= 0:
+            after = page[i + 1 : i + 2]
+            if page.startswith("<!--", i):
+                end = self.find("-->", i + 4)
+                at = len(page) if end < 0 else end + 3
+                yield i, at, "", False, ""
+                continue
+            closing = after == "/"
+            name = NAME.match(page, i + 1 + closing)
+            if name is None:
+                end = self.find(">", i) if after and after in "!?/" else -1
+                if end < 0:
+                    at = i + 1  # a sign in a text
+                    continue
+                at = end + 1
+                yield i, at, "", False, ""
+                continue
+            end = -1 if self.gone.get("tag") else self.tag_end(name.end())
+            if end < 0:  # no tag ends any more
+                self.gone["tag"] = True
+                if self.find(">", i) < 0:
+                    return  # the rest is text
+                yield i, len(page), "", False, ""
+                return
+            at = end + 1
+            tag, attributes = name[0].lower(), page[name.end() : end]
+            if tag in RAW and not closing:
+                if not attributes.rstrip().endswith("/"):
+                    at = self.raw_end(tag, at)
+                yield i, at, "", False, ""
+            else:
+                yield i, at, tag, closing, attributes
+
+
 def blocks_of(page: str) -> list[Block]:
     """The page's text blocks in order, with tag paths; inline tags don't break a block."""
     out: list[Block] = []
     stack: list[Element] = []
     parts: list[str] = []
-    link, in_link, pos = 0, 0, 0
+    link, in_link, pos, beyond = 0, 0, 0, 0
 
     def flush() -> None:
         nonlocal link
@@ -150,23 +232,24 @@ def blocks_of(page: str) -> list[Block]:
         parts.append(text)
         link += in_link and len(text)
 
-    for m in TOKEN.finditer(page):
-        if m.start() > pos:
-            add(page[pos : m.start()])
-        pos = m.end()
-        tag = m[3]
+    for start, end, tag, closing, attributes in Markup(page).tags():
+        if start > pos:
+            add(page[pos:start])
+        pos = end
         if not tag:
             continue
-        tag = tag.lower()
         if tag in INLINE:
             if tag == "a":
-                in_link = 0 if m[2] else 1
+                in_link = 0 if closing else 1
             continue
         if tag == "br":
             parts.append(" ")
             continue
         flush()
-        if m[2]:
+        if closing and beyond:
+            beyond -= 1
+            continue
+        if closing:
             for i in range(len(stack) - 1, -1, -1):
                 if stack[i].tag == tag:
                     del stack[i:]
@@ -179,9 +262,12 @@ def blocks_of(page: str) -> list[Block]:
         if ends:
             while stack and stack[-1].tag in ends:
                 stack.pop()
-        if tag in VOID or m[4].rstrip().endswith("/"):
+        if tag in VOID or attributes.rstrip().endswith("/"):
+            continue
+        if len(stack) >= DEEPEST:
+            beyond += 1
             continue
-        stack.append(opened(tag, m[4], stack, m.start()))
+        stack.append(opened(tag, attributes, stack, start))
     if pos < len(page):
         add(page[pos:])
     flush()
@@ -193,16 +279,16 @@ def own_length(b: Block) -> int:
 
 
 def scales(blocks: list[Block]) -> list[float]:
-    """What each block's elements leave of its score; elements that hold most of the text take nothing."""
-    whole = sum(map(own_length, blocks))
+    """What each block's elements leave of its score; wrappers take nothing."""
+    whole = sum(own_length(b) for b in blocks if b.factor == 1)
     held: dict[int, list[int]] = {}
     for b in blocks:
-        if n := own_length(b):
+        if b.factor == 1 and (n := own_length(b)):
             for number, _ in b.marks:
                 h = held.setdefault(number, [0, 0])
                 h[0] += n
                 h[1] += 1
-    wrappers = {number for number, (n, count) in held.items() if count > 1 and n >= WRAPPER * whole}
+    wrappers = {number for number, (n, count) in held.items() if count > 1 and n >= (1 - OUTSIDE) * whole}
     out = []
     for b in blocks:
         scale = b.factor
@@ -268,7 +354,8 @@ def content(blocks: list[Block], weight: float = 0.8, share: float = 0.1) -> lis
     best: dict[tuple, float] = {}
     for b, x in zip(blocks, scores, strict=True):
         best[b.path] = max(x, best.get(b.path, 0.0))
-    readable = [f > 0 and b.link * 2 <= len(b.text) for b, f in zip(blocks, scale, strict=True)]
+    own = [b.tags[-1:] == ("p",) or "article" in b.tags or "main" in b.tags for b in blocks]
+    readable = [f > 0 and (b.link * 2 <= len(b.text) or mine) for b, f, mine in zip(blocks, scale, own, strict=True)]
     chosen = [ok and best[b.path] >= threshold for b, ok in zip(blocks, readable, strict=True)]
     weight_of: dict[tuple, int] = {}
     for b, is_chosen in zip(blocks, chosen, strict=True):
