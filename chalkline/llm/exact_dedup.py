@@ -8,7 +8,9 @@ the index, and what is new is appended.  Only digests and ids are shuffled, neve
 Defined results: null text counts as empty; texts are equal when identical after
 lower-casing A-Z; of equal texts the row with the largest ``doc_id`` stays (null ids
 lose; of rows repeated with one id exactly one stays); an empty table gives no rows;
-columns beyond ``doc_id`` and ``text`` are ignored here whatever their names.
+columns beyond ``doc_id`` and ``text`` are ignored here whatever their names.  A batch has
+an id from the caller; the same batch run again, after a failure or not, gives the same
+result, whether its digests are in the index not at all, in part or in full.
 """
 
 from __future__ import annotations
@@ -27,7 +29,7 @@ BUCKET_DIGESTS, LEAST_BUCKETS = 4_000_000, 32
 
 
 class DigestIndex:
-    """A bucketed, sorted Parquet table ``(digest, keep_id, keep_row, batch)`` at ``path``.
+    """A bucketed, sorted Parquet table ``(digest, keep_id, batch)`` at ``path``.
 
     Opening a path that already holds an index continues it: bucket numbers are in the
     file names and their count lies beside the table, so no catalogue has to survive
@@ -44,7 +46,7 @@ class DigestIndex:
             spark.createDataFrame([(self.buckets,)], "buckets int").coalesce(1).write.json(f"{self.path}-layout")
         self.name = f"digest_index_{uuid.uuid4().hex}"
         spark.sql(
-            f"CREATE TABLE {self.name} (digest BINARY, keep_id BIGINT, keep_row BIGINT, batch STRING) USING parquet "
+            f"CREATE TABLE {self.name} (digest BINARY, keep_id BIGINT, batch STRING) USING parquet "
             f"CLUSTERED BY (digest) SORTED BY (digest) INTO {self.buckets} BUCKETS LOCATION '{self.path}'"
         )
 
@@ -58,9 +60,9 @@ class DigestIndex:
         return self.spark.table(self.name)
 
     def add(self, groups: DataFrame, batch: str) -> None:
-        """Append the digests of ``groups (digest, keep_id, keep_row)`` that the index doesn't hold."""
+        """Append the digests of ``groups (digest, keep_id)`` that the index doesn't hold."""
         known = self.rows().select("digest")
-        self._append(groups.join(known.hint("merge"), "digest", "left_anti").select("digest", "keep_id", "keep_row", F.lit(batch).alias("batch")))
+        self._append(groups.join(known.hint("merge"), "digest", "left_anti").select("digest", "keep_id", F.lit(batch).alias("batch")))
 
     def copied(self, path: str, expected: int) -> DigestIndex:
         """The same index at another path, laid out for ``expected`` digests."""
@@ -73,8 +75,10 @@ class DigestIndex:
         self.spark.catalog.refreshTable(self.name)
 
 
-def _decided(docs: DataFrame, row: Column, index: DigestIndex | None) -> DataFrame:
+def _decided(docs: DataFrame, row: Column, index: DigestIndex | None, batch: str | None) -> DataFrame:
     """``(row, doc_id, digest, keep_id, group_size, kept)`` for every row of ``docs``."""
+    if index is not None and batch is None:
+        raise ValueError("a batch for a given index needs an id, the same one whenever it is run again")
     digests = written(
         docs.select(
             F.col("doc_id").cast("long").alias("doc_id"), row.alias("row"),
@@ -83,34 +87,34 @@ def _decided(docs: DataFrame, row: Column, index: DigestIndex | None) -> DataFra
         "digests",
     )
     index = index or DigestIndex(docs.sparkSession, expected=digests.count())
-    batch = uuid.uuid4().hex
-    groups = digests.groupBy("digest").agg(
-        F.max(F.struct("doc_id", "row")).alias("top"), F.count(F.lit(1)).alias("group_size")
-    )
-    index.add(groups.select("digest", F.col("top.doc_id").alias("keep_id"), F.col("top.row").alias("keep_row")), batch)
-    sizes = groups.select("digest", "group_size").join(index.rows(), "digest")
-    kept = (F.col("batch") == batch) & (F.col("row") == F.col("keep_row"))
+    batch = batch or uuid.uuid4().hex
+    groups = written(digests.groupBy("digest").agg(F.max(F.struct("doc_id", "row")).alias("top"), F.count(F.lit(1)).alias("group_size")), "digest-groups")
+    index.add(groups.select("digest", F.col("top.doc_id").alias("keep_id")), batch)
+    # the index says which batch brought a text; of this batch's own texts the group says which row stays
+    sizes = groups.join(index.rows(), "digest").select("digest", "group_size", "keep_id", F.when(F.col("batch") == batch, F.col("top.row")).alias("stays"))
+    kept = F.coalesce(F.col("row") == F.col("stays"), F.lit(False))
     return digests.join(sizes, "digest").select("row", "doc_id", "digest", "keep_id", "group_size", kept.alias("kept"))
 
 
-def exact_dedup(docs: DataFrame, index: DigestIndex | None = None) -> DataFrame:
+def exact_dedup(docs: DataFrame, index: DigestIndex | None = None, batch: str | None = None) -> DataFrame:
     """One row per row of ``docs``: doc_id, keep_id, group_size, kept, text_sha256.
 
     ``group_size`` counts the rows of this batch with the same text.  A text that an
-    earlier batch brought keeps that batch's ``keep_id`` and no row of this one.
+    earlier batch brought keeps that batch's ``keep_id`` and no row of this one.  ``batch``
+    names the batch where an ``index`` is given.
     """
-    decided = _decided(docs, F.monotonically_increasing_id(), index)
+    decided = _decided(docs, F.monotonically_increasing_id(), index, batch)
     return decided.select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
 
 
-def keep_documents(docs: DataFrame, index: DigestIndex | None = None) -> DataFrame:
+def keep_documents(docs: DataFrame, index: DigestIndex | None = None, batch: str | None = None) -> DataFrame:
     """The documents that stay, with all their columns whatever their names.
 
     Rows are told apart by a number from a written table, so of rows repeated with one id
     and text exactly one stays.  Only numbers of dropped rows meet the texts.
     """
     rows, row = numbered(docs)
-    dropped = _decided(rows, F.col(row), index).where("NOT kept").select(F.col("row").alias(row))
+    dropped = _decided(rows, F.col(row), index, batch).where("NOT kept").select(F.col("row").alias(row))
     return rows.join(dropped, row, "left_anti").select(*(rows[c] for c in docs.columns))
 
 

@@ -34,8 +34,8 @@ def dedup_second_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents against an index that the English ones have filled before."""
     docs = table(spark, sf_dir, "documents")
     index = exact_dedup.DigestIndex(spark, expected=docs.count())
-    exact_dedup.exact_dedup(docs.where("lang = 'en'"), index)
-    return exact_dedup.exact_dedup(docs, index)
+    exact_dedup.exact_dedup(docs.where("lang = 'en'"), index, "english")
+    return exact_dedup.exact_dedup(docs, index, "all")
 
 
 def vocabulary(name: str = "byte_bpe_50k.json") -> str:
