@@ -71,6 +71,7 @@ class MergeAutomaton:
         self.size = {t: len(label) for label, t in made.items()}
         # every prefix of a label (a character a byte), with the longest label that it begins with; each label's next shorter one
         self.prefixes: dict[str, int] = {}
+        self.reach = max(map(len, made), default=0)
         self.trie = ahocorasick.Automaton()
         for label, t in made.items():
             text = label.decode("latin-1")
@@ -128,7 +129,9 @@ class MergeAutomaton:
         tokens: list[int] = []
         states = [0]
         shut: set[int] = set()
-        t = prefixes[text[: known(text)]]
+        reach = self.reach
+        rest = text[:reach]
+        t = prefixes[rest[: known(rest)]]
         while True:
             here = states[-1]
             while t != DEAD:
@@ -151,7 +154,7 @@ class MergeAutomaton:
             if pos == n:
                 return tokens
             states.append(target[t])
-            rest = text[pos:]
+            rest = text[pos : pos + reach]
             t = prefixes[rest[: known(rest)]]
 
     def encode(self, text: str) -> bytes:
