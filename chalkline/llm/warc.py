@@ -2,7 +2,9 @@
 
 Writing: every task writes one archive of gzip members, one member per record, and
 reports where each record lies.  Pages with equal payloads of at least ``least`` bytes
-become one response (the largest page_id) and revisit records.
+become one response (the largest page_id) and revisit records.  Which record is a revisit
+is decided on digests and row numbers alone; the verdicts lie in a folder per task of the
+scan, and the task that reads a page also writes its record, so no payload is shuffled.
 
 Index: captures sorted by reversed-host URL key go into compressed blocks (level one); a
 sparse directory holds each block's first and last key and its place (level two).
@@ -105,40 +107,51 @@ def write_archives(pages: DataFrame, root: str, least: int = LEAST_REVISIT, date
         F.coalesce(F.col("page_id").cast("long"), F.lit(NO_ID)).alias("page_id"),
         F.coalesce(F.col("url"), F.lit("")).alias("url"),
         F.coalesce(F.col("html"), F.lit("")).cast("binary").alias("payload"),
-    ).withColumn("sha1", F.unhex(F.sha1("payload")))
-    # only payloads that occur more than once; counted before any shuffle, so a hot payload is one row a task
-    again = written(
-        own.where(F.octet_length("payload") >= least)
-        .groupBy("sha1")
-        .agg(F.max(F.struct("page_id", "url")).alias("first"), F.count(F.lit(1)).alias("n"))
-        .where("n > 1")
-        .select("sha1", F.col("first.page_id").alias("refers"), F.col("first.url").alias("refers_url"), url_key(F.col("first.url")).alias("refers_key")),
-        "payloads",
     )
-    rows = own.join(again, "sha1", "left").select("page_id", "url", url_key(F.col("url")).alias("key"), "payload", "sha1", "refers", "refers_url", "refers_key")
+    numbered = own.withColumn("row", F.monotonically_increasing_id())
+    digests = written(
+        numbered.where(F.octet_length("payload") >= least).select("row", "page_id", "url", F.unhex(F.sha1("payload")).alias("sha1")), "payload-digests"
+    )
+    # only payloads that occur more than once; counted before the shuffle, so a hot payload is one row a task
+    again = (
+        digests.groupBy("sha1").agg(F.max(F.struct("page_id", "url")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
+        .select("sha1", F.col("first.page_id").alias("refers"), F.col("first.url").alias("refers_url"), url_key(F.col("first.url")).alias("refers_key"))
+    )
+    verdicts = digests.join(again, "sha1").where("page_id <> refers").withColumn("task", F.shiftright("row", 33).cast("int"))
+    told = f"{root}/verdicts"
+    verdicts.select("task", "row", "sha1", "refers", "refers_url", "refers_key").repartition("task").write.partitionBy("task").parquet(told)
+    rows = numbered.select("row", "page_id", "url", url_key(F.col("url")).alias("key"), "payload")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, base = fs.FileSystem.from_uri(root)
         out = None
         at = 0
+        revisits: dict[int, tuple] = {}
         for batch in batches:
             if not batch.num_rows:
                 continue
+            number, page_ids, urls, payloads = (batch.column(i).to_pylist() for i in (0, 1, 2, 4))
             if out is None:
                 store.create_dir(f"{base}/warc", recursive=True)
                 name = f"warc/{uuid.uuid4().hex}.warc.gz"
                 out = store.open_output_stream(f"{base}/{name}", compression=None)
+                mine = f"{base}/verdicts/task={number[0] >> 33}"
+                if store.get_file_info(mine).type == fs.FileType.Directory:
+                    t = pads.dataset(mine, filesystem=store, format="parquet").to_table(columns=["row", "sha1", "refers", "refers_url", "refers_key"])
+                    revisits = dict(zip(t.column(0).to_pylist(), zip(*(t.column(i).to_pylist() for i in range(1, 5)), strict=True), strict=True))
             places, sizes = [], []
-            columns = [batch.column(i).to_pylist() for i in (0, 1, 3, 4, 5, 6, 7)]
-            for page, url, payload, sha1, refers, refers_url, refers_key in zip(*columns, strict=True):
-                kind = "response" if refers is None or refers == page else "revisit"
-                member = gzip.compress(_record(kind, page, url, payload, sha1, refers, refers_url or "", refers_key or "", date), 6, mtime=0)
+            for row, page, url, payload in zip(number, page_ids, urls, payloads, strict=True):
+                sha1 = hashlib.sha1(payload).digest()
+                known, refers, refers_url, refers_key = revisits.get(row, (sha1, None, "", ""))
+                if known != sha1:
+                    raise ValueError(f"page {page} doesn't read as it did before")
+                member = gzip.compress(_record("response" if refers is None else "revisit", page, url, payload, sha1, refers, refers_url, refers_key, date), 6, mtime=0)
                 out.write(member)
                 places.append(at)
                 sizes.append(len(member))
                 at += len(member)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(2), batch.column(0), pa.array([name] * batch.num_rows), pa.array(places, pa.int64()), pa.array(sizes, pa.int64())],
+                [batch.column(3), batch.column(1), pa.array([name] * batch.num_rows), pa.array(places, pa.int64()), pa.array(sizes, pa.int64())],
                 names=["key", "page_id", "file", "at", "bytes"],
             )
         if out is not None:
