@@ -8,7 +8,9 @@ that follow one another in both texts, with at most ``SHIFT`` words put in or le
 between them, form a chain, and every chain is a candidate.  A local alignment, banded
 around the chain's diagonals, decides: matched share of the template's words, and the span
 from the first to the last matched word.  So insertions, deletions and fragments of a
-template are found and reported with the coverage they have.
+template are found and reported with the coverage they have.  Copies of one passage with
+the same words around their anchors are aligned once, so text that repeats costs no more
+than its length.
 
 A match is reported from ``COVERAGE`` of the template on, or as a fragment from
 ``FRAGMENT_WORDS`` matched words and ``FRAGMENT`` of the template on.  Where matches
@@ -24,6 +26,7 @@ empty table gives no rows; null ids pass through; extra columns are ignored.
 
 from __future__ import annotations
 
+import bisect
 import re
 from collections.abc import Iterator
 
@@ -40,8 +43,8 @@ WINDOW = 3
 BAND = 12
 #: Words that may be put in or left out between two anchors.
 SHIFT = 100
-#: Anchors before one that may precede it in a chain.
-LOOK_BACK = 24
+#: Words of a document that the spans kept so far are looked up by.
+CELL = 64
 #: Matched share of a template's words from which a match is reported, and what makes a fragment.
 COVERAGE = 0.8
 FRAGMENT, FRAGMENT_WORDS = 0.2, 30
@@ -126,19 +129,29 @@ class TemplateIndex:
         candidates = []
         for t, hits in anchors.items():
             template = self.words[t]
+            known: dict[tuple, tuple[int, int, int]] = {}
             for chain in chains(hits):
-                matched, a, b = align(template, found, chain)
+                diagonals = [p - q for p, q in chain]
+                low = max(0, min(diagonals) - BAND)
+                window = found[low : max(diagonals) + BAND + len(template)]
+                here = [(p - low, q) for p, q in chain]
+                key = (tuple(here), tuple(window))
+                if key not in known:
+                    known[key] = align(template, window, here)
+                matched, a, b = known[key]
                 coverage = matched / len(template)
                 if coverage >= COVERAGE or matched >= FRAGMENT_WORDS and coverage >= FRAGMENT:
-                    candidates.append((-matched, -coverage, self.names[t], a, b))
+                    candidates.append((-matched, -coverage, self.names[t], a + low, b + low))
         if not candidates:
             return []
-        kept: list[tuple[int, int]] = []
+        kept: dict[int, list[tuple[int, int]]] = {}  # by cells of the document
         out = []
         places = [m.span() for m in _WORD.finditer(text)]
         for matched, coverage, name, a, b in sorted(candidates):
-            if all(2 * (min(b, y) - max(a, x)) <= min(b - a, y - x) for x, y in kept):
-                kept.append((a, b))
+            cells = range(a // CELL, (b - 1) // CELL + 1)
+            if all(2 * (min(b, y) - max(a, x)) <= min(b - a, y - x) for c in cells for x, y in kept.get(c, ())):
+                for c in cells:
+                    kept.setdefault(c, []).append((a, b))
                 out.append((name, -coverage, places[a][0], places[b - 1][1], -matched))
         return sorted(out, key=lambda x: (x[2], x[0]))
 
@@ -146,36 +159,56 @@ class TemplateIndex:
 def chains(hits: list[tuple[int, int]]) -> list[list[tuple[int, int]]]:
     """Chains of anchors (document, template position), best first, that share no stretch of the document.
 
-    Consecutive anchors go forward in both texts and their diagonals differ by SHIFT at
-    most; among chains the longest counts, less a little for every word of shift.
+    Consecutive anchors go forward in both texts, at most ``2 * SHIFT`` words of the document
+    apart, and their diagonals differ by SHIFT at most; among chains the longest counts, less
+    a little for every word of shift.  Chains are linked once; the best one takes its stretch
+    out, and those that reach into it end there.
     """
-    out = []
-    pending = [sorted(hits)]
-    while pending:
-        run = pending.pop()
-        best: list[float] = []
-        back: list[int] = []
-        for i, (p, q) in enumerate(run):
-            value, before = 1.0, -1
-            for j in range(i - 1, max(-1, i - 1 - LOOK_BACK), -1):
-                x, y = run[j]
+    run = sorted(hits)
+    best: list[float] = []
+    back: list[int] = []
+    for i, (p, q) in enumerate(run):
+        value, before = 1.0, -1
+        for j in range(i - 1, -1, -1):
+            x, y = run[j]
+            if p - x > 2 * SHIFT:
+                break
+            if x < p and y < q:
                 shift = abs((p - q) - (x - y))
-                if x < p and y < q and shift <= SHIFT and p - x <= 2 * SHIFT and best[j] + 1 - shift / (2 * SHIFT) > value:
+                if shift <= SHIFT and best[j] + 1 - shift / (2 * SHIFT) > value:
                     value, before = best[j] + 1 - shift / (2 * SHIFT), j
-            best.append(value)
-            back.append(before)
-        i = max(range(len(run)), key=lambda k: (best[k], -abs(2 * k - len(run))))  # of equal ones that in the middle, so that the rest halves
+                if not shift:
+                    break  # what comes before it on other diagonals comes before this one through it
+        best.append(value)
+        back.append(before)
+    out = []
+    starts: list[int] = []  # stretches taken, in order; they don't overlap
+    ends: list[int] = []
+
+    def taken(p: int) -> bool:
+        k = bisect.bisect_right(starts, p) - 1
+        return k >= 0 and p <= ends[k]
+
+    for i in sorted(range(len(run)), key=lambda k: -best[k]):
+        if taken(run[i][0]):
+            continue
         chain = []
-        while i >= 0:
+        while i >= 0 and not taken(run[i][0]) and not (chain and taken_between(starts, run[i][0], chain[-1][0])):
             chain.append(run[i])
             i = back[i]
         chain.reverse()
+        k = bisect.bisect_left(starts, chain[0][0])
+        starts.insert(k, chain[0][0])
+        ends.insert(k, chain[-1][0])
         out.append(chain)
-        first, last = chain[0][0], chain[-1][0]
-        pending += [x for x in ([h for h in run if h[0] < first], [h for h in run if h[0] > last]) if x]
     return out
 
 
+def taken_between(starts: list[int], low: int, high: int) -> bool:
+    """Whether a stretch that begins in ``starts`` lies between two places."""
+    return bisect.bisect_right(starts, high) > bisect.bisect_right(starts, low)
+
+
 def align(template: list[str], doc: list[str], chain: list[tuple[int, int]]) -> tuple[int, int, int]:
     """Local alignment of the template and the document in a band around the chain's diagonals.
 
