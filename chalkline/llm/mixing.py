@@ -11,8 +11,10 @@
    documents ordered, so no source, however large, is gathered into one task.
 
 Defined results: null text has size 0; a null source is a source of its own, last in
-order; repeated rows are separate documents; an empty table gives no rows; extra columns
-are ignored.
+order, and a null or empty list of sources is that one; lists are sets, whatever their
+order; rows without an id or with a repeated one are placed by their texts too; repeated
+rows are separate documents; an empty table gives no rows; extra columns are ignored.
+More than ``MOST_PATTERNS`` different memberships are refused.
 """
 
 from __future__ import annotations
@@ -25,7 +27,10 @@ from pyspark.sql import functions as F
 from chalkline.llm.common import numbered, unused, written
 
 WORD = "[^\\x20\\x09-\\x0D]+"
-BUCKETS = 1 << 12
+#: Hash buckets that selection cuts a source into at least, and the rows that one is laid out for.
+LEAST_BUCKETS, BUCKET_ROWS = 1 << 12, 50_000
+#: The driver routes one row per membership pattern.
+MOST_PATTERNS = 200_000
 
 
 def word_count(text: Column) -> Column:
@@ -119,7 +124,7 @@ def mix_documents(
 
     ``sources`` is an array column of the sources that hold the document (default: the
     one in ``source``).  Weights go round over the sources in code-point order, null last.
-    ``source_size`` and ``target`` belong to the document's first source.
+    ``source_size`` and ``target`` belong to the document's first source in that order.
     """
     return _mixed(docs, F.monotonically_increasing_id(), weights, share, repeat_cap, sources, seed).drop("row")
 
@@ -135,20 +140,21 @@ def _mixed(
 ) -> DataFrame:
     """``mix_documents`` with the number of each row."""
     spark = docs.sparkSession
-    members = F.array(F.col("source").cast("string")) if sources is None else sources
-    rows = written(
-        docs.select(
-            F.col("doc_id").cast("long").alias("doc_id"),
-            members.alias("sources"),
-            word_count(F.col("text")).alias("size"),
-            row.alias("row"),
-        ).withColumn("place", F.xxhash64(F.col("doc_id"), F.lit(seed)))
-        .withColumn("bucket", F.pmod("place", F.lit(BUCKETS)).cast("int")),
+    members = F.array(F.col("source").cast("string")) if sources is None else sources.cast("array<string>")
+    members = F.when(F.size(members) > 0, F.array_sort(F.array_distinct(members))).otherwise(F.array(F.lit(None).cast("string")))
+    placed = F.xxhash64(F.col("doc_id"), F.col("text"), F.lit(seed))
+    sized = written(
+        docs.select(F.col("doc_id").cast("long").alias("doc_id"), members.alias("sources"), word_count(F.col("text")).alias("size"), row.alias("row"), placed.alias("place")),
         "sizes",
-    )
+    )
+    count = max(LEAST_BUCKETS, -(-sized.count() // BUCKET_ROWS))
+    rows = sized.withColumn("bucket", F.pmod("place", F.lit(count)).cast("int"))
     # one row per pattern and bucket; partial sums before the shuffle
     buckets = written(rows.groupBy("sources", "bucket").agg(F.sum("size").alias("words"), F.count(F.lit(1)).alias("n")), "buckets")
-    patterns = [(list(r["sources"] or [None]), float(r["words"])) for r in buckets.groupBy("sources").agg(F.sum("words").alias("words")).collect()]
+    whole = buckets.groupBy("sources").agg(F.sum("words").alias("words"))
+    if whole.limit(MOST_PATTERNS + 1).count() > MOST_PATTERNS:
+        raise ValueError(f"more than {MOST_PATTERNS} membership patterns")
+    patterns = [(list(r["sources"]), float(r["words"])) for r in whole.collect()]
     patterns.sort(key=lambda p: [(x is None, x or "") for x in p[0]])
     names = sorted({s for p, _ in patterns for s in p}, key=lambda x: (x is None, x or ""))
     if not names:
@@ -156,11 +162,11 @@ def _mixed(
     place = {s: i for i, s in enumerate(names)}
     size = [0.0] * len(names)
     for p, n in patterns:
-        for s in dict.fromkeys(p):
+        for s in p:
             size[place[s]] += n
     weight = [float(weights[i % len(weights)]) for i in range(len(names))]
     target = targets(size, weight, share, repeat_cap)
-    ids = [[place[s] for s in dict.fromkeys(p)] for p, _ in patterns]
+    ids = [[place[s] for s in p] for p, _ in patterns]
     capacity = [n for _, n in patterns]
     flow = route(ids, capacity, target, repeat_cap)
 
