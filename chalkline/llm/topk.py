@@ -59,7 +59,8 @@ LONG = 24
 SLACK = 1e-4
 #: Scores are rounded to 1e-6; bounds get this margin.
 MARGIN = 2e-6
-SHARD_TOKENS = 3_000_000
+#: A shard closes at so many tokens or documents, so texts of any length leave it of bounded size.
+SHARD_TOKENS, SHARD_DOCS = 3_000_000, 65_536
 QUERIES_AT_ONCE = 128
 #: Queries in a folder of their own, which start at one shard; folders that one task streams past a shard at most.
 SEED_QUERIES = 512
@@ -134,7 +135,7 @@ def _build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             ids.append(NO_ID if i is None else i)
             parts.append(np.array(word_hashes(text)[:-1], np.uint64))
             tokens += len(parts[-1])
-            if tokens >= SHARD_TOKENS:
+            if tokens >= SHARD_TOKENS or len(ids) >= SHARD_DOCS:
                 yield shard()
                 made += 1
                 ids, parts, tokens = [], [], 0
