@@ -344,10 +344,10 @@ def test_exact_dedup_odd_input(odd, empty):
 def test_exact_dedup_index_persists(spark, tmp_path):
     path = f"file://{tmp_path}/index"
     batch = lambda *rows: spark.createDataFrame(rows, "doc_id bigint, text string")
-    first = exact_dedup.exact_dedup(batch((1, "A"), (2, "b")), exact_dedup.DigestIndex(spark, path, 4))
+    first = exact_dedup.exact_dedup(batch((1, "A"), (2, "b")), exact_dedup.DigestIndex(spark, path, 4), "first")
     assert as_rows(first, "doc_id", "kept") == [(1, True), (2, True)]
     index = exact_dedup.DigestIndex(spark, path, 4)  # opened again, as in another session
-    second = exact_dedup.exact_dedup(batch((3, "a"), (4, "c"), (5, "C")), index)
+    second = exact_dedup.exact_dedup(batch((3, "a"), (4, "c"), (5, "C")), index, "second")
     assert as_rows(second, "doc_id", "keep_id", "kept") == [(3, 1, False), (4, 5, False), (5, 5, True)]
     assert index.rows().count() == 3
 
