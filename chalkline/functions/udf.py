@@ -2,10 +2,9 @@
 
 from __future__ import annotations
 
-import difflib
+import bisect
 import html
 import re
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -57,16 +56,82 @@ def unescape_entities(text: pd.Series) -> pd.Series:
     return text.map(lambda x: None if x is None else html.unescape(x))
 
 
-#: Gaps between anchors that are compared letter by letter; longer ones are compared by the words they share.
-LETTERS_COMPARED = 2000
+#: Lengths of the word runs that anchor two texts to each other, one after another in what the longer ones leave.
+RUNS = (8, 4, 2, 1)
+
+
+def forward(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """The longest series of ``pairs``, which rise in the first place, that rises in both."""
+    ends: list[int] = []  # the least second place that a series of each length ends with, and its pair
+    at: list[int] = []
+    back = []
+    for i, (_, b) in enumerate(pairs):
+        k = bisect.bisect_left(ends, b)
+        back.append(at[k - 1] if k else -1)
+        ends[k : k + 1], at[k : k + 1] = [b], [i]
+    out = []
+    i = at[-1] if at else -1
+    while i >= 0:
+        out.append(pairs[i])
+        i = back[i]
+    return out[::-1]
+
+
+def once(words: list[str], run: int) -> dict[tuple[str, ...], int]:
+    """The runs of ``run`` words that occur once, and where."""
+    places: dict[tuple[str, ...], int] = {}
+    for i, key in enumerate(zip(*(words[k:] for k in range(run)), strict=False)):
+        places[key] = -1 if key in places else i
+    return {key: i for key, i in places.items() if i >= 0}
+
+
+def common_letters(a: str, b: str) -> int:
+    """Length of the longest common subsequence; a bit of one number stands for a letter of ``a``, so space is linear."""
+    at: dict[str, int] = {}
+    for i, c in enumerate(a):
+        at[c] = at.get(c, 0) | 1 << i
+    full = (1 << len(a)) - 1
+    left = full
+    for c in b:
+        hit = left & at.get(c, 0)
+        left = (left + hit | left - hit) & full
+    return len(a) - left.bit_count()
+
+
+def matching_words(a: list[str], b: list[str], runs: tuple[int, ...] = RUNS) -> int:
+    """How many letters of two word lists match in order, every word with one blank after it.
+
+    Equal beginnings and ends match.  Runs of words that occur once in either list anchor the
+    lists to each other, long runs first and single words last; what lies between two
+    anchors is compared alike with shorter runs, and in the end letter by letter.
+    """
+    low, total = 0, 0
+    while low < min(len(a), len(b)) and a[low] == b[low]:
+        total += len(a[low]) + 1
+        low += 1
+    end = 0
+    while end < min(len(a), len(b)) - low and a[-1 - end] == b[-1 - end]:
+        end += 1
+        total += len(a[-end]) + 1
+    a, b = a[low : len(a) - end], b[low : len(b) - end]
+    if not a or not b:
+        return total
+    if not runs:
+        return total + common_letters(" ".join(a) + " ", " ".join(b) + " ")
+    there = once(b, runs[0])
+    anchors = forward([(i, there[key]) for key, i in once(a, runs[0]).items() if key in there])
+    i = j = 0
+    for x, y in [*anchors, (len(a), len(b))]:  # an anchor counts its first word; the rest of its run begins what follows
+        total += matching_words(a[i:x], b[j:y], runs[1:])
+        if x < len(a):
+            total += len(a[x]) + 1
+        i, j = x + 1, y + 1
+    return total
 
 
 def matching(a: str, b: str) -> float:
-    """How many characters of two short texts are in matching blocks, longest first; of long ones, how many are in words that both have."""
-    if max(len(a), len(b)) <= LETTERS_COMPARED:
-        return float(sum(m.size for m in difflib.SequenceMatcher(None, a, b, autojunk=False).get_matching_blocks()))
-    shared = Counter(a.split()) & Counter(b.split())
-    return float(sum((len(w) + 1) * n for w, n in shared.items()))
+    """How many characters of two texts match in order, whatever their length."""
+    return float(matching_words(a.split(), b.split()))
 
 
 @F.pandas_udf(T.DoubleType())

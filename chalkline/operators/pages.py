@@ -2,20 +2,17 @@
 
 from __future__ import annotations
 
-import bisect
-
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from chalkline.functions import text as T
-from chalkline.functions.udf import matching_characters, unescape_entities
+from chalkline.functions.udf import RUNS, forward, matching_characters, unescape_entities
 
 # Elements left out, elements whose end breaks a line, agreement needed.
 SKIPPED = ("script", "style", "nav", "footer", "header", "aside")
 BREAKING = ("p", "br", "div", "h1", "h2", "h3", "h4", "h5", "li", "tr")
 AGREEMENT = 0.97
-ANCHOR_WORDS = 8
 ORIGINAL = r"(?s)%%%\s*ORIGINAL-START\s*\n(.*?)\n%%%\s*ORIGINAL-END"
 REWRITTEN = r"(?s)%%%\s*REWRITTEN-START\s*\n(.*?)\n%%%\s*REWRITTEN-END"
 PACKAGES = r"%%%\s*PACKAGES:\s*([^\n]*)"
@@ -63,7 +60,7 @@ def requested_packages(files: DataFrame) -> DataFrame:
     return files.select("file", F.posexplode(listed).alias("pos", "package"))
 
 
-def word_anchors(pairs: DataFrame, words: int = ANCHOR_WORDS) -> DataFrame:
+def word_anchors(pairs: DataFrame, words: int = RUNS[0]) -> DataFrame:
     """``(pair, pa, pb)``: places where the same ``words`` words stand in both texts of ``pairs (pair, wa, wb)``.
 
     Only runs that occur once in either text count, and of those the longest series that
@@ -76,31 +73,21 @@ def word_anchors(pairs: DataFrame, words: int = ANCHOR_WORDS) -> DataFrame:
         return rows.groupBy("pair", "run").agg(F.min("pos").alias(at), F.count(F.lit(1)).alias("n")).where("n = 1").drop("n")
 
     both = once("wa", "pa").join(once("wb", "pb"), ["pair", "run"]).select("pair", "pa", "pb")
-    return both.groupBy("pair").applyInPandas(forward, "pair string, pa int, pb int")  # a pair's anchors are no more than its words
+    return both.groupBy("pair").applyInPandas(in_order, "pair string, pa int, pb int")  # a pair's anchors are no more than its words
 
 
-def forward(anchors: pd.DataFrame) -> pd.DataFrame:
+def in_order(anchors: pd.DataFrame) -> pd.DataFrame:
     """The longest series of a pair's anchors with ``pa`` and ``pb`` both rising."""
-    anchors = anchors.sort_values("pa", ignore_index=True)
-    ends: list[int] = []  # the least pb that a series of each length ends with, and its row
-    rows: list[int] = []
-    back = []
-    for i, pb in enumerate(anchors["pb"].tolist()):
-        k = bisect.bisect_left(ends, pb)
-        back.append(rows[k - 1] if k else -1)
-        ends[k : k + 1], rows[k : k + 1] = [pb], [i]
-    kept = []
-    i = rows[-1] if rows else -1
-    while i >= 0:
-        kept.append(i)
-        i = back[i]
-    return anchors.iloc[kept[::-1]]
+    anchors = anchors.sort_values("pa")
+    kept = forward(list(zip(anchors["pa"].tolist(), anchors["pb"].tolist(), strict=True)))
+    return pd.DataFrame({"pair": anchors["pair"].iloc[0], "pa": [a for a, _ in kept], "pb": [b for _, b in kept]})
 
 
 def agreements(pairs: DataFrame) -> DataFrame:
     """``(pair, agreement)`` of ``pairs (pair, a, b)``: twice the matching characters over all characters.
 
-    Words at anchors match; between anchors only the pieces that differ are compared.
+    Words at anchors match; between anchors only the pieces that differ are compared, in order
+    and whatever their length.
     """
     rows = pairs.select("pair", F.split("a", " ").alias("wa"), F.split("b", " ").alias("wb"))
     start = rows.select("pair", F.lit(-1).alias("pa"), F.lit(-1).alias("pb"))
