@@ -37,13 +37,50 @@ def test_indented_transcripts(spark, tmp_path):
 
 def test_indented_state_boards_and_questions(spark, tmp_path):
     put(tmp_path, "s/course a/state.json", json.dumps({"title": "T", "sections": {"l1": {"lecture_num": 1, "body": "b\n1", "summary": None}}}, indent=2))
-    assert rows(readers.read_state(spark, str(tmp_path / "s")), "course", "lecture", "lecture_num", "body") == [("course a", "l1", 1, "b\n1")]
+    assert rows(readers.read_state(spark, str(tmp_path / "s"))[1], "course", "lecture", "lecture_num", "body") == [("course a", "l1", 1, "b\n1")]
     put(tmp_path, "b/l1/boards.json", json.dumps({"video": "v.mp4", "boards": [{"id": 1, "image": "board-01.jpg"}, {"id": 2, "image": None}, {"id": 3, "image": "gone.jpg"}]}, indent=2))
     stills = spark.createDataFrame([("board-01.jpg",)], "image string")
-    assert rows(readers.read_boards(spark, str(tmp_path / "b"), stills), "lecture", "id") == [("l1", 1)]
+    assert rows(readers.read_boards(spark, str(tmp_path / "b"), stills)[1], "lecture", "id") == [("l1", 1)]
     put(tmp_path, "q/l1/questions.json", json.dumps({"questions": [{"id": 1, "text": "why", "answer": ""}], "question_seq": 2}, indent=2))
     put(tmp_path, "q/l2/questions.json", json.dumps([{"id": 7, "text": "how", "deferred": True}], indent=2))
-    assert rows(readers.read_questions(spark, str(tmp_path / "q")), "lecture", "id", "answer", "deferred") == [("l1", 1, "", None), ("l2", 7, None, True)]
+    assert rows(readers.read_questions(spark, str(tmp_path / "q"))[1], "lecture", "id", "answer", "deferred") == [("l1", 1, "", None), ("l2", 7, None, True)]
+
+
+def test_boards_as_the_segmentation_writes_them(spark, tmp_path):
+    boards = [
+        {"id": 1, "intervals": [[0.0, 12.5], [40, 61.5]], "seconds": 34.0, "revisits": 1, "best_at": 10.5, "ink": 0.0312, "image": "board-01.jpg"},
+        {"id": 2, "intervals": [{"lo": 3, "hi": 4.5}], "seconds": 1.5, "image": "board-02.jpg"}, {"id": 3, "intervals": [], "image": "board-03.jpg"},
+    ]
+    put(tmp_path, "01 intro/boards/boards.json", json.dumps({"video": "v.mp4", "boards": boards}, indent=2))
+    put(tmp_path, "02/boards/boards.json", json.dumps({"boards": boards})[:70])
+    put(tmp_path, "03/boards/boards.json", json.dumps({"boards": {"id": 1}}))
+    put(tmp_path, "04/boards/boards.json", json.dumps({"video": "no boards"}))
+    stills = spark.createDataFrame([("01 intro", "board-01.jpg"), ("01 intro", "board-02.jpg"), ("02", "board-03.jpg")], "lecture string, image string")
+    docs, found = readers.read_boards(spark, str(tmp_path), stills)
+    assert rows(docs, "lecture", "corrupt") == [("01 intro", False), ("02", True), ("03", True), ("04", False)]
+    assert rows(found, "lecture", "id", "intervals", "seconds", "revisits", "best_at", "ink") == [
+        ("01 intro", 1, [(0.0, 12.5), (40.0, 61.5)], 34.0, 1, 10.5, 0.0312), ("01 intro", 2, [(3.0, 4.5)], 1.5, None, None, None),
+    ]
+
+
+def test_questions_keep_every_field_and_broken_files_count(spark, tmp_path):
+    first = {"id": 1, "kind": "clarify", "text": "why", "context": "line 3", "guess": "so", "timestamp": "00:01:02", "answer": "", "delivered": True, "deferred": False, "applied": True}
+    put(tmp_path, "out/01-a.tex.questions.json", json.dumps({"questions": [first, "no question", {"id": 2, "answer": None}], "question_seq": 3}, indent=2))
+    put(tmp_path, "out/02-b.tex.questions.json", json.dumps([{"id": 7, "timestamp": None, "applied": False}]))
+    put(tmp_path, "out/03-c.tex.questions.json", '{"questions": [{"id": 1')
+    put(tmp_path, "out/04-d.tex.questions.json", json.dumps({"question_seq": 1}))
+    put(tmp_path, "out/05-e.tex.questions.json", json.dumps({"questions": "none"}))
+    docs, found = readers.read_questions(spark, str(tmp_path))
+    assert rows(docs, "lecture", "corrupt") == [("01-a.tex", False), ("02-b.tex", False), ("03-c.tex", True), ("04-d.tex", False), ("05-e.tex", True)]
+    assert rows(found.where("id = 1"), *readers.QUESTION) == [(1, "clarify", "why", "line 3", "so", "00:01:02", "", False, True, True)]
+    assert rows(found, "lecture", "id", "answer", "applied") == [("01-a.tex", 1, "", True), ("01-a.tex", 2, None, None), ("02-b.tex", 7, None, False)]
+
+
+def test_broken_states_count(spark, tmp_path):
+    put(tmp_path, "a/state.json", json.dumps({"title": "T", "sections": {"l1": {"lecture_num": 1, "body": "b"}}}))
+    put(tmp_path, "b/state.json", '{"title": "T", "sections": {"l1"')
+    docs, sections = readers.read_state(spark, str(tmp_path))
+    assert rows(docs, "course", "corrupt") == [("a", False), ("b", True)] and rows(sections, "course", "lecture") == [("a", "l1")]
 
 
 def test_broken_trace_lines_can_be_counted(spark, tmp_path):
