@@ -40,8 +40,8 @@ from chalkline.llm.common import arrow_rows, small_arrow_batches, written
 CHUNK, OVERLAP = 16_384, 1024
 #: Characters at a chunk's end that its boundaries don't count in: the pattern looks ahead by less.
 MARGIN = 8
-#: Pre-tokens whose ids a worker keeps, and their greatest length; a bound on memory only.
-MEMO, MEMO_LENGTH = 200_000, 48
+#: Pre-tokens whose ids a worker keeps, twice (recent ones, and those before), and their greatest length; a bound on memory only.
+MEMO, MEMO_LENGTH = 250_000, 48
 #: From this length on pairs wait in a heap.
 LONG = 100
 #: Unicode's white space, as the pattern means it.
@@ -56,25 +56,35 @@ class RankedBpe:
             raise ValueError(f"no rank for the bytes {missing}")
         self.ranks = ranks
         self.labels = {i: b for b, i in ranks.items()}
+        self.names = {i: str(i) for i in self.labels}
         self.split = regex.compile(pattern.replace("[^\\s", f"[^{SPACE}").replace("\\s", f"[{SPACE}]").replace("\\S", f"[^{SPACE}]"))
         self.memo: dict[str, tuple[int, ...]] = {}
+        self.older: dict[str, tuple[int, ...]] = {}
 
     def pretokens(self, text: str, start: int = 0) -> Iterator[regex.Match]:
         return self.split.finditer(text, start)
 
     def piece(self, pretoken: str) -> tuple[int, ...]:
         """Ids of one pre-token."""
-        ids = self.memo.get(pretoken)
+        ids = self.memo.get(pretoken) or self.older.get(pretoken)
         if ids is None:
             raw = pretoken.encode()
             whole = self.ranks.get(raw)
             ids = (whole,) if whole is not None else self._few(raw) if len(raw) < LONG else self._many(raw)
-            if len(pretoken) <= MEMO_LENGTH:
-                if len(self.memo) >= MEMO:
-                    self.memo.clear()
-                self.memo[pretoken] = ids
+        if len(pretoken) <= MEMO_LENGTH:
+            if len(self.memo) >= MEMO:
+                self.older, self.memo = self.memo, {}
+            self.memo[pretoken] = ids
         return ids
 
+    def pieces(self, pretokens: list[str]) -> list[int]:
+        out = list(map(self.memo.get, pretokens))
+        if None in out:
+            for i, ids in enumerate(out):
+                if ids is None:
+                    out[i] = self.piece(pretokens[i])
+        return list(chain.from_iterable(out))
+
     def _few(self, raw: bytes) -> tuple[int, ...]:
         get, none = self.ranks.get, len(self.ranks) + (1 << 40)
         cuts = list(range(len(raw) + 1))
@@ -116,16 +126,16 @@ class RankedBpe:
     def encode(self, text: str, start: int = 0, end: int | None = None) -> list[int]:
         """Ids of the pre-tokens of ``text`` from ``start`` to ``end``, both boundaries of it."""
         if end is None or end == len(text):
-            return list(chain.from_iterable(map(self.piece, self.split.findall(text, start))))
-        out: list[int] = []
+            return self.pieces(self.split.findall(text, start))
+        read: list[str] = []
         if start < end:
             for m in self.pretokens(text, start):
-                out += self.piece(m.group())
+                read.append(m.group())
                 if m.end() >= end:
                     break
             if m.end() != end:
                 raise ValueError("pre-tokens of neighbouring chunks don't meet")
-        return out
+        return self.pieces(read)
 
     def decode(self, ids: list[int]) -> bytes:
         return b"".join(map(self.labels.__getitem__, ids))
@@ -150,7 +160,7 @@ class Digest:
 
     def add(self, machine: RankedBpe, ids: list[int]) -> None:
         if ids:
-            self.ids.update((" " if self.n else "").encode() + " ".join(map(str, ids)).encode())
+            self.ids.update((" " if self.n else "").encode() + " ".join(map(machine.names.__getitem__, ids)).encode())
             self.text.update(machine.decode(ids))
             self.n += len(ids)
 
