@@ -161,8 +161,7 @@ def test_camera_motion_and_zoomed_boards(spark):
     motion = frames.camera_motion(spark.createDataFrame(pan, "video string, i int, mask array<boolean>"), 24, 32)
     assert rows(motion, "video", "motion") == [("pan", 1.0), ("still", 0.0)]
     zoomed = np.zeros((24, 32), bool)
-    part = frames.rescaled(wide, 2.0)
-    zoomed |= part[12:36, 16:48]
+    zoomed |= np.kron(wide, np.ones((2, 2), bool))[12:36, 16:48]
     other = rng.random((24, 32)) < 0.15
     boards = [(v, n, 30.0 * n, 30.0 * n + 20, 30.0 * n, float(m.mean()), m.astype(np.uint8).tobytes()) for v in ("pan", "still") for n, m in ((1, wide), (2, zoomed), (3, other))]
     merged = frames.merge_zoomed(spark.createDataFrame(boards, frames.BOARDS), motion, 24, 32)
@@ -171,6 +170,52 @@ def test_camera_motion_and_zoomed_boards(spark):
     assert ("pan", 1, 60.0) in got
 
 
+def strokes(seed, n=60, h=90, w=160):
+    rng = np.random.default_rng(seed)
+    out = np.zeros((h, w), bool)
+    for y, x in zip(rng.integers(4, h - 4, n), rng.integers(4, w - 10, n), strict=True):
+        out[y : y + 2, x : x + 8] = True
+    return out
+
+
+def test_zoomed_views_match_and_other_boards_do_not():
+    """Whole boards drawn at another size, and views of the same size that were zoomed and moved."""
+    for seed in (1, 2):
+        one = strokes(seed)
+        for s in (0.6, 0.7, 0.8, 1.25, 1.5, 1.75, 2.0):
+            h, w = round(90 * s), round(160 * s)
+            whole = one[np.ix_((np.arange(h) / s).astype(int), (np.arange(w) / s).astype(int))]
+            assert frames.zoom_score(one, whole) >= frames.ZOOM_MATCH
+            view = frames.moved(frames.zoomed(one, s, one.shape)[0], (5, -12))
+            assert frames.zoom_score(one, view) >= frames.ZOOM_MATCH
+            assert any(abs(z / s - 1) < 0.06 for z in frames.zooms(one, view))
+    assert all(frames.zoom_score(strokes(1), strokes(k)) < frames.ZOOM_MATCH for k in range(9, 15))
+    assert frames.zoom_score(strokes(1), np.zeros((90, 160), bool)) == 0.0
+
+
+def test_near_pixels_and_moves_against_loops():
+    rng = np.random.default_rng(4)
+    m = rng.random((9, 13)) < 0.1
+    want = np.zeros_like(m)
+    for y, x in zip(*np.nonzero(m), strict=True):
+        want[max(0, y - 2) : y + 3, max(0, x - 2) : x + 3] = True
+    assert (frames.near(m) == want).all()
+    assert (frames.moved(m, (2, -3))[2:, :-3] == m[:-2, 3:]).all() and not frames.moved(m, (2, -3))[:2].any()
+
+
+def test_medians_in_tiles_and_blocks_against_a_plain_median(spark):
+    """Tiles that don't divide the pixels, blocks shorter than the window, and nulls."""
+    rng = np.random.default_rng(5)
+    x = rng.random((23, 10))
+    df = spark.createDataFrame([("v", i, [None if (i, p) == (3, 4) else float(v) for p, v in enumerate(row)]) for i, row in enumerate(x)], "video string, i int, px array<double>")
+    x[3, 4] = np.nan
+    for tile, block in ((4, 2), (3, 8), (64, 64)):
+        got = {r.i: r.px for r in frames.pack(frames.median_tiles(df, 7, tile, block)).collect()}
+        assert sorted(got) == list(range(23))
+        assert all(np.allclose(got[i], np.nanmedian(x[max(0, i - 3) : i + 4], axis=0)) for i in got)
+    assert frames.rolling_median(df, 7).where("i = 22").count() == 10
+
+
 def test_shift_brings_a_pan_back():
     rng = np.random.default_rng(2)
     a = rng.random((24, 32)) < 0.2
