@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from chalkline.functions import text as T
@@ -43,26 +45,38 @@ def boards_on_screen(points: DataFrame, intervals: DataFrame, bucket: float = 36
     return p.join(i, ["video", "bucket"]).where("lo <= t AND t < hi").drop("bucket")
 
 
-def locate_quotes(quotes: DataFrame, segments: DataFrame) -> DataFrame:
+def heavy_runs(stream: DataFrame, most: int = 256, share: int = 1000) -> list[int]:
+    """Hashes of the three-word runs that hold more than one in ``share`` places, by a sketch of bounded size; exact counts don't matter."""
+    top, total = stream.agg(F.expr(f"approx_top_k(run, {most}, {16 * most})"), F.count(F.lit(1))).first()
+    return [x["item"] for x in top if x["count"] * share > total]
+
+
+def locate_quotes(quotes: DataFrame, segments: DataFrame, salts: int = 64) -> DataFrame:
     """Where each quote ``(quote, text)`` was said in each lecture: the longest prefix of 8..3 words, then the earliest position.
 
     Words run on across segments.  Candidates come from an equi-join on the first three
-    words; longer prefixes are compared only there.
+    words; longer prefixes are compared only there.  Runs that are very frequent among the
+    segments are dealt over ``salts`` partitions, the few quotes that begin with one to
+    each of these; and a quote's places in a lecture are reduced before they meet.
     """
     words = segments.select("lecture", "seq", "start", F.posexplode(T.word_stream(F.col("text"))).alias("i", "w"))
     order = Window.partitionBy("lecture").orderBy("seq", "i")
     stream = words.withColumn("pos", F.row_number().over(order)).select(
         "lecture", "start", "pos", F.col("w").alias("w1"), *(F.lead("w", k).over(order).alias(f"w{k + 1}") for k in range(1, LONGEST))
     )
+    stream = stream.where("w3 IS NOT NULL").withColumn("run", F.xxhash64("w1", "w2", "w3"))
     q = quotes.withColumn("q", F.slice(T.word_stream(F.col("text")), 1, LONGEST)).where(F.size("q") >= SHORTEST)
-    q = q.select("quote", "q", *(F.col("q")[k].alias(f"w{k + 1}") for k in range(SHORTEST)))
-    hits = stream.join(q, ["w1", "w2", "w3"])
+    q = q.select("quote", "q", *(F.col("q")[k].alias(f"w{k + 1}") for k in range(SHORTEST))).withColumn("run", F.xxhash64("w1", "w2", "w3"))
+    heavy = F.col("run").isin(heavy_runs(stream))
+    stream = stream.withColumn("salt", F.when(heavy, F.pmod(F.hash("lecture", "pos"), F.lit(salts))).otherwise(0))
+    q = q.withColumn("salt", F.explode(F.when(heavy, F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))))
+    hits = stream.join(q, ["run", "salt", "w1", "w2", "w3"])
     said = F.array(*(F.col(f"w{k + 1}") for k in range(LONGEST)))
     n = F.lit(0)
     for k in range(SHORTEST, LONGEST + 1):
         n = F.when((F.size("q") >= k) & (F.slice(said, 1, k) == F.slice("q", 1, k)), k).otherwise(n)
-    best = Window.partitionBy("quote", "lecture").orderBy(F.desc("n"), "pos")
-    return hits.withColumn("n", n).withColumn("rank", F.row_number().over(best)).where("rank = 1").select("quote", "lecture", "n", "pos", "start")
+    best = F.max(F.struct(n.alias("n"), (-F.col("pos")).alias("back"), "start")).alias("b")
+    return hits.groupBy("quote", "lecture").agg(best).select("quote", "lecture", F.col("b.n").alias("n"), (-F.col("b.back")).alias("pos"), F.col("b.start").alias("start"))
 
 
 def correct_timestamps(questions: DataFrame, located: DataFrame, ends: DataFrame) -> DataFrame:
@@ -74,11 +88,71 @@ def correct_timestamps(questions: DataFrame, located: DataFrame, ends: DataFrame
     return rows.select("lecture", "id", T.clock(F.when(wrong, F.col("found")).otherwise(given)).alias("stamp"), (wrong & given.isNotNull()).alias("corrected"), late.alias("past_end"))
 
 
-def verify_originals(passages: DataFrame, sources: DataFrame) -> DataFrame:
-    """Adds ``verified``: whether the passage occurs in its source, white space aside; ``sources (source, text)``."""
-    rows = passages.join(sources.withColumnRenamed("text", "_text"), "source", "left")
-    found = F.coalesce(T.squeeze(F.col("_text")).contains(T.squeeze(F.col("original"))), F.lit(False))
-    return rows.withColumn("verified", found).withColumn("note", F.when(~found, "not in the source")).drop("_text")
+# Runs of words that sources are indexed by, how many neighbours the least one is kept of, words in a piece of a source.
+RUN, NEIGHBOURS, PIECE = 3, 4, 128
+#: Words from which a passage surely meets the index: its first and last may be cut off.
+INDEXED = RUN + NEIGHBOURS - 1 + 2
+
+
+def _once(value: Column, f: Callable[[Column], Column]) -> Column:
+    """``f`` of a value that is worked out once, however often ``f`` uses it in functions over arrays."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
+def _runs(words: Column) -> Column:
+    """``(h, at)`` of every run of RUN words, by its first word's place."""
+    none = F.array().cast("array<struct<h:bigint,at:int>>")
+    run = lambda w: lambda i: F.named_struct(F.lit("h"), F.xxhash64(F.slice(w, i + 1, F.lit(RUN))), F.lit("at"), i)
+    return _once(words, lambda w: F.when(F.size(w) >= RUN, F.transform(F.sequence(F.lit(0), F.size(w) - RUN), run(w))).otherwise(none))
+
+
+def source_index(sources: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``(postings, pieces)`` of ``sources (source, text)``, to be written as tables where sources stay the same.
+
+    ``postings (source, h, at)``: of every NEIGHBOURS word runs side by side the one of least
+    hash (winnowing), so a passage of some length has one of them wherever it stands.
+    ``pieces (source, piece, words)``: the words, PIECE a row.
+    """
+    words = F.split(T.squeeze(F.col("text")), " ")
+    none = F.array().cast("array<struct<h:bigint,at:int>>")
+    least = lambda r: lambda i: F.array_min(F.slice(r, i, F.lit(NEIGHBOURS)))
+    mins = _once(_runs(words), lambda r: F.when(F.size(r) >= NEIGHBOURS, F.transform(F.sequence(F.lit(1), F.size(r) - NEIGHBOURS + 1), least(r))).otherwise(none))
+    kept = _once(mins, lambda m: F.filter(m, lambda x, i: (i == 0) | (x["at"] != F.get(m, i - 1)["at"])))  # a run stays the least one for some steps
+    piece = lambda w: lambda k: F.slice(w, k * PIECE + 1, F.lit(PIECE))
+    cut = _once(words, lambda w: F.transform(F.sequence(F.lit(0), F.floor((F.size(w) - 1) / PIECE).cast("int")), piece(w)))
+    rows = sources.where("text IS NOT NULL")
+    return rows.select("source", F.inline(kept)), rows.select("source", F.posexplode(cut).alias("piece", "words"))
+
+
+def verify_originals(passages: DataFrame, sources: DataFrame, index: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
+    """Adds ``verified``: whether the passage occurs in its source, white space aside; ``sources (source, text)``.
+
+    A passage meets the postings of its source at its run of least hash, and only the pieces
+    around these places are compared with it, word by word (its first and last words may be
+    parts).  Passages of fewer than INDEXED words are looked up in the text, many at a time.
+    """
+    postings, pieces = index or source_index(sources)
+    key = F.sha2(T.squeeze(F.col("original")), 256)
+    asked = passages.select("source", T.squeeze(F.col("original")).alias("p"), key.alias("_key")).where("p IS NOT NULL").dropDuplicates(["source", "_key"])
+    asked = asked.withColumn("q", F.split("p", " "))
+    long = asked.where(F.size("q") >= INDEXED).withColumn("m", F.size("q"))
+    first = F.array_min(_runs(F.slice("q", F.lit(2), F.greatest(F.col("m") - 2, F.lit(0)))))
+    placed = long.withColumn("r", first).select("source", "_key", "q", "m", F.col("r.h").alias("h"), F.col("r.at").alias("off")).join(postings, ["source", "h"])
+    placed = placed.withColumn("start", F.col("at") - F.col("off") - 1).where("start >= 0")
+    spread = placed.select("source", "_key", "q", "m", "start", F.explode(F.sequence(F.floor(F.col("start") / PIECE).cast("int"), F.floor((F.col("start") + F.col("m") - 1) / PIECE).cast("int"))).alias("piece"))
+    met = spread.join(pieces, ["source", "piece"])
+    low, high = F.greatest(F.lit(0), F.col("piece") * PIECE - F.col("start")), F.least(F.col("m"), (F.col("piece") + 1) * PIECE - F.col("start"))
+    word = lambda i: F.get("words", F.col("start") + i - F.col("piece") * PIECE)
+    same = lambda i: F.when(i == 0, word(i).endswith(F.get("q", i))).when(i == F.col("m") - 1, word(i).startswith(F.get("q", i))).otherwise(word(i) == F.get("q", i))
+    agree = F.forall(F.sequence(low, high - 1), lambda i: F.coalesce(same(i), F.lit(False)))
+    whole = met.select("source", "_key", "start", agree.alias("ok"), (high - low).alias("n"), "m").groupBy("source", "_key", "start").agg(F.bool_and("ok").alias("ok"), F.sum("n").alias("n"), F.max("m").alias("m"))
+    found = whole.where("ok AND n = m").select("source", "_key")
+    few = asked.where(F.size("q") < INDEXED).groupBy("source", F.pmod(F.xxhash64("_key"), F.lit(64)).alias("lot")).agg(F.collect_list(F.struct("_key", "p")).alias("ps"))
+    texts = few.join(sources.select("source", T.squeeze(F.col("text")).alias("t")), "source")
+    held = texts.select("source", F.explode(F.filter("ps", lambda x: F.col("t").contains(x["p"]))).alias("x")).select("source", "x._key")
+    known = found.unionByName(held).distinct().withColumn("_found", F.lit(True))
+    rows = passages.withColumn("_key", key).join(known, ["source", "_key"], "left").withColumn("verified", F.coalesce("_found", F.lit(False)))
+    return rows.withColumn("note", F.when(~F.col("verified"), "not in the source")).select(*passages.columns, "verified", "note")
 
 
 def ingest_plan(inputs: DataFrame, infos: DataFrame, files: DataFrame) -> DataFrame:
@@ -115,19 +189,31 @@ def propagation_plan(revisions: DataFrame, sections: DataFrame) -> DataFrame:
     return rows.where(F.col("is_section") & (F.size("changes") > 0)).select("course", "lecture_num", "changes")
 
 
+def numbered_lectures(sections: DataFrame) -> DataFrame:
+    """``sections`` with ``n``, the position of each lecture in its course from 1; positions are what slices refer to."""
+    return sections.withColumn("n", F.row_number().over(Window.partitionBy("course").orderBy("lecture_num")))
+
+
+def context_slices(sections: DataFrame, full: int = FULL_CONTEXT) -> DataFrame:
+    """``(course, k, near, older)``, one row per lecture k: the last ``full`` lectures with their bodies, and how many
+    older ones there are.  The older ones are the positions 1..``older`` of :func:`numbered_lectures`; nothing of them is copied."""
+    w = Window.partitionBy("course").orderBy("lecture_num")
+    rows = numbered_lectures(sections.select("course", "lecture_num", "body"))
+    near = F.array(*(F.struct(F.lag("lecture_num", d).over(w).alias("lecture_num"), F.lag("body", d).over(w).alias("text")) for d in range(1, full + 1)))
+    return rows.select("course", F.col("lecture_num").alias("k"), F.filter(near, lambda x: x["lecture_num"].isNotNull()).alias("near"), F.greatest(F.col("n") - 1 - full, F.lit(0)).alias("older"))
+
+
 def prior_context(sections: DataFrame, full: int = FULL_CONTEXT) -> DataFrame:
     """For each lecture its earlier ones: the last ``full`` in full, older by summary, in full without one.
 
-    The last ones come by ``lag``, so a body moves only with its own row; the join over a
-    course's older lectures carries summaries (and the bodies of those without one).
+    The full listing of :func:`context_slices`, which it resolves by equi-joins on course
+    and position.
     """
-    w = Window.partitionBy("course").orderBy("lecture_num")
-    rows = sections.select("course", "lecture_num", "body", "summary", F.row_number().over(w).alias("n"))
-    near = F.array(*(F.struct(F.lag("lecture_num", d).over(w).alias("lecture_num"), F.lag("body", d).over(w).alias("text")) for d in range(1, full + 1)))
-    last = rows.select("course", F.col("lecture_num").alias("k"), near.alias("near")).select("course", "k", F.explode("near").alias("x")).where("x.lecture_num IS NOT NULL").select("course", "k", "x.lecture_num", F.lit("full").alias("form"), "x.text")
+    slices = context_slices(sections, full)
+    last = slices.select("course", "k", F.explode("near").alias("x")).select("course", "k", "x.lecture_num", F.lit("full").alias("form"), "x.text")
     brief = F.coalesce("summary", F.lit("")) != ""
-    old = rows.select("course", "lecture_num", F.col("n").alias("old_n"), F.when(brief, "summary").otherwise("full").alias("form"), F.when(brief, F.col("summary")).otherwise(F.col("body")).alias("text"))
-    older = rows.select("course", F.col("lecture_num").alias("k"), "n").where(F.col("n") > full + 1).join(old, "course").where(F.col("old_n") < F.col("n") - full)
+    texts = numbered_lectures(sections).select("course", "n", "lecture_num", F.when(brief, "summary").otherwise("full").alias("form"), F.when(brief, F.col("summary")).otherwise(F.col("body")).alias("text"))
+    older = slices.where("older > 0").select("course", "k", F.explode(F.sequence(F.lit(1), F.col("older"))).alias("n")).join(texts, ["course", "n"])
     return last.unionByName(older.select("course", "k", "lecture_num", "form", "text"))
 
 
@@ -136,13 +222,23 @@ def order_mismatch(inputs: DataFrame, sections: DataFrame) -> DataFrame:
     return inputs.join(sections, ["course", "lecture"]).where("pos <> lecture_num").select("course", "lecture", "pos", "lecture_num")
 
 
-def other_lectures(sections: DataFrame) -> DataFrame:
-    """Per lecture the ordered index of all others, their titles without ``Lecture N:``."""
+def lecture_index(sections: DataFrame) -> DataFrame:
+    """``(course, n, lecture_num, line)``: the ordered index of each course, titles without ``Lecture N:``.
+
+    The others of a lecture are all positions of its course but its own ``n``, so this is
+    all that has to be kept of them.
+    """
     title = F.regexp_replace("title", r"^Lecture\s+\d+\s*[:.-]\s*", "")
-    index = sections.select("course", F.struct("lecture_num", title.alias("title")).alias("x")).groupBy("course").agg(F.array_sort(F.collect_list("x")).alias("all"))
-    mine = sections.select("course", "lecture_num").join(index, "course")
-    line = lambda x: F.concat(F.lit("Lecture "), x["lecture_num"], F.lit(": "), x["title"])
-    return mine.select("course", "lecture_num", F.transform(F.filter("all", lambda x: x["lecture_num"] != F.col("lecture_num")), line).alias("others"))
+    line = F.concat(F.lit("Lecture "), "lecture_num", F.lit(": "), title)
+    return numbered_lectures(sections).select("course", "n", "lecture_num", line.alias("line"))
+
+
+def other_lectures(sections: DataFrame) -> DataFrame:
+    """Per lecture the ordered index of all others: :func:`lecture_index` written out for everyone, quadratic within a course."""
+    index = lecture_index(sections)
+    all_ = index.groupBy("course").agg(F.transform(F.array_sort(F.collect_list(F.struct("n", "line"))), lambda x: x["line"]).alias("all"))
+    mine = index.select("course", "lecture_num", "n").join(all_, "course")
+    return mine.select("course", "lecture_num", F.concat(F.slice("all", F.lit(1), F.col("n") - 1), F.slice("all", F.col("n") + 1, F.size("all"))).alias("others"))
 
 
 # -- windows ------------------------------------------------------------------------------
