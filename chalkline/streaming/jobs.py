@@ -6,13 +6,17 @@ checkpoint) is the caller's choice.  ``drain`` runs one to the end of its files.
 
 from __future__ import annotations
 
+import json
+import threading
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery, StreamingQueryListener
+from pyspark.sql.streaming.state import GroupState
 
 from chalkline.functions.text import BOARD_FILE
 
@@ -21,19 +25,71 @@ def tail_json(spark: SparkSession, path: str, schema: str, files_per_trigger: in
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).json(path)
 
 
+RUN = "run string, start timestamp, stop timestamp, events long, seconds double, errors long, boards int, tools map<string, long>"
+
+
+class Session(NamedTuple):
+    """What is kept of a stretch of a run: its ends in milliseconds, sums, distinct boards and calls per tool."""
+
+    first: int
+    last: int
+    events: int
+    seconds: float | None
+    errors: int
+    boards: list[int]
+    tools: dict[str, int]
+
+    @classmethod
+    def of(cls, ms: int, seconds: float, error: bool | None, board: float, name: str | None) -> Session:
+        """One event."""
+        return cls(ms, ms, 1, None if pd.isna(seconds) else float(seconds), int(error is True), [] if pd.isna(board) else [int(board)], {} if name is None else {name: 1})
+
+    def joined(self, other: Session) -> Session:
+        seconds = [x for x in (self.seconds, other.seconds) if x is not None]
+        tools = {k: self.tools.get(k, 0) + other.tools.get(k, 0) for k in {**self.tools, **other.tools}}
+        return Session(
+            min(self.first, other.first), max(self.last, other.last), self.events + other.events, sum(seconds) if seconds else None,
+            self.errors + other.errors, sorted({*self.boards, *other.boards}), tools,
+        )
+
+
 def run_summary(trace: DataFrame, late: str = "1 hour", idle: str = "12 hours") -> DataFrame:
     """Events, seconds, errors, boards opened and calls per tool of each run; a run closes when it has been idle for ``idle`` of trace time.
 
-    The state of a run is its sums, the distinct board numbers and the names of its calls.
+    The state of a run is its sums, its distinct board numbers and a count per tool, however
+    many calls it makes; an event-time timer closes it.  A run that goes on after a longer
+    break is a summary of its own.
     """
     board = F.nullif(F.regexp_extract(F.get_json_object("input", "$.file_path"), BOARD_FILE, 1), F.lit("")).cast("int")
-    keyed = trace.withColumn("board", board).withWatermark("t", late).groupBy("run", F.session_window("t", idle))
-    out = keyed.agg(
-        F.count(F.lit(1)).alias("events"), F.sum("seconds").alias("seconds"), F.count_if("error").alias("errors"),
-        F.size(F.collect_set("board")).alias("boards"), F.collect_list("name").alias("names"),
-    )
-    calls = F.transform(F.array_sort(F.array_distinct("names")), lambda n: F.struct(n, F.size(F.filter("names", lambda x: x == n))))
-    return out.withColumn("tools", F.map_from_entries(calls)).drop("names")
+    wait = int(pd.Timedelta(idle).total_seconds() * 1000)
+
+    def follow(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        known = [Session(*x) for x in json.loads(state.get[0])] if state.exists else []
+        if not state.hasTimedOut:
+            known += [Session.of(*x) for batch in batches for x in zip(*(batch[c].tolist() for c in ("ms", "seconds", "error", "board", "name")), strict=True)]
+        open_: list[Session] = []
+        for s in sorted(known, key=lambda s: s.first):
+            if open_ and s.first - open_[-1].last <= wait:
+                open_[-1] = open_[-1].joined(s)
+            else:
+                open_.append(s)
+        now = state.getCurrentWatermarkMs()
+        done = [s for s in open_ if s.last + wait <= now]
+        rest = [s for s in open_ if s.last + wait > now]
+        if rest:
+            state.update((json.dumps(rest),))
+            state.setTimeoutTimestamp(min(s.last for s in rest) + wait)
+        elif state.exists:
+            state.remove()
+        if done:
+            stamp = lambda ms: pd.Timestamp(ms, unit="ms")
+            yield pd.DataFrame({
+                "run": key[0], "start": [stamp(s.first) for s in done], "stop": [stamp(s.last) for s in done], "events": [s.events for s in done],
+                "seconds": [s.seconds for s in done], "errors": [s.errors for s in done], "boards": [len(s.boards) for s in done], "tools": [dict(sorted(s.tools.items())) for s in done],
+            })
+
+    rows = trace.where("t IS NOT NULL").withWatermark("t", late).select("run", "t", F.unix_millis("t").alias("ms"), "name", "seconds", "error", board.alias("board"))
+    return rows.groupBy("run").applyInPandasWithState(follow, RUN, "sessions string", "append", "EventTimeTimeout")
 
 
 def board_sessions(intervals: DataFrame, gap: str, late: str = "1 hour") -> DataFrame:
@@ -99,24 +155,64 @@ def drain(df: DataFrame, path: str, mode: str = "append") -> str:
     return f"{path}/data"
 
 
-def late_rows(progress: list) -> int:
-    """Rows that came behind the watermark and were dropped, over the ``recentProgress`` of a query."""
-    return sum(op["numRowsDroppedByWatermark"] for p in progress for op in p["stateOperators"])
+class LateRows(StreamingQueryListener):
+    """Adds up, for each run of a query, the rows that came behind the watermark and were dropped.
+
+    A query itself remembers its last batches only.  Listen before it starts:
+    ``spark.streams.addListener(late)``.
+    """
+
+    def __init__(self) -> None:
+        self.dropped: dict[str, int] = {}
+        self.ended: dict[str, threading.Event] = {}
+
+    def onQueryStarted(self, event) -> None:
+        self.dropped[str(event.runId)] = 0
+        self.ended[str(event.runId)] = threading.Event()
+
+    def onQueryProgress(self, event) -> None:
+        run = str(event.progress.runId)
+        self.dropped[run] = self.dropped.get(run, 0) + sum(op.numRowsDroppedByWatermark for op in event.progress.stateOperators)
+
+    def onQueryIdle(self, event) -> None:
+        pass
+
+    def onQueryTerminated(self, event) -> None:
+        self.ended[str(event.runId)].set()
+
+    def count(self, query: StreamingQuery, wait: float = 60.0) -> int:
+        """Rows dropped so far; of a query that has ended all of them (progress is told a little later)."""
+        run = str(query.runId)
+        if not query.isActive and run in self.ended:
+            self.ended[run].wait(wait)
+        return self.dropped.get(run, 0)
+
+
+KEY_BUCKETS = 256
 
 
 def ingest(source: DataFrame, path: str, key: str = "lecture") -> None:
     """Process files not seen before, resumable: each micro-batch adds the rows whose ``key`` no earlier batch brought.
 
     A batch has a folder of its own under ``path`` and replaces it, so one that is run
-    again after a failure leaves nothing twice.  Of rows with one key in a batch one stays.
+    again after a failure leaves nothing twice.  Of rows with one key in a batch one stays;
+    rows without a key are never the same and all stay.  Keys are kept in hash buckets, and
+    a batch reads those of its own keys only.
     """
     spark = source.sparkSession
-    spark.createDataFrame([], source.schema).write.mode("overwrite").parquet(f"{path}/data/batch=-1")  # so that there is a table to read
-    kept = T.StructType([*source.schema.fields, T.StructField("batch", T.LongType())])
+    bucket = F.pmod(F.xxhash64(key), F.lit(KEY_BUCKETS)).cast("int")
+    known = T.StructType([source.schema[key], T.StructField("batch", T.LongType()), T.StructField("bucket", T.IntegerType())])
+    spark.createDataFrame([], known).drop("batch").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/keys/batch=-1")  # so that there is a table to read
+    spark.createDataFrame([], source.schema).write.mode("overwrite").parquet(f"{path}/data/batch=-1")
 
     def add(batch: DataFrame, number: int) -> None:
-        before = batch.sparkSession.read.schema(kept).parquet(f"{path}/data").where(F.col("batch") < number).select(key)
-        batch.dropDuplicates([key]).join(before, key, "left_anti").select(*source.columns).write.mode("overwrite").parquet(f"{path}/data/batch={number}")
+        own = batch.where(F.col(key).isNotNull()).dropDuplicates([key])
+        asked = [r.bucket for r in own.select(bucket.alias("bucket")).distinct().collect()]
+        before = batch.sparkSession.read.schema(known).parquet(f"{path}/keys").where(F.col("bucket").isin(asked) & (F.col("batch") < number)).select(key)
+        new = own.join(before, key, "left_anti").select(*source.columns).unionByName(batch.where(F.col(key).isNull()))
+        new.write.mode("overwrite").parquet(f"{path}/data/batch={number}")
+        added = batch.sparkSession.read.schema(source.schema).parquet(f"{path}/data/batch={number}").where(F.col(key).isNotNull())
+        added.select(key, bucket.alias("bucket")).write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/keys/batch={number}")
 
     q = source.writeStream.foreachBatch(add).option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start()
     q.awaitTermination()

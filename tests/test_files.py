@@ -139,12 +139,57 @@ def test_late_rows_are_dropped_and_counted(spark, tmp_path):
         put(path, f"{n}.json", "".join(json.dumps({"role": "write", "t": t, "error": False}) + "\n" for t in lines))
         os.utime(path / f"{n}.json", (1_700_000_000 + n, 1_700_000_000 + n))
     trace = jobs.tail_json(spark, str(path), "role string, t timestamp, error boolean", 1)
+    late = jobs.LateRows()
+    spark.streams.addListener(late)
     q = jobs.tool_activity(trace, slide="1 hour").writeStream.outputMode("append").format("memory").queryName("late").trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "cp")).start()
     q.awaitTermination()
-    assert jobs.late_rows(q.recentProgress) == 1
+    assert late.count(q) == 1
+    spark.streams.removeListener(late)
     assert rows(spark.table("late"), "role", "calls") == [("write", 1)]
 
 
+def test_late_rows_of_more_batches_than_a_query_remembers(spark, tmp_path):
+    """Every second of 24 batches brings a row that is late by then; the query remembers the last four."""
+    path = tmp_path / "in"
+    for n in range(24):
+        times = [f"2024-01-{n + 1:02d} 10:00:00"] + ["2024-01-01 00:00:00"] * (n > 2 and n % 2)
+        put(path, f"{n}.json", "".join(json.dumps({"role": "write", "t": t, "error": False}) + "\n" for t in times))
+        os.utime(path / f"{n}.json", (1_700_000_000 + n, 1_700_000_000 + n))
+    spark.conf.set("spark.sql.streaming.numRecentProgressUpdates", "4")
+    late = jobs.LateRows()
+    spark.streams.addListener(late)
+    trace = jobs.tail_json(spark, str(path), "role string, t timestamp, error boolean", 1)
+    q = jobs.tool_activity(trace, slide="1 hour").writeStream.outputMode("append").format("noop").trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "cp")).start()
+    q.awaitTermination()
+    assert late.count(q) == 11 and len(q.recentProgress) <= 4
+    spark.streams.removeListener(late)
+    spark.conf.unset("spark.sql.streaming.numRecentProgressUpdates")
+
+
+def test_rows_without_a_key_are_all_ingested(spark, tmp_path):
+    source = lambda: jobs.tail_json(spark, str(tmp_path / "in"), "lecture int, course int", 1)
+    put(tmp_path, "in/a.json", '{"course": 1}\n{"course": 2}\n{"lecture": 2, "course": 9}\n')
+    jobs.ingest(source(), str(tmp_path / "out"))
+    put(tmp_path, "in/b.json", '{"course": 3}\n{"lecture": 2, "course": 5}\n')
+    jobs.ingest(source(), str(tmp_path / "out"))
+    back = spark.read.schema("lecture int, course int").parquet(str(tmp_path / "out/data"))
+    assert rows(back, "lecture", "course") == [(2, 9), (None, 1), (None, 2), (None, 3)]
+
+
+def test_runs_close_when_idle_and_keep_counts_only(spark, tmp_path):
+    path = tmp_path / "in"
+    line = lambda run, t, name, k=None, s=None, e=False: json.dumps({"run": run, "t": t, "name": name, "input": k and json.dumps({"file_path": f"/out/boards/board-{k:03d}.png"}), "seconds": s, "error": e}) + "\n"
+    put(path, "0.json", line("a", "2024-01-01 10:00:00", "Read", 1, 1.5) + line("a", "2024-01-01 10:01:00", "Read", 1, 2.0, True) + line("b", "2024-01-01 10:00:00", None))
+    put(path, "1.json", line("a", "2024-01-01 12:00:00", "Grep") + line("a", "2024-01-01 11:00:00", "Read", 2))
+    put(path, "2.json", line("z", "2024-02-01 00:00:00", "end"))
+    put(path, "3.json", line("a", "2024-02-01 00:00:00", "Read"))  # long after: a summary of its own, still open
+    for n in range(4):
+        os.utime(path / f"{n}.json", (1_700_000_000 + n, 1_700_000_000 + n))
+    out = spark.read.parquet(jobs.drain(jobs.run_summary(jobs.tail_json(spark, str(path), "run string, t timestamp, name string, input string, seconds double, error boolean", 1)), str(tmp_path / "out")))
+    assert rows(out, "run", "events", "seconds", "errors", "boards", "tools") == [("a", 4, 3.5, 1, 2, {"Grep": 1, "Read": 3}), ("b", 1, None, 0, 0, {})]
+    assert rows(out, "run", F.date_format("start", "HH:mm").alias("s"), F.date_format("stop", "HH:mm").alias("e")) == [("a", "10:00", "12:00"), ("b", "10:00", "10:00")]
+
+
 def test_names_that_meet_their_own_suffix(spark):
     df = spark.createDataFrame([(1, 1, "a"), (1, 2, "a"), (1, 3, "a-b"), (1, 4, "a")], "grp int, pos int, name string")
     assert rows(joins.unique_names(df, "letters"), "pos", "unique") == [(1, "a"), (2, "a-b-b"), (3, "a-b"), (4, "a-b-b-b")]
@@ -160,6 +205,95 @@ def test_passage_files(spark):
     assert rows(pages.requested_packages(f), "file", "pos", "package") == [("f", 0, "tikz-cd"), ("f", 1, "mathtools")]
 
 
+def agreement(a, b):
+    return 2 * (udf.matching(a, b) - 1) / (len(a) + len(b))
+
+
+def test_agreement_keeps_order_at_any_length():
+    rng = random.Random(4)
+    vocabulary = ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=rng.randint(2, 10))) for _ in range(2000)]
+    for n in (200, 400, 1500):
+        words = rng.choices(vocabulary, k=n)
+        shuffled = rng.sample(words, n)
+        assert agreement(" ".join(words), " ".join(shuffled)) < 0.4
+        assert agreement(" ".join(words), " ".join(words[n // 2 :] + words[: n // 2])) < 0.75
+
+
+@pytest.mark.parametrize("rate", [0.01, 0.05, 0.2])
+def test_agreement_of_long_rewrites_against_a_plain_matcher(rate):
+    """Texts of about 10,000 letters whose words are replaced, left out and put in."""
+    rng = random.Random(6)
+    vocabulary = ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=rng.randint(2, 10))) for _ in range(2000)]
+    words = rng.choices(vocabulary, k=1450)
+    rewritten = [rng.choice(vocabulary) if rng.random() < rate else w for w in words if rng.random() > rate / 3]
+    a, b = " ".join(words), " ".join(rewritten)
+    assert len(a) > 9500
+    assert abs(agreement(a, b) - difflib.SequenceMatcher(None, a, b, autojunk=False).ratio()) < 0.02
+
+
+def test_common_letters_against_the_plain_table():
+    rng = random.Random(7)
+    for _ in range(200):
+        a, b = ("".join(rng.choices("abc ", k=rng.randint(0, 12))) for _ in "ab")
+        row = [0] * (len(b) + 1)
+        for x in a:
+            row = [0, *row[1:]]
+            before = 0
+            for j, y in enumerate(b, 1):
+                before, row[j] = row[j], max(row[j], row[j - 1]) if x != y else before + 1
+        assert udf.common_letters(a, b) == row[-1]
+
+
+def test_passages_are_found_where_they_stand(spark):
+    rng = random.Random(8)
+    source = " ".join("".join(rng.choices("abcde", k=rng.randint(1, 6))) for _ in range(900)) + "  end of\n it"
+    flat = " ".join(source.split())
+    cuts = [flat[a : a + n] for a, n in ((0, 60), (3, 200), (700, 900), (len(flat) - 80, 80), (5, 1), (100, 9), (0, len(flat)))]
+    wrong = [cuts[1][:50] + "X" + cuts[1][51:], "X" + cuts[0], cuts[3] + "s", flat + " more words", "zzz", cuts[2].replace(" ", "", 1)]
+    texts = [(1, c.replace(" ", " \n ")) for c in cuts] + [(1, w) for w in wrong] + [(2, cuts[0]), (3, cuts[0]), (1, None), (1, ""), (1, cuts[0])]
+    passages = spark.createDataFrame(texts, "source int, original string").withColumn("q", F.lit("x"))
+    sources = spark.createDataFrame([(1, source), (2, "other"), (4, None)], "source int, text string")
+    got = joins.verify_originals(passages, sources)
+    assert got.columns == ["source", "original", "q", "verified", "note"] and got.count() == len(texts)
+    held = lambda r: r.source == 1 and r.original is not None and " ".join(r.original.split()) in flat
+    assert [(r.source, r.original) for r in got.collect() if r.verified != bool(held(r)) or (r.note is None) != r.verified] == []
+    right = got.where("verified").count()
+    assert len(cuts) + 2 <= right < len(texts) - 5
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        index = joins.source_index(sources)
+        assert joins.verify_originals(passages, sources, index).where("verified").count() == right
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_a_phrase_in_a_third_of_all_segments(spark):
+    said = [(n % 40, n, 30.0 * n, "so now we see the point" if n % 3 == 0 else f"word{n} is said and word{n % 7}") for n in range(900)]
+    segments = spark.createDataFrame(said, "lecture int, seq int, start double, text string")
+    quotes = spark.createDataFrame([("hot", "So now we see the end"), ("rare", "word8 is said and word1"), ("short", "so now")], "quote string, text string")
+    heavy = joins.heavy_runs(segments.select(F.xxhash64(F.lit("so"), F.lit("now"), F.lit("we")).alias("run"), "text").where("text like 'so%'"))
+    assert len(heavy) == 1
+    got = {(r.quote, r.lecture): (r.n, r.start) for r in joins.locate_quotes(quotes, segments, 8).collect()}
+    first = {}
+    for lecture, _, start, text in said:
+        if text.startswith("so"):
+            first.setdefault(lecture, start)
+    assert {k[1]: v for k, v in got.items() if k[0] == "hot"} == {lecture: (5, start) for lecture, start in first.items()}
+    assert got["rare", 8] == (5, 240.0) and not any(k[0] == "short" for k in got)
+
+
+def test_contexts_are_slices_of_a_course(spark):
+    s = spark.createDataFrame([(c, n, f"body {n}", None if n % 2 else f"sum {n}", f"Lecture {n}: T{n}") for c in (1, 2) for n in (2, 3, 5, 8, 9)], "course int, lecture_num int, body string, summary string, title string")
+    slices = joins.context_slices(s)
+    assert slices.count() == 10
+    last = slices.where("course = 1 AND k = 9").first()
+    assert last.older == 2 and [(x.lecture_num, x.text) for x in last.near] == [(8, "body 8"), (5, "body 5")]
+    got = rows(joins.prior_context(s).where("course = 1 AND k = 9"), "lecture_num", "form", "text")
+    assert got == [(2, "summary", "sum 2"), (3, "full", "body 3"), (5, "full", "body 5"), (8, "full", "body 8")]
+    assert joins.lecture_index(s).count() == 10
+    assert joins.other_lectures(s).where("course = 2 AND lecture_num = 3").first().others == ["Lecture 2: T2", "Lecture 5: T5", "Lecture 8: T8", "Lecture 9: T9"]
+
+
 def test_errors_by_a_piece_of_a_word(spark):
     """An identifier counts inside a longer word too, and the first section that holds it is to blame."""
     errors = spark.createDataFrame([(1, 1, None, "Undefined control sequence `abc:def'", None), (1, 2, None, "Missing `zzz' or `def.x'", None), (1, 3, None, "nothing named", None), (1, 4, None, "c", ["k", "no"])], "doc int, error int, line int, message string, citations array<string>")
