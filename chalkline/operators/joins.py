@@ -260,20 +260,39 @@ def renumber_boards(boards: DataFrame, least: float = 20.0) -> DataFrame:
     return kept.select("video", F.col("id").alias("old_id"), F.row_number().over(Window.partitionBy("video").orderBy("first", "id")).alias("id"), "seconds", "revisits")
 
 
+def _suffixed(rule: str) -> tuple[Callable[[Column], Column], Column]:
+    """How ``rule`` writes number n behind a name, and what ``name`` may be so written: an array of ``(base, n)``."""
+    length, left = F.length("name"), lambda n: F.substring("name", F.lit(1), F.length("name") - n)
+    if rule == "dash":
+        number = F.regexp_extract("name", r"-([1-9]\d{0,17})$", 1)
+        read = F.when(number != "", F.array(F.struct(left(F.length(number) + 1).alias("base"), number.cast("long").alias("n"))))
+        return lambda n: F.concat(F.lit("-"), n), read
+    run = F.length(F.regexp_extract("name", r"((?:-b)+)$" if rule == "letters" else r"(\d{1,18})$", 1))
+    if rule == "letters":
+        split = lambda k: F.named_struct(F.lit("base"), left(2 * k), F.lit("n"), (k + 1).cast("long"))
+        return lambda n: F.expr("repeat('-b', cast(n - 1 as int))"), F.when(run > 0, F.transform(F.sequence(F.lit(1), (run / 2).cast("int")), split))
+    if rule == "digits":
+        split = lambda k: F.named_struct(F.lit("base"), left(k), F.lit("n"), F.substring("name", length - k + 1, k).cast("long"))
+        plain = lambda k: F.substring("name", length - k + 1, F.lit(1)) != "0"
+        return lambda n: n.cast("string"), F.when(run > 0, F.transform(F.filter(F.sequence(F.lit(1), run), plain), split))
+    raise ValueError(f"no such rule: {rule}")
+
+
 def unique_names(rows: DataFrame, rule: str = "dash") -> DataFrame:
     """Names ``(grp, pos, name)`` made unique within their group by a suffix.
 
-    ``letters``: ``-b`` repeated; ``digits``: 2, 3, ...; ``dash``: -2, -3, ...  A suffixed
-    name that meets another row's own name counts on past all taken ones.
+    ``letters``: ``-b`` repeated; ``digits``: 2, 3, ...; ``dash``: -2, -3, ...  Numbers whose
+    suffixed name another row has of its own are passed over: every name is read as such a
+    one, and only these meet the names that repeat, so no row holds a whole group.
     """
-    w = Window.partitionBy("grp", "name").orderBy("pos")
-    ranked = rows.withColumn("r", F.row_number().over(w) - 1)
-    taken = rows.groupBy("grp").agg(F.collect_set("name").alias("names"))
-    suffix = {"letters": lambda n: F.repeat(F.lit("-b"), n - 1), "digits": lambda n: n.cast("string"), "dash": lambda n: F.concat(F.lit("-"), n)}[rule]
-    most = ranked.groupBy("grp", "name").agg(F.max("r").alias("top"))
-    free = F.filter(F.transform(F.sequence(F.lit(2), F.col("top") + 2 + F.size("names")), lambda n: F.concat("name", suffix(n))), lambda x: ~F.array_contains("names", x))
-    options = most.where("top > 0").join(taken, "grp").select("grp", "name", free.alias("free"))
-    return ranked.join(options, ["grp", "name"], "left").withColumn("unique", F.when(F.col("r") == 0, F.col("name")).otherwise(F.element_at("free", F.col("r")))).drop("r", "free")
+    write, read = _suffixed(rule)
+    ranked = rows.withColumn("r", F.row_number().over(Window.partitionBy("grp", "name").orderBy("pos")) - 1)
+    repeated = rows.groupBy("grp", "name").count().where("count > 1").select("grp", F.col("name").alias("base"))
+    taken = rows.select("grp", "name").distinct().select("grp", F.inline(read)).where("n > 1").join(repeated, ["grp", "base"], "left_semi")
+    taken = taken.groupBy("grp", "base").agg(F.array_sort(F.collect_set("n")).alias("taken")).withColumnRenamed("base", "name")
+    number = F.aggregate(F.coalesce("taken", F.array().cast("array<bigint>")), (F.col("r") + 1).cast("long"), lambda n, k: F.when(k <= n, n + 1).otherwise(n))
+    named = ranked.join(taken, ["grp", "name"], "left").withColumn("n", number)
+    return named.withColumn("unique", F.when(F.col("r") == 0, F.col("name")).otherwise(F.concat("name", write(F.col("n"))))).drop("r", "n", "taken")
 
 
 def unique_folders(lectures: DataFrame) -> DataFrame:

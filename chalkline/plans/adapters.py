@@ -6,7 +6,6 @@ that every operator runs over whole tables with results that follow from the col
 
 from __future__ import annotations
 
-import os
 import tempfile
 import uuid
 
@@ -19,9 +18,16 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
 
 
 def folder(spark: SparkSession, tag: str) -> str:
-    """A new folder for files that a query writes and reads again."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.gettempdir()
-    return f"{root.rstrip('/')}/{tag}-{uuid.uuid4().hex}" if root else os.path.join(tempfile.gettempdir(), tag)
+    """A new folder for files that a query writes and reads again, in the one named in ``spark.checkpoint.dir``.
+
+    Where that is unset a local one will do on a local master only; a cluster has to name it.
+    """
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        root = "file://" + tempfile.gettempdir()
+    return f"{root.rstrip('/')}/{tag}-{uuid.uuid4().hex}"
 
 
 def segments(spark: SparkSession, sf: str) -> DataFrame:

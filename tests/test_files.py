@@ -193,6 +193,12 @@ def test_runs_close_when_idle_and_keep_counts_only(spark, tmp_path):
 def test_names_that_meet_their_own_suffix(spark):
     df = spark.createDataFrame([(1, 1, "a"), (1, 2, "a"), (1, 3, "a-b"), (1, 4, "a")], "grp int, pos int, name string")
     assert rows(joins.unique_names(df, "letters"), "pos", "unique") == [(1, "a"), (2, "a-b-b"), (3, "a-b"), (4, "a-b-b-b")]
+    many = spark.createDataFrame([(1, n, x) for n, x in enumerate(["a", "a", "a-2", "a-2", "a", "a-03", "a-4", "b", "a"])] + [(2, 1, "a"), (2, 2, "a")], "grp int, pos int, name string")
+    assert rows(joins.unique_names(many, "dash"), "grp", "pos", "unique") == [
+        (1, 0, "a"), (1, 1, "a-3"), (1, 2, "a-2"), (1, 3, "a-2-2"), (1, 4, "a-5"), (1, 5, "a-03"), (1, 6, "a-4"), (1, 7, "b"), (1, 8, "a-6"), (2, 1, "a"), (2, 2, "a-2"),
+    ]
+    keys = spark.createDataFrame([(1, n, x) for n, x in enumerate(["k", "k", "k2", "k12", "k1", "k1", "k"])], "grp int, pos int, name string")
+    assert [x for _, x in rows(joins.unique_names(keys, "digits"), "pos", "unique")] == ["k", "k3", "k2", "k12", "k1", "k13", "k4"]
     lectures = spark.createDataFrame([(1, 1, "s", "u1"), (1, 2, "s", "u2"), (1, 3, "s", "u1")], "grp int, pos int, slug string, source string")
     got = rows(joins.unique_folders(lectures), "pos", "folder")
     assert [got[0][1], got[2][1]] == ["s", "s"] and got[1][1].startswith("s-") and len(got[1][1]) == 10
