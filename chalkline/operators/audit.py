@@ -130,17 +130,26 @@ def recent_runs(runs: DataFrame, most: int = 40) -> DataFrame:
     return runs.orderBy(F.desc("event_no")).limit(most).orderBy("event_no")
 
 
+#: A price list is short; it becomes part of the expression.
+MOST_PRICES = 1000
+
+
 def usage_cost(usage: DataFrame, prices: DataFrame) -> DataFrame:
     """Adds ``cost``: the price of the first model prefix in table order, per million tokens; null for unknown models.
 
-    ``prices (ord, prefix, price_in, price_out)`` is a fixed list, so models are matched
-    once per distinct name and joined back.
+    ``prices (ord, prefix, price_in, price_out)`` is a fixed list, read once, so a row finds
+    its price without a join.
     """
-    models = usage.select("model").distinct()
-    matched = models.join(prices, F.col("model").startswith(F.col("prefix"))).groupBy("model").agg(F.min_by(F.struct("price_in", "price_out"), "ord").alias("p"))
-    pay = F.col("input_tokens") * F.col("p.price_in") + F.col("output_tokens") * F.col("p.price_out")
-    pay = pay + F.col("cache_read_tokens") * F.col("p.price_in") * 0.1 + F.col("cache_write_tokens") * F.col("p.price_in") * 1.25
-    return usage.join(matched, "model", "left").withColumn("cost", pay / 1e6).drop("p")
+    listed = prices.select("ord", "prefix", "price_in", "price_out").orderBy("ord").limit(MOST_PRICES + 1).collect()
+    if len(listed) > MOST_PRICES:
+        raise ValueError(f"more than {MOST_PRICES} prices")
+    fee = F.lit(None).cast("struct<i:double,o:double>")
+    for p in reversed(listed):
+        fee = F.when(F.col("model").startswith(F.lit(p.prefix)), F.struct(F.lit(p.price_in).cast("double").alias("i"), F.lit(p.price_out).cast("double").alias("o"))).otherwise(fee)
+    rows = usage.withColumn("_fee", fee)
+    pay = F.col("input_tokens") * F.col("_fee.i") + F.col("output_tokens") * F.col("_fee.o")
+    pay = pay + F.col("cache_read_tokens") * F.col("_fee.i") * 0.1 + F.col("cache_write_tokens") * F.col("_fee.i") * 1.25
+    return rows.withColumn("cost", pay / 1e6).drop("_fee")
 
 
 def usage_totals(usage: DataFrame) -> DataFrame:
