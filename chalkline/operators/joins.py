@@ -45,10 +45,15 @@ def boards_on_screen(points: DataFrame, intervals: DataFrame, bucket: float = 36
     return p.join(i, ["video", "bucket"]).where("lo <= t AND t < hi").drop("bucket")
 
 
-def heavy_runs(stream: DataFrame, most: int = 256, share: int = 1000) -> list[int]:
-    """Hashes of the three-word runs that hold more than one in ``share`` places, by a sketch of bounded size; exact counts don't matter."""
-    top, total = stream.agg(F.expr(f"approx_top_k(run, {most}, {16 * most})"), F.count(F.lit(1))).first()
-    return [x["item"] for x in top if x["count"] * share > total]
+def heavy_runs(segments: DataFrame, sampled: float = 0.1, most: int = 256, share: int = 1000) -> list[int]:
+    """Hashes of the three-word runs that hold more than one in ``share`` places, by a sketch of bounded size over some segments.
+
+    They only say which keys to deal out, so exact counts don't matter.
+    """
+    words = F.transform(F.array(T.word_stream(F.col("text"))), lambda w: F.transform(F.sequence(F.lit(1), F.greatest(F.size(w) - 2, F.lit(0))), lambda i: F.when(F.size(w) > 2, F.xxhash64(F.get(w, i - 1), F.get(w, i), F.get(w, i + 1)))))
+    runs = segments.sample(fraction=sampled, seed=7).select(F.explode(F.get(words, F.lit(0))).alias("run")).where("run IS NOT NULL")
+    top, total = runs.agg(F.expr(f"approx_top_k(run, {most}, {16 * most})"), F.count(F.lit(1))).first()
+    return [x["item"] for x in top or [] if x["count"] * share > total]
 
 
 def locate_quotes(quotes: DataFrame, segments: DataFrame, salts: int = 64) -> DataFrame:
@@ -67,7 +72,7 @@ def locate_quotes(quotes: DataFrame, segments: DataFrame, salts: int = 64) -> Da
     stream = stream.where("w3 IS NOT NULL").withColumn("run", F.xxhash64("w1", "w2", "w3"))
     q = quotes.withColumn("q", F.slice(T.word_stream(F.col("text")), 1, LONGEST)).where(F.size("q") >= SHORTEST)
     q = q.select("quote", "q", *(F.col("q")[k].alias(f"w{k + 1}") for k in range(SHORTEST))).withColumn("run", F.xxhash64("w1", "w2", "w3"))
-    heavy = F.col("run").isin(heavy_runs(stream))
+    heavy = F.col("run").isin(heavy_runs(segments))
     stream = stream.withColumn("salt", F.when(heavy, F.pmod(F.hash("lecture", "pos"), F.lit(salts))).otherwise(0))
     q = q.withColumn("salt", F.explode(F.when(heavy, F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))))
     hits = stream.join(q, ["run", "salt", "w1", "w2", "w3"])
