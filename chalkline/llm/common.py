@@ -15,17 +15,38 @@ LOWER = "abcdefghijklmnopqrstuvwxyz"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named in ``spark.checkpoint.dir``; a temporary one where it is unset (tests)."""
+    """The folder named in ``spark.checkpoint.dir``; where it is unset, a temporary one on a local master, and an error on a cluster."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         at = "file://" + tempfile.mkdtemp(prefix="spark-checkpoint-")
         spark.conf.set("spark.checkpoint.dir", at)
     return at.rstrip("/")
 
 
+#: Scratch folders of the step at hand, where one keeps count of them.
+_held: list[str] = []
+
+
 def scratch(spark: SparkSession, tag: str) -> str:
     """A new folder name for one run, inside the shared folder."""
-    return f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
+    _held.append(path)
+    return path
+
+
+def forget() -> None:
+    """Begin a job of several steps: scratch folders made before are no longer counted among its own."""
+    _held.clear()
+
+
+def release(spark: SparkSession) -> None:
+    """Remove the scratch folders of the step before, whose result is written elsewhere by now."""
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    while _held:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_held.pop())
+        path.getFileSystem(conf).delete(path, True)
 
 
 def written(df: DataFrame, tag: str) -> DataFrame:

@@ -169,6 +169,9 @@ def near_duplicates(docs: DataFrame, distance: int = 4) -> DataFrame:
 
 #: The pipeline's stage: word shingles, least Jaccard similarity, and bands x rows of MinHash values.
 WIDTH, SIMILARITY, BANDS, ROWS = 5, 0.8, 16, 5
+#: Rounds in which buckets are compared with one of their texts; pairs a text that may be left for the last step without another
+#: round; and the share of the pairs that a round may leave if another one is to follow.
+ROUNDS, FEW, GAIN = 8, 16, 0.8
 _MINHASH = np.random.default_rng(42).integers(0, 1 << 63, BANDS * ROWS, np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -234,8 +237,10 @@ def keep_documents(docs: DataFrame) -> DataFrame:
 
     Near copies are texts within op2's distance, and texts whose sets of five-word shingles
     have a Jaccard similarity of 0.8 or more: MinHash bands give candidates, the sets decide.
-    In each bucket all are compared with the least one first; what this leaves in different
-    components is then compared pair by pair, so a large family of copies doesn't pair up.
+    In each bucket all are compared with the least one first, then, as long as many pairs are
+    in different components and rounds lessen them, with another one chosen by hash.  The
+    rest is compared pair by pair, so nothing is missed, and a large family of copies doesn't
+    pair up.
 
     Texts are told apart by their digest (A-Z lower-cased), so rows without an id or with a
     repeated one are compared like any other; ids only choose among near copies, nulls last.
@@ -257,10 +262,21 @@ def keep_documents(docs: DataFrame) -> DataFrame:
     stars = placed.join(least, ["band", "value"]).where("node <> a").select("a", F.col("node").alias("b")).distinct()
     edges = written(edges.unionByName(_similar(stars, nodes, own)), "links")
 
-    clusters = components(edges).select("node", F.col("component").alias("cluster"))
-    mixed = placed.join(clusters, "node", "left").select("band", "value", "node", F.coalesce("cluster", "node").alias("cluster"))
-    several = mixed.groupBy("band", "value").agg(F.min("cluster").alias("low"), F.max("cluster").alias("high")).where("low < high").select("band", "value")
-    mixed = written(mixed.join(several, ["band", "value"]), "mixed")
+    texts, left_over = nodes.count(), float("inf")
+    for turn in range(ROUNDS + 1):
+        clusters = components(edges).select("node", F.col("component").alias("cluster"))
+        mixed = placed.join(clusters, "node", "left").select("band", "value", "node", F.coalesce("cluster", "node").alias("cluster"))
+        several = mixed.groupBy("band", "value").agg(F.min("cluster").alias("low"), F.max("cluster").alias("high")).where("low < high").select("band", "value")
+        mixed = written(mixed.join(several, ["band", "value"]), "mixed")
+        sizes = mixed.groupBy("band", "value", "cluster").count().groupBy("band", "value").agg(F.sum("count").alias("n"), F.sum(F.col("count") * F.col("count")).alias("own"))
+        before, left_over = left_over, sizes.agg(F.coalesce(F.sum((F.col("n") * F.col("n") - F.col("own")) / 2), F.lit(0.0))).first()[0]
+        if turn == ROUNDS or left_over <= FEW * texts or left_over > GAIN * before:
+            break
+        # each bucket is compared with one of its texts, another one in every band and round
+        chosen = F.min(F.struct(F.xxhash64("node", "band", F.lit(turn)).alias("by"), "node", "cluster")).alias("c")
+        centres = mixed.groupBy("band", "value").agg(chosen).select("band", "value", F.col("c.node").alias("a"), F.col("c.cluster").alias("of_a"))
+        stars = mixed.join(centres, ["band", "value"]).where("cluster <> of_a").select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b")).distinct()
+        edges = written(edges.unionByName(_similar(stars, nodes, own)), "links")
     left = mixed.select("band", "value", F.col("node").alias("a"), F.col("cluster").alias("of_a"))
     right = mixed.select("band", "value", F.col("node").alias("b"), F.col("cluster").alias("of_b"))
     pairs = left.join(right, ["band", "value"]).where("of_a < of_b").select("a", "b").distinct()
