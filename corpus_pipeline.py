@@ -9,34 +9,44 @@ number, so rows without an id or with a repeated one are decided each by its own
 empty table gives an empty table; further columns are carried along whatever their names.
 Ids only choose among copies: the largest stays of equal texts (nulls lose), the least of
 near copies (nulls last).
+
+A stage begins with the one before written, so it removes the scratch tables that were made
+since then.
 """
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
 from chalkline.llm import bpe, exact_dedup, mixing, simhash, toxicity
-from chalkline.llm.common import table, written
+from chalkline.llm.common import forget, release, shared_dir, table
 from chalkline.llm.queries import vocabulary
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    forget()
     return toxicity.keep_documents(docs, table(spark, sf_dir, "labels"))
 
 
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    release(spark)
     return exact_dedup.keep_documents(docs)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    release(spark)
     return simhash.keep_documents(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    release(spark)
     return mixing.repeat_documents(docs)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    release(spark)
     return bpe.encode_decode(docs, vocabulary())
 
 
@@ -54,6 +64,9 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
+    place = f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
     for name, stage in STAGES:
-        docs = written(stage(spark, docs, sf_dir), f"stage-{name}")
+        made = stage(spark, docs, sf_dir)
+        made.write.parquet(f"{place}/{name}")
+        docs = spark.read.schema(made.schema).parquet(f"{place}/{name}")
     return docs
