@@ -1,7 +1,9 @@
 """Connected components of an edge table by alternating large-star and small-star steps.
 
-Every step is joins and minimum aggregates over thin rows, so a node with very many
-neighbours is pre-aggregated before the shuffle and never gathered into one task.
+Every step is joins and minimum aggregates over thin rows.  A node with very many
+neighbours is pre-aggregated before the shuffle of its aggregate; in the join that brings
+its least neighbour back its rows meet one row, and there the engine's run-time splitting
+of skewed joins deals them out.
 """
 
 from __future__ import annotations
