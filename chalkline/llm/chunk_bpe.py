@@ -41,7 +41,7 @@ CHUNK, OVERLAP = 16_384, 1024
 #: Characters at a chunk's end that its boundaries don't count in: the pattern looks ahead by less.
 MARGIN = 8
 #: Pre-tokens whose ids a worker keeps, twice (recent ones, and those before), and their greatest length; a bound on memory only.
-MEMO, MEMO_LENGTH = 250_000, 48
+MEMO, MEMO_LENGTH = 400_000, 48
 #: From this length on pairs wait in a heap.
 LONG = 100
 #: Unicode's white space, as the pattern means it.
@@ -61,9 +61,6 @@ class RankedBpe:
         self.memo: dict[str, tuple[int, ...]] = {}
         self.older: dict[str, tuple[int, ...]] = {}
 
-    def pretokens(self, text: str, start: int = 0) -> Iterator[regex.Match]:
-        return self.split.finditer(text, start)
-
     def piece(self, pretoken: str) -> tuple[int, ...]:
         """Ids of one pre-token."""
         ids = self.memo.get(pretoken) or self.older.get(pretoken)
@@ -127,15 +124,22 @@ class RankedBpe:
         """Ids of the pre-tokens of ``text`` from ``start`` to ``end``, both boundaries of it."""
         if end is None or end == len(text):
             return self.pieces(self.split.findall(text, start))
-        read: list[str] = []
-        if start < end:
-            for m in self.pretokens(text, start):
-                read.append(m.group())
-                if m.end() >= end:
-                    break
-            if m.end() != end:
-                raise ValueError("pre-tokens of neighbouring chunks don't meet")
-        return self.pieces(read)
+        if start >= end:
+            return []
+        read = self.split.findall(text, start)  # what follows the end decides where the last pre-tokens end
+        ends = self.ends(text, start, read)
+        last = int(np.searchsorted(ends, end))
+        if last == len(ends) or ends[last] != end:
+            raise ValueError("pre-tokens of neighbouring chunks don't meet")
+        return self.pieces(read[: last + 1])
+
+    def ends(self, text: str, start: int = 0, read: list[str] | None = None) -> np.ndarray:
+        """Where the pre-tokens from ``start`` on end."""
+        read = self.split.findall(text, start) if read is None else read
+        ends = start + np.cumsum(np.fromiter(map(len, read), np.int64, len(read)))
+        if len(ends) and ends[-1] == len(text):
+            return ends
+        return np.fromiter((m.end() for m in self.split.finditer(text, start)), np.int64)  # the pattern leaves something out
 
     def decode(self, ids: list[int]) -> bytes:
         return b"".join(map(self.labels.__getitem__, ids))
@@ -228,7 +232,7 @@ def _ends(path: str, pattern: str, chunk: int, overlap: int):
             heads, tails = [], []
             rows, ks, bodies = (batch.column(i).to_pylist() for i in range(3))
             for k, body in zip(ks, bodies, strict=True):
-                ends = np.fromiter((m.end() for m in machine.pretokens(body)), np.int64)
+                ends = machine.ends(body)
                 heads.append(np.concatenate(([0], ends[ends <= overlap])) + k * chunk)
                 sure = len(body) - MARGIN if len(body) == chunk + overlap else len(body)
                 tails.append(ends[(ends >= chunk) & (ends <= sure)] + k * chunk)
