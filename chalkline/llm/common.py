@@ -36,6 +36,22 @@ def scratch(spark: SparkSession, tag: str) -> str:
     return path
 
 
+def _remove(spark: SparkSession, paths: list[str]) -> None:
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    for name in paths:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(name)
+        path.getFileSystem(conf).delete(path, True)
+
+
+@contextmanager
+def only_last(spark: SparkSession) -> Iterator[None]:
+    """Of the scratch tables written inside, only the last one stays."""
+    mark = len(_held)
+    yield
+    _remove(spark, _held[mark:-1])
+    del _held[mark:-1]
+
+
 def forget() -> None:
     """Begin a job of several steps: scratch folders made before are no longer counted among its own."""
     _held.clear()
@@ -43,10 +59,8 @@ def forget() -> None:
 
 def release(spark: SparkSession) -> None:
     """Remove the scratch folders of the step before, whose result is written elsewhere by now."""
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
-    while _held:
-        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_held.pop())
-        path.getFileSystem(conf).delete(path, True)
+    _remove(spark, _held)
+    _held.clear()
 
 
 def written(df: DataFrame, tag: str) -> DataFrame:

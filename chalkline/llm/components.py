@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chalkline.llm.common import written
+from chalkline.llm.common import only_last, written
 
 
 def _both(edges: DataFrame) -> DataFrame:
@@ -39,17 +39,18 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     Rounds go on until the edges are stars around the least nodes; the loop only asks
     Spark for two sums a round.  No edges give no rows.
     """
-    now = written(edges.select("a", "b").where("a <> b").distinct(), "edges")
     before = None
-    for _ in range(rounds):
-        now = written(_small_star(_large_star(now)), "edges")
-        state = now.agg(
-            F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")), F.sum(F.col("b").cast("decimal(38,0)"))
-        ).first()
-        if state == before:
-            break
-        before = state
-    else:
-        raise RuntimeError(f"components have not settled in {rounds} rounds")
+    with only_last(edges.sparkSession):
+        now = written(edges.select("a", "b").where("a <> b").distinct(), "edges")
+        for _ in range(rounds):
+            now = written(_small_star(_large_star(now)), "edges")
+            state = now.agg(
+                F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")), F.sum(F.col("b").cast("decimal(38,0)"))
+            ).first()
+            if state == before:
+                break
+            before = state
+        else:
+            raise RuntimeError(f"components have not settled in {rounds} rounds")
     roots = now.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()
     return now.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(roots)

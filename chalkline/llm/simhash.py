@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from chalkline.llm.common import LOWER, UPPER, ascii_lower, numbered, small_arrow_batches, written
+from chalkline.llm.common import LOWER, UPPER, ascii_lower, numbered, only_last, small_arrow_batches, written
 from chalkline.llm.components import components
 
 _TO_LOWER = bytes.maketrans(UPPER.encode(), LOWER.encode())
@@ -217,19 +217,20 @@ def _shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _similar(pairs: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
     """Those of ``pairs (a, b)`` whose shingle sets have Jaccard similarity SIMILARITY or more."""
-    size = lambda x: nodes.select(F.col("node").alias(x), F.col("n").alias(f"n_{x}"))
-    # sets of too different sizes can't be similar
-    pairs = pairs.join(size("a"), "a").join(size("b"), "b").where(F.least("n_a", "n_b") / F.greatest("n_a", "n_b") >= SIMILARITY)
-    pairs = written(pairs.select("a", "b"), "pairs")
-    asked = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct().join(nodes.select("node", "sha"), "node").select("node", "sha")
-    texts = docs.join(asked.select("sha"), "sha", "left_semi").select("sha", "text").mapInArrow(_shingles, "sha binary, shingles array<bigint>")
-    sets = written(texts.dropDuplicates(["sha"]).join(asked, "sha").select("node", "shingles"), "shingles")
-    both = (
-        pairs.join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("of_b")), "b")
-        .join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("of_a")), "a")
-        .withColumn("common", F.size(F.array_intersect("of_a", "of_b")))
-    )
-    return written(both.where(F.col("common") / (F.size("of_a") + F.size("of_b") - F.col("common")) >= SIMILARITY).select("a", "b"), "similar")
+    with only_last(docs.sparkSession):
+        size = lambda x: nodes.select(F.col("node").alias(x), F.col("n").alias(f"n_{x}"))
+        # sets of too different sizes can't be similar
+        pairs = pairs.join(size("a"), "a").join(size("b"), "b").where(F.least("n_a", "n_b") / F.greatest("n_a", "n_b") >= SIMILARITY)
+        pairs = written(pairs.select("a", "b"), "pairs")
+        asked = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct().join(nodes.select("node", "sha"), "node").select("node", "sha")
+        texts = docs.join(asked.select("sha"), "sha", "left_semi").select("sha", "text").mapInArrow(_shingles, "sha binary, shingles array<bigint>")
+        sets = written(texts.dropDuplicates(["sha"]).join(asked, "sha").select("node", "shingles"), "shingles")
+        both = (
+            pairs.join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("of_b")), "b")
+            .join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("of_a")), "a")
+            .withColumn("common", F.size(F.array_intersect("of_a", "of_b")))
+        )
+        return written(both.where(F.col("common") / (F.size("of_a") + F.size("of_b") - F.col("common")) >= SIMILARITY).select("a", "b"), "similar")
 
 
 def keep_documents(docs: DataFrame) -> DataFrame:
