@@ -17,8 +17,12 @@ def write_transcripts(segments: DataFrame, lectures: DataFrame, path: str) -> No
 
 
 def write_boards(boards: DataFrame, path: str) -> None:
-    """Boards documents, one folder per video."""
-    boards.write.partitionBy("video").json(path)
+    """Boards, one a line that names its video; a video's boards stand together and in order.
+
+    Files follow the size of the data, not the number of videos: a folder per video would
+    be a file per video and task, each to be listed and opened again.
+    """
+    boards.hint("rebalance", "video").sortWithinPartitions("video", "lo").write.json(path)
 
 
 def write_board_documents(boards: DataFrame, summary: DataFrame, path: str) -> None:
