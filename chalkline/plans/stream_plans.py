@@ -90,10 +90,10 @@ def stream_questions(spark, sf):
     _in_time_order(_questions(spark, sf).withColumn("t", F.timestamp_seconds("seq")), path)
     key = "spark.sql.streaming.stateStore.providerClass"
     before = spark.conf.get(key, None)
-    spark.conf.set(key, ROCKS)  # the state API needs this store
+    spark.conf.set(key, ROCKS)  # states lie on disk, not on the heap
     try:
         stream = S.tail_json(spark, path, "lecture bigint, id int, seq bigint, answer string, delivered boolean, applied boolean", FILES)
-        out = spark.read.parquet(S.drain(S.question_states(stream), A.folder(spark, "stream-states")))
+        out = spark.read.parquet(S.drain(S.question_states(stream), A.folder(spark, "stream-states"), "update"))
     finally:
         spark.conf.set(key, before) if before else spark.conf.unset(key)
     last = F.max_by(F.struct("answer", "delivered", "redelivered", "applied", "updates"), "updates").alias("s")

@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery, StreamingQueryListener
+from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
 from pyspark.sql.streaming.state import GroupState
 
 from chalkline.functions.text import BOARD_FILE
@@ -103,35 +103,23 @@ def tool_activity(trace: DataFrame, size: str = "1 hour", slide: str = "30 minut
     return trace.withWatermark("t", late).groupBy("role", w).agg(F.count(F.lit(1)).alias("calls"), F.count_if("error").alias("errors"))
 
 
-QUESTION = "lecture long, id int, answer string, delivered boolean, redelivered boolean, applied boolean, updates long"
-
-
-class QuestionState(StatefulProcessor):
-    """Life of a question: the first non-null answer stays, ``delivered`` only turns true, an answer
-    that comes after delivery is delivered again exactly once, and an answer counts as applied from
-    the first update on that says so and finds an answer."""
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("question", "answer string, delivered boolean, redelivered boolean, applied boolean, updates long")
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        answer, delivered, again, applied, n = self.state.get() if self.state.exists() else (None, False, False, False, 0)
-        for row in sorted((r for batch in rows for r in batch.itertuples(index=False)), key=lambda r: r.seq):
-            n += 1
-            if answer is None and isinstance(row.answer, str):
-                answer, again = row.answer, delivered
-            delivered = delivered or bool(row.delivered)
-            applied = applied or (answer is not None and bool(row.applied))
-        self.state.update((answer, delivered, again, applied, n))
-        yield pd.DataFrame({"lecture": [key[0]], "id": [key[1]], "answer": [answer], "delivered": [delivered], "redelivered": [again], "applied": [applied], "updates": [n]})
-
-    def close(self) -> None:
-        pass
-
-
 def question_states(questions: DataFrame) -> DataFrame:
-    """The changing state of each question ``(lecture, id, seq, answer, delivered, applied)``; the last update of a key counts."""
-    return questions.groupBy("lecture", "id").transformWithStateInPandas(QuestionState(), QUESTION, "Append", "None")
+    """The changing state of each question ``(lecture, id, seq, answer, delivered, applied)``; the last update of a key counts.
+
+    The first non-null answer stays, ``delivered`` only turns true, an answer that comes
+    after delivery is delivered again exactly once, and an answer counts as applied from the
+    first update on that says so and finds an answer.  All of it follows from where in the
+    order of ``seq`` these come first or last, so the state of a question is a few numbers
+    that the engine merges, and no question needs a call of its own.  Run it in update mode.
+    """
+    first = F.min_by(F.struct("answer", "seq"), F.when(F.col("answer").isNotNull(), F.col("seq")))
+    told, done = (f(F.when(F.col(c), F.col("seq"))) for f, c in ((F.min, "delivered"), (F.max, "applied")))
+    out = questions.groupBy("lecture", "id").agg(first.alias("f"), told.alias("told"), done.alias("done"), F.count(F.lit(1)).alias("updates"))
+    yes = lambda c: F.coalesce(c, F.lit(False))
+    return out.select(
+        "lecture", "id", F.col("f.answer").alias("answer"), F.col("told").isNotNull().alias("delivered"), yes(F.col("told") < F.col("f.seq")).alias("redelivered"),
+        yes(F.col("done") >= F.col("f.seq")).alias("applied"), "updates",
+    )
 
 
 def question_states_batch(questions: DataFrame) -> DataFrame:
@@ -149,7 +137,14 @@ def question_states_batch(questions: DataFrame) -> DataFrame:
 
 
 def drain(df: DataFrame, path: str, mode: str = "append") -> str:
-    """Run a stream to the end of what is there, into Parquet under ``path``; returns the data's path."""
+    """Run a stream to the end of what is there, into Parquet under ``path``; returns the data's path.
+
+    In update mode a batch has a folder of its own and replaces it.
+    """
+    if mode == "update":
+        add = lambda batch, number: batch.write.mode("overwrite").parquet(f"{path}/data/batch={number}")
+        df.writeStream.outputMode(mode).foreachBatch(add).option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+        return f"{path}/data"
     q = df.writeStream.outputMode(mode).format("parquet").option("path", f"{path}/data").option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start()
     q.awaitTermination()
     return f"{path}/data"
