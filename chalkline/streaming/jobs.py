@@ -6,17 +6,12 @@ checkpoint) is the caller's choice.  ``drain`` runs one to the end of its files.
 
 from __future__ import annotations
 
-import json
 import threading
-from collections.abc import Iterator
-from typing import NamedTuple
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
-from pyspark.sql.streaming.state import GroupState
 
 from chalkline.functions.text import BOARD_FILE
 
@@ -25,71 +20,24 @@ def tail_json(spark: SparkSession, path: str, schema: str, files_per_trigger: in
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).json(path)
 
 
-RUN = "run string, start timestamp, stop timestamp, events long, seconds double, errors long, boards int, tools map<string, long>"
-
-
-class Session(NamedTuple):
-    """What is kept of a stretch of a run: its ends in milliseconds, sums, distinct boards and calls per tool."""
-
-    first: int
-    last: int
-    events: int
-    seconds: float | None
-    errors: int
-    boards: list[int]
-    tools: dict[str, int]
-
-    @classmethod
-    def of(cls, ms: int, seconds: float, error: bool | None, board: float, name: str | None) -> Session:
-        """One event."""
-        return cls(ms, ms, 1, None if pd.isna(seconds) else float(seconds), int(error is True), [] if pd.isna(board) else [int(board)], {} if name is None else {name: 1})
-
-    def joined(self, other: Session) -> Session:
-        seconds = [x for x in (self.seconds, other.seconds) if x is not None]
-        tools = {k: self.tools.get(k, 0) + other.tools.get(k, 0) for k in {**self.tools, **other.tools}}
-        return Session(
-            min(self.first, other.first), max(self.last, other.last), self.events + other.events, sum(seconds) if seconds else None,
-            self.errors + other.errors, sorted({*self.boards, *other.boards}), tools,
-        )
-
-
 def run_summary(trace: DataFrame, late: str = "1 hour", idle: str = "12 hours") -> DataFrame:
     """Events, seconds, errors, boards opened and calls per tool of each run; a run closes when it has been idle for ``idle`` of trace time.
 
-    The state of a run is its sums, its distinct board numbers and a count per tool, however
-    many calls it makes; an event-time timer closes it.  A run that goes on after a longer
-    break is a summary of its own.
+    Runs are session windows that the engine merges, so no run needs a call of its own.  The
+    state of an open run is its sums, its distinct board numbers and the names of the tools
+    it called, one a call.  A run that goes on after a longer break is a summary of its own;
+    a late row counts as long as its run may be open.
     """
     board = F.nullif(F.regexp_extract(F.get_json_object("input", "$.file_path"), BOARD_FILE, 1), F.lit("")).cast("int")
-    wait = int(pd.Timedelta(idle).total_seconds() * 1000)
-
-    def follow(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        known = [Session(*x) for x in json.loads(state.get[0])] if state.exists else []
-        if not state.hasTimedOut:
-            known += [Session.of(*x) for batch in batches for x in zip(*(batch[c].tolist() for c in ("ms", "seconds", "error", "board", "name")), strict=True)]
-        open_: list[Session] = []
-        for s in sorted(known, key=lambda s: s.first):
-            if open_ and s.first - open_[-1].last <= wait:
-                open_[-1] = open_[-1].joined(s)
-            else:
-                open_.append(s)
-        now = state.getCurrentWatermarkMs()
-        done = [s for s in open_ if s.last + wait <= now]
-        rest = [s for s in open_ if s.last + wait > now]
-        if rest:
-            state.update((json.dumps(rest),))
-            state.setTimeoutTimestamp(min(s.last for s in rest) + wait)
-        elif state.exists:
-            state.remove()
-        if done:
-            stamp = lambda ms: pd.Timestamp(ms, unit="ms")
-            yield pd.DataFrame({
-                "run": key[0], "start": [stamp(s.first) for s in done], "stop": [stamp(s.last) for s in done], "events": [s.events for s in done],
-                "seconds": [s.seconds for s in done], "errors": [s.errors for s in done], "boards": [len(s.boards) for s in done], "tools": [dict(sorted(s.tools.items())) for s in done],
-            })
-
-    rows = trace.where("t IS NOT NULL").withWatermark("t", late).select("run", "t", F.unix_millis("t").alias("ms"), "name", "seconds", "error", board.alias("board"))
-    return rows.groupBy("run").applyInPandasWithState(follow, RUN, "sessions string", "append", "EventTimeTimeout")
+    rows = trace.where("t IS NOT NULL").withWatermark("t", late).select("run", "t", "name", F.when(~F.isnan("seconds"), F.col("seconds")).alias("seconds"), "error", board.alias("board"))
+    out = rows.groupBy("run", F.session_window("t", idle)).agg(
+        F.min("t").alias("start"), F.max("t").alias("stop"), F.count(F.lit(1)).alias("events"), F.sum("seconds").alias("seconds"), F.count_if("error").alias("errors"),
+        F.size(F.collect_set("board")).alias("boards"), F.array_sort(F.collect_list("name")).alias("names"),
+    )
+    # equal names stand together: where each begins, and how far it is to the next one
+    begins = F.filter(F.sequence(F.lit(0), F.size("names")), lambda i: (i == F.size("names")) | (i == 0) | (F.get("names", i) != F.get("names", i - 1)))
+    calls = F.zip_with(F.slice("begins", 1, F.size("begins") - 1), F.slice("begins", 2, F.size("begins")), lambda i, j: F.struct(F.get("names", i).alias("key"), (j - i).cast("bigint").alias("value")))
+    return out.withColumn("begins", begins).select("run", "start", "stop", "events", "seconds", "errors", "boards", F.map_from_entries(calls).alias("tools"))
 
 
 def board_sessions(intervals: DataFrame, gap: str, late: str = "1 hour") -> DataFrame:
