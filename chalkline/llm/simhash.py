@@ -172,6 +172,8 @@ WIDTH, SIMILARITY, BANDS, ROWS = 5, 0.8, 16, 5
 #: Rounds in which buckets are compared with one of their texts; pairs a text that may be left for the last step without another
 #: round; and the share of the pairs that a round may leave if another one is to follow.
 ROUNDS, FEW, GAIN = 8, 16, 0.8
+#: Buckets of so many texts are compared pair by pair; the texts of larger ones meet at their rarest shingles.
+SMALL = 8
 _MINHASH = np.random.default_rng(42).integers(0, 1 << 63, BANDS * ROWS, np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -215,6 +217,35 @@ def _shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["sha", "shingles"])
 
 
+def _sets(asked: DataFrame, docs: DataFrame) -> DataFrame:
+    """``(node, shingles)`` of the texts ``asked (node, sha)``, written."""
+    texts = docs.join(asked.select("sha"), "sha", "left_semi").select("sha", "text").mapInArrow(_shingles, "sha binary, shingles array<bigint>")
+    return written(texts.dropDuplicates(["sha"]).join(asked, "sha").select("node", "shingles"), "shingles")
+
+
+def _may_be_similar(texts: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
+    """Pairs ``(a, b)`` of ``texts (node, cluster)`` in different clusters, among them all whose sets are similar enough.
+
+    Whatever the order of all shingles, two sets of similarity SIMILARITY share one of the
+    first ``n - ceil(SIMILARITY * n) + 1`` in each; the first that they share leaves them
+    enough to come to that similarity.  Rare shingles come first, so a common line or
+    passage brings no pairs together.
+    """
+    with only_last(docs.sparkSession):
+        sets = _sets(texts.select("node").join(nodes.select("node", "sha"), "node"), docs)
+        tokens = sets.select("node", F.explode("shingles").alias("s"))
+        held = tokens.groupBy("s").agg(F.count(F.lit(1)).alias("held")).where("held > 1")
+        rare = F.array_sort(F.collect_list(F.struct(F.coalesce("held", F.lit(1)).alias("held"), "s")))
+        first = F.expr(f"slice(rare, 1, cast(size(rare) - ceil({SIMILARITY} * size(rare) - 1e-6) + 1 as int))")
+        prefixes = tokens.join(held, "s", "left").groupBy("node").agg(rare.alias("rare")).select("node", F.size("rare").alias("n"), F.posexplode(first).alias("at", "x"))
+        prefixes = written(prefixes.where("x.held > 1").join(texts, "node").select("node", "cluster", (F.col("n") - F.col("at")).alias("rest"), "n", F.col("x.s").alias("s")), "prefixes")
+        side = lambda x: prefixes.select("s", *(F.col(c).alias(f"{c}_{x}") for c in ("node", "cluster", "rest", "n")))
+        enough = F.least("rest_a", "rest_b") >= (F.col("n_a") + F.col("n_b")) * SIMILARITY / (1 + SIMILARITY) - 1e-6
+        a, b = side("a"), side("b")
+        met = a.join(b, (a.s == b.s) & (F.col("cluster_a") < F.col("cluster_b")) & enough)
+        return written(met.select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct(), "met")
+
+
 def _similar(pairs: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
     """Those of ``pairs (a, b)`` whose shingle sets have Jaccard similarity SIMILARITY or more."""
     with only_last(docs.sparkSession):
@@ -223,8 +254,7 @@ def _similar(pairs: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
         pairs = pairs.join(size("a"), "a").join(size("b"), "b").where(F.least("n_a", "n_b") / F.greatest("n_a", "n_b") >= SIMILARITY)
         pairs = written(pairs.select("a", "b"), "pairs")
         asked = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct().join(nodes.select("node", "sha"), "node").select("node", "sha")
-        texts = docs.join(asked.select("sha"), "sha", "left_semi").select("sha", "text").mapInArrow(_shingles, "sha binary, shingles array<bigint>")
-        sets = written(texts.dropDuplicates(["sha"]).join(asked, "sha").select("node", "shingles"), "shingles")
+        sets = _sets(asked, docs)
         both = (
             pairs.join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("of_b")), "b")
             .join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("of_a")), "a")
@@ -278,10 +308,13 @@ def keep_documents(docs: DataFrame) -> DataFrame:
         centres = mixed.groupBy("band", "value").agg(chosen).select("band", "value", F.col("c.node").alias("a"), F.col("c.cluster").alias("of_a"))
         stars = mixed.join(centres, ["band", "value"]).where("cluster <> of_a").select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b")).distinct()
         edges = written(edges.unionByName(_similar(stars, nodes, own)), "links")
-    left = mixed.select("band", "value", F.col("node").alias("a"), F.col("cluster").alias("of_a"))
-    right = mixed.select("band", "value", F.col("node").alias("b"), F.col("cluster").alias("of_b"))
-    pairs = left.join(right, ["band", "value"]).where("of_a < of_b").select("a", "b").distinct()
-    edges = edges.unionByName(_similar(pairs, nodes, own))
+    held = mixed.groupBy("band", "value").count()
+    few = mixed.join(held.where(F.col("count") <= SMALL), ["band", "value"])
+    many = written(mixed.join(held.where(F.col("count") > SMALL), ["band", "value"]).select("node", "cluster").distinct(), "many")
+    left = few.select("band", "value", F.col("node").alias("a"), F.col("cluster").alias("of_a"))
+    right = few.select("band", "value", F.col("node").alias("b"), F.col("cluster").alias("of_b"))
+    pairs = left.join(right, ["band", "value"]).where("of_a < of_b").select("a", "b")
+    edges = edges.unionByName(_similar(pairs.unionByName(_may_be_similar(many, nodes, own)).distinct(), nodes, own))
 
     kept = (
         nodes.join(components(edges), "node", "left")
