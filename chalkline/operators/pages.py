@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from chalkline.functions import text as T
-from chalkline.functions.udf import RUNS, forward, matching_characters, unescape_entities
+from chalkline.functions.udf import matching_characters, unescape_entities
 
 # Elements left out, elements whose end breaks a line, agreement needed.
 SKIPPED = ("script", "style", "nav", "footer", "header", "aside")
@@ -60,66 +59,22 @@ def requested_packages(files: DataFrame) -> DataFrame:
     return files.select("file", F.posexplode(listed).alias("pos", "package"))
 
 
-def word_anchors(pairs: DataFrame, words: int = RUNS[0]) -> DataFrame:
-    """``(pair, pa, pb)``: places where the same ``words`` words stand in both texts of ``pairs (pair, wa, wb)``.
-
-    Only runs that occur once in either text count, and of those the longest series that
-    goes forward in both, so the anchors cut both texts into the same number of pieces.
-    """
-
-    def once(w: str, at: str) -> DataFrame:
-        runs = F.transform(F.sequence(F.lit(0), F.size(w) - words), lambda i: F.xxhash64(F.slice(w, i + 1, F.lit(words))))
-        rows = pairs.where(F.size(w) >= words).select("pair", F.posexplode(runs).alias("pos", "run"))
-        return rows.groupBy("pair", "run").agg(F.min("pos").alias(at), F.count(F.lit(1)).alias("n")).where("n = 1").drop("n")
-
-    both = once("wa", "pa").join(once("wb", "pb"), ["pair", "run"]).select("pair", "pa", "pb")
-    return both.groupBy("pair").applyInPandas(in_order, "pair string, pa int, pb int")  # a pair's anchors are no more than its words
-
-
-def in_order(anchors: pd.DataFrame) -> pd.DataFrame:
-    """The longest series of a pair's anchors with ``pa`` and ``pb`` both rising."""
-    anchors = anchors.sort_values("pa")
-    kept = forward(list(zip(anchors["pa"].tolist(), anchors["pb"].tolist(), strict=True)))
-    return pd.DataFrame({"pair": anchors["pair"].iloc[0], "pa": [a for a, _ in kept], "pb": [b for _, b in kept]})
-
-
-def agreements(pairs: DataFrame) -> DataFrame:
-    """``(pair, agreement)`` of ``pairs (pair, a, b)``: twice the matching characters over all characters.
-
-    Words at anchors match; between anchors only the pieces that differ are compared, in order
-    and whatever their length.
-    """
-    rows = pairs.select("pair", F.split("a", " ").alias("wa"), F.split("b", " ").alias("wb"))
-    start = rows.select("pair", F.lit(-1).alias("pa"), F.lit(-1).alias("pb"))
-    w = Window.partitionBy("pair").orderBy("pa")
-    cuts = word_anchors(rows).unionByName(start).withColumn("na", F.lead("pa").over(w)).withColumn("nb", F.lead("pb").over(w))
-    # an anchor counts its first word; what follows it up to the next one is a gap
-    gaps = cuts.where("na IS NULL OR na > pa + 1 OR nb > pb + 1").join(rows, "pair")
-    piece = lambda words, p, n: F.array_join(F.transform(F.slice(words, F.col(p) + 2, F.coalesce(n, F.size(words)) - F.col(p) - 1), lambda x: F.concat(x, F.lit(" "))), "")
-    gaps = gaps.select("pair", piece("wa", "pa", F.col("na")).alias("ga"), piece("wb", "pb", F.col("nb")).alias("gb")).where("ga <> '' AND gb <> ''")
-    same, differ = gaps.where("ga = gb").select("pair", F.length("ga").cast("double").alias("m")), gaps.where("ga <> gb").select("pair", matching_characters("ga", "gb").alias("m"))
-    letters = cuts.where("pa >= 0").groupBy("pair").agg(F.collect_list("pa").alias("at")).join(rows.select("pair", "wa"), "pair")
-    anchored = letters.select("pair", F.aggregate("at", F.lit(0.0), lambda total, i: total + F.length(F.get("wa", i)) + 1).alias("m"))
-    whole = same.unionByName(differ).unionByName(anchored).groupBy("pair").agg(F.sum("m").alias("m"))
-    size = pairs.select("pair", (F.length("a") + F.length("b")).alias("size"))
-    # every word counts with one blank after it, the last one's is taken off again
-    return size.join(whole, "pair", "left").select("pair", F.least(F.lit(1.0), F.greatest(F.lit(0.0), 2 * (F.coalesce("m", F.lit(0.0)) - 1) / F.col("size"))).alias("agreement"))
-
-
 def passage_agreement(passages: DataFrame, least: float = AGREEMENT) -> DataFrame:
     """Adds ``agreement`` of the normalised texts, ``verified`` and a note.
 
     Equal texts agree fully; where the lengths alone bound the agreement below ``least``
-    that bound is reported; the rest is compared by :func:`agreements`, each distinct pair once.
+    that bound is reported; of the rest it is twice the characters that match in order over
+    all characters.  A passage is judged inside its row, so no text moves.
     """
     a, b = T.squeeze(F.col("original")), T.squeeze(F.col("rewritten"))
     rows = passages.withColumn("_a", a).withColumn("_b", b)
     total = F.length("_a") + F.length("_b")
     bound = F.when(total > 0, 2 * F.least(F.length("_a"), F.length("_b")) / total).otherwise(1.0)
     rows = rows.withColumn("_known", F.when(F.col("_a") == F.col("_b"), 1.0).when(bound < least, bound))
-    rows = rows.withColumn("_pair", F.when(F.col("_known").isNull(), F.sha2(F.concat_ws("\0", "_a", "_b"), 256)))
-    open_ = rows.where("_pair IS NOT NULL").select(F.col("_pair").alias("pair"), F.col("_a").alias("a"), F.col("_b").alias("b")).dropDuplicates(["pair"])
-    found = agreements(open_).withColumnRenamed("pair", "_pair")
-    out = rows.join(found, "_pair", "left").withColumn("agreement", F.coalesce("_known", "agreement"))
+    # every word counts with one blank after it, the last one's is taken off again; null where there is nothing to compare
+    open_ = F.col("_known").isNull()
+    match = matching_characters(F.when(open_, F.col("_a")), F.when(open_, F.col("_b")))
+    counted = F.least(F.lit(1.0), F.greatest(F.lit(0.0), 2 * (match - 1) / total))
+    out = rows.withColumn("agreement", F.coalesce("_known", counted))
     verified = F.col("agreement") >= least
-    return out.withColumn("verified", verified).withColumn("note", F.when(~verified, "differs")).drop("_a", "_b", "_known", "_pair")
+    return out.withColumn("verified", verified).withColumn("note", F.when(~verified, "differs")).drop("_a", "_b", "_known")
