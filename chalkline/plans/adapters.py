@@ -51,26 +51,25 @@ def lectures(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def section_rows(spark: SparkSession, sf: str) -> DataFrame:
-    """One display per line item: a label, and a reference to another display's label."""
+    """One row per line item, of which a display of its section is made."""
     l = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey")  # noqa: E741
     o = table(spark, sf, "orders").select("o_orderkey", "o_custkey")
-    text = F.concat(
-        F.lit("\\begin{equation}\n  x \\label{eq:"), F.col("l_orderkey"), F.lit(":"), F.col("l_linenumber"),
-        F.lit("}\n\\end{equation}\nSee \\cref{eq:"), F.col("l_partkey"), F.lit(":"), F.col("l_linenumber"), F.lit("}."),
-    )
     return l.join(o, F.col("l_orderkey") == F.col("o_orderkey")).select(
-        (F.col("o_custkey") % 10).alias("course"), F.col("l_orderkey").alias("lecture"), "l_linenumber", "l_partkey", text.alias("part")
+        (F.col("o_custkey") % 10).alias("course"), F.col("l_orderkey").alias("lecture"), "l_linenumber", "l_partkey"
     )
 
 
 def sections(spark: SparkSession, sf: str) -> DataFrame:
-    """``(course, lecture, lecture_num, body)``: the displays of an order, in line order."""
-    return (
-        section_rows(spark, sf)
-        .groupBy("course", "lecture")
-        .agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("l_linenumber", "l_partkey", "part"))), lambda x: x["part"]), "\n").alias("body"))
-        .withColumn("lecture_num", F.col("lecture"))
-    )
+    """``(course, lecture, lecture_num, body)``: the displays of an order, in line order, each with a label and a reference to another display's.
+
+    Numbers are gathered and the text is made of them afterwards.
+    """
+    text = lambda x: F.concat(
+        F.lit("\\begin{equation}\n  x \\label{eq:"), F.col("lecture"), F.lit(":"), x["l_linenumber"],
+        F.lit("}\n\\end{equation}\nSee \\cref{eq:"), x["l_partkey"], F.lit(":"), x["l_linenumber"], F.lit("}."),
+    )
+    rows = section_rows(spark, sf).groupBy("course", "lecture").agg(F.sort_array(F.collect_list(F.struct("l_linenumber", "l_partkey"))).alias("items"))
+    return rows.select("course", "lecture", F.array_join(F.transform("items", text), "\n").alias("body"), F.col("lecture").alias("lecture_num"))
 
 
 def trace(spark: SparkSession, sf: str) -> DataFrame:
