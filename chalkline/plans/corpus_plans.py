@@ -153,7 +153,8 @@ def error_tokens(spark, sf):
 SELECT course, list_slice(list(k ORDER BY k), 1, 8) AS keys, greatest(count(*) - 8, 0)::INTEGER AS more FROM m GROUP BY course""")
 def undefined_citations(spark, sf):
     r = A.section_rows(spark, sf)
-    s = r.groupBy("course", "lecture").agg(F.array_join(F.collect_list(F.concat(F.lit("\\citep[p.~3]{k"), F.col("l_partkey"), F.lit(" , k"), F.col("l_partkey"), F.lit("}"))), " ").alias("body"))
+    cite = lambda p: F.concat(F.lit("\\citep[p.~3]{k"), p, F.lit(" , k"), p, F.lit("}"))
+    s = r.groupBy("course", "lecture").agg(F.collect_list("l_partkey").alias("keys")).select("course", "lecture", F.array_join(F.transform("keys", cite), " ").alias("body"))
     bib = A.table(spark, sf, "part").where("p_size % 3 = 0").select(F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(9).cast("bigint"))).alias("course"), F.concat(F.lit("k"), "p_partkey").alias("cite_key"))
     return L.undefined_citations(s, bib)
 
