@@ -74,9 +74,10 @@ def numbering_changes(spark, sf):
 def _aligned(spark, sf):
     """Sections whose displays are starred multi-line ones, tagged for even part keys."""
     l = A.section_rows(spark, sf)  # noqa: E741
-    tag = F.when(F.col("l_partkey") % 2 == 0, " \\tag{*}").otherwise("")
-    part = F.concat(F.lit("\\begin{align*} x \\label{eq:"), F.col("lecture"), F.lit(":"), F.col("l_linenumber"), F.lit("}"), tag, F.lit("\\end{align*} \\eqref{eq:"), F.col("l_partkey"), F.lit(":"), F.col("l_linenumber"), F.lit("}"))
-    return l.groupBy("course", "lecture").agg(F.array_join(F.collect_list(part), "\n").alias("body"))
+    tag = lambda x: F.when(x["l_partkey"] % 2 == 0, " \\tag{*}").otherwise("")
+    part = lambda x: F.concat(F.lit("\\begin{align*} x \\label{eq:"), F.col("lecture"), F.lit(":"), x["l_linenumber"], F.lit("}"), tag(x), F.lit("\\end{align*} \\eqref{eq:"), x["l_partkey"], F.lit(":"), x["l_linenumber"], F.lit("}"))
+    items = l.groupBy("course", "lecture").agg(F.collect_list(F.struct("l_linenumber", "l_partkey")).alias("items"))
+    return items.select("course", "lecture", F.array_join(F.transform("items", part), "\n").alias("body"))
 
 
 @query("numbering_review", f"""SELECT DISTINCT course, lecture, label, 'align*' AS context, 'unnumbered' AS kind FROM (SELECT o_custkey % 10 AS course, l_orderkey AS lecture, 'eq:' || l_orderkey || ':' || l_linenumber AS label FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_partkey % 2 = 1) SEMI JOIN ({EDGES}) USING (course, label)
