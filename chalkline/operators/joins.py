@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -104,11 +106,30 @@ def _once(value: Column, f: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), f), F.lit(0))
 
 
+def _hashes(words: Column) -> Column:
+    """The hash of every run of RUN words, in order."""
+    run = lambda w: lambda i: F.xxhash64(*(F.get(w, i + k) for k in range(RUN)))
+    return _once(words, lambda w: F.when(F.size(w) >= RUN, F.transform(F.sequence(F.lit(0), F.size(w) - RUN), run(w))).otherwise(F.array().cast("array<bigint>")))
+
+
+def _placed(hashes: Column, places: Callable[[Column], Column]) -> Column:
+    """``(h, at)`` of the hashes at some places."""
+    return _once(hashes, lambda r: F.transform(places(r), lambda i: F.named_struct(F.lit("h"), F.get(r, i), F.lit("at"), i)))
+
+
 def _runs(words: Column) -> Column:
     """``(h, at)`` of every run of RUN words, by its first word's place."""
-    none = F.array().cast("array<struct<h:bigint,at:int>>")
-    run = lambda w: lambda i: F.named_struct(F.lit("h"), F.xxhash64(F.slice(w, i + 1, F.lit(RUN))), F.lit("at"), i)
-    return _once(words, lambda w: F.when(F.size(w) >= RUN, F.transform(F.sequence(F.lit(0), F.size(w) - RUN), run(w))).otherwise(none))
+    none = F.array().cast("array<int>")
+    return _placed(_hashes(words), lambda r: F.when(F.size(r) > 0, F.sequence(F.lit(0), F.size(r) - 1)).otherwise(none))
+
+
+def _least_runs(hashes: Column) -> Column:
+    """Places of the hashes that are the least of some NEIGHBOURS side by side, all of them where some are equal."""
+    none = F.array().cast("array<int>")
+    least = lambda r: lambda i: F.least(*(F.get(r, i + k) for k in range(NEIGHBOURS)))
+    mins = lambda r: F.transform(F.sequence(F.lit(0), F.size(r) - NEIGHBOURS), least(r))
+    held = lambda r, m: lambda i: reduce(or_, (F.get(r, i) == F.get(m, i - k) for k in range(NEIGHBOURS)))
+    return F.when(F.size(hashes) >= NEIGHBOURS, _once(mins(hashes), lambda m: F.filter(F.sequence(F.lit(0), F.size(hashes) - 1), held(hashes, m)))).otherwise(none)
 
 
 def source_index(sources: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -119,10 +140,8 @@ def source_index(sources: DataFrame) -> tuple[DataFrame, DataFrame]:
     ``pieces (source, piece, words)``: the words, PIECE a row.
     """
     words = F.split(T.squeeze(F.col("text")), " ")
-    none = F.array().cast("array<struct<h:bigint,at:int>>")
-    least = lambda r: lambda i: F.array_min(F.slice(r, i, F.lit(NEIGHBOURS)))
-    mins = _once(_runs(words), lambda r: F.when(F.size(r) >= NEIGHBOURS, F.transform(F.sequence(F.lit(1), F.size(r) - NEIGHBOURS + 1), least(r))).otherwise(none))
-    kept = _once(mins, lambda m: F.filter(m, lambda x, i: (i == 0) | (x["at"] != F.get(m, i - 1)["at"])))  # a run stays the least one for some steps
+    # numbers are compared place by place: slices and records made for every word took most of the time
+    kept = _placed(_hashes(words), _least_runs)
     piece = lambda w: lambda k: F.slice(w, k * PIECE + 1, F.lit(PIECE))
     cut = _once(words, lambda w: F.transform(F.sequence(F.lit(0), F.floor((F.size(w) - 1) / PIECE).cast("int")), piece(w)))
     rows = sources.where("text IS NOT NULL")
