@@ -53,6 +53,8 @@ def lectures(spark: SparkSession, sf: str) -> DataFrame:
 def section_rows(spark: SparkSession, sf: str) -> DataFrame:
     """One row per line item, of which a display of its section is made."""
     l = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey")  # noqa: E741
+    # rows are narrow and the texts made of them are not: merged by their size they would make few tasks of too many rows
+    l = l.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "l_orderkey")  # noqa: E741
     o = table(spark, sf, "orders").select("o_orderkey", "o_custkey")
     return l.join(o, F.col("l_orderkey") == F.col("o_orderkey")).select(
         (F.col("o_custkey") % 10).alias("course"), F.col("l_orderkey").alias("lecture"), "l_linenumber", "l_partkey"
