@@ -139,7 +139,8 @@ def links(reps: DataFrame, distance: int = 4) -> DataFrame:
     points = written(points, "points").repartition(max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))))
     spread = F.concat(cells(F.col("fp"), 0), cells(F.col("fp"), 1))
     placed = points.select(F.explode(spread).alias("cell"), "fp", "cluster").where("cell is not null")
-    left = placed.select("cell", F.col("fp").alias("fp_a"), F.col("cluster").alias("a"))
+    # the engine sizes cells as the points they come from, which are up to 66 times fewer, and would broadcast them by that size
+    left = placed.select("cell", F.col("fp").alias("fp_a"), F.col("cluster").alias("a")).hint("merge")
     right = placed.select("cell", F.col("fp").alias("fp_b"), F.col("cluster").alias("b"))
     found = (
         left.join(
