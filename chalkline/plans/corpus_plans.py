@@ -243,6 +243,7 @@ def first_occurrence(spark, sf):
 
 
 LETTERS = "abcdefghij"
+BLOCK = 4096
 
 
 @query("macro_clashes", """WITH n AS (SELECT p_partkey AS pos, p_partkey // 5 AS block, 'm' || substr('abcdefghij', (p_partkey % 10 + 1)::INTEGER, 1) AS m, p_partkey % 3 AS k, p_size % 2 AS b FROM part),
@@ -260,11 +261,15 @@ def macro_clashes(spark, sf):
 @query("macro_table", """SELECT course, 'f' || chr(97 + k) AS name, CASE WHEN k = 9 THEN 0 ELSE 2 END::INTEGER AS arity, CASE WHEN k = 9 THEN '\\mathrm{Op}' ELSE 'a{#1}' || m END AS body
 FROM (SELECT o_custkey % 10 AS course, (o_orderkey % 10)::INTEGER AS k, max(o_orderkey) AS m FROM orders GROUP BY 1, 2)""")
 def macro_table(spark, sf):
-    k = (F.col("o_orderkey") % 10).cast("int")
-    name = F.substring(F.lit(LETTERS), k + 1, F.lit(1))
-    line = F.when(k == 9, F.lit("\\DeclareMathOperator{\\fj}{Op}")).otherwise(F.concat(F.lit("\\newcommand{\\f"), name, F.lit("}[2]{a{#1}"), "o_orderkey", F.lit("}")))
-    text = A.table(spark, sf, "orders").groupBy((F.col("o_custkey") % 10).alias("course")).agg(F.sort_array(F.collect_list(F.struct("o_orderkey", line.alias("line")))).alias("x"))
-    return L.macro_table(text.select("course", F.concat(F.array_join(F.transform("x", lambda r: r["line"]), "\n"), F.lit("\\begin{document}\\newcommand{\\z}{no}")).alias("text")))
+    """Orders as a preamble in blocks of up to BLOCK definitions; numbers are gathered, the text is made of them afterwards."""
+    k = lambda n: (n % 10).cast("int")
+    line = lambda n: F.when(k(n) == 9, F.lit("\\DeclareMathOperator{\\fj}{Op}")).otherwise(F.concat(F.lit("\\newcommand{\\f"), F.substring(F.lit(LETTERS), k(n) + 1, F.lit(1)), F.lit("}[2]{a{#1}"), n, F.lit("}")))
+    course = (F.col("o_custkey") % 10).alias("course")
+    orders = A.table(spark, sf, "orders")
+    parts = orders.groupBy(course, F.floor(F.col("o_orderkey") / BLOCK).alias("pos")).agg(F.sort_array(F.collect_list("o_orderkey")).alias("x"))
+    parts = parts.select("course", "pos", F.array_join(F.transform("x", line), "\n").alias("text"))
+    begins = orders.select(course).distinct().select("course", F.lit(1 << 62).alias("pos"), F.lit("\\begin{document}\\newcommand{\\z}{no}").alias("text"))
+    return L.macro_table(parts.unionByName(begins))
 
 
 @query("expand_cells", """SELECT o_orderkey AS cell, CASE o_orderkey % 3 WHEN 0 THEN '\\mathbb{N}\\cup x' WHEN 1 THEN '[' || o_custkey || ']\\mathbb{N} \\unknown' ELSE '[z]\\Nbx' END AS text FROM orders""")
